@@ -28,6 +28,8 @@ MASKS = ("1111101", "1011000111")
 WINDOW, SUBSTITUTIONS = 13, 2
 SPAN = max(map(len, MASKS))
 BROADCAST_SEEDS = 200_000
+#: Seeds that begin in one piece of a text; a piece also has a window's words on either side.
+PIECE = 128
 
 
 def words(text: Column) -> Column:
@@ -42,21 +44,40 @@ def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return split.where(F.size("w") >= SPAN).select("id", h.alias("h")).where(F.size("h") >= SPAN)
 
 
+def _pieces(hashed: DataFrame) -> DataFrame:
+    """Texts as pieces of bounded length, so that no row below carries more than a piece: ``id``, ``h``, and in ``begin``, ``end`` the places where its own seeds begin."""
+    cut = F.transform(
+        F.sequence(F.lit(0), F.size("h") - F.lit(min(map(len, MASKS))), F.lit(PIECE)),
+        lambda i: F.struct(F.slice("h", F.greatest(F.lit(1), i + 1 - WINDOW), F.lit(PIECE + 2 * WINDOW + SPAN)).alias("h"), F.least(i, F.lit(WINDOW)).alias("begin")),
+    )
+    return hashed.select("id", F.explode(cut).alias("c")).select("id", "c.h", "c.begin", F.least(F.size("c.h") - min(map(len, MASKS)), F.col("c.begin") + PIECE - 1).alias("end"))
+
+
 def _seed(h: Column, at: Column, mask: str, k: int) -> Column:
     return F.xxhash64(F.lit(k), *[F.get(h, at + F.lit(i)) for i, c in enumerate(mask) if c == "1"])
 
 
-def _seeds(hashed: DataFrame) -> DataFrame:
-    """A row for each place and mask: the columns, the place ``p`` and the ``seed``."""
-    placed = hashed.withColumn("p", F.explode(F.sequence(F.lit(0), F.size("h") - F.lit(min(map(len, MASKS))))))
+def _with_seeds(placed: DataFrame) -> DataFrame:
     fits = [F.when(F.col("p") <= F.size("h") - len(m), _seed(F.col("h"), F.col("p"), m, k)) for k, m in enumerate(MASKS)]
     return placed.withColumn("seed", F.explode(F.array(*fits))).where("seed is not null")
 
 
+def _seeds(hashed: DataFrame) -> DataFrame:
+    """A row for each place and mask: ``id``, the piece ``h``, the place ``p`` in it and the ``seed``."""
+    placed = _pieces(hashed).where("begin <= end").withColumn("p", F.explode(F.sequence("begin", "end"))).drop("begin", "end")
+    return _with_seeds(placed)
+
+
+def _item_seeds(items: DataFrame) -> DataFrame:
+    """The same for items, whole: ``item``, its words ``b``, the place ``q`` and the ``seed``."""
+    placed = items.withColumnRenamed("b", "h").withColumn("p", F.explode(F.sequence(F.lit(0), F.size("h") - F.lit(min(map(len, MASKS))))))
+    return _with_seeds(placed).select("item", F.col("h").alias("b"), F.col("p").alias("q"), "seed")
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item that overlap: both ids and ``n_matched``, the most aligned words that agree in a window."""
     items = _hashed(benchmark, item_col, item_text_col).withColumnsRenamed({"id": "item", "h": "b"})
-    test = _seeds(items.withColumnRenamed("b", "h")).select("item", F.col("h").alias("b"), F.col("p").alias("q"), "seed")
+    test = _item_seeds(items)
     if test.count() <= BROADCAST_SEEDS:
         test = F.broadcast(test)  # its rows have just been counted
     hits = _seeds(_hashed(docs, id_col, text_col)).join(test, "seed")
