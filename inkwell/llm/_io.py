@@ -30,7 +30,9 @@ def durable(df: DataFrame, *partition_by: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/inkwell-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of finished steps
+    return out
 
 
 def text_blocks(column: pa.Array | pa.ChunkedArray, max_bytes: int = BLOCK_BYTES):
