@@ -26,7 +26,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._io import durable, text_blocks
@@ -143,12 +143,12 @@ def mix_report(
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """Every document that the mix takes, with all columns and the number of ``copies``."""
-    taken = mix_report(docs, id_col, text_col, source_col, **options).where("taken > 0")
-    # repeated ids: their copies are numbered on both sides, so that each row meets one
-    from pyspark.sql import Window
-
-    nth = Window.partitionBy(id_col).orderBy(F.lit(0))
-    a = docs.withColumn("__mx_n", F.row_number().over(nth))
-    b = taken.select(F.col(id_col).alias("__mx_id"), (F.col("taken") / F.col("size")).cast("long").alias("copies"), F.row_number().over(nth).alias("__mx_m"))
-    return a.join(b, a[id_col].eqNullSafe(b["__mx_id"]) & (F.col("__mx_n") == F.col("__mx_m"))).select(*docs.columns, "copies")
+    """Every document that the mix takes, with all columns and the number of ``copies``; rows of a repeated id share its copies in no fixed order."""
+    taken = mix_report(docs, id_col, text_col, source_col, **options)
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit("\0null"))  # one key for join and window, so that rows move once
+    copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("long")).otherwise(0)
+    lists = taken.groupBy(name.alias("__mx_key")).agg(F.sort_array(F.collect_list(copies), False).alias("__mx_copies"))  # as many as the id has rows
+    both = docs.withColumn("__mx_key", name).join(lists, "__mx_key")
+    nth = F.row_number().over(Window.partitionBy("__mx_key").orderBy("__mx_key"))
+    both = both.withColumn("__mx_n", nth).withColumn("copies", F.get("__mx_copies", F.col("__mx_n") - 1))
+    return both.where("copies > 0").select(*docs.columns, "copies")
