@@ -183,10 +183,18 @@ def _frames(batches: Iterator[pa.RecordBatch], dictionary: bytes, level: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
 
-def write_archives(typed: DataFrame, path: str, level: int = 3) -> None:
-    """Write records from ``with_record_types`` as ``path/*.warc.zst``-style archives, one for each task."""
-    sample = typed.select(F.substring("html", 1, DICT_PAGE_CHARS).alias("html"), F.xxhash64("id").alias("k")).orderBy("k", "html").limit(DICT_PAGES).collect()
-    dictionary = train_dictionary([r.html.encode() for r in sample if r.html])
+def sample_dictionary(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> bytes:
+    """The dictionary for a table: trained on the pages of the smallest id hashes. Only hashes are ranked, then those pages are read."""
+    key = F.xxhash64(F.col(id_col).cast("long"))
+    keys = [r.k for r in pages.select(key.alias("k")).distinct().orderBy("k").limit(DICT_PAGES).collect()]
+    if not keys:
+        return b""
+    rows = pages.where(key <= keys[-1]).select(key.alias("k"), F.substring(html_col, 1, DICT_PAGE_CHARS).alias("html")).limit(2 * DICT_PAGES).collect()
+    return train_dictionary([r.html.encode() for r in sorted(rows, key=lambda r: (r.k, r.html or "")) if r.html])
+
+
+def write_archives(typed: DataFrame, path: str, dictionary: bytes = b"", level: int = 3) -> None:
+    """Write records from ``with_record_types`` as archives below ``path``, one for each task."""
     frames = typed.mapInArrow(lambda batches: _frames(batches, dictionary, level), "frame binary")
     frames.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
 
@@ -216,5 +224,5 @@ def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write every page, read the archives back, and return the records."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/inkwell-warc-{uuid.uuid4().hex}"
-    write_archives(with_record_types(pages, **options), path)
+    write_archives(with_record_types(pages, **options), path, sample_dictionary(pages, options.get("id_col", "page_id"), options.get("html_col", "html")))
     return read_archives(spark, path)
