@@ -48,7 +48,7 @@ CONTEXT = 2 * WINDOW - GRAM
 #: Bytes of text in a batch (a longer text is a batch of its own) and for each shard.
 BATCH_BYTES, SHARD_BYTES = 2 << 20, 16 << 20
 #: Contexts in one suffix array.
-UNIT = 32_768
+UNIT = 16_384
 HOT_BATCHES = 512
 SPOT = np.dtype([("id", "<i8"), ("doc", "<u4"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("ctx", "u1", (CONTEXT,))])
 MARK = np.dtype([("doc", "<u4"), ("pos", "<i4"), ("mask", "<u4")])
@@ -212,6 +212,41 @@ def repeated_windows(spots: np.ndarray, unit: int = UNIT) -> np.ndarray:
     return mask
 
 
+def column_hash(columns: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
+    """64-bit hash of each row of a byte table."""
+    acc = np.full(len(columns), 0x9E3779B97F4A7C15, U) + np.asarray(seed).astype(U)
+    for k in range(columns.shape[1]):
+        acc = (acc + columns[:, k].astype(U) + U(1)) * U(0xD1342543DE82EF95)
+        acc ^= acc >> U(29)
+    return mix(acc)
+
+
+def mark_contexts(spots: np.ndarray) -> np.ndarray:
+    """``repeated_windows``, after equal contexts are taken once and those that share no window are left out.
+
+    A window holds the anchor and at least half of SPREAD - 1 bytes before or behind it, so
+    a context with a window of another one shares the anchor with those bytes on one side.
+    """
+    half = (SPREAD - 1) // 2
+    same = column_hash(spots["ctx"], spots["lo"].astype(np.int64) * 64 + spots["hi"])
+    order = np.lexsort((spots["id"], same))
+    head = np.flatnonzero(np.diff(same[order].view(np.int64), prepend=~same[order[:1]].view(np.int64)))
+    group = np.empty(len(spots), np.int64)
+    group[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
+    first = order[head]  # of equal contexts the one with the smallest id
+    distinct = spots[first]
+    near = np.zeros(len(first), bool)
+    for a in (SPREAD - 1 - half, SPREAD - 1):
+        _, inverse, count = np.unique(column_hash(distinct["ctx"][:, a : a + GRAM + half]), return_inverse=True, return_counts=True)
+        near |= count[inverse] > 1
+    mask = np.zeros(len(first), np.uint32)
+    if near.any():
+        mask[near] = repeated_windows(distinct[near])
+    every = (np.arange(SPREAD) >= distinct["lo"][:, None]) & (np.arange(SPREAD) < distinct["hi"][:, None])
+    every = (every.astype(np.uint32) << np.arange(SPREAD, dtype=np.uint32)).sum(1, dtype=np.uint32)
+    return np.where(spots["id"] > distinct["id"][group], every[group], mask[group])
+
+
 def covered_bytes(n: int, starts: np.ndarray) -> np.ndarray:
     """Which of n bytes lie in a window that begins at one of the starts."""
     depth = np.bincount(starts, minlength=n + 1)[: n + 1] if len(starts) else np.zeros(n + 1, np.int64)
@@ -340,7 +375,7 @@ def _mark_shard(table: pa.Table) -> pa.Table:
     blobs = table.column("spots").to_pylist()
     names = table.column("batch").to_pylist()
     spots = np.frombuffer(b"".join(blobs), SPOT)
-    mask = repeated_windows(spots)
+    mask = mark_contexts(spots)
     edge = np.cumsum([0, *(len(b) // SPOT.itemsize for b in blobs)])
     marks = np.zeros(len(spots), MARK)
     marks["doc"], marks["pos"], marks["mask"] = spots["doc"], spots["pos"].astype(np.int64) - SPREAD, mask
