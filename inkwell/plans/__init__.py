@@ -1,8 +1,7 @@
 """Composite queries: page search, index lookup, and the registered queries with their SQL."""
 
-from . import box_queries, text_queries  # noqa: F401
+from . import box_queries, raster_queries, text_queries  # noqa: F401
+from .raster_queries import flagship
 from .registry import ORACLES, QUERIES
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
