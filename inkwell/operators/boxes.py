@@ -6,8 +6,10 @@ in the JVM after a single shuffle by page.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +33,32 @@ def placements(gates: DataFrame) -> DataFrame:
 
 
 def proximity_clusters(boxes: DataFrame, gap: int = CONFIG.cluster_gap_px) -> DataFrame:
-    """(page, x0, y0, x1, y1, ink, members) of groups of near boxes."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        t = K.clusters(pdf[["x", "y", "x1", "y1", "ink"]].to_numpy(np.int64), gap)
-        out = pd.DataFrame(t, columns=[*K.BOX, "members"])
-        out.insert(0, "page", pdf["page"].iloc[0])
-        return out
-
-    return boxes.groupBy("page").applyInPandas(one, "page long, x0 long, y0 long, x1 long, y1 long, ink long, members long")
+    """(page, x0, y0, x1, y1, ink, members) of groups of near boxes.
+
+    Pages become rows with their boxes as a list; a batch of pages is one kernel
+    call, with the pages laid side by side too far apart to touch.
+    """
+    names = ["x", "y", "x1", "y1", "ink"]
+    listed = boxes.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ord", *(F.col(c).cast("long").alias(c) for c in names)))).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, lists = batch.column(0), batch.column(1)
+            flat = lists.flatten()
+            t = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in names], 1).astype(np.int64)
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            low = int(t[:, 0].min(initial=0))
+            step = int(t[:, 2].max(initial=0)) - low + gap + 2
+            shift = owner * step
+            t[:, 0] += shift - low
+            t[:, 2] += shift - low
+            out = K.clusters(t, gap)
+            at = out[:, 0] // step
+            out[:, 0] += low - at * step
+            out[:, 2] += low - at * step
+            yield pa.RecordBatch.from_arrays([pages.take(pa.array(at)), *(pa.array(out[:, k]) for k in range(6))], ["page", *K.BOX, "members"])
+
+    return listed.mapInArrow(run, "page long, x0 long, y0 long, x1 long, y1 long, ink long, members long")
 
 
 def _fold_kept(sorted_boxes: Column, iou: float) -> Column:
