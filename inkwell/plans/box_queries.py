@@ -23,6 +23,15 @@ IOU_CTES = """pair AS (SELECT a.page, a.ord AS oa, b.ord AS ob, greatest(0, leas
   a.w * a.h + b.w * b.h AS areas FROM box a JOIN box b ON a.page = b.page AND a.ord < b.ord)"""
 
 
+def before_page(rows: DataFrame) -> DataFrame:
+    """(page, before): rows on earlier pages. Ranges of pages are summed first, so that the one ordered pass sees a row for each range only."""
+    per = rows.groupBy("page").agg(F.count(lit(1)).alias("c")).withColumn("range", F.floor(col("page") / 4096))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = per.groupBy("range").agg(F.sum("c").alias("all")).withColumn("base", F.coalesce(F.sum("all").over(upto), lit(0))).drop("all")
+    inside = F.coalesce(F.sum("c").over(Window.partitionBy("range").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), lit(0))
+    return per.withColumn("inside", inside).join(ranges, "range").select("page", (col("base") + col("inside")).alias("before"))
+
+
 def box(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "box")
 
@@ -138,10 +147,8 @@ def b17_display_filter(spark, d):
     from ..operators.search import shown
 
     kept = shown(box(spark, d)).select("page", "ord", "score")
-    # the place in the list: counts before each page, and places within it, so that no task gets all rows
     inside = F.row_number().over(Window.partitionBy("page").orderBy("ord"))
-    pages = kept.groupBy("page").agg(F.count(lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)))
-    return kept.join(pages, "page").select("page", "ord", "score", (F.coalesce("before", lit(0)) + inside).cast("long").alias("shown"))
+    return kept.join(before_page(kept), "page").select("page", "ord", "score", (col("before") + inside).cast("long").alias("shown"))
 
 
 SCRIPT_CTES = """wc AS (SELECT a.page, a.ord, b.ord AS comp, a.x AS ox, a.y AS oy, a.w, a.h, b.x AS x0, b.y AS y0, b.x1, b.y1, b.w AS cw, b.h AS ch, a.x + a.w AS rgt, a.y + a.h - 1 AS bot FROM box a JOIN box b ON a.page = b.page AND a.ord <> b.ord),
@@ -256,8 +263,7 @@ def g1_reading_order(spark, d):
 @query("SELECT page, ord, line, CAST(row_number() OVER (ORDER BY page, line, x, k) AS BIGINT) AS n FROM f", "box", READING_CTES)
 def h4_document_order(spark, d):
     order = B.reading_order(box(spark, d))
-    pages = order.groupBy("page").agg(F.count(lit(1)).alias("c")).withColumn("before", F.sum("c").over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)))
-    return order.join(pages, "page").select("page", "ord", col("line").cast("long").alias("line"), (F.coalesce("before", lit(0)) + col("reading_ord")).cast("long").alias("n"))
+    return order.join(before_page(order), "page").select("page", "ord", col("line").cast("long").alias("line"), (col("before") + col("reading_ord")).cast("long").alias("n"))
 
 
 @query("SELECT page, ord, ink, CAST(row_number() OVER (PARTITION BY page ORDER BY x, ord) AS BIGINT) AS k FROM box", "box")
