@@ -100,7 +100,6 @@ class Config:
 
 CONFIG = Config()
 
-# Patterns of index and notation titles. The part before the title word is optional numbering.
-_NUMBERING = r"^\s*(?:(?:chapter|appendix)\s+\w{1,3}[.:]?\s+|\d{1,3}(?:\.\d+)?[.:]?\s+|[a-z][.:]\s+)?"
-INDEX_TITLE = r"(?i)" + _NUMBERING + r"(?:(?:subject|author|name|general|notation|symbol)\s+)?(?:index\b(?!\s+theor)|list of (?:symbols|notations?)\b|(?:table of )?notations?\b|symbols\b|glossary\b)"
-NOTATION_TITLE = r"(?i)" + _NUMBERING + r"(?:list of (?:symbols|notations?)|(?:index|table) of (?:symbols|notations?)|notations?|symbols|glossary)\b"
+# Patterns of index and notation titles.
+INDEX_TITLE = r"(?i)^\s*(?:(?:chapter|appendix)\s+\w{1,3}[.:]?\s+|\d{1,3}(?:\.\d+)?[.:]?\s+|[a-z][.:]\s+)?(?:(?:subject|author|name|general|notation|symbol)\s+)?(?:index\b(?!\s+theor)|list of (?:symbols|notations?)\b|(?:table of )?notations?\b|symbols\b|glossary\b)"
+NOTATION_TITLE = r"(?i)^\s*(?:(?:chapter|appendix)\s+\w{1,3}[.:]?\s+|\d{1,3}(?:\.\d+)?[.:]?\s+|[a-z][.:]\s+)?(?:list of (?:symbols|notations?)|(?:index|table) of (?:symbols|notations?)|notations?|symbols|glossary)\b"
