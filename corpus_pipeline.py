@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkwell.llm import decontam, line_dedup, mixing, near_dup, quality
-from inkwell.llm._io import durable
+from inkwell.llm._io import discard, durable
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,10 @@ STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup_stage), ("
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, durable(stage(spark, docs, sf_dir))
+        if k:
+            discard(before)
     return docs
 
 

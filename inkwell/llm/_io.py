@@ -31,10 +31,24 @@ def durable(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._durable_path = path
     df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of finished steps
     return out
 
 
+def reread(df: DataFrame) -> DataFrame:
+    """A table from ``durable`` as a relation of its own, to be joined with itself."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._durable_path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables from ``durable`` that no later step reads."""
+    for df in frames:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._durable_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_blocks(column: pa.Array | pa.ChunkedArray, max_bytes: int = BLOCK_BYTES):
     """Yield (first row, row after the last, bytes, offsets) of consecutive rows of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
