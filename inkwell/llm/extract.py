@@ -44,6 +44,8 @@ CUT_WORDS = re.compile(
     r"shares?|sharing|social|sidebars?|side|menus?|nav|navbars?|navigation|breadcrumbs?|comments?|commentlist|comment-list|replies|respond|disqus|discussion|reviews?|related|recommended|footers?|foot|masthead|topbar|toolbar|widgets?|login|signup|search|pagination|pager|skip|paywall|alerts?|disclaimer|legal|copyright|tags)(?=$|[\s_-])",
     re.I,
 )
+#: What cuts an article or main element: it may carry the names of its topics otherwise.
+CUT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|respond|ads?|adverts?|advertisements?|sponsor(?:s|ed)?|promos?|related|recommended|teasers?)(?=$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])(?:headers?|head|page-header|site-header)(?=$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\s+|/|[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?|[\"'=])*)>|<[!?/][^>]*>", re.S)
 ATTR = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*))")
@@ -74,7 +76,7 @@ def _is_cut(tag: str, attrs: str, inside: bool) -> bool:
         return True
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and tag not in ("html", "body") and (CUT_WORDS.search(value) or not inside and HEADER.search(value)):
+        if name in ("class", "id") and tag not in ("html", "body") and ((CUT_ARTICLE if tag in ("article", "main") else CUT_WORDS).search(value) or not inside and HEADER.search(value)):
             return True
         if name == "role" and value.lower() in CUT_ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
             return True
