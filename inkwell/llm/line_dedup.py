@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._io import durable
+
 STRIP = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT, LINES, KEPT = "__ld_hot", "__ld_lines", "__ld_kept"
@@ -44,7 +46,8 @@ def mark_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int = 10,
     """``docs`` with the array of its lines in LINES and of those that stay in KEPT."""
     ids = F.col(id_col).alias("id")
     own = docs.select(ids, F.explode(F.array_distinct(_hashes(F.col(text_col), min_chars))).alias("h")).where("h is not null")
-    hot = own.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h")
+    # written, so that Spark broadcasts it if its size allows, and else can split what a frequent line brings to one task
+    hot = durable(own.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("h"))
     per_doc = own.join(hot, "h").groupBy("id").agg(F.collect_set("h").alias(HOT)).withColumnRenamed("id", "__ld_id")
     both = docs.join(per_doc, docs[id_col].eqNullSafe(per_doc["__ld_id"]), "left").drop("__ld_id")
     lines = both.withColumn(LINES, _lines(F.col(text_col)))
