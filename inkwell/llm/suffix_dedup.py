@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import durable, text_blocks
+from ._io import discard, durable, text_blocks
 from ._text import U, mix, powers, prefix_sums, BASE_INV
 
 WINDOW, GRAM = 50, 24
@@ -412,8 +412,8 @@ def _removal(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFr
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digest = F.md5(F.col("text").cast("binary"))
     narrow = durable(base.where("id is not null").select("id", digest.alias("fp"), F.octet_length("text").cast("long").alias("n_bytes")))
-    least = narrow.groupBy("fp").agg(F.min("id").alias("least"))
-    judged = durable(narrow.join(least, "fp"))
+    copied = durable(narrow.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    judged = durable(narrow.join(copied, "fp", "left").select("id", "fp", "n_bytes", F.coalesce("first", "id").alias("least")))
     total = judged.agg(F.sum("n_bytes")).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     rep = judged.where("id = least").select("id", "fp").distinct()
@@ -424,6 +424,7 @@ def _removal(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFr
     spots = asked.mapInArrow(lambda b: _emit_contexts(b, shards), "batch string, shard int, spots binary")
     marks = durable(spots.groupBy("shard").applyInArrow(_mark_shard, "batch string, marks binary"))
     windows = durable(asked.mapInArrow(lambda b: _emit_windows(b, shards), "batch string, h1 long, h2 long, id long, doc long, start long"))
+    discard(narrow, copied, answers)
     least_window = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     hot = windows.join(least_window, ["h1", "h2"]).where("id > first").groupBy("batch").agg(F.collect_set(F.struct("doc", "start")).alias("hot"))
     final = packed.join(marks.groupBy("batch").agg(F.collect_list("marks").alias("marks")), "batch", "left").join(hot, "batch", "left")
@@ -448,3 +449,16 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, the counts, and ``kept``, the bytes that stay (cuts may fall within a character)."""
     return _removal(docs, id_col, text_col, True).withColumnRenamed("id", id_col)
+
+
+#: The report in DuckDB, window by window; for small tables.
+SQL = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT rid, doc_id, s, substr(hx, 2 * s - 1, 100) AS g FROM d CROSS JOIN LATERAL (SELECT unnest(range(1, n - 48)) AS s) x),
+f AS (SELECT w.rid, s FROM w JOIN (SELECT g, min(doc_id) AS first FROM w GROUP BY g) m ON m.g = w.g WHERE first < doc_id),
+sp AS (SELECT rid, min(s) AS a, max(s) + 49 AS b FROM (SELECT rid, s, sum(new) OVER (PARTITION BY rid ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT rid, s, CASE WHEN s <= lag(s) OVER (PARTITION BY rid ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM f)) GROUP BY rid, k),
+pc AS (SELECT rid, string_agg(substr(hx, 2 * a - 1, 2 * (b - a + 1)), '' ORDER BY a) AS hx FROM (SELECT d.rid, hx, coalesce(lag(b) OVER (PARTITION BY d.rid ORDER BY a), 0) + 1 AS a, sp.a - 1 AS b FROM d JOIN sp ON sp.rid = d.rid
+  UNION ALL SELECT d.rid, hx, e + 1, n FROM d JOIN (SELECT rid, max(b) AS e FROM sp GROUP BY rid) t ON t.rid = d.rid) WHERE b >= a GROUP BY rid),
+c AS (SELECT rid, CAST(sum(b - a + 1) AS BIGINT) AS n_removed, CAST(count(*) AS BIGINT) AS n_spans FROM sp GROUP BY rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN c.rid IS NULL THEN d.hx ELSE coalesce(pc.hx, '') END)) AS kept_sha256
+FROM d LEFT JOIN c ON c.rid = d.rid LEFT JOIN pc ON pc.rid = d.rid
+"""
