@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import shared_dir
+from ._io import durable, shared_dir
 
 # Frame magics of Zstandard and of its dictionary extension.
 FRAME, DICT_FRAME = 0xFD2FB528, 0x184D2A5D
@@ -163,7 +163,7 @@ def with_record_types(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """``id``, ``url``, ``html``, ``kind`` and ``refers_to`` of each page."""
     base = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     long_ = base.where(F.octet_length("html") >= min_revisit_bytes).select("id", F.sha1(F.col("html").cast("binary")).alias("digest"))
-    leader = long_.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    leader = durable(long_.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     follows = long_.join(leader, "digest").where("id < refers_to").select("id", "digest", "refers_to").distinct()
     follows = follows.select(F.col("id").alias("f_id"), F.col("digest").alias("f_digest"), "refers_to")
     digest = F.when(F.octet_length("html") >= min_revisit_bytes, F.sha1(F.col("html").cast("binary")))
