@@ -97,3 +97,32 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def filter_quality(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows that the rules keep, with all their columns."""
     return docs.mapInArrow(lambda batches: _tables(batches, text_col, False), docs.schema)
+
+
+def _gram_sql(n: int) -> str:
+    """Words of n-grams found earlier (and, for the base rules, anywhere else) in the same text."""
+    flags = f"""g{n} AS (SELECT rid, p, chars, g IS NOT NULL AND row_number() OVER (PARTITION BY rid, g ORDER BY p) > 1 AS later, g IS NOT NULL AND count(*) OVER (PARTITION BY rid, g) > 1 AS found FROM (
+  SELECT rid, p, chars, CASE WHEN count(*) OVER w = {n} THEN string_agg(word, ' ') OVER w END AS g FROM w WINDOW w AS (PARTITION BY rid ORDER BY p ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)))"""
+    cover = f"""c{n} AS (SELECT rid, CAST(sum(CASE WHEN later THEN chars ELSE 0 END) AS BIGINT) AS dup, CAST(count(*) FILTER (WHERE found) AS BIGINT) AS rep FROM (
+  SELECT rid, chars, max(later) OVER w AS later, max(found) OVER w AS found FROM g{n} WINDOW w AS (PARTITION BY rid ORDER BY p ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)) GROUP BY rid)"""
+    return f"{flags},\n{cover}"
+
+
+#: The report in DuckDB.
+SQL = (
+    r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+w AS (SELECT rid, word, length(word) AS chars, i AS p FROM (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d))),
+"""
+    + ",\n".join(_gram_sql(n) for n, _ in NGRAM_LIMITS)
+    + r""",
+l AS (SELECT rid, line, row_number() OVER (PARTITION BY rid, line ORDER BY i) > 1 AS dup FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+n AS (SELECT rid, CAST(count(*) FILTER (WHERE dup) AS BIGINT) AS n_dup_lines, CAST(coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (WHERE dup), 0) AS BIGINT) AS dup_line_chars FROM l GROUP BY rid),
+t AS (SELECT rid, CAST(count(*) AS BIGINT) AS n_words, CAST(sum(chars) AS BIGINT) AS word_chars FROM w GROUP BY rid),
+r AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c5.rep, 0) AS n_repeat_words,
+  coalesce(c5.dup, 0) AS dup5_chars, coalesce(c7.dup, 0) AS dup7_chars, coalesce(c10.dup, 0) AS dup10_chars, coalesce(dup_line_chars, 0) AS dup_line_chars
+  FROM d LEFT JOIN t USING (rid) LEFT JOIN n USING (rid) LEFT JOIN c5 USING (rid) LEFT JOIN c7 USING (rid) LEFT JOIN c10 USING (rid)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM r)
+SELECT *, NOT base_failed AND """
+    + " AND ".join([f"100 * dup{n}_chars <= {most} * word_chars" for n, most in NGRAM_LIMITS] + [f"100 * dup_line_chars <= {LINE_LIMIT} * word_chars"])
+    + " AS kept FROM b"
+)
