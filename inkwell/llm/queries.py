@@ -72,4 +72,4 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM p LEFT JOIN l USING (payload_digest)
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": quality.SQL, "op3_near_dup": near_dup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op5_warc": WARC_SQL, "op8_line_dedup": line_dedup.SQL, "op10_decontamination": decontam.SQL}
+ORACLES: dict[str, str] = {"op9_url_filter": url_filter.sql(URL_RULES), "op2_quality_rules": quality.SQL, "op3_near_dup": near_dup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op5_warc": WARC_SQL, "op8_line_dedup": line_dedup.SQL, "op10_decontamination": decontam.SQL}

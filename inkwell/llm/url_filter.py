@@ -97,3 +97,29 @@ def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url
     return judged.select(
         id_col, "host", "path", "rule", F.coalesce("given", F.when(purity < MIN_PURITY, "block").otherwise("allow")).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), purity.alias("purity")
     )
+
+
+def sql(rules: list[Rule]) -> str:
+    """The judgement in DuckDB, with the levels of the tree written out."""
+    rule, verdict = "NULL", "NULL"
+    for h, p, v in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
+        fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+        rule, verdict = f"CASE WHEN {fits} THEN '{h}{p}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{v}' ELSE {verdict} END"
+    levels = []
+    for k in range(DEPTH):
+        above = f"template[1:{k}]" if k else "CAST([] AS VARCHAR[])"
+        levels.append(
+            f"""w{k} AS MATERIALIZED (SELECT host, above FROM (SELECT DISTINCT host, {above} AS above, template[{k + 1}] AS child FROM t{k} WHERE len(template) > {k}) GROUP BY host, above HAVING count(*) > {MAX_CHILDREN}),
+t{k + 1} AS MATERIALIZED (SELECT t.host, shape, good, n, CASE WHEN w.host IS NOT NULL THEN list_concat(list_concat({above}, ['*']), template[{k + 2}:]) ELSE template END AS template FROM t{k} t LEFT JOIN w{k} w ON w.host = t.host AND w.above = {above} AND len(template) > {k})"""
+        )
+    return rf"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+s AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '{VARIABLE}') THEN '*' || regexp_extract(x, '{VARIABLE}', 1) ELSE x END) AS k, {rule} AS rule, {verdict} AS given FROM u),
+r AS MATERIALIZED (SELECT page_id, host, path, rule, given, CASE WHEN len(k) > {DEPTH} THEN list_concat(k[1:{DEPTH}], ['**']) ELSE k END AS shape FROM s),
+t0 AS MATERIALIZED (SELECT host, shape, shape AS template, count(*) FILTER (WHERE given = 'allow') AS good, count(given) AS n FROM r GROUP BY host, shape),
+{(","+chr(10)).join(levels)},
+b AS MATERIALIZED (SELECT host, template, CASE WHEN len(template) > 0 THEN list_concat(['?'], template[2:]) ELSE template END AS family, CAST(sum(good) AS BIGINT) AS good, CAST(sum(n) AS BIGINT) AS n FROM t{DEPTH} GROUP BY host, template),
+f AS (SELECT host, family, CAST(sum(good) AS BIGINT) AS all_good, CAST(sum(n) AS BIGINT) AS all_n FROM b WHERE n > 0 GROUP BY host, family),
+m AS (SELECT b.host, template, good, n, all_good, all_n, coalesce(CASE WHEN n > 0 THEN abs(good / n - all_good / all_n) <= {Z} * sqrt(CAST(all_good / all_n * (1 - all_good / all_n) / n AS DOUBLE)) END, false) AS merged FROM b LEFT JOIN f ON f.host = b.host AND f.family = b.family),
+p AS (SELECT t.host, t.shape, t.template, (CASE WHEN merged THEN all_good ELSE m.good END + {PRIOR}) / (CASE WHEN merged THEN all_n ELSE m.n END + {PRIOR}) AS purity FROM t{DEPTH} t JOIN m ON m.host = t.host AND m.template = t.template)
+SELECT page_id, r.host, path, rule, coalesce(given, CASE WHEN purity < {MIN_PURITY} THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(template, '/') AS template, CAST(purity AS DOUBLE) AS purity FROM r LEFT JOIN p ON p.host = r.host AND p.shape = r.shape
+"""

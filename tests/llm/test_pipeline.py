@@ -59,3 +59,12 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
         docs = spark.createDataFrame(out.collect(), out.schema)
     assert set(got) <= set(left) and docs.columns == [*columns, "copies"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, d).collect()} == set(got)
+
+
+def test_stages_take_odd_rows(spark):
+    docs = small.clash(spark.createDataFrame(small.odd_rows(), small.SCHEMA), *small.NAMES, "kept", "u", "label", "main")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        for part in (docs, docs.limit(0)):
+            out = stage(spark, part, str(compare.DATA))
+            assert out.columns == docs.columns + (["copies"] if k == 4 else [])
+            assert out.count() <= 10
