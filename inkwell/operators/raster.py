@@ -92,24 +92,21 @@ def page_index(images: DataFrame, cfg: Config = CONFIG) -> DataFrame:
             for page, image in images_of(batch):
                 r, boxes, groups = K.analyse(image, cfg)
                 h, w = image.shape
-                box = lambda t, names: [dict(zip(names, map(int, row))) for row in t]
-                row = {
-                    "page": page, "w": w, "h": h, "row_start": np.searchsorted(r[:, 0], np.arange(h + 1)).tolist(), "runs": [{"x0": int(a), "len": int(b - a + 1)} for _, a, b in r],
-                    "comps": box(boxes, K.BOX), "clusters": box(groups, (*K.BOX, "members")), "by_x0": np.argsort(boxes[:, 0], kind="stable").tolist(),
-                    "bytes": 4 * (h + 1) + 4 * len(r) * (1 if w < 65536 else 2) + 20 * len(boxes) + 24 * len(groups) + 4 * len(boxes),
-                }
-                yield pa.RecordBatch.from_pylist([row], INDEX_ARROW)
+                bytes_ = 4 * (h + 1) + 4 * len(r) * (1 if w < 65536 else 2) + 20 * len(boxes) + 24 * len(groups) + 4 * len(boxes)
+                columns = [
+                    pa.array([page], pa.int64()), pa.array([w], pa.int32()), pa.array([h], pa.int32()), one_list([np.searchsorted(r[:, 0], np.arange(h + 1))]), one_list([r[:, 1], r[:, 2] - r[:, 1] + 1], ["x0", "len"]),
+                    one_list(list(boxes.T), K.BOX), one_list(list(groups.T), (*K.BOX, "members")), one_list([np.argsort(boxes[:, 0], kind="stable")]), pa.array([bytes_], pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["page", "w", "h", "row_start", "runs", "comps", "clusters", "by_x0", "bytes"])
 
     return images.mapInArrow(run, PAGE_INDEX)
 
 
-_BOX = [(c, pa.int32()) for c in K.BOX]
-INDEX_ARROW = pa.schema(
-    [
-        ("page", pa.int64()), ("w", pa.int32()), ("h", pa.int32()), ("row_start", pa.list_(pa.int32())), ("runs", pa.list_(pa.struct([("x0", pa.int32()), ("len", pa.int32())]))),
-        ("comps", pa.list_(pa.struct(_BOX))), ("clusters", pa.list_(pa.struct([*_BOX, ("members", pa.int32())]))), ("by_x0", pa.list_(pa.int32())), ("bytes", pa.int64()),
-    ]
-)
+def one_list(columns: list[np.ndarray], names=None) -> pa.Array:
+    """A column of one list: of integers, or of structs with the names."""
+    arrays = [pa.array(np.ascontiguousarray(c), pa.int32()) for c in columns]
+    values = pa.StructArray.from_arrays(arrays, list(names)) if names else arrays[0]
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def expand(index: DataFrame) -> DataFrame:
