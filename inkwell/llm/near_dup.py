@@ -37,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._io import discard, durable, reread, text_blocks
@@ -150,6 +150,11 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def least_shared() -> Column:
+    """Values that the sketch of a set of ``n`` shares with that of any similar set: only if no such set can exceed SKETCH are both sketches whole sets."""
+    return F.when(100 * F.col("n") > PERCENT_FLOOR * SKETCH, LEAST_SHARED).otherwise(F.ceil(F.col("n") * F.lit(PERCENT_FLOOR) / 100)).cast("int")
+
+
 def _links(outside: pa.Table, block: pa.Table, percent: int) -> pa.Table:
     """Verified links of outsiders to documents of a block, one for each other label: candidates by sketch overlap, best first, exact on full sets."""
     pairs: list[tuple] = []
@@ -179,7 +184,6 @@ def _links(outside: pa.Table, block: pa.Table, percent: int) -> pa.Table:
 
 def outsider_links(large: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of the documents that share a long list with a component of a quarter of its documents or more, but are not in it, to that component and to each other."""
-    need = F.when(F.col("n") > SKETCH, LEAST_SHARED).otherwise(F.ceil(F.col("n") * F.lit(PERCENT_FLOOR) / 100)).cast("int")
     named = labels.select("id", F.col("label").alias("l"))
     rows = durable(large.select("id", "v").join(named, "id", "left").select("id", "v", F.coalesce("l", "id").alias("label")))
     counts = rows.groupBy("v", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("v").agg(F.max_by("label", "c").alias("main"), F.sum("c").alias("m"), F.max("c").alias("c"))
@@ -189,7 +193,7 @@ def outsider_links(large: DataFrame, labels: DataFrame, sets: DataFrame, percent
     inside = labels.select("id", "label").join(size, F.col("label") == F.col("main")).select("main", "id", "label", "rb", "mb", F.lit(False).alias("outer"))
     outer = out.join(size, "main").select("main", "id", "label", "rb", "mb", F.lit(True).alias("outer"))
     members = durable(inside.union(outer))  # narrow, so that the sets are joined once, by broadcast if this is small
-    picked = durable(sets.select("id", "n", need.alias("need"), "sketch", "rest").join(members, "id"))
+    picked = durable(sets.select("id", "n", least_shared().alias("need"), "sketch", "rest").join(members, "id"))
     part = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = ["id", "label", "n", "need", "sketch", "rest"]
@@ -208,9 +212,8 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     listed = values.join(common, "v")
     own = listed.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum(F.log("df")).alias("weight"))  # at most SKETCH values
     kept = F.least(F.col("n"), F.lit(SKETCH))
-    shared = F.when(F.col("n") > SKETCH, LEAST_SHARED).otherwise(F.ceil(F.col("n") * F.lit(PERCENT_FLOOR) / 100))
     rare = kept - F.size("vs")  # values that no other document has
-    prefix = own.select("id", "weight", F.explode(F.slice("vs", F.lit(1), F.greatest(F.lit(0), kept - shared + 1 - rare).cast("int"))).alias("x"))
+    prefix = own.select("id", "weight", F.explode(F.slice("vs", F.lit(1), F.greatest(F.lit(0), kept - least_shared() + 1 - rare).cast("int"))).alias("x"))
     prefix = durable(prefix.select("id", "weight", F.col("x.v").alias("v"), F.col("x.df").alias("df")))
     size = prefix.groupBy("v").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     all_rows, prefix = prefix, durable(prefix.join(size, "v").select("id", "weight", "v", "m"))

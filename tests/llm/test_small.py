@@ -177,6 +177,16 @@ def test_near_dup_of_a_large_group(spark):
     assert got == {i: c for i, (_, c) in slow_components(rows, 2, 80).items()}
 
 
+def test_near_dup_of_sets_around_the_sketch_size(spark):
+    """Pairs of similarity 0.80 or a little more of which only one side has more shingles than a sketch."""
+    rows = []
+    for d, n in enumerate([80, 79, 76, 72] * 10):
+        words = [f"w{d}x{k}" for k in range(n + 4)]
+        rows += [(2 * d, " ".join(words)), (2 * d + 1, " ".join(words[:68]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.components(frame(spark, rows)).collect()}
+    assert got == slow_components(rows, 5, 80) and all(c == d - d % 2 for d, (_, c) in got.items())
+
+
 def test_near_dup_of_odd_rows(spark, odd):
     found = near_dup.components(clash(odd, *NAMES), shingle=2)
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in found.collect()}
