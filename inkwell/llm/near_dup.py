@@ -16,9 +16,8 @@ these pass the union-sketch estimate and are then verified too. Last, in long
 lists that have a quarter of their documents in one component, each other one is
 held against that component, block by block: candidates by sketch overlap,
 verified exactly on the spot; leaders alone would miss links between documents
-that are far from every leader. Components with more than ``RESIDUAL_PAIRS`` such
-comparisons, and long lists without such a component, keep their leaders only;
-README.md names this limit. Components come from joins of edges with labels;
+that are far from every leader. Long lists without such a component keep their
+leaders only; README.md names this limit. Components come from joins of edges with labels;
 nothing is gathered on the driver.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with
@@ -45,8 +44,8 @@ from ._text import Words, span_hash, prefix_sums
 
 SKETCH, LEAST_SHARED = 64, 36
 SMALL_LIST, LEADERS, LISTS = 24, 6, 6
-#: Most comparisons of outsiders with a component, and documents in a block of them.
-RESIDUAL_PAIRS, BLOCK = 1 << 32, 1024
+#: Documents in a block of comparisons.
+BLOCK = 1024
 #: Bytes of a hash kept in a set: the leading ones, so that sets stay in the order of the hash.
 HASH_BYTES = 5
 #: The estimate passes this many standard deviations below the threshold.
@@ -161,14 +160,17 @@ def _links(outside: pa.Table, block: pa.Table, percent: int) -> pa.Table:
     if outside.num_rows and block.num_rows:
         docs = block.to_pylist()
         values = np.concatenate([np.array(d["sketch"], np.int64) for d in docs])
-        edge = np.cumsum([0, *(len(d["sketch"]) for d in docs)])[:-1]
+        order = np.argsort(values)
+        values, owner = values[order], np.repeat(np.arange(len(docs)), [len(d["sketch"]) for d in docs])[order]
         need, size = np.array([d["need"] for d in docs]), np.array([d["n"] for d in docs])
         full = lambda d: np.concatenate([np.array(d["sketch"], np.uint64), unpack(d["rest"])])
         for r in outside.to_pylist():
             mine = full(r)
             sketch = np.array(r["sketch"], np.int64)
-            at = np.minimum(np.searchsorted(sketch, values), len(sketch) - 1)
-            shared = np.add.reduceat((sketch[at] == values).astype(np.int64), edge)
+            low = np.searchsorted(values, sketch)
+            runs = np.searchsorted(values, sketch, "right") - low
+            at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+            shared = np.bincount(owner[at], minlength=len(docs))
             near = np.flatnonzero((shared >= np.minimum(need, r["need"])) & (100 * np.minimum(size, r["n"]) >= percent * np.maximum(size, r["n"])))
             found = {r["label"]}
             for k in near[np.argsort(-shared[near], kind="stable")]:
@@ -188,7 +190,7 @@ def outsider_links(large: DataFrame, labels: DataFrame, sets: DataFrame, percent
     rows = durable(large.select("id", "v").join(named, "id", "left").select("id", "v", F.coalesce("l", "id").alias("label")))
     counts = rows.groupBy("v", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("v").agg(F.max_by("label", "c").alias("main"), F.sum("c").alias("m"), F.max("c").alias("c"))
     out = durable(rows.join(counts.where("4 * c >= m and c < m").select("v", "main"), "v").where("label <> main").select("main", "id", "label").distinct())
-    size = out.groupBy("main").agg(F.count(F.lit(1)).alias("r")).join(labels.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("m")), "main").where(F.col("r") * (F.col("m") + F.col("r")) <= RESIDUAL_PAIRS)
+    size = out.groupBy("main").agg(F.count(F.lit(1)).alias("r")).join(labels.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("m")), "main")
     size = durable(size.select("main", F.ceil(F.col("r") / BLOCK).cast("int").alias("rb"), F.ceil((F.col("m") + F.col("r")) / BLOCK).cast("int").alias("mb")))
     inside = labels.select("id", "label").join(size, F.col("label") == F.col("main")).select("main", "id", "label", "rb", "mb", F.lit(False).alias("outer"))
     outer = out.join(size, "main").select("main", "id", "label", "rb", "mb", F.lit(True).alias("outer"))

@@ -187,6 +187,25 @@ def test_near_dup_of_sets_around_the_sketch_size(spark):
     assert got == slow_components(rows, 5, 80) and all(c == d - d % 2 for d, (_, c) in got.items())
 
 
+def bits(rows):
+    """Texts of one of two words at each place."""
+    return [(d, " ".join(f"{'b' if x else 'a'}{k}" for k, x in enumerate(row))) for d, row in enumerate(rows)]
+
+
+def test_near_dup_holds_outsiders_of_any_number_against_a_component(spark, monkeypatch):
+    """Outsiders that only members far from every leader resemble, in blocks of a few documents and without a bound on the comparisons."""
+    monkeypatch.setattr(near_dup, "RESIDUAL_PAIRS", 0, raising=False)
+    monkeypatch.setattr(near_dup, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    inner = rng.permuted(np.arange(100) < 10 + np.zeros((350, 1)), axis=1)
+    outer = inner[:150].copy()
+    for row in outer:
+        row[rng.choice(np.flatnonzero(~row), 9, replace=False)] = True
+    rows = bits([*inner, *outer, np.zeros(100, bool)])
+    got = {r.doc_id: r.component_id for r in near_dup.components(frame(spark, rows), shingle=1).collect()}
+    assert got == {i: c for i, (_, c) in slow_components(rows, 1, 80).items()}
+
+
 def test_near_dup_of_odd_rows(spark, odd):
     found = near_dup.components(clash(odd, *NAMES), shingle=2)
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in found.collect()}
