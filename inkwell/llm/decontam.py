@@ -7,7 +7,8 @@ its diagonal: some window of ``WINDOW`` aligned words around it must agree in
 all but ``SUBSTITUTIONS`` of them (for items of fewer words the window is the
 item, with 1 substitution from 10 words on and none below). The two masks
 together lie free of the substitutions for every way to place them in a window,
-so the seeds lose no such overlap.
+so the seeds lose no such overlap; in items of 10 words, where no placement is
+free of the fourth word, the mask ``WHOLE`` is, which is used if there are any.
 
 Seeds of the test side are broadcast if their counted number is at most
 ``BROADCAST_SEEDS``; beyond that the two sides meet in a shuffled join.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 MASKS = ("1111101", "1011000111")
 WINDOW, SUBSTITUTIONS = 13, 2
 SPAN = max(map(len, MASKS))
+#: For items of as many words: all but the word that every placement of the masks there covers.
+WHOLE = "1110111111"
 BROADCAST_SEEDS = 200_000
 #: Seeds that begin in one piece of a text; a piece also has a window's words on either side.
 PIECE = 128
@@ -57,30 +60,32 @@ def _seed(h: Column, at: Column, mask: str, k: int) -> Column:
     return F.xxhash64(F.lit(k), *[F.get(h, at + F.lit(i)) for i, c in enumerate(mask) if c == "1"])
 
 
-def _with_seeds(placed: DataFrame) -> DataFrame:
-    fits = [F.when(F.col("p") <= F.size("h") - len(m), _seed(F.col("h"), F.col("p"), m, k)) for k, m in enumerate(MASKS)]
+def _with_seeds(placed: DataFrame, whole: bool | Column) -> DataFrame:
+    masks = MASKS if whole is False else (*MASKS, WHOLE)
+    fits = [F.when((F.col("p") <= F.size("h") - len(m)) & (F.lit(True) if m != WHOLE else F.lit(whole)), _seed(F.col("h"), F.col("p"), m, k)) for k, m in enumerate(masks)]
     return placed.withColumn("seed", F.explode(F.array(*fits))).where("seed is not null")
 
 
-def _seeds(hashed: DataFrame) -> DataFrame:
+def _seeds(hashed: DataFrame, whole: bool) -> DataFrame:
     """A row for each place and mask: ``id``, the piece ``h``, the place ``p`` in it and the ``seed``."""
     placed = _pieces(hashed).where("begin <= end").withColumn("p", F.explode(F.sequence("begin", "end"))).drop("begin", "end")
-    return _with_seeds(placed)
+    return _with_seeds(placed, whole)
 
 
 def _item_seeds(items: DataFrame) -> DataFrame:
     """The same for items, whole: ``item``, its words ``b``, the place ``q`` and the ``seed``."""
     placed = items.withColumnRenamed("b", "h").withColumn("p", F.explode(F.sequence(F.lit(0), F.size("h") - F.lit(min(map(len, MASKS))))))
-    return _with_seeds(placed).select("item", F.col("h").alias("b"), F.col("p").alias("q"), "seed")
+    return _with_seeds(placed, F.size("h") == len(WHOLE)).select("item", F.col("h").alias("b"), F.col("p").alias("q"), "seed")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and item that overlap: both ids and ``n_matched``, the most aligned words that agree in a window."""
     items = _hashed(benchmark, item_col, item_text_col).withColumnsRenamed({"id": "item", "h": "b"})
     test = _item_seeds(items)
-    if test.count() <= BROADCAST_SEEDS:
+    count, tens = test.agg(F.count(F.lit(1)), F.count_if(F.size("b") == len(WHOLE))).first()
+    if count <= BROADCAST_SEEDS:
         test = F.broadcast(test)  # its rows have just been counted
-    hits = _seeds(_hashed(docs, id_col, text_col)).join(test, "seed")
+    hits = _seeds(_hashed(docs, id_col, text_col), tens > 0).join(test, "seed")
     width = F.least(F.lit(WINDOW), F.size("b"))
     need = F.when(width == WINDOW, WINDOW - SUBSTITUTIONS).when(width >= 10, width - 1).otherwise(width)
     first = F.greatest(F.lit(0), F.col("q") + SPAN - WINDOW - (SPAN - min(map(len, MASKS))))

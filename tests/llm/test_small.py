@@ -373,6 +373,18 @@ def test_masks_find_any_two_substitutions():
         assert any(all(s + o not in bad for o, c in enumerate(m) if c == "1") for m in decontam.MASKS for s in range(13 - len(m) + 1))
 
 
+def test_items_of_ten_words_match_with_any_word_replaced(spark):
+    item = prose(random.Random(3), 10, [f"{a}{b}" for a in VOCAB for b in VOCAB])
+    rows = []
+    for d in range(10):
+        w = item.split()
+        w[d] = "changed"
+        rows.append((d, " ".join(["before", *w, "after"])))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_matched for r in decontam.overlaps(frame(spark, rows), bench).collect()}
+    assert got == slow_overlaps(rows, [(1, item)]) and len(got) == 10
+
+
 def test_decontamination_of_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, odd_rows()[3][1]), (2, None), (1, odd_rows()[3][1])], "item_id long, text string")
     docs = clash(odd, *NAMES)
