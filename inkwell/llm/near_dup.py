@@ -12,12 +12,12 @@ the ones with the most common sketch of each of ``LEADERS`` slices.
 
 Each document's best candidates are verified exactly, on full sets. Of the
 other candidates only those between different components can change the result:
-these pass the union-sketch estimate and are then verified too. Last, in long
-lists that have a quarter of their documents in one component, each other one is
-held against that component, block by block: candidates by sketch overlap,
-verified exactly on the spot; leaders alone would miss links between documents
-that are far from every leader. Long lists without such a component keep their
-leaders only; README.md names this limit. Components come from joins of edges with labels;
+these pass the union-sketch estimate and are then verified too. Last, documents
+of a long list that are still in different components are held against each
+other, block by block: candidates by sketch overlap, verified exactly on the
+spot; leaders alone would miss links between documents that are far from every
+leader. If a quarter of a list is in one component, its other documents are held
+against that whole component, once for all such lists. Components come from joins of edges with labels;
 nothing is gathered on the driver.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with
@@ -185,24 +185,29 @@ def _links(outside: pa.Table, block: pa.Table, percent: int) -> pa.Table:
 
 
 def outsider_links(large: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of the documents that share a long list with a component of a quarter of its documents or more, but are not in it, to that component and to each other."""
+    """Links between documents of long lists that are in different components. Where one component has a quarter of a list or more, the others are held against all of it and each other; else all documents of the list against each other."""
     named = labels.select("id", F.col("label").alias("l"))
     rows = durable(large.select("id", "v").join(named, "id", "left").select("id", "v", F.coalesce("l", "id").alias("label")))
-    counts = rows.groupBy("v", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("v").agg(F.max_by("label", "c").alias("main"), F.sum("c").alias("m"), F.max("c").alias("c"))
-    out = durable(rows.join(counts.where("4 * c >= m and c < m").select("v", "main"), "v").where("label <> main").select("main", "id", "label").distinct())
-    size = out.groupBy("main").agg(F.count(F.lit(1)).alias("r")).join(labels.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("m")), "main")
-    size = durable(size.select("main", F.ceil(F.col("r") / BLOCK).cast("int").alias("rb"), F.ceil((F.col("m") + F.col("r")) / BLOCK).cast("int").alias("mb")))
-    inside = labels.select("id", "label").join(size, F.col("label") == F.col("main")).select("main", "id", "label", "rb", "mb", F.lit(False).alias("outer"))
-    outer = out.join(size, "main").select("main", "id", "label", "rb", "mb", F.lit(True).alias("outer"))
+    counts = rows.groupBy("v", "label").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    counts = counts.groupBy("v").agg(F.max_by("label", "c").alias("main"), F.sum("c").alias("m"), F.max("c").alias("c"), F.bit_xor("x").alias("x")).where("c < m")
+    # lists of the same documents are one group; if different ones meet by chance, they are held against each other, too
+    key = F.when(F.expr("4 * c >= m"), F.concat(F.lit("c"), F.col("main").cast("string"))).otherwise(F.concat(F.lit("v"), F.col("x").cast("string")))
+    lists = counts.select("v", F.when(F.expr("4 * c >= m"), F.col("main")).alias("main"), key.alias("key"))
+    out = durable(rows.join(lists, "v").where("main is null or label <> main").select("key", "main", "id", "label").distinct())
+    members = labels.groupBy(F.col("label").alias("main")).agg(F.count(F.lit(1)).alias("m"))
+    size = out.groupBy("key", "main").agg(F.count(F.lit(1)).alias("r")).join(members, "main", "left")
+    size = durable(size.select("key", "main", F.ceil(F.col("r") / BLOCK).cast("int").alias("rb"), F.ceil((F.coalesce("m", F.lit(0)) + F.col("r")) / BLOCK).cast("int").alias("mb")))
+    inside = labels.select("id", "label").join(size, F.col("label") == F.col("main")).select("key", "id", "label", "rb", "mb", F.lit(False).alias("outer"))
+    outer = out.drop("main").join(size, "key").select("key", "id", "label", "rb", "mb", F.lit(True).alias("outer"))
     members = durable(inside.union(outer))  # narrow, so that the sets are joined once, by broadcast if this is small
     picked = durable(sets.select("id", "n", least_shared().alias("need"), "sketch", "rest").join(members, "id"))
     part = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     cols = ["id", "label", "n", "need", "sketch", "rest"]
-    ask = picked.where("outer").withColumn("j", part("rb", 2)).select("main", "j", every("mb").alias("i"), *cols)
-    block = reread(picked).withColumn("i", part("mb", 3)).select("main", every("rb").alias("j"), "i", *cols)
-    key, kind = ["main", "i", "j"], dict(rows.dtypes)["id"]
-    links = durable(ask.groupBy(*key).cogroup(block.groupBy(*key)).applyInArrow(lambda a, b: _links(a, b, percent), f"a {kind}, b {kind}"))
+    ask = picked.where("outer").withColumn("j", part("rb", 2)).select("key", "j", every("mb").alias("i"), *cols)
+    block = reread(picked).withColumn("i", part("mb", 3)).select("key", every("rb").alias("j"), "i", *cols)
+    group, kind = ["key", "i", "j"], dict(rows.dtypes)["id"]
+    links = durable(ask.groupBy(*group).cogroup(block.groupBy(*group)).applyInArrow(lambda a, b: _links(a, b, percent), f"a {kind}, b {kind}"))
     discard(rows, out, size, members, picked)
     return links
 

@@ -206,6 +206,18 @@ def test_near_dup_holds_outsiders_of_any_number_against_a_component(spark, monke
     assert got == {i: c for i, (_, c) in slow_components(rows, 1, 80).items()}
 
 
+def test_near_dup_links_in_long_lists_without_a_main_component(spark):
+    """Pairs that share no value with fewer than a hundred other documents."""
+    rng = np.random.default_rng(5)
+    first = rng.random((150, 100)) < 0.5
+    second = first.copy()
+    for row in second:
+        row[rng.choice(100, 8, replace=False)] ^= True
+    rows = bits([*first, *second])
+    got = {r.doc_id: r.component_id for r in near_dup.components(frame(spark, rows), shingle=1).collect()}
+    assert got == {i: c for i, (_, c) in slow_components(rows, 1, 80).items()} and len(set(got.values())) == 150
+
+
 def test_near_dup_of_odd_rows(spark, odd):
     found = near_dup.components(clash(odd, *NAMES), shingle=2)
     got = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in found.collect()}
