@@ -7,7 +7,7 @@ the core. The least density on the path from the body to the core is the
 threshold: every node that reaches it marks the subtree of the largest sum
 within it. The text is that of the smallest subtree around all marked nodes
 (or of the article or main element around it), without blocks that are mostly
-links.
+links, which are kept in an article or main element.
 
 Elements that are never article text (navigation, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments, hidden parts) are cut
@@ -46,6 +46,10 @@ CUT_WORDS = re.compile(
 )
 #: What cuts an article or main element: it may carry the names of its topics otherwise.
 CUT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|respond|ads?|adverts?|advertisements?|sponsor(?:s|ed)?|promos?|related|recommended|teasers?)(?=$|[\s_-])", re.I)
+#: What cuts a section of an article by its whole id, which is a slug of its title otherwise; a heading is not cut by its id.
+CUT_SECTION = re.compile(r"(?:reader[_-]|user[_-]|post[_-])?(?:comments?|replies|reply|respond|ads?|adverts?|advertisements?|sponsor(?:s|ed)?|promos?|related|recommended|teasers?|newsletter|sidebar|share|disqus)(?:[_-](?:section|area|list|box|form|posts|articles|stories|links|signup|buttons|thread))?", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SIDE_BY_SIDE = re.compile(r"side([_-])by\1side", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])(?:headers?|head|page-header|site-header)(?=$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\s+|/|[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?|[\"'=])*)>|<[!?/][^>]*>", re.S)
 ATTR = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*))")
@@ -76,6 +80,12 @@ def _is_cut(tag: str, attrs: str, inside: bool) -> bool:
         return True
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if inside and name in ("class", "id"):
+            if name == "id" and (tag in HEADINGS or tag == "section"):
+                if tag == "section" and CUT_SECTION.fullmatch(value.strip()):
+                    return True
+                continue
+            value = SIDE_BY_SIDE.sub("", value)
         if name in ("class", "id") and tag not in ("html", "body") and ((CUT_ARTICLE if tag in ("article", "main") else CUT_WORDS).search(value) or not inside and HEADER.search(value)):
             return True
         if name == "role" and value.lower() in CUT_ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
@@ -219,7 +229,7 @@ def core(root: Node) -> Node | None:
 
 
 def blocks(root: Node) -> list[str]:
-    """Texts of the blocks of a subtree in page order, without blocks that are mostly links."""
+    """Texts of the blocks of a subtree in page order, without blocks outside an article or main element that are mostly links."""
     out: list[str] = []
     parts: list[str] = []
     linked = 0
@@ -232,12 +242,12 @@ def blocks(root: Node) -> list[str]:
         parts.clear()
         linked = 0
 
-    stack: list[tuple[object, bool, bool]] = [(root, False, False)]  # item, leaving it, in a link
+    stack: list[tuple[object, bool, bool, bool]] = [(root, False, False, False)]  # item, leaving it, in a link, in an article
     while stack:
-        item, leaving, link = stack.pop()
+        item, leaving, link, inside = stack.pop()
         if isinstance(item, str):
             parts.append(item)
-            if link:
+            if link and not inside:
                 linked += len(BLANKS.sub(" ", item).strip())
             continue
         inline = item.tag in INLINE
@@ -247,10 +257,10 @@ def blocks(root: Node) -> list[str]:
             continue
         if item.tag == "br":
             parts.append(" ")
-        link = link or item.tag == "a"
+        link, inside = link or item.tag == "a", inside or item.tag in ("article", "main")
         if not inline:
-            stack.append((item, True, link))
-        stack += [(k, False, link) for k in reversed(item.kids) if isinstance(k, str) or not k.cut]
+            stack.append((item, True, link, inside))
+        stack += [(k, False, link, inside) for k in reversed(item.kids) if isinstance(k, str) or not k.cut]
     close()
     return out
 

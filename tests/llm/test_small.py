@@ -561,6 +561,20 @@ def test_main_text_without_article_element():
     assert extract.main_text(page).split("\n") == want
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<p>Before.</p><p><a href=/a>One link</a></p><ul><li><a href=/1>First source</a><li><a href=/2>Second source</a></ul><h2><a href=/h>Linked heading</a></h2>", "Before.\nOne link\nFirst source\nSecond source\nLinked heading"),
+        *((f"<p>Before.</p><h2 id={i}>Title</h2><section id='{i}'><p>Part.</p></section>", "Before.\nTitle\nPart.") for i in ("discussion", "related-work", "legal", "reviews", "search")),
+        ("<p>Before.</p><div class='side-by-side'><p>Left.</p><p>Right.</p></div>", "Before.\nLeft.\nRight."),
+        ("<p>Before.</p><section id=comments><p>Nice.</p></section><section id='related-posts'><p>More.</p></section><div class='sidebar'><p>Side.</p></div>", "Before."),
+    ],
+)
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_main_text_keeps_links_and_sections_of_an_article(html, text, tag):
+    assert extract.main_text(f"<{tag}>{html}</{tag}>") == text
+
+
 def test_extraction_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     html = {r.page_id: r.html for r in pages.collect()}
