@@ -1,22 +1,35 @@
 """Main text of web pages by composite text density.
 
-A page becomes a light DOM tree. Each node gets the characters and tags below
-it and those inside links; its density is characters per tag, lowered by the
-share of links. The subtree whose children have the largest sum of densities is
-the core. The least density on the path from the body to the core is the
-threshold: every node that reaches it marks the subtree of the largest sum
-within it. The text is that of the smallest subtree around all marked nodes
-(or of the article or main element around it), without blocks that are mostly
-links, which are kept in an article or main element.
-
-Elements that are never article text (navigation, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments, hidden parts) are cut
-from the tree first, by tag, role, class and id.
+A page becomes a light DOM tree. Elements that HTML itself keeps apart from the
+text (navigation, footers, asides, forms, scripts, styles, hidden parts) are cut
+from it. Each remaining node gets the characters and tags below it and those
+inside links; its density is characters per tag, lowered by the share of links.
+The subtree whose children have the largest sum of densities is the core. The
+least density on the path from the body to the core is the threshold: every
+block that reaches it marks the subtree of the largest sum within it. The core
+widens to an ancestor if at least half of what that adds lies in marked subtrees
+that hold paragraphs. Every node on the path reaches the threshold; if an
+article or main element is among them, it breaks the tie, and if the core is
+wider than the only such element, that one does. A main heading that stands
+before the core, outside it, is put first.
+
+Within the core, elements whose class, id or role names boilerplate go: those
+whose whole name says so (``site-footer``, ``comments``, ``ad-box``) always, and
+those that only contain such a word, or a word that articles use as well
+(``search``, ``legal``, ``discussion``), only if they are sparser than the
+threshold or half of their characters are links. Paragraphs, headings and
+sections keep what their ids say, as those are slugs of titles. Nothing else is
+dropped: lists of links and short blocks of an article stay.
 
 Defined cases: a null or empty page gives an empty text; text without any tag
 is one block; unclosed and stray tags are repaired as browsers do for
-paragraphs, list items and table cells; pages of any length are read whole;
-repeated rows are extracted one by one; extra columns are ignored.
+paragraphs, list items and table cells; a tag or comment that the end of the
+page cuts off is markup and ends the text; a quote without its partner is an
+ordinary character; elements nested deeper than ``MAX_DEPTH`` become siblings,
+as in browsers; pages of any length are read whole, in time that grows with
+their length; a page whose core is empty gives an empty text, as does an empty
+table no rows; repeated rows are extracted one by one; null ids and urls are
+passed on; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,117 +50,169 @@ CLOSES = {t: ("p",) for t in "address article aside blockquote center details di
     "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody"), "tfoot": ("tbody",)
 }
 FENCE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
-CUT_TAGS = frozenset("nav footer aside form script style noscript template iframe svg canvas button select input textarea label object embed audio video map dialog menu head title".split())
+CUT_TAGS = frozenset("nav footer aside script style noscript template iframe svg canvas button select input textarea label object embed audio video map dialog menu head title".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
-CUT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|banners?|sponsor(?:s|ed)?|promos?|promotions?|cookies?|consent|gdpr|notices?|popups?|modals?|overlay|newsletters?|subscribe|subscription|"
-    r"shares?|sharing|social|sidebars?|side|menus?|nav|navbars?|navigation|breadcrumbs?|comments?|commentlist|comment-list|replies|respond|disqus|discussion|reviews?|related|recommended|footers?|foot|masthead|topbar|toolbar|widgets?|login|signup|search|pagination|pager|skip|paywall|alerts?|disclaimer|legal|copyright|tags)(?=$|[\s_-])",
-    re.I,
+#: Words of a class or id that name what an article does not hold.
+BOILER = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adbox adslot banner banners sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr notice notices popup popups modal overlay newsletter subscribe subscription "
+    "share sharing social sidebar sidebars menu menus nav navbar navbars navigation breadcrumb breadcrumbs related recommended teaser teasers comment comments commentlist replies reply respond disqus footer footers masthead topbar toolbar widget widgets login signup pagination pager paywall".split()
 )
-#: What cuts an article or main element: it may carry the names of its topics otherwise.
-CUT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:comments?|replies|reply|respond|ads?|adverts?|advertisements?|sponsor(?:s|ed)?|promos?|related|recommended|teasers?)(?=$|[\s_-])", re.I)
-#: What cuts a section of an article by its whole id, which is a slug of its title otherwise; a heading is not cut by its id.
-CUT_SECTION = re.compile(r"(?:reader[_-]|user[_-]|post[_-])?(?:comments?|replies|reply|respond|ads?|adverts?|advertisements?|sponsor(?:s|ed)?|promos?|related|recommended|teasers?|newsletter|sidebar|share|disqus)(?:[_-](?:section|area|list|box|form|posts|articles|stories|links|signup|buttons|thread))?", re.I)
+#: Words that articles use for their own parts, too.
+PERHAPS = frozenset("side foot discussion review reviews search skip alert alerts disclaimer legal copyright tags head header headers".split())
+#: Words that may stand beside them without changing what is named.
+BESIDE = frozenset("site page main top bottom left right inner outer wrapper wrap container box area section block list item items bar links link button buttons form post posts article articles story stories reader user global primary secondary slot unit area thread text and the content".split())
+HEADER = frozenset("header headers head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SIDE_BY_SIDE = re.compile(r"side([_-])by\1side", re.I)
-HEADER = re.compile(r"(?:^|[\s_-])(?:headers?|head|page-header|site-header)(?=$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:\s+|/|[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?|[\"'=])*)>|<[!?/][^>]*>", re.S)
-ATTR = re.compile(r"([^\s\"'>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*))")
-BLANKS = re.compile(r"[\s ]+")
+#: Blocks that are single parts of a text.
+PARTS = HEADINGS | frozenset("p li dt dd td th tr tbody thead tfoot blockquote pre figcaption caption".split())
+MAX_DEPTH = 512
+#: A tag's attributes: runs, quoted values after an equals sign, or a lone sign. No part gives back what it took, so a tag is read once.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)>")
+OPENING = re.compile(r"<(?=[a-zA-Z/!?])")
+COMMENT_END = re.compile(r"--!?>")
+ATTR = re.compile(r"([^\s\"'>/=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]*+))")
+ATTR_NAME = re.compile(r"([^\s\"'>/=]++)(\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]*+))?+")
+BLANKS = re.compile(r"\s+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-HAS_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)", re.I)
-
-
-#: An ancestor that adds the heading may have so many times the characters of the core.
-HEADING_SLACK = 1.5
+WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "kids", "cut", "named", "inside", "depth", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
-        self.tag, self.parent, self.kids, self.cut = tag, parent, [], cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, named: int = 0):
+        self.tag, self.parent, self.kids, self.cut, self.named = tag, parent, [], cut, named
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_cut(tag: str, attrs: str, inside: bool) -> bool:
+def name_level(value: str, header: bool) -> int:
+    """2 if one of the names in a class or id says boilerplate as a whole, 1 if one contains such a word, else 0. ``header``: whether headers count as whole names."""
+    level = 0
+    for name in value.lower().split():
+        words = WORD.findall(name)
+        if header and any(w in HEADER for w in words) and all(w in HEADER or w in ("site", "page", "main", "top", "global") for w in words):
+            return 2
+        sure = any(w in BOILER for w in words)
+        if sure and all(w in BOILER or w in PERHAPS or w in BESIDE for w in words):
+            return 2
+        if sure or any(w in PERHAPS for w in words):
+            level = 1
+    return level
+
+
+def judge_element(tag: str, attrs: str, inside: bool) -> tuple[bool, int]:
+    """(cut whatever the densities say, level of its names)."""
     if tag in CUT_TAGS or tag == "header" and not inside:
-        return True
+        return True, 0
     if not attrs or attrs.isspace():
-        return False
-    if HAS_HIDDEN.search(ATTR.sub("", attrs)):
-        return True
-    for m in ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if inside and name in ("class", "id"):
-            if name == "id" and (tag in HEADINGS or tag == "section"):
-                if tag == "section" and CUT_SECTION.fullmatch(value.strip()):
-                    return True
-                continue
-            value = SIDE_BY_SIDE.sub("", value)
-        if name in ("class", "id") and tag not in ("html", "body") and ((CUT_ARTICLE if tag in ("article", "main") else CUT_WORDS).search(value) or not inside and HEADER.search(value)):
-            return True
+        return False, 0
+    level = 0
+    for m in ATTR_NAME.finditer(attrs):
+        name = m[1].lower()
+        if name == "hidden":
+            return True, 0
+        if m[2] is None or name not in ("class", "id", "role", "aria-hidden", "style"):
+            continue
+        m = ATTR.match(m[0])
+        value = unescape(m[2] or m[3] or m[4] or "").strip()
         if name == "role" and value.lower() in CUT_ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
-            return True
-    return False
+            return True, 0
+        if name == "class" or name == "id" and tag not in PARTS:
+            if tag in ("html", "body"):
+                continue
+            found = name_level(value, not inside)
+            if name == "id" and tag == "section" or tag in PARTS or tag in ("article", "main"):
+                found = found if found == 2 else 0  # slugs of titles, and names of topics
+            level = max(level, found)
+    return False, level
 
 
 def parse(html: str) -> Node:
     """The tree of a page; kids are nodes and strings in page order."""
-    root = body = Node("body", None)
-    at, pos, inside = root, 0, 0
-    while True:
-        m = TOKEN.search(html, pos)
-        text = html[pos : m.start() if m else len(html)]
-        if text:
-            at.kids.append(unescape(text) if "&" in text else text)
-        if not m:
-            return root
-        pos = m.end()
-        name = m[2]
-        if name is None:
+    root = at = Node("body", None)
+    open_: dict[str, int] = {}
+    pos, size = 0, len(html)
+
+    def text(raw: str) -> None:
+        if raw:
+            at.kids.append(unescape(raw) if "&" in raw else raw)
+
+    def pop_to(node: Node) -> None:
+        nonlocal at
+        while at is not node:
+            open_[at.tag] -= 1
+            at = at.parent
+
+    while pos < size:
+        begin = pos
+        m = OPENING.search(html, pos)
+        if m is None:
+            text(html[begin:])
+            break
+        text(html[begin : m.start()])
+        pos = m.start()
+        tag_match = TAG.match(html, pos)
+        if tag_match is None:
+            if html.startswith("<!--", pos):
+                end = COMMENT_END.search(html, pos + 2)
+                pos = end.end() if end else size
+            elif html[pos + 1] in "!?" or html[pos + 1] == "/" and not html[pos + 2 : pos + 3].isalpha():
+                end = html.find(">", pos)
+                pos = end + 1 if end >= 0 else size
+            else:
+                break  # a tag that the end of the page cuts off
             continue
-        tag = name.lower()
-        if tag in ("html", "body", "tbody") or tag == "head" and m[1]:
-            if m[1] and tag == "tbody" or tag == "body" and not m[1]:
-                while at.parent is not None and (tag == "body" or at.tag != "table"):
-                    at = at.parent
+        pos = tag_match.end()
+        closing, tag, attrs = tag_match[1], tag_match[2].lower(), tag_match[3]
+        if tag in ("html", "body", "tbody") or tag == "head" and closing:
+            if tag == "tbody" and closing and open_.get("table"):
+                node = at
+                while node.tag != "table":
+                    node = node.parent
+                pop_to(node)
+            elif tag == "body" and not closing:
+                pop_to(root)
             continue
-        if m[1]:
+        if closing:
+            if not open_.get(tag):
+                continue
             node = at
-            while node.parent is not None and node.tag != tag:
-                if node.tag in ("td", "th", "table") and tag in INLINE:
-                    node = root
+            while node.tag != tag:
+                if tag in INLINE and node.tag in ("td", "th", "table"):
                     break
                 node = node.parent
-            if node is not root:
-                at = node.parent
+            if node.tag == tag:
+                pop_to(node.parent)
             continue
         for other in CLOSES.get(tag, ()):
-            node, fence = at, FENCE.get(tag, ("table", "td", "th", "button", "object"))
-            while node.parent is not None and node.tag != other and node.tag not in fence:
-                node = node.parent
-            if node.parent is not None and node.tag == other:
-                at = node.parent
-        node, inner = at, False
-        while node is not None and not inner:
-            inner = node.tag in ("article", "main")
-            node = node.parent
-        new = Node(tag, at, _is_cut(tag, m[3], inner))
+            if open_.get(other):
+                node, fence = at, FENCE.get(tag, ("table", "td", "th", "button", "object"))
+                while node.parent is not None and node.tag != other and node.tag not in fence:
+                    node = node.parent
+                if node.tag == other:
+                    pop_to(node.parent)
+        if at.depth >= MAX_DEPTH:
+            pop_to(at.parent)
+        new = Node(tag, at)
+        new.cut, new.named = judge_element(tag, attrs, new.inside)
         at.kids.append(new)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(html, pos)
-            raw = html[pos : end.start() if end else len(html)]
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I).search(html, pos)
+            raw = html[pos : end.start() if end else size]
             if not new.cut:
                 new.kids.append(unescape(raw))
-            pos = end.end() if end else len(html)
-        elif tag not in VOID and not m[3].rstrip().endswith("/") or tag in CLOSES:
+            pos = end.end() if end else size
+        elif tag not in VOID and (not attrs.rstrip().endswith("/") or tag in CLOSES or tag == "a"):
             at = new
+            open_[tag] = open_.get(tag, 0) + 1
+    return root
 
 
-def _walk(root: Node) -> list[Node]:
-    """The nodes that are not cut, parents first."""
+def walk(root: Node) -> list[Node]:
+    """The nodes that are not cut, parents first, in page order."""
     out, stack = [], [root]
     while stack:
         n = stack.pop()
@@ -156,9 +221,10 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def measure(root: Node) -> list[Node]:
-    """Counts, link-adjusted densities and sums of child densities of all nodes."""
-    nodes = _walk(root)
+def count(nodes: list[Node]) -> None:
+    """Characters and tags below each node, all of them and those in links."""
+    for n in nodes:
+        n.chars = n.tags = n.link_chars = n.link_tags = 0
     for n in reversed(nodes):
         for k in n.kids:
             if isinstance(k, str):
@@ -171,22 +237,38 @@ def measure(root: Node) -> list[Node]:
             p.tags += n.tags + 1
             p.link_chars += n.link_chars
             p.link_tags += n.link_tags
+
+
+def density(n: Node, share: float) -> float:
+    """Characters per tag, times a logarithm that falls with the share of links; ``share`` is that of the whole page."""
+    if not n.chars:
+        return 0.0
+    tags, links, link_tags = max(n.tags, 1), max(n.link_chars, 1), max(n.link_tags, 1)
+    base = math.log(n.chars / max(n.chars - n.link_chars, 1) * n.link_chars + share * n.chars + math.e)
+    # one is added to the base's logarithm, which is 0 for pages without links
+    return n.chars / tags * max(0.0, math.log(max(n.chars / links * tags / link_tags, 1.0)) / (math.log(base) + 1.0))
+
+
+def measure(root: Node) -> list[Node]:
+    """Counts, densities and sums of child densities of all nodes. A form is cut unless it holds most of the page, as some pages are one form."""
+    nodes = walk(root)
+    count(nodes)
+    forms = [n for n in nodes if n.tag == "form" and 2 * n.chars <= root.chars]
+    if forms:
+        for n in forms:
+            n.cut = True
+        nodes = walk(root)
+        count(nodes)
     share = root.link_chars / root.chars if root.chars else 0.0
     for n in nodes:
-        if n.chars:
-            tags, links, link_tags = max(n.tags, 1), max(n.link_chars, 1), max(n.link_tags, 1)
-            base = math.log(n.chars / max(n.chars - n.link_chars, 1) * n.link_chars + share * n.chars + math.e)
-            n.density = n.chars / tags * max(0.0, math.log(max(n.chars / links * tags / link_tags, 1.0)) / max(math.log(base) + 1.0, 1.0))
+        n.density = density(n, share)
     for n in nodes:
         n.total = sum(k.density for k in n.kids if isinstance(k, Node) and not k.cut)
     return nodes
 
 
-def core(root: Node) -> Node | None:
-    """The subtree that holds the article."""
-    nodes = measure(root)
-    if not root.chars:
-        return None
+def marked_subtrees(root: Node, nodes: list[Node]) -> tuple[Node, float, set[int]]:
+    """(the subtree of the largest sum, the threshold on the path to it, ids of the marked subtrees)."""
     best: dict[int, Node] = {}
     for n in reversed(nodes):
         top = n
@@ -195,60 +277,108 @@ def core(root: Node) -> Node | None:
                 top = best[id(k)]
         best[id(n)] = top
     top = best[id(root)]
-    least, n = top.density, top
+    least, n = math.inf, top
     while n is not None:
         if n.density > 0:
             least = min(least, n.density)
         n = n.parent
-    marked = {id(best[id(n)]): best[id(n)] for n in nodes if n.density >= least > 0 and n.tag not in INLINE} or {id(top): top}
-
-    def line(n: Node) -> list[Node]:
-        out = []
-        while n is not None:
-            out.append(n)
-            n = n.parent
-        return out[::-1]
-
-    paths = [line(n) for n in marked.values()]
-    around = paths[0]
-    for p in paths[1:]:
-        same = 0
-        while same < min(len(around), len(p)) and around[same] is p[same]:
-            same += 1
-        around = around[:same]
-    while len(around) > 1 and (around[-1].tag in INLINE or around[-1].tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "tr", "tbody", "blockquote", "pre")):
-        around = around[:-1]
-    for n in around:  # the outermost article or main element around the core
-        if n.tag in ("article", "main"):
-            return n
-    top = around[-1]
-    for n in reversed(around[:-1]):  # the heading of the article may stand beside its body
-        if n.chars <= HEADING_SLACK * top.chars and any(k.tag == "h1" and k.chars for k in _walk(n)) and not any(k.tag == "h1" for k in _walk(top)):
-            return n
-    return top
-
-
-def blocks(root: Node) -> list[str]:
-    """Texts of the blocks of a subtree in page order, without blocks outside an article or main element that are mostly links."""
+    marked = {id(best[id(n)]) for n in nodes if n.density >= least and n.chars and n.tag not in INLINE}
+    return top, least, marked
+
+
+def core(root: Node) -> tuple[list[Node], float]:
+    """(the subtrees of the article in page order, the threshold)."""
+    nodes = measure(root)
+    if not root.chars:
+        return [], 0.0
+    top, least, marked = marked_subtrees(root, nodes)
+    gain = dict.fromkeys(map(id, nodes), 0)  # characters below that lie in marked subtrees with paragraphs
+    whole = dict.fromkeys(map(id, nodes), False)
+    for n in reversed(nodes):
+        kids = [k for k in n.kids if isinstance(k, Node) and not k.cut]
+        whole[id(n)] = n.tag in PARTS or any(whole[id(k)] for k in kids)
+        gain[id(n)] = 0 if n.named == 2 else n.chars if id(n) in marked and whole[id(n)] else sum(gain[id(k)] for k in kids)
+    around = top
+    while around.parent is not None and (around.tag in INLINE or around.tag in PARTS and not any(isinstance(k, Node) and k.tag not in INLINE for k in around.kids)):
+        around = around.parent
+    n, held = around.parent, gain[id(around)]
+    while n is not None:
+        kids = [k for k in n.kids if isinstance(k, Node) and not k.cut]
+        below = sum(gain[id(k)] for k in kids)
+        if below > held and 2 * (below - held) >= n.chars - around.chars:
+            around = n
+        held, n = max(held, below) if around is n else below, n.parent
+    n, element = around, None
+    while n is not None:
+        if n.tag == "article" or n.tag == "main" and element is None:
+            element = n
+        n = n.parent
+    around = element or article_within(around)
+    if any(k.tag == "h1" and k.chars for k in walk(around)):
+        return [around], least
+    heading, path = None, set()
+    n = around
+    while n is not None:
+        path.add(id(n))
+        n = n.parent
+    for n in nodes:  # in page order; the last main heading before the core
+        if n is around:
+            break
+        if n.tag == "h1" and n.chars and not _below_named(n):
+            heading = n
+    return ([heading] if heading is not None and id(heading) not in path else []) + [around], least
+
+
+def article_within(n: Node) -> Node:
+    """The article or main element in the core, outside named parts, if it is the only one or has half of the characters that no name gives away; else the core."""
+    found, stack, named = [], [n], 0
+    while stack:
+        k = stack.pop()
+        if k.named == 2 and k is not n:
+            named += k.chars
+        elif k.tag in ("article", "main") and k.chars:
+            found.append(k)
+        else:
+            stack += [x for x in k.kids if isinstance(x, Node) and not x.cut]
+    if not found:
+        return n
+    most = max(found, key=lambda k: k.total)
+    return most if len(found) == 1 or 2 * most.chars >= n.chars - named else n
+
+
+def _below_named(n: Node | None) -> bool:
+    while n is not None:
+        if n.named == 2:
+            return True
+        n = n.parent
+    return False
+
+
+def drops(n: Node, whole: Node, least: float) -> bool:
+    """Whether an element within the core goes by its names."""
+    if n.cut or not n.named:
+        return n.cut
+    if n.named == 2 and (2 * n.chars <= whole.chars or 2 * n.link_chars > n.chars or n.tag in PARTS):
+        return True
+    return 2 * n.link_chars > n.chars or n.density < least
+
+
+def blocks(root: Node, least: float = 0.0) -> list[str]:
+    """Texts of the blocks of a subtree in page order."""
     out: list[str] = []
     parts: list[str] = []
-    linked = 0
 
     def close() -> None:
-        nonlocal linked
         text = BLANKS.sub(" ", "".join(parts)).strip()
-        if text and 2 * linked <= len(text):
+        if text:
             out.append(text)
         parts.clear()
-        linked = 0
 
-    stack: list[tuple[object, bool, bool, bool]] = [(root, False, False, False)]  # item, leaving it, in a link, in an article
+    stack: list[tuple[object, bool]] = [(root, False)]  # item, leaving it
     while stack:
-        item, leaving, link, inside = stack.pop()
+        item, leaving = stack.pop()
         if isinstance(item, str):
             parts.append(item)
-            if link and not inside:
-                linked += len(BLANKS.sub(" ", item).strip())
             continue
         inline = item.tag in INLINE
         if not inline:
@@ -257,10 +387,9 @@ def blocks(root: Node) -> list[str]:
             continue
         if item.tag == "br":
             parts.append(" ")
-        link, inside = link or item.tag == "a", inside or item.tag in ("article", "main")
         if not inline:
-            stack.append((item, True, link, inside))
-        stack += [(k, False, link, inside) for k in reversed(item.kids) if isinstance(k, str) or not k.cut]
+            stack.append((item, True))
+        stack += [(k, False) for k in reversed(item.kids) if isinstance(k, str) or not drops(k, root, least)]
     close()
     return out
 
@@ -269,8 +398,8 @@ def main_text(html: str | None) -> str:
     """The main text of a page; empty if there is none."""
     if not html:
         return ""
-    top = core(parse(html))
-    return "\n".join(blocks(top)) if top is not None else ""
+    roots, least = core(parse(html))
+    return "\n".join(x for r in roots for x in blocks(r, least))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
