@@ -6,24 +6,27 @@ pair by pair; instead shards are cut by content. The ``GRAM``-byte string of the
 smallest hash in a window is its anchor, so equal windows have equal anchors.
 Documents are packed into batches; anchors that lie in two documents are found
 from sorted hashes of batches, and only around those is text moved, to the
-shard of the anchor's hash, where all windows equal to it come too.
+shard of the anchor's hash, where all windows equal to it come too. A batch
+sends each different context once, with the smallest id that has it.
 
 A shard builds suffix arrays over units of anchor contexts by Larsson-Sadakane
 refinement (groups of equal prefixes are split by the rank of what follows, at
 doubled depth), takes common prefixes by Kasai's rule, stepping through all
 contexts at once, and reads runs of equal windows off them. Units of one shard
 are merged by binary search of each unit's windows in the others' order.
-An anchor that more than ``HOT_BATCHES`` batches hold could fill a task: its
-windows are compared by a grouped minimum over 128-bit window hashes instead.
+An anchor with more than ``HOT`` occurrences could fill a task: its contexts are
+cut into their windows, which go to shards by their own content, each different
+one once a batch; there the same suffix arrays decide.
 
 Equal texts are settled first, by their digest: all but the one with the
 smallest id go wholly.
 
 Defined cases: a null text counts as empty; texts below WINDOW bytes lose
 nothing; rows with a null id neither lose bytes nor take them from others;
-repeated rows of one id are judged each, and never remove each other; an empty
-table gives an empty result; extra columns are ignored by ``removal_report`` and
-kept by ``remove_repeats``. Ids are integers.
+repeated rows of one id are judged each, and never remove each other; a text of
+any length is one document, whose anchors and contexts are taken step by step;
+an empty table gives an empty result; extra columns are ignored by
+``removal_report`` and kept by ``remove_repeats``. Ids are integers.
 """
 
 from __future__ import annotations
@@ -45,40 +48,48 @@ WINDOW, GRAM = 50, 24
 #: Windows that hold one anchor, and bytes around it that they reach.
 SPREAD = WINDOW - GRAM + 1
 CONTEXT = 2 * WINDOW - GRAM
-#: Bytes of text in a batch (a longer text is a batch of its own) and for each shard.
-BATCH_BYTES, SHARD_BYTES = 2 << 20, 16 << 20
+#: Bytes of text in a batch (a longer text is a batch of its own) and, of a large table, for each shard; a small table is cut into up to ``LEAST_SHARDS``.
+BATCH_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
+LEAST_SHARDS, LEAST_BYTES = 256, 256 << 10
+#: Windows whose anchors are looked for in one step.
+STEP = 1 << 20
+STEP_BITS = U(21)
 #: Contexts in one suffix array.
 UNIT = 16_384
-HOT_BATCHES = 512
-SPOT = np.dtype([("id", "<i8"), ("doc", "<u4"), ("pos", "<u4"), ("lo", "u1"), ("hi", "u1"), ("ctx", "u1", (CONTEXT,))])
-MARK = np.dtype([("doc", "<u4"), ("pos", "<i4"), ("mask", "<u4")])
-
-
-def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, 64-bit hash) of the anchors of all windows of a block."""
-    n = len(data) - WINDOW + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    prefix = prefix_sums(data.astype(U) + U(1))
-    grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(BASE_INV, len(prefix))[: len(prefix) - GRAM])
-    bits = U(max(1, int(len(grams)).bit_length()))
-    key = (grams >> bits << bits) | np.arange(len(grams), dtype=U)  # the leftmost of equal hashes
-    low, width = key, 1
-    while 2 * width <= SPREAD:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < SPREAD:
+HOT = 1 << 16
+SPOT = np.dtype([("id", "<i8"), ("lo", "u1"), ("hi", "u1"), ("ctx", "u1", (CONTEXT,))])
+OFFSETS = np.arange(SPREAD)
+BITS = OFFSETS.astype(np.uint32)
+
+
+def anchors(data: np.ndarray, offs: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """(position, 64-bit hash) of the anchors of all windows of a block, in steps of so many windows."""
+    long_ = np.diff(offs) >= WINDOW
+    first, last = offs[:-1][long_], offs[1:][long_] - WINDOW + 1  # bounds of where windows begin
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, max(len(data) - WINDOW + 1, 0), step):
+        part = data[at : at + step + WINDOW - 1]
+        n = len(part) - WINDOW + 1
+        prefix = prefix_sums(part.astype(U) + U(1))
+        grams = mix((prefix[GRAM:] - prefix[:-GRAM]) * powers(BASE_INV, len(prefix))[: len(prefix) - GRAM])
+        low, width = (grams >> STEP_BITS << STEP_BITS) | np.arange(len(grams), dtype=U), 1  # the leftmost of equal hashes
+        while 2 * width <= SPREAD:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
         low = np.minimum(low[: len(low) - (SPREAD - width)], low[SPREAD - width :])
-    valid = np.zeros(len(data) + 1, np.int32)
-    size = np.diff(offs)
-    long_ = size >= WINDOW
-    np.add.at(valid, offs[:-1][long_], 1)
-    np.add.at(valid, offs[1:][long_] - WINDOW + 1, -1)
-    starts = np.flatnonzero(np.cumsum(valid)[:n] > 0)
-    used = np.zeros(len(grams), bool)
-    used[(low[starts] & ((U(1) << bits) - U(1))).astype(np.int64)] = True
-    pos = np.flatnonzero(used)
-    return pos, grams[pos]
+        inside = np.zeros(n + 1, np.int32)
+        i, j = np.searchsorted(last, at, "right"), np.searchsorted(first, at + n)
+        np.add.at(inside, np.maximum(first[i:j] - at, 0), 1)
+        np.add.at(inside, np.minimum(last[i:j] - at, n), -1)
+        starts = np.flatnonzero(np.cumsum(inside)[:n] > 0)
+        used = np.zeros(len(grams), bool)
+        used[(low[starts] & ((U(1) << STEP_BITS) - U(1))).astype(np.int64)] = True
+        pos = np.flatnonzero(used)
+        found.append((pos + at, grams[pos]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    pos, once = np.unique(np.concatenate([p for p, _ in found]), return_index=True)  # two steps may share an anchor
+    return pos, np.concatenate([g for _, g in found])[once]
 
 
 def contexts(data: np.ndarray, offs: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -89,12 +100,40 @@ def contexts(data: np.ndarray, offs: np.ndarray, ids: np.ndarray, pos: np.ndarra
     at = begin[:, None] + np.arange(CONTEXT)
     inside = (at >= offs[doc][:, None]) & (at < offs[doc + 1][:, None])
     out["ctx"] = np.where(inside, data[np.clip(at, 0, max(len(data) - 1, 0))], 0)
-    out["id"], out["doc"], out["pos"] = ids[doc], doc, begin - offs[doc] + SPREAD  # kept positive: begin + SPREAD
+    out["id"] = ids[doc]
     out["lo"] = np.clip(offs[doc] - begin, 0, SPREAD)
     out["hi"] = np.clip(offs[doc + 1] - WINDOW - begin + 1, 0, SPREAD)
     return out
 
 
+def column_hash(columns: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
+    """64-bit hash of each row of a byte table."""
+    acc = np.full(len(columns), 0x9E3779B97F4A7C15, U) + np.asarray(seed).astype(U)
+    for k in range(columns.shape[1]):
+        acc = (acc + columns[:, k].astype(U) + U(1)) * U(0xD1342543DE82EF95)
+        acc ^= acc >> U(29)
+    return mix(acc)
+
+
+def distinct(spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of the different contexts, each the one with the smallest id; for each record the number of its context)."""
+    if not len(spots):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    same = column_hash(spots["ctx"], spots["lo"].astype(np.int64) * 64 + spots["hi"])
+    alike = lambda a, b: (a["ctx"] == b["ctx"]).all(1) & (a["lo"] == b["lo"]) & (a["hi"] == b["hi"])
+    for hashed in (True, False):
+        order = np.lexsort((spots["id"], same))
+        new = np.ones(len(order), bool)
+        new[1:] = same[order][1:] != same[order][:-1]
+        first = order[new]
+        number = np.empty(len(spots), np.int64)
+        number[order] = np.cumsum(new) - 1
+        if not hashed or alike(spots, spots[first][number]).all():
+            return first, number
+        same = np.unique(np.ascontiguousarray(spots[["lo", "hi", "ctx"]]).astype([("lo", "u1"), ("hi", "u1"), ("ctx", "u1", (CONTEXT,))]).view(f"V{CONTEXT + 2}"), return_inverse=True)[1].ravel()  # unequal contexts of one hash
+    raise AssertionError
+
+
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order and ranks of the suffixes [context, offset < SPREAD], compared on their first WINDOW bytes.
 
@@ -177,7 +216,7 @@ def _runs(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_windows(spots: np.ndarray, unit: int = UNIT) -> np.ndarray:
     """For each SPOT record, bits of the windows that a record with a smaller id holds too."""
-    valid = (np.arange(SPREAD) >= spots["lo"][:, None]) & (np.arange(SPREAD) < spots["hi"][:, None])
+    valid = valid_windows(spots)
     far = np.iinfo(np.int64).max
     parts = []
     for i in range(0, len(spots), unit):
@@ -212,13 +251,9 @@ def repeated_windows(spots: np.ndarray, unit: int = UNIT) -> np.ndarray:
     return mask
 
 
-def column_hash(columns: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
-    """64-bit hash of each row of a byte table."""
-    acc = np.full(len(columns), 0x9E3779B97F4A7C15, U) + np.asarray(seed).astype(U)
-    for k in range(columns.shape[1]):
-        acc = (acc + columns[:, k].astype(U) + U(1)) * U(0xD1342543DE82EF95)
-        acc ^= acc >> U(29)
-    return mix(acc)
+def valid_windows(spots: np.ndarray) -> np.ndarray:
+    """[record, offset]: whether a window begins there."""
+    return (OFFSETS >= spots["lo"][:, None]) & (OFFSETS < spots["hi"][:, None])
 
 
 def mark_contexts(spots: np.ndarray) -> np.ndarray:
@@ -228,57 +263,74 @@ def mark_contexts(spots: np.ndarray) -> np.ndarray:
     a context with a window of another one shares the anchor with those bytes on one side.
     """
     half = (SPREAD - 1) // 2
-    same = column_hash(spots["ctx"], spots["lo"].astype(np.int64) * 64 + spots["hi"])
-    order = np.lexsort((spots["id"], same))
-    head = np.flatnonzero(np.diff(same[order].view(np.int64), prepend=~same[order[:1]].view(np.int64)))
-    group = np.empty(len(spots), np.int64)
-    group[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
-    first = order[head]  # of equal contexts the one with the smallest id
-    distinct = spots[first]
+    first, number = distinct(spots)
+    once = spots[first]
     near = np.zeros(len(first), bool)
     for a in (SPREAD - 1 - half, SPREAD - 1):
-        _, inverse, count = np.unique(column_hash(distinct["ctx"][:, a : a + GRAM + half]), return_inverse=True, return_counts=True)
+        _, inverse, count = np.unique(column_hash(once["ctx"][:, a : a + GRAM + half]), return_inverse=True, return_counts=True)
         near |= count[inverse] > 1
     mask = np.zeros(len(first), np.uint32)
     if near.any():
-        mask[near] = repeated_windows(distinct[near])
-    every = (np.arange(SPREAD) >= distinct["lo"][:, None]) & (np.arange(SPREAD) < distinct["hi"][:, None])
-    every = (every.astype(np.uint32) << np.arange(SPREAD, dtype=np.uint32)).sum(1, dtype=np.uint32)
-    return np.where(spots["id"] > distinct["id"][group], every[group], mask[group])
-
-
-def covered_bytes(n: int, starts: np.ndarray) -> np.ndarray:
-    """Which of n bytes lie in a window that begins at one of the starts."""
-    depth = np.bincount(starts, minlength=n + 1)[: n + 1] if len(starts) else np.zeros(n + 1, np.int64)
-    total = np.cumsum(depth)
-    total[WINDOW:] -= total[:-WINDOW].copy()
-    return total[:n] > 0
+        mask[near] = repeated_windows(once[near])
+    every = (valid_windows(once).astype(np.uint32) << BITS).sum(1, dtype=np.uint32)
+    return np.where(spots["id"] > once["id"][number], every[number], mask[number])
+
+
+def covered(begins: np.ndarray, step: int = STEP) -> np.ndarray:
+    """Which bytes lie in a window that begins at a marked one."""
+    out = np.empty(len(begins), bool)
+    for at in range(0, len(begins), step):
+        low = max(0, at - WINDOW + 1)
+        total = np.concatenate([[0], np.cumsum(begins[low : at + step])])
+        end = np.arange(at - low + 1, len(total))
+        out[at : at + step] = total[end] > total[np.maximum(end - WINDOW, 0)]
+    return out
 
 
 # Packed batches
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], batch_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (batch, ids, offsets, compressed text)."""
     compress = zstandard.ZstdCompressor(level=1).compress
+    ids: list[np.ndarray] = []
+    texts: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+
+    def row() -> pa.RecordBatch:
+        offs = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
+        values = [np.concatenate(ids).tobytes(), offs.tobytes(), compress(np.concatenate(texts))]
+        for x in (ids, texts, sizes):
+            x.clear()
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *(pa.array([x], pa.binary()) for x in values)], ["batch", "ids", "offs", "data"])
+
+    have = 0
     for batch in batches:
-        ids = np.array(batch.column(0).to_pylist(), np.int64)
-        for i, j, data, offs in text_blocks(batch.column(1), BATCH_BYTES):
-            row = [[uuid.uuid4().hex], [ids[i:j].tobytes()], [offs.astype("<i8").tobytes()], [compress(data.tobytes())]]
-            yield pa.RecordBatch.from_arrays([pa.array(row[0]), *(pa.array(x, pa.binary()) for x in row[1:])], ["batch", "ids", "offs", "data"])
-
-
-def _unpack(batch: pa.RecordBatch, r: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        numbers = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, j, data, offs in text_blocks(batch.column(1), batch_bytes):
+            if ids and have + len(data) > batch_bytes:
+                yield row()
+                have = 0
+            ids.append(numbers[i:j])
+            texts.append(data.copy())
+            sizes.append(np.diff(offs))
+            have += len(data)
+    if ids:
+        yield row()
+
+
+def _unpack(batch: pa.RecordBatch, r: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     get = lambda c: batch.column(batch.schema.get_field_index(c))[r].as_py()
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(get("data")) if get("data") else b"", np.uint8)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(get("data")), np.uint8)
     return get("batch"), np.frombuffer(get("ids"), np.int64), np.frombuffer(get("offs"), np.int64), data
 
 
 def _sorted_anchors(data: np.ndarray, offs: np.ndarray, shards: int):
     """Anchors of a batch in the order of (shard, hash): positions, shards, 40-bit hashes, and bounds of equal ones."""
     pos, h = anchors(data, offs)
-    shard = (h % U(shards)).astype(np.int64)
+    shard = (h % U(shards)).astype(np.int32)
     short = (h // U(shards)) & U((1 << 40) - 1)
-    order = np.lexsort((pos, short, shard))
+    order = np.lexsort((short, shard))
     pos, shard, short = pos[order], shard[order], short[order]
     new = np.ones(len(pos), bool)
     new[1:] = (shard[1:] != shard[:-1]) | (short[1:] != short[:-1])
@@ -286,7 +338,7 @@ def _sorted_anchors(data: np.ndarray, offs: np.ndarray, shards: int):
 
 
 def _emit_hashes(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """For each shard a batch has anchors of: the distinct hashes, 5 bytes each, and which of them lie in two of its documents."""
+    """For each shard a batch has anchors of: the distinct hashes, 5 bytes each, and a byte for each: the power of two that its occurrences reach, and 128 if they lie in two documents."""
     for batch in batches:
         for r in range(batch.num_rows):
             name, ids, offs, data = _unpack(batch, r)
@@ -295,31 +347,33 @@ def _emit_hashes(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
                 continue
             doc_id = ids[np.searchsorted(offs, pos, "right") - 1]
             many = np.minimum.reduceat(doc_id, head) < np.maximum.reduceat(doc_id, head)
+            count = np.diff(np.append(head, len(pos)))
+            code = (np.ceil(np.log2(count)) + 128 * many).astype(np.uint8)
             at = shard[head]
             cut = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
             raw = np.ascontiguousarray(short[head].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:])
             blobs = [raw[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-            flags = [np.packbits(many[a:b]).tobytes() for a, b in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(blobs)), pa.array(at[cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(flags, pa.binary())], ["batch", "shard", "hashes", "many"])
+            codes = [code[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(blobs), pa.int64()), pa.array(at[cut[:-1]]), pa.array(blobs, pa.binary()), pa.array(codes, pa.binary())], ["batch", "shard", "hashes", "codes"])
 
 
-def _shared_hashes(table: pa.Table) -> pa.Table:
+def _shared_hashes(table: pa.Table, hot_count: int) -> pa.Table:
     """Of one shard: for each batch, which of its hashes other documents hold too (2 bits: shared, hot)."""
     blobs = table.column("hashes").to_pylist()
-    flags = table.column("many").to_pylist()
     size = [len(b) // 5 for b in blobs]
     raw = np.zeros((sum(size), 8), np.uint8)
     raw[:, 3:] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 5)
     h = raw.view(">u8").ravel().astype(np.int64)
-    many = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8))[:n] for f, n in zip(flags, size)]) if size else np.zeros(0, np.uint8)
+    code = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8)
     order = np.argsort(h, kind="stable")
     head = np.flatnonzero(np.diff(h[order], prepend=-1))
     count = np.diff(np.append(head, len(h)))
-    either = np.maximum.reduceat(many[order], head) if len(head) else head
+    either = np.maximum.reduceat(code[order] & 128, head) if len(head) else head
+    occurs = np.add.reduceat(np.exp2((code[order] & 127).astype(float)), head) if len(head) else head
     group = np.repeat(np.arange(len(head)), count)
     shared, hot = np.zeros(len(h), np.uint8), np.zeros(len(h), np.uint8)
     shared[order] = ((count > 1) | (either > 0))[group]
-    hot[order] = (count > HOT_BATCHES)[group]
+    hot[order] = (occurs > hot_count)[group]
     edge = np.cumsum([0, *size])
     bits = [np.packbits(np.stack([shared[a:b], hot[a:b]], 1)).tobytes() for a, b in zip(edge, edge[1:])]
     keep = [bool(shared[a:b].any()) for a, b in zip(edge, edge[1:])]
@@ -327,109 +381,163 @@ def _shared_hashes(table: pa.Table) -> pa.Table:
     return out.filter(pa.array(keep, pa.bool_()))
 
 
-def _shared_of(batch: pa.RecordBatch, r: int, shards: int):
-    """A batch's shared anchors: its arrays, positions, shards and whether they are hot."""
-    name, ids, offs, data = _unpack(batch, r)
-    pos, shard, _, head = _sorted_anchors(data, offs, shards)
-    at = shard[head]
-    shared, hot = np.zeros(len(head), bool), np.zeros(len(head), bool)
-    for x in batch.column(batch.schema.get_field_index("answers"))[r].as_py():
-        a, b = np.searchsorted(at, [x["shard"], x["shard"] + 1])
-        bits = np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: 2 * (b - a)].reshape(-1, 2)
-        shared[a:b], hot[a:b] = bits[:, 0], bits[:, 1]
-    group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(pos))))
-    keep = shared[group]
-    return name, ids, offs, data, pos[keep], shard[keep], hot[group][keep]
+class Shared:
+    """A batch's anchors that other documents hold too, in runs of equal ones: the cold runs first, then the hot ones."""
+
+    def __init__(self, batch: pa.RecordBatch, r: int, shards: int):
+        self.name, self.ids, self.offs, self.data = _unpack(batch, r)
+        self.shards = shards
+        answers = batch.column(batch.schema.get_field_index("answers"))[r].as_py() or []
+        if not answers:
+            self.pos, self.shard, self.bounds, self.n_cold = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+            return
+        pos, shard, _, head = _sorted_anchors(self.data, self.offs, shards)
+        at = shard[head]
+        shared, hot = np.zeros(len(head), bool), np.zeros(len(head), bool)
+        for x in answers:
+            a, b = np.searchsorted(at, [x["shard"], x["shard"] + 1])
+            bits = np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: 2 * (b - a)].reshape(-1, 2)
+            shared[a:b], hot[a:b] = bits[:, 0], bits[:, 1]
+        size = np.diff(np.append(head, len(pos)))
+        runs = np.concatenate([np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)])
+        self.n_cold = int((shared & ~hot).sum())
+        self.bounds = np.concatenate([[0], np.cumsum(size[runs])])
+        rows = np.repeat(head[runs] - self.bounds[:-1], size[runs]) + np.arange(self.bounds[-1])
+        self.pos, self.shard = pos[rows], shard[rows]
+
+    def _once(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(different contexts of the anchors a to b, an anchor of each, for each anchor the number of its context), UNIT anchors at a time."""
+        spots, where, number, have = [], [], [], 0
+        for k in range(a, b, UNIT):
+            all_ = contexts(self.data, self.offs, self.ids, self.pos[k : min(b, k + UNIT)])
+            first, n = distinct(all_)
+            spots.append(all_[first])
+            where.append(first + k)
+            number.append(n + have)
+            have += len(first)
+        every, where, number = np.concatenate(spots), np.concatenate(where), np.concatenate(number)
+        if len(spots) > 1:
+            first, n = distinct(every)
+            every, where, number = every[first], where[first], n[number]
+        return every, where, number
+
+    def parts(self):
+        """Yield (records to send, their shards in order, a function from their masks and a slice of anchors to [anchor, offset] marks, the anchors' positions). Each part takes whole runs, about UNIT anchors."""
+        for begin, end, hot in ((0, self.n_cold, False), (self.n_cold, len(self.bounds) - 1, True)):
+            i = begin
+            while i < end:
+                j = min(end, max(i + 1, int(np.searchsorted(self.bounds, self.bounds[i] + UNIT, "right")) - 1))
+                a, b = int(self.bounds[i]), int(self.bounds[j])
+                i = j
+                once, where, number = self._once(a, b)
+                own = self.ids[np.searchsorted(self.offs, self.pos[a:b], "right") - 1]
+                yield (*(self._windows(once, number, own) if hot else self._contexts(once, self.shard[where], number, own)), self.pos[a:b])
+
+    def _contexts(self, once, shard, number, own):
+        order = np.argsort(shard, kind="stable")
+        once, shard = once[order], shard[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at = place[number]
+
+        def marks(masks: np.ndarray, some: slice) -> np.ndarray:
+            k = at[some]
+            return (own[some] > once["id"][k])[:, None] & valid_windows(once[k]) | ((masks[k][:, None] >> BITS & 1) > 0)
+
+        return once, shard, marks
+
+    def _windows(self, once, number, own):
+        """Contexts cut into their windows: all other bytes are blanked, so that equal windows are equal records."""
+        k, o = np.nonzero(valid_windows(once))
+        every = np.zeros(len(k), SPOT)
+        every["id"], every["lo"], every["hi"] = once["id"][k], o, o + 1
+        column = np.arange(CONTEXT)
+        every["ctx"] = np.where((column >= o[:, None]) & (column < o[:, None] + WINDOW), once["ctx"][k], 0)
+        first, n = distinct(every)
+        every = every[first]
+        shard = (column_hash(every["ctx"]) % U(self.shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        every, shard = every[order], shard[order]
+        window = np.full((len(once), SPREAD), -1, np.int64)
+        window[k, o] = place[n]
+
+        def marks(masks: np.ndarray, some: slice) -> np.ndarray:
+            at = window[number[some]]
+            return (at >= 0) & ((own[some, None] > every["id"][at]) | ((masks[at] >> BITS & 1) > 0))
+
+        return every, shard, marks
 
 
 def _emit_contexts(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+    """(batch, part, shard, spots): what each batch asks the shards."""
     for batch in batches:
         for r in range(batch.num_rows):
-            name, ids, offs, data, pos, shard, hot = _shared_of(batch, r, shards)
-            pos, shard = pos[~hot], shard[~hot]
-            for i in range(0, len(pos), UNIT):
-                p, s = pos[i : i + UNIT], shard[i : i + UNIT]
-                spots = contexts(data, offs, ids, p)
+            mine = Shared(batch, r, shards)
+            for part, (spots, s, _, _) in enumerate(mine.parts()):
                 cut = np.append(np.flatnonzero(np.diff(s, prepend=-1)), len(s))
-                yield pa.RecordBatch.from_arrays([pa.array([name] * (len(cut) - 1)), pa.array(s[cut[:-1]].astype(np.int32)), pa.array([spots[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["batch", "shard", "spots"])
-
-
-def _emit_windows(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """Windows around hot anchors, one row each: two 64-bit hashes, the id, and where it begins."""
-    for batch in batches:
-        for r in range(batch.num_rows):
-            name, ids, offs, data, pos, _, hot = _shared_of(batch, r, shards)
-            for i in range(0, int(hot.sum()), 4096):
-                spots = contexts(data, offs, ids, pos[hot][i : i + 4096])
-                valid = (np.arange(SPREAD) >= spots["lo"][:, None]) & (np.arange(SPREAD) < spots["hi"][:, None])
-                k, o = np.nonzero(valid)
-                win = np.lib.stride_tricks.sliding_window_view(spots["ctx"], WINDOW, axis=1)[k, o].astype(U) + U(1)
-                h1 = mix((win * powers(BASE_INV, WINDOW)).sum(1, dtype=U))
-                h2 = mix((mix(win + U(977)) * powers(BASE_INV, WINDOW)).sum(1, dtype=U))
-                start = spots["pos"][k].astype(np.int64) - SPREAD + o
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(k)), pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.int64)), pa.array(spots["id"][k]), pa.array(spots["doc"][k].astype(np.int64)), pa.array(start)], ["batch", "h1", "h2", "id", "doc", "start"])
+                n = len(cut) - 1
+                yield pa.RecordBatch.from_arrays([pa.array([mine.name] * n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(s[cut[:-1]]), pa.array([spots[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["batch", "part", "shard", "spots"])
 
 
 def _mark_shard(table: pa.Table) -> pa.Table:
-    """One shard: for each batch, the MARK records of its repeated windows."""
+    """One shard: for each row that has repeated windows, the masks of its records."""
     blobs = table.column("spots").to_pylist()
-    names = table.column("batch").to_pylist()
+    edge = np.cumsum([0, *(len(b) // SPOT.itemsize for b in blobs)])
     spots = np.frombuffer(b"".join(blobs), SPOT)
+    del blobs
     mask = mark_contexts(spots)
-    edge = np.cumsum([0, *(len(b) // SPOT.itemsize for b in blobs)])
-    marks = np.zeros(len(spots), MARK)
-    marks["doc"], marks["pos"], marks["mask"] = spots["doc"], spots["pos"].astype(np.int64) - SPREAD, mask
-    out = [marks[a:b][mask[a:b] > 0].tobytes() for a, b in zip(edge, edge[1:])]
-    return pa.table({"batch": pa.array(names), "marks": pa.array(out, pa.binary())}).filter(pa.array([len(x) > 0 for x in out], pa.bool_()))
+    out = [mask[a:b].tobytes() if mask[a:b].any() else None for a, b in zip(edge, edge[1:])]
+    done = table.select(["batch", "part", "shard"]).append_column("masks", pa.array(out, pa.binary()))
+    return done.filter(pa.array([x is not None for x in out], pa.bool_()))
 
 
-def _finish(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], shards: int, texts: bool) -> Iterator[pa.RecordBatch]:
     """Per document of each batch: bytes, bytes and spans removed, and the digest (or the text) of what stays."""
     for batch in batches:
         for r in range(batch.num_rows):
-            _, ids, offs, data = _unpack(batch, r)
-            marks = np.frombuffer(b"".join(batch.column(batch.schema.get_field_index("marks"))[r].as_py() or []), MARK)
-            k, o = np.nonzero(marks["mask"][:, None] >> np.arange(SPREAD, dtype=np.uint32) & 1)
-            starts = offs[marks["doc"][k]] + marks["pos"][k] + o
-            for x in batch.column(batch.schema.get_field_index("hot"))[r].as_py() or []:
-                starts = np.append(starts, offs[x["doc"]] + x["start"])
-            gone = covered_bytes(len(data), starts)
-            size = np.diff(offs)
-            total = np.concatenate([[0], np.cumsum(gone)])
-            removed = total[offs[1:]] - total[offs[:-1]]
-            first = gone.copy()
-            first[1:] &= ~gone[:-1]
-            edge = offs[:-1][size > 0]
-            first[edge] = gone[edge]
-            total = np.concatenate([[0], np.cumsum(first)])
-            spans = total[offs[1:]] - total[offs[:-1]]
-            stays = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offs, offs[1:])]
-            last = pa.array(stays, pa.binary()) if texts else pa.array([hashlib.sha256(s).hexdigest() for s in stays])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), pa.array(removed), pa.array(spans), last], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def _removal(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFrame:
+            mine = Shared(batch, r, shards)
+            given = {(x["part"], x["shard"]): x["masks"] for x in batch.column(batch.schema.get_field_index("marks"))[r].as_py() or []}
+            begins = np.zeros(len(mine.data), bool)
+            for part, (spots, s, marks, pos) in enumerate(mine.parts()):
+                masks = np.zeros(len(spots), np.uint32)
+                cut = np.append(np.flatnonzero(np.diff(s, prepend=-1)), len(s))
+                for a, b in zip(cut, cut[1:]):
+                    if (part, int(s[a])) in given:
+                        masks[a:b] = np.frombuffer(given[part, int(s[a])], np.uint32)
+                for i in range(0, len(pos), UNIT):
+                    k, o = np.nonzero(marks(masks, slice(i, i + UNIT)))
+                    begins[pos[i + k] - (SPREAD - 1) + o] = True
+            gone = covered(begins)
+            rows = []
+            for a, b in zip(mine.offs, mine.offs[1:]):
+                g = gone[a:b]
+                stays = mine.data[a:b][~g]
+                rows.append((b - a, np.count_nonzero(g), np.count_nonzero(g[1:] & ~g[:-1]) + bool(b > a and g[0]), stays.tobytes() if texts else hashlib.sha256(stays).hexdigest()))
+            n_bytes, removed, spans, last = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(mine.ids), *(pa.array(np.array(x, np.int64)) for x in (n_bytes, removed, spans)), pa.array(last, pa.binary() if texts else pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def _removal(docs: DataFrame, id_col: str, text_col: str, texts: bool, batch_bytes: int, hot_count: int) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digest = F.md5(F.col("text").cast("binary"))
     narrow = durable(base.where("id is not null").select("id", digest.alias("fp"), F.octet_length("text").cast("long").alias("n_bytes")))
     copied = durable(narrow.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     judged = durable(narrow.join(copied, "fp", "left").select("id", "fp", "n_bytes", F.coalesce("first", "id").alias("least")))
     total = judged.agg(F.sum("n_bytes")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
+    shards = max(1, -(-total // SHARD_BYTES), min(LEAST_SHARDS, -(-total // LEAST_BYTES)))
     rep = judged.where("id = least").select("id", "fp").distinct()
-    packed = durable(base.withColumn("fp", digest).join(rep, ["id", "fp"], "left_semi").select("id", "text").mapInArrow(_pack, "batch string, ids binary, offs binary, data binary"))
-    hashes = packed.mapInArrow(lambda b: _emit_hashes(b, shards), "batch string, shard int, hashes binary, many binary")
-    answers = durable(hashes.groupBy("shard").applyInArrow(_shared_hashes, "batch string, shard int, bits binary"))
-    asked = packed.join(answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "bits")).alias("answers")), "batch")
-    spots = asked.mapInArrow(lambda b: _emit_contexts(b, shards), "batch string, shard int, spots binary")
-    marks = durable(spots.groupBy("shard").applyInArrow(_mark_shard, "batch string, marks binary"))
-    windows = durable(asked.mapInArrow(lambda b: _emit_windows(b, shards), "batch string, h1 long, h2 long, id long, doc long, start long"))
-    discard(narrow, copied, answers)
-    least_window = windows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    hot = windows.join(least_window, ["h1", "h2"]).where("id > first").groupBy("batch").agg(F.collect_set(F.struct("doc", "start")).alias("hot"))
-    final = packed.join(marks.groupBy("batch").agg(F.collect_list("marks").alias("marks")), "batch", "left").join(hot, "batch", "left")
+    packed = durable(base.withColumn("fp", digest).join(rep, ["id", "fp"], "left_semi").select("id", "text").mapInArrow(lambda b: _pack(b, batch_bytes), "batch long, ids binary, offs binary, data binary"))
+    hashes = packed.mapInArrow(lambda b: _emit_hashes(b, shards), "batch long, shard int, hashes binary, codes binary")
+    answers = durable(hashes.groupBy("shard").applyInArrow(lambda t: _shared_hashes(t, hot_count), "batch long, shard int, bits binary"))
+    listed = answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "bits")).alias("answers"))
+    spots = packed.join(listed, "batch").mapInArrow(lambda b: _emit_contexts(b, shards), "batch long, part int, shard int, spots binary")
+    marks = durable(spots.groupBy("shard").applyInArrow(_mark_shard, "batch long, part int, shard int, masks binary"))
+    discard(narrow, copied)
+    final = packed.join(listed, "batch", "left").join(marks.groupBy("batch").agg(F.collect_list(F.struct("part", "shard", "masks")).alias("marks")), "batch", "left")
     kind = "binary" if texts else "string"
-    done = final.mapInArrow(lambda b: _finish(b, texts), f"id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
+    done = final.mapInArrow(lambda b: _finish(b, shards, texts), f"id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
     gone = F.col("n_bytes") >= WINDOW
     whole = lambda df: df.select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept")
     keep = lambda c: c.cast("binary") if texts else F.sha2(c.cast("binary"), 256)
@@ -441,14 +549,14 @@ def _removal(docs: DataFrame, id_col: str, text_col: str, texts: bool) -> DataFr
     return done.unionByName(copies).unionByName(short).unionByName(nulls)
 
 
-def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, hot_count: int = HOT) -> DataFrame:
     """Per row: its id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``."""
-    return _removal(docs, id_col, text_col, False).withColumnsRenamed({"id": id_col, "kept": "kept_sha256"})
+    return _removal(docs, id_col, text_col, False, batch_bytes, hot_count).withColumnsRenamed({"id": id_col, "kept": "kept_sha256"})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, hot_count: int = HOT) -> DataFrame:
     """Per row: its id, the counts, and ``kept``, the bytes that stay (cuts may fall within a character)."""
-    return _removal(docs, id_col, text_col, True).withColumnRenamed("id", id_col)
+    return _removal(docs, id_col, text_col, True, batch_bytes, hot_count).withColumnRenamed("id", id_col)
 
 
 #: The report in DuckDB, window by window; for small tables.

@@ -257,40 +257,46 @@ def test_substrings_equal_brute_force(spark, corpus):
     assert got == slow_removal(corpus)
 
 
-def test_hot_anchors_take_the_grouped_way(spark, corpus, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_BATCHES", 1)
-    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 2000)
-    batches = [corpus[i : i + 10] for i in range(0, len(corpus), 10)]
-    packed = []
-    import pyarrow as pa
-
-    for rows in batches:
-        rb = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["id", "text"])
-        packed += list(suffix_dedup._pack(iter([rb])))
-    table = pa.Table.from_batches(list(suffix_dedup._emit_hashes(iter(packed), 1)))
-    answers = suffix_dedup._shared_hashes(table).to_pylist()
-    spots, hot, names = [], [], {}
-    for b in packed:
-        name = b.column(0)[0].as_py()
-        names[name] = np.frombuffer(b.column(1)[0].as_py(), np.int64)
-        mine = [{"shard": a["shard"], "bits": a["bits"]} for a in answers if a["batch"] == name]
-        asked = b.append_column("answers", pa.array([mine], pa.list_(pa.struct([("shard", pa.int32()), ("bits", pa.binary())]))))
-        spots += list(suffix_dedup._emit_contexts(iter([asked]), 1))
-        hot += [r for x in suffix_dedup._emit_windows(iter([asked]), 1) for r in x.to_pylist()]
-    gone = {i: set() for i, _ in corpus}
-    for r in suffix_dedup._mark_shard(pa.Table.from_batches(spots)).to_pylist():
-        for m in np.frombuffer(r["marks"], suffix_dedup.MARK):
-            for o in range(suffix_dedup.SPREAD):
-                if m["mask"] >> o & 1:
-                    gone[int(names[r["batch"]][m["doc"]])].update(range(m["pos"] + o, m["pos"] + o + 50))
-    least = {}
-    for r in hot:
-        least[r["h1"], r["h2"]] = min(least.get((r["h1"], r["h2"]), r["id"]), r["id"])
-    for r in hot:
-        if least[r["h1"], r["h2"]] < r["id"]:
-            gone[r["id"]].update(range(r["start"], r["start"] + 50))
-    assert hot and spots
-    assert {i: len(g) for i, g in gone.items()} == {i: n for i, _, n, _, _ in slow_removal(corpus)}
+@pytest.mark.parametrize("hot_count, batch_bytes", [(1, 2000), (1, 1 << 24), (40, 2000), (1 << 16, 500)])
+def test_hot_anchors_take_suffix_arrays_of_their_windows(spark, corpus, hot_count, batch_bytes):
+    got = sorted(tuple(r) for r in suffix_dedup.removal_report(frame(spark, corpus), hot_count=hot_count, batch_bytes=batch_bytes).collect())
+    assert got == slow_removal(corpus)
+
+
+@pytest.mark.parametrize("hot_count", [100, 1 << 16])
+def test_a_line_in_many_batches(spark, hot_count):
+    """One line, repeated within and over more than 512 batches, between words that differ."""
+    rng = random.Random(6)
+    line = prose(rng, 30).replace("\n", " ")
+    rows = [(i, "\n".join([f"own{rng.randrange(10**9)}", line, line if i % 3 else line[10:], f"x{i}", line])) for i in range(700)]
+    got = sorted(tuple(r) for r in suffix_dedup.removal_report(frame(spark, rows), hot_count=hot_count, batch_bytes=100).collect())
+    assert got == slow_removal(rows)
+
+
+def test_anchors_are_the_same_in_any_steps():
+    rng = np.random.default_rng(8)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    offs = np.array([0, 0, 30, 80, 1000, 1049, 3000, 5000])
+    pos, h = suffix_dedup.anchors(data, offs)
+    for step in (1, 7, 60, 997):
+        p, g = suffix_dedup.anchors(data, offs, step)
+        assert p.tolist() == pos.tolist() and g.tolist() == h.tolist()
+    begins = rng.random(5000) < 0.01
+    want = np.zeros(5000, bool)
+    for k in np.flatnonzero(begins):
+        want[k : k + 50] = True
+    for step in (1, 49, 50, 51, 700, 10_000):
+        assert (suffix_dedup.covered(begins, step) == want).all()
+
+
+def test_contexts_of_one_hash_stay_apart(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "column_hash", lambda columns, seed=0: np.zeros(len(columns), np.uint64))
+    rng = np.random.default_rng(9)
+    spots = np.zeros(40, suffix_dedup.SPOT)
+    spots["ctx"], spots["id"], spots["hi"] = rng.integers(0, 2, (40, 1)), rng.integers(0, 9, 40), 27
+    first, number = suffix_dedup.distinct(spots)
+    assert (spots[first][number]["ctx"] == spots["ctx"]).all() and len(first) == 2
+    assert all(spots["id"][f] == spots["id"][number == k].min() for k, f in enumerate(first))
 
 
 def test_units_of_a_shard_are_merged():
