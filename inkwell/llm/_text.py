@@ -16,10 +16,12 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
+#: Bytes that are read in one step, so that temporary arrays stay small whatever the length of a text.
+STEP = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept and grown on demand."""
+    """base**0 .. base**(n-1) modulo 2**64, kept and grown on demand; for short arrays."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         size = max(n, 1 << 16)
@@ -29,6 +31,15 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def power_at(base: int, index: np.ndarray) -> np.ndarray:
+    """base**index, from a table of small powers and one of large steps."""
+    out = powers(base, 1 << 16)[index & 0xFFFF]
+    top = int(index.max(initial=0)) >> 16
+    if top:
+        out *= powers(pow(base, 1 << 16, 1 << 64), top + 1)[index >> 16]
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits."""
     x = x ^ (x >> U(30))
@@ -41,36 +52,78 @@ def mix(x: np.ndarray) -> np.ndarray:
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Prefix sums of values * BASE**i, one longer than values."""
     out = np.zeros(len(values) + 1, U)
-    np.cumsum(values.astype(U) * powers(BASE, len(values)), out=out[1:])
+    step = 1 << 16
+    for at in range(0, len(values), step):
+        part = values[at : at + step].astype(U) * powers(BASE, step)[: min(step, len(values) - at)]
+        part *= U(pow(BASE, at, 1 << 64))
+        np.cumsum(part, out=part)
+        out[at + 1 : at + 1 + len(part)] = part + out[at]
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hashes of the spans [start, end)."""
-    inverse = powers(BASE_INV, len(prefix))
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U))
+    return _spans(prefix[end] - prefix[start], start, end)
+
+
+def _spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix(sums * power_at(BASE_INV, start) + (end - start).astype(U))
+
+
+def sampled_sums(values, size: int, at: np.ndarray, kind=np.int64) -> np.ndarray:
+    """Prefix sums at the sorted places ``at`` of what ``values(first, last)`` returns for each step of ``size`` places."""
+    out, carry, i = np.zeros(len(at), kind), kind(0), 0
+    for first in range(0, max(size, 1), STEP):
+        last = min(first + STEP, size)
+        total = np.zeros(last - first + 1, kind)
+        np.cumsum(values(first, last), out=total[1:], dtype=kind)
+        total += carry
+        j = len(at) if last == size else int(np.searchsorted(at, last))
+        out[i:j] = total[at[i:j] - first]
+        i, carry = j, total[-1]
+    return out
 
 
 class Words:
-    """Words of a block: byte bounds, document and hash of each, in order."""
+    """Words of a block: byte bounds, document and hash of each, in order. The bytes are read step by step."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, hashed: bool = True):
-        self.data = LOWER[data] if lower else data
-        self.offs = offs
-        word = ~SPACE[data]
-        begins, ends = word.copy(), word.copy()
-        begins[1:] &= ~word[:-1]
-        ends[:-1] &= ~word[1:]
-        edge = offs[offs < len(data)]
-        begins[edge] = word[edge]
-        edge = offs[offs > 0] - 1
-        ends[edge] = word[edge]
-        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        self.doc = np.searchsorted(offs, self.start, "right") - 1
-        self.n_docs = len(offs) - 1
+        self.data, self.offs, self.lower = data, offs, lower
+        starts, ends = [], []
+        for first in range(0, len(data), STEP):
+            last = min(first + STEP, len(data))
+            word = ~SPACE[data[max(first - 1, 0) : last + 1]]  # with a neighbour on either side
+            lead = min(first, 1)
+            begins, stops = word[lead : lead + last - first].copy(), word[lead : lead + last - first].copy()
+            begins[1 - lead :] &= ~word[: len(begins) - 1 + lead]
+            stops[: len(word) - lead - 1] &= ~word[lead + 1 :]
+            here = word[lead:]
+            edge = offs[np.searchsorted(offs, first) : np.searchsorted(offs, last)] - first
+            begins[edge] = here[edge]
+            edge = offs[np.searchsorted(offs, first + 1) : np.searchsorted(offs, last, "right")] - first - 1
+            stops[edge] = here[edge]
+            starts.append((np.flatnonzero(begins) + first).astype(np.int32 if len(data) < 2**31 else np.int64))
+            ends.append((np.flatnonzero(stops) + first + 1).astype(starts[-1].dtype))
+        none = np.zeros(0, np.int32)
+        self.start, self.end = np.concatenate(starts or [none]), np.concatenate(ends or [none])
+        self.n_docs, self.sums = len(offs) - 1, None
+        self.doc = np.repeat(np.arange(self.n_docs, dtype=np.int32), self.counts())
         if hashed:
-            self.prefix = prefix_sums(self.data.astype(U) + U(1))
-            self.hash = span_hash(self.prefix, self.start, self.end)
+            self.hash = self.hashes(self.start, self.end)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes [start, end) of spans in order, which do not overlap."""
+
+        def values(first: int, last: int) -> np.ndarray:
+            part = LOWER[self.data[first:last]] if self.lower else self.data[first:last]
+            part = part.astype(U) + U(1)
+            part *= powers(BASE, STEP)[: last - first]
+            part *= U(pow(BASE, first, 1 << 64))
+            return part
+
+        sums = sampled_sums(values, len(self.data), end, U)
+        sums -= sampled_sums(values, len(self.data), start, U)
+        return _spans(sums, start, end)
 
     def per_doc(self, values: np.ndarray) -> np.ndarray:
         """Sums of a value of each word by document."""
@@ -88,7 +141,9 @@ class Words:
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, U)
         first = np.flatnonzero(self.doc[:m] == self.doc[n - 1 :])
-        return first, span_hash(prefix_sums(self.hash), first, first + n)
+        if self.sums is None:
+            self.sums = prefix_sums(self.hash)
+        return first, span_hash(self.sums, first, first + n)
 
 
 def repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._io import text_blocks
-from ._text import Words, covered, repeated, span_hash
+from ._text import Words, covered, repeated, sampled_sums
 
 #: (words in an n-gram, most percent of word characters in n-grams found earlier).
 NGRAM_LIMITS = ((5, 15), (7, 13), (10, 10))
@@ -34,10 +34,10 @@ REPORT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     """The counts of REPORT for each text of a block."""
     w = Words(data, offs)
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    chars = lead[w.end] - lead[w.start]
-    marks = np.concatenate([[0], np.cumsum(SYMBOL[data])])
-    out = {"n_words": w.counts(), "word_chars": w.per_doc(chars), "n_symbols": marks[offs[1:]] - marks[offs[:-1]]}
+    lead = lambda first, last: (data[first:last] & 0xC0) != 0x80
+    chars = (sampled_sums(lead, len(data), w.end) - sampled_sums(lead, len(data), w.start)).astype(np.int32)
+    marks = sampled_sums(lambda first, last: SYMBOL[data[first:last]], len(data), offs)
+    out = {"n_words": w.counts(), "word_chars": w.per_doc(chars), "n_symbols": np.diff(marks)}
     salt = np.random.default_rng(7).integers(0, 1 << 63, w.n_docs, dtype=np.int64).astype(np.uint64)
     n_words = len(w.start)
     for n, _ in NGRAM_LIMITS:
@@ -46,6 +46,7 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
         if n == 5:
             out["n_repeat_words"] = w.per_doc(covered(first[found], n, n_words))
         out[f"dup{n}_chars"] = w.per_doc(np.where(covered(first[earlier], n, n_words), chars, 0))
+        del first, key, found, earlier
     begin = np.union1d(offs[:-1][np.diff(offs) > 0], np.flatnonzero(data == 10) + 1)
     begin = begin[begin < len(data)]
     doc = np.searchsorted(offs, begin, "right") - 1
@@ -55,8 +56,8 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     full = b > a
     begin, end, doc, a, b = begin[full], end[full], doc[full], a[full], b[full]
 
-    _, earlier = repeated(span_hash(w.prefix, begin, end) ^ salt[doc])
-    total = np.concatenate([[0], np.cumsum(chars)])
+    _, earlier = repeated(w.hashes(begin, end) ^ salt[doc])
+    total = np.concatenate([[0], np.cumsum(chars, dtype=np.int64)])
     out["n_dup_lines"] = np.bincount(doc[earlier], minlength=w.n_docs)
     out["dup_line_chars"] = np.bincount(doc[earlier], weights=(total[b] - total[a])[earlier], minlength=w.n_docs).astype(np.int64)
     return out
