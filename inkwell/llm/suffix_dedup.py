@@ -51,6 +51,8 @@ CONTEXT = 2 * WINDOW - GRAM
 #: Bytes of text in a batch (a longer text is a batch of its own) and, of a large table, for each shard; a small table is cut into up to ``LEAST_SHARDS``.
 BATCH_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
 LEAST_SHARDS, LEAST_BYTES = 256, 256 << 10
+#: A shard's number and a hash of 40 bits are one sort key.
+MOST_SHARDS = 1 << 23
 #: Windows whose anchors are looked for in one step.
 STEP = 1 << 20
 STEP_BITS = U(21)
@@ -92,25 +94,35 @@ def anchors(data: np.ndarray, offs: np.ndarray, step: int = STEP) -> tuple[np.nd
     return pos, np.concatenate([g for _, g in found])[once]
 
 
-def contexts(data: np.ndarray, offs: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """SPOT records: the bytes around each anchor, and which windows in them lie within the document."""
+def contexts(data: np.ndarray, offs: np.ndarray, ids: np.ndarray, pos: np.ndarray, padded: np.ndarray | None = None) -> np.ndarray:
+    """SPOT records: the bytes around each anchor, and which windows in them lie within the document. ``padded`` is ``pad(data)``, if it is at hand."""
     out = np.zeros(len(pos), SPOT)
     doc = np.searchsorted(offs, pos, "right") - 1
     begin = pos - (SPREAD - 1)
-    at = begin[:, None] + np.arange(CONTEXT)
-    inside = (at >= offs[doc][:, None]) & (at < offs[doc + 1][:, None])
-    out["ctx"] = np.where(inside, data[np.clip(at, 0, max(len(data) - 1, 0))], 0)
-    out["id"] = ids[doc]
-    out["lo"] = np.clip(offs[doc] - begin, 0, SPREAD)
-    out["hi"] = np.clip(offs[doc + 1] - WINDOW - begin + 1, 0, SPREAD)
+    low, high = offs[doc] - begin, offs[doc + 1] - begin
+    ctx = np.lib.stride_tricks.sliding_window_view(pad(data) if padded is None else padded, CONTEXT)[pos]
+    edge = np.flatnonzero((low > 0) | (high < CONTEXT))
+    column = np.arange(CONTEXT)
+    ctx[edge] = np.where((column >= low[edge, None]) & (column < high[edge, None]), ctx[edge], 0)
+    out["ctx"], out["id"] = ctx, ids[doc]
+    out["lo"] = np.clip(low, 0, SPREAD)
+    out["hi"] = np.clip(high - WINDOW + 1, 0, SPREAD)
     return out
 
 
+def pad(data: np.ndarray) -> np.ndarray:
+    """A block with room for a context before its first and behind its last byte."""
+    return np.concatenate([np.zeros(SPREAD - 1, np.uint8), data, np.zeros(CONTEXT, np.uint8)])
+
+
 def column_hash(columns: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
-    """64-bit hash of each row of a byte table."""
-    acc = np.full(len(columns), 0x9E3779B97F4A7C15, U) + np.asarray(seed).astype(U)
-    for k in range(columns.shape[1]):
-        acc = (acc + columns[:, k].astype(U) + U(1)) * U(0xD1342543DE82EF95)
+    """64-bit hash of each row of a byte table, 8 bytes at a time."""
+    n, k = columns.shape
+    wide = np.zeros((n, -(-k // 8) * 8), np.uint8)
+    wide[:, :k] = columns
+    acc = np.full(n, 0x9E3779B97F4A7C15, U) + np.asarray(seed).astype(U)
+    for word in wide.view("<u8").T:
+        acc = (acc + word + U(1)) * U(0xD1342543DE82EF95)
         acc ^= acc >> U(29)
     return mix(acc)
 
@@ -330,10 +342,11 @@ def _sorted_anchors(data: np.ndarray, offs: np.ndarray, shards: int):
     pos, h = anchors(data, offs)
     shard = (h % U(shards)).astype(np.int32)
     short = (h // U(shards)) & U((1 << 40) - 1)
-    order = np.lexsort((short, shard))
-    pos, shard, short = pos[order], shard[order], short[order]
+    key = shard.astype(U) << U(40) | short
+    order = np.argsort(key)  # the order of equal ones does not matter
+    pos, shard, short, key = pos[order], shard[order], short[order], key[order]
     new = np.ones(len(pos), bool)
-    new[1:] = (shard[1:] != shard[:-1]) | (short[1:] != short[:-1])
+    new[1:] = key[1:] != key[:-1]
     return pos, shard, short, np.flatnonzero(new)
 
 
@@ -392,6 +405,7 @@ class Shared:
             self.pos, self.shard, self.bounds, self.n_cold = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64), 0
             return
         pos, shard, _, head = _sorted_anchors(self.data, self.offs, shards)
+        self.padded = pad(self.data)
         at = shard[head]
         shared, hot = np.zeros(len(head), bool), np.zeros(len(head), bool)
         for x in answers:
@@ -409,7 +423,7 @@ class Shared:
         """(different contexts of the anchors a to b, an anchor of each, for each anchor the number of its context), UNIT anchors at a time."""
         spots, where, number, have = [], [], [], 0
         for k in range(a, b, UNIT):
-            all_ = contexts(self.data, self.offs, self.ids, self.pos[k : min(b, k + UNIT)])
+            all_ = contexts(self.data, self.offs, self.ids, self.pos[k : min(b, k + UNIT)], self.padded)
             first, n = distinct(all_)
             spots.append(all_[first])
             where.append(first + k)
@@ -526,7 +540,7 @@ def _removal(docs: DataFrame, id_col: str, text_col: str, texts: bool, batch_byt
     copied = durable(narrow.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     judged = durable(narrow.join(copied, "fp", "left").select("id", "fp", "n_bytes", F.coalesce("first", "id").alias("least")))
     total = judged.agg(F.sum("n_bytes")).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES), min(LEAST_SHARDS, -(-total // LEAST_BYTES)))
+    shards = min(max(1, -(-total // SHARD_BYTES), min(LEAST_SHARDS, -(-total // LEAST_BYTES))), MOST_SHARDS)
     rep = judged.where("id = least").select("id", "fp").distinct()
     packed = durable(base.withColumn("fp", digest).join(rep, ["id", "fp"], "left_semi").select("id", "text").mapInArrow(lambda b: _pack(b, batch_bytes), "batch long, ids binary, offs binary, data binary"))
     hashes = packed.mapInArrow(lambda b: _emit_hashes(b, shards), "batch long, shard int, hashes binary, codes binary")
