@@ -49,7 +49,7 @@ WINDOW, GRAM = 50, 24
 SPREAD = WINDOW - GRAM + 1
 CONTEXT = 2 * WINDOW - GRAM
 #: Bytes of text in a batch (a longer text is a batch of its own) and, of a large table, for each shard; a small table is cut into up to ``LEAST_SHARDS``.
-BATCH_BYTES, SHARD_BYTES = 16 << 20, 4 << 20
+BATCH_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
 LEAST_SHARDS, LEAST_BYTES = 256, 256 << 10
 #: A shard's number and a hash of 40 bits are one sort key.
 MOST_SHARDS = 1 << 23
