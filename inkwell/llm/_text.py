@@ -63,10 +63,15 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Mixed hashes of the spans [start, end)."""
-    return _spans(prefix[end] - prefix[start], start, end)
+    out = np.empty(len(start), U)
+    for i in range(0, len(start), STEP):
+        a, b = start[i : i + STEP], end[i : i + STEP]
+        out[i : i + STEP] = _normal(prefix[b] - prefix[a], a, b)
+    return out
 
 
-def _spans(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _normal(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans from sums that depend on where the spans stand."""
     return mix(sums * power_at(BASE_INV, start) + (end - start).astype(U))
 
 
@@ -123,7 +128,9 @@ class Words:
 
         sums = sampled_sums(values, len(self.data), end, U)
         sums -= sampled_sums(values, len(self.data), start, U)
-        return _spans(sums, start, end)
+        for i in range(0, len(sums), STEP):
+            sums[i : i + STEP] = _normal(sums[i : i + STEP], start[i : i + STEP], end[i : i + STEP])
+        return sums
 
     def per_doc(self, values: np.ndarray) -> np.ndarray:
         """Sums of a value of each word by document."""
@@ -140,7 +147,7 @@ class Words:
         m = len(self.hash) - n + 1
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, U)
-        first = np.flatnonzero(self.doc[:m] == self.doc[n - 1 :])
+        first = np.flatnonzero(self.doc[:m] == self.doc[n - 1 :]).astype(self.start.dtype)
         if self.sums is None:
             self.sums = prefix_sums(self.hash)
         return first, span_hash(self.sums, first, first + n)
@@ -149,7 +156,8 @@ class Words:
 def repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each key: whether it occurs elsewhere too, and whether it occurs earlier."""
     order = np.argsort(key, kind="stable")
-    same = key[order][1:] == key[order][:-1]
+    key = key[order]
+    same = key[1:] == key[:-1]
     any_, later = np.zeros(len(key), bool), np.zeros(len(key), bool)
     later[order[1:]] = same
     any_[order[1:]] = same
@@ -158,8 +166,9 @@ def repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def covered(first: np.ndarray, width: int, size: int) -> np.ndarray:
-    """Positions below size that lie in some window of that width."""
-    at = np.bincount(first, minlength=size + 1)
-    depth = np.cumsum(at)
+    """Positions below size that lie in some window of that width; windows begin at different places."""
+    depth = np.zeros(size + 1, np.int32)
+    depth[first] = 1
+    np.cumsum(depth, out=depth)
     depth[width:] -= depth[:-width].copy()
     return depth[:size] > 0

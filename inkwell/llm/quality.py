@@ -42,7 +42,8 @@ def measure(data: np.ndarray, offs: np.ndarray) -> dict[str, np.ndarray]:
     n_words = len(w.start)
     for n, _ in NGRAM_LIMITS:
         first, key = w.shingles(n)
-        found, earlier = repeated(key ^ salt[w.doc[first]])
+        key ^= salt[0] if w.n_docs == 1 else salt[w.doc[first]]
+        found, earlier = repeated(key)
         if n == 5:
             out["n_repeat_words"] = w.per_doc(covered(first[found], n, n_words))
         out[f"dup{n}_chars"] = w.per_doc(np.where(covered(first[earlier], n, n_words), chars, 0))
