@@ -355,7 +355,7 @@ def slow_overlaps(rows, items):
         a = words(t)
         for i, s in items:
             b = words(s)
-            if len(b) < decontam.SPAN:
+            if not b:
                 continue
             w = min(13, len(b))
             need = 11 if w == 13 else w - 1 if w >= 10 else w
@@ -367,9 +367,8 @@ def slow_overlaps(rows, items):
     return out
 
 
-def test_decontamination_equals_brute_force(spark):
-    rng = random.Random(9)
-    items = [(k, prose(rng, n)) for k, n in enumerate([5, 9, 10, 11, 12, 13, 14, 20, 40])] + [(20, None), (21, "")]
+def contaminated(rng):
+    items = [(k, prose(rng, n)) for k, n in enumerate([5, 9, 10, 11, 12, 13, 14, 20, 40, 1, 2])] + [(20, None), (21, "")]
     rows = []
     for d in range(80):
         parts = [prose(rng, rng.choice([5, 40]))]
@@ -379,11 +378,37 @@ def test_decontamination_equals_brute_force(spark):
                 w[rng.randrange(len(w))] = "changed"
             parts.append(" ".join(w[rng.choice([0, 0, 2]) :]))
         rows.append((d, " ".join(parts + [prose(rng, 10)])))
+    return rows, items
+
+
+@pytest.mark.parametrize("seeds", [decontam.BROADCAST_SEEDS, 0])
+def test_decontamination_equals_brute_force(spark, seeds):
+    """With seeds broadcast, and in shuffled joins."""
+    rows, items = contaminated(random.Random(9))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.n_matched for r in decontam.overlaps(frame(spark, rows), bench).collect()}
+    got = {(r.doc_id, r.item_id): r.n_matched for r in decontam.overlaps(frame(spark, rows), bench, broadcast_seeds=seeds).collect()}
     assert got == slow_overlaps(rows, items) and len(got) > 10
 
 
+def test_items_of_one_length_only(spark):
+    """Masks of lengths that no item has are not looked for; short items match where they stand whole."""
+    rows = [(1, "a b c d"), (2, "b c"), (3, "c b"), (4, "c"), (5, "")]
+    for item, want in (("b c", [1, 2]), ("c", [1, 2, 3, 4]), ("a b c d e", [])):
+        bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+        assert sorted(r.doc_id for r in decontam.overlaps(frame(spark, rows), bench).collect()) == want
+
+
+@pytest.mark.parametrize("seeds", [decontam.BROADCAST_SEEDS, 0])
+def test_an_item_of_ten_thousand_words(spark, seeds):
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(10_000)]
+    cut = lambda a, n, *bad: " ".join("other" if k in bad else w for k, w in enumerate(words[a : a + n]))
+    rows = [(1, cut(0, 13)), (2, "before " + cut(9_987, 13, 2, 7)), (3, cut(5000, 13, 1, 5, 9)), (4, cut(127, 14, 0) + " after"), (5, cut(4000, 10)), (6, " ".join(words))]
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: r.n_matched for r in decontam.overlaps(frame(spark, rows), bench, broadcast_seeds=seeds).collect()}
+    assert got == {1: 13, 2: 11, 4: 13, 6: 13}
+
+
 def test_masks_find_any_two_substitutions():
     import itertools
 
