@@ -44,24 +44,34 @@ from ._text import Words, span_hash, prefix_sums
 
 SKETCH, LEAST_SHARED = 64, 36
 SMALL_LIST, LEADERS, LISTS = 24, 6, 6
-#: Documents in a block of comparisons.
-BLOCK = 1024
-#: Bytes of a hash kept in a set: the leading ones, so that sets stay in the order of the hash.
-HASH_BYTES = 5
+#: Documents in a block of comparisons: small, so that the blocks of one list are many groups, each of a few MB.
+BLOCK = 256
 #: The estimate passes this many standard deviations below the threshold.
 SLACK = 5.0
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Sorted 40-bit values, 5 bytes each."""
-    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :]).tobytes()
+def full_set(sketch, rest: bytes) -> np.ndarray:
+    """A document's sorted hashes, from its sketch and the others."""
+    return np.concatenate([np.asarray(sketch, np.int64), np.frombuffer(rest, "<i8")])
 
 
-def unpack(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, 8 - HASH_BYTES :] = raw
-    return out.view(">u8").ravel().astype(np.uint64)
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough: sizes first, then the estimate from the union's sketch, then the exact measure, in integers."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    if min(len(a), len(b)) > SKETCH:
+        union = np.union1d(a[:SKETCH], b[:SKETCH])[:SKETCH]
+        share = len(np.intersect1d(np.intersect1d(a[:SKETCH], b[:SKETCH], assume_unique=True), union, assume_unique=True)) / SKETCH
+        if share < least_share(percent, SKETCH):
+            return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def least_share(percent: int, size: int) -> float:
+    """The share of a union's sketch that two similar sets have in common, but for SLACK standard deviations."""
+    j = percent / 100
+    return j - SLACK * (j * (1 - j) / size) ** 0.5
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
@@ -71,15 +81,17 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]
     edge = np.searchsorted(w.doc[first], np.arange(w.n_docs + 1))
     count = w.counts()
     start = np.concatenate([[0], np.cumsum(count)])
-    every = prefix_sums(w.hash) if len(w.hash) else None
+    every = prefix_sums(w.hash) if (count < k).any() and len(w.hash) else None
+    key, n_docs = key.view(np.int64), w.n_docs
+    del first, w  # a long text fills much of the memory
     out = []
-    for d in range(w.n_docs):
+    for d in range(n_docs):
         if count[d] >= k:
             out.append(np.unique(key[edge[d] : edge[d + 1]]))
         elif count[d]:
-            out.append(span_hash(every, start[d : d + 1], start[d + 1 : d + 2]))
+            out.append(span_hash(every, start[d : d + 1], start[d + 1 : d + 2]).view(np.int64))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(np.zeros(0, np.int64))
     return out
 
 
@@ -87,30 +99,23 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for i, j, data, offs in text_blocks(batch.column(1)):
             sets = shingle_sets(data, offs, k)
-            cut = [s >> np.uint64(64 - 8 * HASH_BYTES) for s in sets]
             cols = [
                 batch.column(0).slice(i, j - i),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                pa.array([c[:SKETCH].astype(np.int64) for c in cut], pa.list_(pa.int64())),
-                pa.array([pack(c[SKETCH:]) for c in cut], pa.binary()),
+                pa.array([x[:SKETCH] for x in sets], pa.list_(pa.int64())),
+                pa.array([x[SKETCH:].astype("<i8").tobytes() for x in sets], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n", "fp", "sketch", "rest"])
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are similar enough, in integers."""
+    """Pairs whose sets are similar enough."""
     for batch in batches:
         col = {x: batch.column(k) for k, x in enumerate(batch.schema.names)}
         ok = []
         for r in range(batch.num_rows):
-            a, b = col["n_a"][r].as_py(), col["n_b"][r].as_py()
-            if 100 * min(a, b) < percent * max(a, b):
-                ok.append(False)
-                continue
-            sets = [np.concatenate([np.array(col[f"sketch_{x}"][r].values, np.uint64), unpack(col[f"rest_{x}"][r].as_py())]) for x in "ab"]
-            both = len(np.intersect1d(*sets, assume_unique=True))
-            ok.append(100 * both >= percent * (a + b - both))
+            ok.append(similar(*(full_set(col[f"sketch_{x}"][r].values, col[f"rest_{x}"][r].as_py()) for x in "ab"), percent))
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -163,9 +168,7 @@ def _links(outside: pa.Table, block: pa.Table, percent: int) -> pa.Table:
         order = np.argsort(values)
         values, owner = values[order], np.repeat(np.arange(len(docs)), [len(d["sketch"]) for d in docs])[order]
         need, size = np.array([d["need"] for d in docs]), np.array([d["n"] for d in docs])
-        full = lambda d: np.concatenate([np.array(d["sketch"], np.uint64), unpack(d["rest"])])
         for r in outside.to_pylist():
-            mine = full(r)
             sketch = np.array(r["sketch"], np.int64)
             low = np.searchsorted(values, sketch)
             runs = np.searchsorted(values, sketch, "right") - low
@@ -173,13 +176,12 @@ def _links(outside: pa.Table, block: pa.Table, percent: int) -> pa.Table:
             shared = np.bincount(owner[at], minlength=len(docs))
             near = np.flatnonzero((shared >= np.minimum(need, r["need"])) & (100 * np.minimum(size, r["n"]) >= percent * np.maximum(size, r["n"])))
             found = {r["label"]}
+            mine = full_set(sketch, r["rest"]) if len(near) else None
             for k in near[np.argsort(-shared[near], kind="stable")]:
                 d = docs[k]
-                if d["label"] not in found:
-                    both = len(np.intersect1d(mine, full(d), assume_unique=True))
-                    if 100 * both >= percent * (r["n"] + d["n"] - both):
-                        found.add(d["label"])
-                        pairs.append((min(r["id"], d["id"]), max(r["id"], d["id"])))
+                if d["label"] not in found and similar(mine, full_set(d["sketch"], d["rest"]), percent):
+                    found.add(d["label"])
+                    pairs.append((min(r["id"], d["id"]), max(r["id"], d["id"])))
     kind = block.schema.field("id").type
     return pa.table({"a": pa.array([a for a, _ in pairs], kind), "b": pa.array([b for _, b in pairs], kind)})
 
