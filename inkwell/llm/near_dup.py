@@ -10,22 +10,26 @@ build no list. Lists of up to ``SMALL_LIST`` documents give all their pairs; in
 longer ones, of which the ``LISTS`` shortest count, every document meets leaders,
 the ones with the most common sketch of each of ``LEADERS`` slices.
 
-Each document's best candidates are verified exactly, on full sets. Of the
-other candidates only those between different components can change the result:
-these pass the union-sketch estimate and are then verified too. Last, documents
-of a long list that are still in different components are held against each
-other, block by block: candidates by sketch overlap, verified exactly on the
-spot; leaders alone would miss links between documents that are far from every
-leader. If a quarter of a list is in one component, its other documents are held
-against that whole component, once for all such lists. Components come from joins of edges with labels;
-nothing is gathered on the driver.
+Each document's best candidates come first: pairs pass the union-sketch estimate
+and are then verified exactly, on full sets, which are made from the texts of
+the documents that some pair asks for. Of the other candidates only those
+between different components can change the result; they go the same way. Last,
+documents of a long list that are still in different components are held
+against each other, block by block: sketch overlap, estimate and exact measure
+on the spot; so leaders decide how soon a link is found, and not whether. If a
+quarter of a list is in one component, its other documents are held against all
+of that component and each other, once for all such lists; else all documents of
+the list against each other, so that its work grows with the square of its
+length. Components come from joins of edges with labels; nothing is gathered on
+the driver.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with
 nothing; a text with fewer words than a shingle has its whole word sequence as
-the only shingle; rows with a null id are linked with nothing and kept;
-repeated rows with one id are one document in the links and each keep their
-row; an empty table gives an empty result; extra columns are ignored by
-``components`` and kept by ``dedup_documents``.
+the only shingle; a text of any length is one set; rows with a null id are
+linked with nothing and kept; repeated rows with one id are one document in the
+links (by one of their texts, if these differ) and share its fate, so that all of
+them stay or go; an empty table gives an empty result; extra columns are ignored
+by ``components`` and kept by ``dedup_documents``.
 """
 
 from __future__ import annotations
@@ -50,11 +54,6 @@ BLOCK = 256
 SLACK = 5.0
 
 
-def full_set(sketch, rest: bytes) -> np.ndarray:
-    """A document's sorted hashes, from its sketch and the others."""
-    return np.concatenate([np.asarray(sketch, np.int64), np.frombuffer(rest, "<i8")])
-
-
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets are similar enough: sizes first, then the estimate from the union's sketch, then the exact measure, in integers."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -95,18 +94,38 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]
     return out
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _fingerprint(hashes: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offs in text_blocks(batch.column(1)):
             sets = shingle_sets(data, offs, k)
             cols = [
                 batch.column(0).slice(i, j - i),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                pa.array([_fingerprint(s) for s in sets], pa.binary()),
                 pa.array([x[:SKETCH] for x in sets], pa.list_(pa.int64())),
-                pa.array([x[SKETCH:].astype("<i8").tobytes() for x in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "fp", "sketch", "rest"])
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "fp", "sketch"])
+
+
+def _full(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The sets of rows (id, text, fp) whose text has that fingerprint; other texts of a repeated id are left out."""
+    for batch in batches:
+        for i, j, data, offs in text_blocks(batch.column(1)):
+            asked = batch.column(2).slice(i, j - i).to_pylist()
+            rows = [(r, s) for r, (s, fp) in enumerate(zip(shingle_sets(data, offs, k), asked)) if _fingerprint(s) == fp]
+            cols = [batch.column(0).slice(i, j - i).take(pa.array([r for r, _ in rows], pa.int64())), pa.array([s.astype("<i8").tobytes() for _, s in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "hashes"])
+
+
+def full_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(id, hashes) of the documents in ``wanted`` (id, fp), from their texts: whole sets are made where a pair asks for them, and never stored for all documents."""
+    kind = dict(texts.dtypes)["id"]
+    rows = texts.join(wanted.select("id", "fp").distinct(), "id").select("id", "text", "fp")
+    return durable(rows.mapInArrow(lambda batches: _full(batches, shingle), f"id {kind}, hashes binary").dropDuplicates(["id"]))
 
 
 def _jaccard(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -115,17 +134,27 @@ def _jaccard(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         col = {x: batch.column(k) for k, x in enumerate(batch.schema.names)}
         ok = []
         for r in range(batch.num_rows):
-            ok.append(similar(*(full_set(col[f"sketch_{x}"][r].values, col[f"rest_{x}"][r].as_py()) for x in "ab"), percent))
+            ok.append(similar(*(np.frombuffer(col[f"hashes_{x}"][r].as_py(), "<i8") for x in "ab"), percent))
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    side = lambda x: sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "rest")])
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("hashes").alias(f"hashes_{x}"))
     full = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     kind = dict(pairs.dtypes)["a"]
     return full.mapInArrow(lambda batches: _jaccard(batches, percent), f"a {kind}, b {kind}")
 
 
+def verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs that pass the estimate and the exact measure."""
+    asked = durable(_estimated(pairs, reps, percent))
+    ids = asked.select(F.col("a").alias("id")).union(asked.select("b")).distinct()
+    sets = full_sets(texts, reps.join(ids, "id"), shingle)
+    out = durable(_verified(asked, sets, percent))
+    discard(asked, sets)
+    return out
+
+
 def _estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose similarity by the union's sketch may reach the threshold."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
@@ -176,17 +205,17 @@ def _links(outside: pa.Table, block: pa.Table, percent: int) -> pa.Table:
             shared = np.bincount(owner[at], minlength=len(docs))
             near = np.flatnonzero((shared >= np.minimum(need, r["need"])) & (100 * np.minimum(size, r["n"]) >= percent * np.maximum(size, r["n"])))
             found = {r["label"]}
-            mine = full_set(sketch, r["rest"]) if len(near) else None
+            mine = np.frombuffer(r["hashes"], "<i8")
             for k in near[np.argsort(-shared[near], kind="stable")]:
                 d = docs[k]
-                if d["label"] not in found and similar(mine, full_set(d["sketch"], d["rest"]), percent):
+                if d["label"] not in found and similar(mine, np.frombuffer(d["hashes"], "<i8"), percent):
                     found.add(d["label"])
                     pairs.append((min(r["id"], d["id"]), max(r["id"], d["id"])))
     kind = block.schema.field("id").type
     return pa.table({"a": pa.array([a for a, _ in pairs], kind), "b": pa.array([b for _, b in pairs], kind)})
 
 
-def outsider_links(large: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def outsider_links(large: DataFrame, labels: DataFrame, texts: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between documents of long lists that are in different components. Where one component has a quarter of a list or more, the others are held against all of it and each other; else all documents of the list against each other."""
     named = labels.select("id", F.col("label").alias("l"))
     rows = durable(large.select("id", "v").join(named, "id", "left").select("id", "v", F.coalesce("l", "id").alias("label")))
@@ -202,15 +231,17 @@ def outsider_links(large: DataFrame, labels: DataFrame, sets: DataFrame, percent
     inside = labels.select("id", "label").join(size, F.col("label") == F.col("main")).select("key", "id", "label", "rb", "mb", F.lit(False).alias("outer"))
     outer = out.drop("main").join(size, "key").select("key", "id", "label", "rb", "mb", F.lit(True).alias("outer"))
     members = durable(inside.union(outer))  # narrow, so that the sets are joined once, by broadcast if this is small
-    picked = durable(sets.select("id", "n", least_shared().alias("need"), "sketch", "rest").join(members, "id"))
+    asked = reps.join(members.select("id").distinct(), "id").select("id", "fp", "n", least_shared().alias("need"), "sketch")
+    sets = full_sets(texts, asked, shingle)
+    picked = durable(asked.drop("fp").join(sets, "id").join(members, "id"))
     part = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["id", "label", "n", "need", "sketch", "rest"]
+    cols = ["id", "label", "n", "need", "sketch", "hashes"]
     ask = picked.where("outer").withColumn("j", part("rb", 2)).select("key", "j", every("mb").alias("i"), *cols)
     block = reread(picked).withColumn("i", part("mb", 3)).select("key", every("rb").alias("j"), "i", *cols)
     group, kind = ["key", "i", "j"], dict(rows.dtypes)["id"]
     links = durable(ask.groupBy(*group).cogroup(block.groupBy(*group)).applyInArrow(lambda a, b: _links(a, b, percent), f"a {kind}, b {kind}"))
-    discard(rows, out, size, members, picked)
+    discard(rows, out, size, members, sets, picked)
     return links
 
 
@@ -247,18 +278,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError(f"the sketches serve thresholds from {PERCENT_FLOOR} percent on")
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(narrow.dtypes)["id"]
-    sets = durable(narrow.mapInArrow(lambda batches: _sets(batches, shingle), f"id {kind}, n long, fp binary, sketch array<long>, rest binary"))
+    sets = durable(narrow.mapInArrow(lambda batches: _sketches(batches, shingle), f"id {kind}, n long, fp binary, sketch array<long>"))
     linked = sets.where("n > 0 and id is not null")
     classes = durable(linked.groupBy("fp").agg(F.min("id").alias("rep")))
     rep_ids = classes.select(F.col("rep").alias("id"), "fp")
-    reps = linked.join(rep_ids, ["id", "fp"], "left_semi").dropDuplicates(["id"]).select("id", "n", "sketch")
+    reps = durable(linked.join(rep_ids, ["id", "fp"], "left_semi").dropDuplicates(["id"]).select("id", "n", "fp", "sketch"))
     pairs, prefix = candidates(reps)
     both = pairs.select("a", "b", "c").union(pairs.select("b", "a", "c"))
     best = both.groupBy("a").agg(F.max_by("b", F.struct("c", F.col("b"))).alias("x"), F.max_by("b", F.struct(F.when(F.col("c") > 1, 1).otherwise(0), -F.col("b"))).alias("y"))
     first = best.select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     first = durable(first)
-    every = linked.select("id", "n", "sketch", "rest")
-    done = [durable(_verified(first, every, percent))]
+    done = [verified(first, narrow, reps, shingle, percent)]
     labels = connected(done[0])
     side = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"l_{x}"))
     left = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
@@ -266,18 +296,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     large = prefix.where(F.col("m") > SMALL_LIST)
     for step in ("candidates", "outsiders"):
         if step == "candidates":
-            asked = durable(_estimated(open_, every, percent))
-            more = durable(_verified(asked, every, percent))
-            discard(asked)
+            more = verified(open_, narrow, reps, shingle, percent)
         elif large.isEmpty():
             break
         else:
-            more = outsider_links(large, labels, every, percent)
+            more = outsider_links(large, labels, narrow, reps, shingle, percent)
         done.append(more)
         if not more.isEmpty():
             old, labels = labels, connected(reduce(DataFrame.union, done))
             discard(old)
-    discard(pairs, prefix, first, *done)
+    discard(pairs, prefix, first, reps, *done)
     of_class = classes.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("c"))
     out = sets.select("id", "n", "fp").join(of_class, "fp", "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.least("c", "id")).otherwise(F.col("id"))
@@ -285,7 +313,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of one document of each component, with all columns; of repeated rows of that document one stays."""
+    """The rows of one document of each component, with all columns; repeated rows of that document all stay."""
     found = components(docs, id_col, text_col, shingle, percent)
     go = found.where("not kept").select(F.col(id_col).alias("__nd_id")).distinct()
     return docs.join(go, docs[id_col].eqNullSafe(go["__nd_id"]), "left_anti")
