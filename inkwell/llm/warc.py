@@ -1,12 +1,14 @@
 """WARC archives in Zstandard: one frame a record, the dictionary in a leading skippable frame.
 
-An archive is what one task writes: the dictionary frame, then a frame for each
-record. Spark's text writer stores the frames as rows, with an empty skippable
-frame as the line separator, which every Zstandard reader passes over; so
-archives can live in any file system that Spark can write. The reader takes the
-dictionary from the first frame, decodes each record's frame by itself, and
-checks the version line, the header names, ``Content-Length`` and, where a
-payload is stored, its length and SHA-1.
+An archive is the dictionary frame, then a frame for each record, up to
+``ARCHIVE_BYTES`` (a longer record is an archive of its own). Spark's text writer
+stores each archive as a file of one row, with an empty skippable frame as the
+line separator, which every Zstandard reader passes over; so archives can live
+in any file system that Spark can write. The reader takes the dictionary from
+the first frame, decodes each record's frame by itself, and checks the version
+line, the header names, ``Content-Length`` and, where a payload is stored, its
+length and SHA-1. What breaks the format becomes a row with an ``error``: a bad
+record alone, a bad frame with the rest of its archive.
 
 Records with equal payloads of at least ``min_revisit_bytes`` are stored once:
 the one with the largest id is ``response``, the others ``revisit`` it. Digests
@@ -14,8 +16,9 @@ and leaders move over narrow rows; each page crosses the network once, by id.
 
 Defined cases: a null html is an empty payload; a null url leaves the target
 header out; rows with a null id are responses and lead nothing; a repeated row
-of a leader is a response too; an empty table writes no record; extra columns
-are ignored.
+of a leader is a response too; an empty table writes no record; pages of any
+length are stored whole (Zstandard and Spark hold up to 2 GB in a value); extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 #: An empty skippable frame, written between rows.
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0).decode("ascii")
 MIN_REVISIT_BYTES = 1000
+#: Bytes of frames after which a task closes an archive and opens the next.
+ARCHIVE_BYTES = 32 << 20
 #: Bounds of the sample that the dictionary is trained on.
 DICT_PAGES, DICT_PAGE_CHARS, DICT_BYTES = 256, 4096, 32 << 10
 CREATED = "2024-01-01T00:00:00Z"
@@ -125,8 +130,8 @@ def decode_record(raw: bytes) -> dict:
     }
 
 
-def read_archive(data: bytes) -> Iterator[dict]:
-    """The records of an archive. Frames hold their decoded size, so no record is read past its end."""
+def frames(data: bytes) -> Iterator[bytes]:
+    """The decoded record frames of an archive. Frames hold their decoded size, so no record is read past its end."""
     at, decoder, first = 0, zstandard.ZstdDecompressor(), True
     while at < len(data):
         if len(data) - at < 8:
@@ -156,7 +161,29 @@ def read_archive(data: bytes) -> Iterator[dict]:
         if known not in (-1, len(raw)):
             raise BadRecord("the frame's content size differs")
         at = len(data) - len(one.unused_data)
-        yield decode_record(raw)
+        yield raw
+
+
+def read_archive(data: bytes) -> Iterator[dict]:
+    """The records of an archive; the first one that breaks the format raises."""
+    return map(decode_record, frames(data))
+
+
+def scan_archive(data: bytes) -> Iterator[dict]:
+    """The records of an archive, and an ``error`` for each one, and for the frame, that breaks the format."""
+    each = frames(data)
+    while True:
+        try:
+            raw = next(each, None)
+        except (BadRecord, zstandard.ZstdError) as e:
+            yield {"error": str(e)}
+            return
+        if raw is None:
+            return
+        try:
+            yield decode_record(raw)
+        except (ValueError, KeyError) as e:
+            yield {"error": str(e)}
 
 
 def with_record_types(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -171,16 +198,29 @@ def with_record_types(pages: DataFrame, id_col: str = "page_id", url_col: str =
     return both.select("id", "url", "html", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("kind"), "refers_to")
 
 
-def _frames(batches: Iterator[pa.RecordBatch], dictionary: bytes, level: int) -> Iterator[pa.RecordBatch]:
+def _archives(batches: Iterator[pa.RecordBatch], dictionary: bytes, level: int, archive_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Archives, one a row."""
     compressor = zstandard.ZstdCompressor(level=level, write_content_size=True, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-    opened = False
+    parts: list[bytes] = []
+    size = 0
+
+    def close() -> pa.RecordBatch:
+        nonlocal size
+        row = pa.RecordBatch.from_arrays([pa.array([b"".join([dict_frame(dictionary), *parts])], pa.binary())], ["archive"])
+        parts.clear()
+        size = 0
+        return row
+
     for batch in batches:
         for i in range(0, batch.num_rows, 256):
-            frames = [] if opened else [dict_frame(dictionary)]
-            opened = True
             for r in batch.slice(i, 256).to_pylist():
-                frames.append(compressor.compress(encode_record(r["id"], r["url"], r["html"].encode(), r["kind"], r["refers_to"])))
-            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
+                frame = compressor.compress(encode_record(r["id"], r["url"], r["html"].encode(), r["kind"], r["refers_to"]))
+                if parts and size + len(frame) > archive_bytes:
+                    yield close()
+                parts.append(frame)
+                size += len(frame)
+    if parts:
+        yield close()
 
 
 def sample_dictionary(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> bytes:
@@ -193,26 +233,27 @@ def sample_dictionary(pages: DataFrame, id_col: str = "page_id", html_col: str =
     return train_dictionary([r.html.encode() for r in sorted(rows, key=lambda r: (r.k, r.html or "")) if r.html])
 
 
-def write_archives(typed: DataFrame, path: str, dictionary: bytes = b"", level: int = 3) -> None:
-    """Write records from ``with_record_types`` as archives below ``path``, one for each task."""
-    frames = typed.mapInArrow(lambda batches: _frames(batches, dictionary, level), "frame binary")
-    frames.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
+def write_archives(typed: DataFrame, path: str, dictionary: bytes = b"", level: int = 3, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write records from ``with_record_types`` as archives below ``path``, as many for each task as its bytes need."""
+    rows = typed.mapInArrow(lambda batches: _archives(batches, dictionary, level, archive_bytes), "archive binary")
+    rows.select(F.col("archive").cast("string")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives below ``path``."""
-    schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    """The records of all archives below ``path``; ``error`` is null but for what breaks the format."""
+    schema = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long, error string"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
+        kind = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("error", pa.string())])
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = []
-                for r in read_archive(batch.column(0)[k].as_py()):
+                rows, size = [], 0
+                for r in scan_archive(batch.column(0)[k].as_py()):
                     rows.append(r)
-                    if len(rows) == 256:
+                    size += len(r.get("payload") or b"")
+                    if len(rows) == 256 or size > ARCHIVE_BYTES:
                         yield pa.RecordBatch.from_pylist(rows, kind)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kind)
 
@@ -220,9 +261,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(read, schema)
 
 
-def archive_round_trip(pages: DataFrame, **options) -> DataFrame:
+def archive_round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, **options) -> DataFrame:
     """Write every page, read the archives back, and return the records."""
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/inkwell-warc-{uuid.uuid4().hex}"
-    write_archives(with_record_types(pages, **options), path, sample_dictionary(pages, options.get("id_col", "page_id"), options.get("html_col", "html")))
+    write_archives(with_record_types(pages, **options), path, sample_dictionary(pages, options.get("id_col", "page_id"), options.get("html_col", "html")), archive_bytes=archive_bytes)
     return read_archives(spark, path)
