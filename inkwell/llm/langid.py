@@ -14,8 +14,8 @@ order of a hash of the id, and ``train_chars`` folded symbols of them.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 with no labelled row every text is ``und``; equal costs go to the smaller
-language name; repeated rows are predicted one by one; extra columns are
-ignored.
+language name; repeated rows are predicted one by one; a text of any length is
+parsed whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,8 +63,8 @@ def sample_labelled(docs: DataFrame, text_col: str, lang_col: str, id_col: str,
     return {k: v for k, v in sorted(texts.items()) if v}
 
 
-def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton as a table [state, symbol], 0 where there is none; state 0 is the start."""
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton, a mapping from symbols for each state; state 0 is the start."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -90,15 +90,15 @@ def suffix_automaton(symbols: list[int], n_symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.zeros((len(nxt), n_symbols), np.int32)
-    for s, row in enumerate(nxt):
-        for c, t in row.items():
-            table[s, c] = t
-    return table
+    return nxt
 
 
 class Automata:
-    """All languages' automata in one table; a dead state stands for 'no phrase is open'."""
+    """All languages' automata in one set of tables; state 0 is dead and stands for 'no phrase is open'.
+
+    Most states have one way out, which is kept as a pair of symbol and target; only
+    those that branch have a row of all symbols.
+    """
 
     def __init__(self, texts: dict[str, str]):
         self.langs = list(texts)
@@ -109,17 +109,25 @@ class Automata:
         letters = sorted((c for c in counts if c != " "), key=lambda c: (-counts[c], c))[:MAX_ALPHABET]
         code = {" ": 1} | {c: k + 2 for k, c in enumerate(letters)}
         self.width = width = len(code) + 1  # symbol 0 is any letter that was not learned
-        tables, roots, base = [], [], width  # row 0 is the dead state
+        symbol, target, rows, row_of, roots, base, n_rows = [[0]], [[0]], [np.zeros((1, width), np.int32)], [[0]], [], 1, 1
         for t in texts.values():
-            table = suffix_automaton([code.get(c, 0) for c in t], width).astype(np.int64)
-            table[:, 0] = 0
+            states = [{c: base + to for c, to in row.items() if c} for row in suffix_automaton([code.get(c, 0) for c in t])]
+            branching = [s for s, row in enumerate(states) if len(row) > 1 or s == 0]
+            table = np.zeros((len(branching), width), np.int32)
+            place = np.zeros(len(states), np.int32)
+            for k, s in enumerate(branching):
+                place[s] = n_rows + k
+                table[k, list(states[s])] = list(states[s].values())
+            one = [next(iter(row.items())) if len(row) == 1 and not place[s] else (0, 0) for s, row in enumerate(states)]
+            symbol.append([c for c, _ in one])
+            target.append([to for _, to in one])
+            rows.append(table)
+            row_of.append(place)
             roots.append(table[0])
-            tables.append(np.where(table > 0, base + table * width, 0))
-            roots[-1] = tables[-1][0]
-            base += table.size
-        # states are kept times the width, so that state + symbol is the place of the transition
-        self.step = np.concatenate([np.zeros((1, width), np.int64), *tables]).ravel().astype(np.int32 if base < 2**31 else np.int64)
-        self.root = np.stack(roots).astype(self.step.dtype)
+            base, n_rows = base + len(states), n_rows + len(branching)
+        self.symbol_of, self.target = np.concatenate(symbol).astype(np.uint8), np.concatenate(target).astype(np.int32)
+        self.row_of, self.rows = np.concatenate(row_of).astype(np.int32), np.concatenate(rows)
+        self.root = np.stack(roots)
         self.bits = np.array([np.log2(max(len(t), 2)) for t in texts.values()])
         self.symbol = np.ones(0x110000, np.uint8)
         for cp in range(0x110000):
@@ -129,6 +137,11 @@ class Automata:
                 self.symbol[cp] = code.get(low[0], 0)
         self.letter = np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), bool, 0x110000)
 
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The states after one more symbol, 0 where there is no way on."""
+        row = self.row_of[state]
+        return np.where(row > 0, self.rows[row, symbols], np.where(self.symbol_of[state] == symbols, self.target[state], 0))
+
     def phrases(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Phrases [language, piece] of the pieces symbols[bounds[i]:bounds[i+1]]."""
         size = np.diff(bounds)
@@ -136,12 +149,12 @@ class Automata:
         size, begin = size[order], bounds[:-1][order]
         longest = int(size[0]) if len(size) else 0
         alive = len(size) - np.searchsorted(size[::-1], np.arange(longest), "right")
-        state = np.zeros((len(self.langs), len(size)), self.step.dtype)
+        state = np.zeros((len(self.langs), len(size)), np.int32)
         count = np.zeros(state.shape, np.int32)
         for t in range(longest):
             k = alive[t]
             s = symbols[begin[:k] + t]
-            to = self.step[state[:, :k] + s]
+            to = self.step(state[:, :k], s)
             cut = to == 0
             count[:, :k] += cut
             state[:, :k] = np.where(cut, self.root[:, s], to)
