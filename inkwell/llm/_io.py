@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -15,24 +16,39 @@ from pyspark.sql import DataFrame, SparkSession
 BLOCK_BYTES = 1 << 20
 
 
+#: Folders of local sessions that name none, by application.
+_own: dict[str, str] = {}
+#: Spark deletes a query's shuffle files when it ends; what is written needs them no more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or, only where that is unset, one of our own (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets one of its own, and a cluster an error, as its executors do not share a temporary folder."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
-        where = "file://" + tempfile.mkdtemp(prefix="inkwell-shared-")
-        atexit.register(shutil.rmtree, where[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", where)
+        sc = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if sc.applicationId not in _own:
+            _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="inkwell-shared-")
+            atexit.register(shutil.rmtree, _own[sc.applicationId][7:], ignore_errors=True)
+        where = _own[sc.applicationId]
     return where
 
 
 def durable(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: later steps survive lost executors and do not recompute it."""
-    path = f"{shared_dir(df.sparkSession)}/inkwell-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/inkwell-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._durable_path = path
-    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of finished steps
     return out
 
 

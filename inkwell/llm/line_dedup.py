@@ -9,7 +9,8 @@ by document id.
 Defined cases: a row is a document, so repeated rows count each; a null or
 empty text is one empty line, whose key is too short to be dropped by default;
 a null text stays null in ``dedup_lines`` if nothing is dropped from it; rows
-with a null id keep their place; extra columns are kept.
+with a null id keep their place; a text of any length is split whole; an empty
+table gives an empty result; extra columns are kept.
 """
 
 from __future__ import annotations

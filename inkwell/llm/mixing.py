@@ -14,8 +14,9 @@ source with a third of all rows is spread over tasks like any other. Coins come
 from hashes of ids and sizes: reruns agree.
 
 Defined cases: null and empty texts have size 0 and take 0; a null source is a
-source of its own, last in the order; repeated rows are rounded one by one; an
-empty table gives an empty result; extra columns are ignored by ``mix_report``
+source of its own, last in the order; repeated rows and rows with a null id are
+rounded one by one; texts of any length count whole; an empty table gives an
+empty result; extra columns are ignored by ``mix_report``
 and kept by ``mix_documents``.
 """
 
@@ -103,12 +104,15 @@ def _round_last(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
-def mix_report(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = WEIGHTS, percent: int = 150, most: int = 2, group: int = GROUP
-) -> DataFrame:
-    """Per document: its id, ``size``, its source's ``source_size`` and ``target``, and the words ``taken``."""
-    spark = docs.sparkSession
+def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """Per document: its id, ``size``, its source's ``source_size`` and ``target``, and the words ``taken``. The options are those of ``taken_words``."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), F.col(text_col).alias("text"))
+    return taken_words(narrow, **options).withColumnRenamed("id", id_col)
+
+
+def taken_words(narrow: DataFrame, weights: Sequence[int] = WEIGHTS, percent: int = 150, most: int = 2, group: int = GROUP) -> DataFrame:
+    """The report for rows (id, src, text)."""
+    spark = narrow.sparkSession
     id_type = dict(narrow.dtypes)["id"]
     sized = durable(narrow.mapInArrow(_sizes, f"id {id_type}, src string, size long"))
     # one row a source; the mixture is a stated list of sources, and its shares are settled on the driver
@@ -139,15 +143,18 @@ def mix_report(
     every = out[0]
     for x in out[1:]:
         every = every.unionByName(x)
-    return every.select(F.col("id").alias(id_col), "size", "source_size", "target", ((F.col("whole") + F.col("part").cast("long")) * F.col("size")).alias("taken"))
+    return every.select("id", "size", "source_size", "target", ((F.col("whole") + F.col("part").cast("long")) * F.col("size")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """Every document that the mix takes, with all columns and the number of ``copies``; rows of a repeated id share its copies in no fixed order."""
-    taken = mix_report(docs, id_col, text_col, source_col, **options)
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("\0null"))  # one key for join and window, so that rows move once
+    """Every document that the mix takes, with all columns and the number of ``copies``; rows of one id, source and text share its copies in no fixed order.
+
+    Rows are told apart by a hash of all three, so that rows with a null id, or with one repeated id, do not meet in one task.
+    """
+    name = F.concat_ws(" ", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.hex(F.xxhash64(F.col(id_col).cast("string"), F.col(source_col).cast("string"), text_col)))
+    taken = taken_words(docs.select(name.alias("id"), F.col(source_col).cast("string").alias("src"), F.col(text_col).alias("text")), **options)
     copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("long")).otherwise(0)
-    lists = taken.groupBy(name.alias("__mx_key")).agg(F.sort_array(F.collect_list(copies), False).alias("__mx_copies"))  # as many as the id has rows
+    lists = taken.groupBy(F.col("id").alias("__mx_key")).agg(F.sort_array(F.collect_list(copies), False).alias("__mx_copies"))  # as many as there are equal rows
     both = docs.withColumn("__mx_key", name).join(lists, "__mx_key")
     nth = F.row_number().over(Window.partitionBy("__mx_key").orderBy("__mx_key"))
     both = both.withColumn("__mx_n", nth).withColumn("copies", F.get("__mx_copies", F.col("__mx_n") - 1))

@@ -5,8 +5,9 @@ inside n-grams found earlier in the same text, and inside lines found earlier.
 
 Defined cases: a null or empty text has no words and fails the base rules;
 repeated rows are judged one by one and get the same result; a text of any
-length is judged whole; extra columns are kept by ``filter_quality`` and
-ignored by ``quality_report``.
+length is judged whole, its bytes read step by step; an empty table gives an
+empty result; extra columns are kept by ``filter_quality`` and ignored by
+``quality_report``.
 """
 
 from __future__ import annotations
