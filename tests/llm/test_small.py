@@ -483,6 +483,58 @@ def test_mix_meets_the_targets(spark):
         assert abs(taken[s] - target[s]) <= largest[s] + 1e-6
 
 
+def slow_targets(sizes):
+    """Targets by their definition, in fractions: the largest common level of weight that the capped sources leave."""
+    from fractions import Fraction
+
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    capped = set()
+    while True:
+        left = Fraction(150 * sum(sizes.values()), 100) - sum(2 * sizes[s] for s in capped)
+        share = {s: left * weight[s] / sum(weight[x] for x in names if x not in capped) for s in names if s not in capped}
+        over = {s for s in share if share[s] > 2 * sizes[s]}
+        if not over:
+            return {s: Fraction(2 * sizes[s]) if s in capped else share[s] for s in names}
+        capped |= over
+
+
+def test_mix_query_equals_brute_force(spark, tmp_path):
+    from inkwell.llm.queries import op4_mixing
+
+    rng = random.Random(14)
+    rows = [(k, prose(rng, rng.randrange(1, 60)), rng.choice(["b", "a", "a", "Z", "é", None])) for k in range(400)] + [(900, None, "a"), (901, " \n", "only blanks"), (902, "one", "tiny")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op4_mixing(spark, str(tmp_path)).collect()}
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in rows}
+    total = {}
+    for i, _, s in rows:
+        total[s] = total.get(s, 0) + size[i]
+    target = slow_targets(total)
+    taken = {}
+    for i, _, s in rows:
+        r = got[i]
+        assert (r.size, r.source_size) == (size[i], total[s]) and math.isclose(r.target, float(target[s]), rel_tol=1e-12, abs_tol=1e-9)
+        assert 0 <= r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        taken[s] = taken.get(s, 0) + r.taken
+    for s in total:
+        assert abs(taken[s] - target[s]) <= max(size[i] for i, _, x in rows if x == s)
+    assert len(got) == len(rows)
+
+
+def test_mix_documents_takes_what_its_report_says(spark):
+    """Rows with a null id and repeated rows keep their copies; those of one source add up to its target."""
+    rng = random.Random(15)
+    rows = [(None if k % 3 else k % 7, prose(rng, rng.randrange(5, 40)), "en", f"s{k % 2}", k) for k in range(200)]
+    rows += rows[:20]
+    out = mixing.mix_documents(spark.createDataFrame(rows, SCHEMA)).collect()
+    size = {k: len(WORD.findall(t)) for _, t, _, _, k in rows}
+    total = {s: sum(len(WORD.findall(r[1])) for r in rows if r[3] == s) for s in ("s0", "s1")}
+    for s, want in slow_targets(total).items():
+        words = sum(size[r.n_chars] * r.copies for r in out if r.source == s)
+        assert abs(words - want) <= max(size.values())
+
+
 def test_mix_of_odd_rows(spark, odd):
     rows = mixing.mix_report(clash(odd, *NAMES)).collect()
     assert len(rows) == 10 and all(r.taken == 0 for r in rows if r.doc_id in (1, 2, 3))
@@ -517,6 +569,70 @@ def test_phrases_equal_brute_force():
         assert row.tolist() == [slow_phrases(t, langid.fold(train)) for t in asked]
 
 
+def slow_language(rows):
+    """The query by its definition: train on all labelled rows that are not held out, in the order of the ids' hashes, and cut each text's pieces into longest matches."""
+    import zlib
+
+    import xxhash
+
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i, *_ in rows}
+    key = lambda i: (lambda v: v - 2**64 if v >= 2**63 else v)(xxhash.xxh64(str(i).encode(), seed=42).intdigest())
+    train = {}
+    for i, text, lang in sorted(rows, key=lambda r: (r[2] or "", key(r[0]))):
+        if not held[i] and lang is not None and text:
+            train[lang] = (train.get(lang, "") + " " + langid.fold(text)).strip()
+    letters = set("".join(train.values()))
+    out = {}
+    for i, text, _ in rows:
+        if not any(c.isalpha() for c in text or ""):
+            out[i] = (held[i], "und", 0.0)
+            continue
+        folded = re.sub(" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in text))
+        pieces = [folded[k : k + langid.PIECE] for k in range(0, len(folded), langid.PIECE)]
+        cost = {}
+        for lang in sorted(train):
+            n = 0
+            for p in pieces:
+                at = 0
+                while at < len(p):
+                    end = at + 1
+                    while p[at] in letters and end < len(p) and p[at : end + 1] in train[lang]:
+                        end += 1
+                    n, at = n + 1, end
+            cost[lang] = n * math.log2(max(len(train[lang]), 2))
+        first, second = sorted(cost.values())[:2]
+        out[i] = (held[i], min(cost, key=lambda k: (cost[k], k)), round(second / (first + second), 9))
+    return out
+
+
+def test_language_query_equals_brute_force(spark, tmp_path):
+    from inkwell.llm.queries import op1_language_id
+
+    rng = random.Random(8)
+    vocab = {"aa": "der die das und nicht über größe".split(), "bb": "the of and not over size".split(), "cc": "le la et pas été où sur".split()}
+    rows = [(k, " ".join(rng.choice(vocab[lang]) + rng.choice(["", "", "en", ". ", "\n", "7"]) for _ in range(rng.choice([1, 5, 60, 500]))), lang if k % 4 else None) for k, lang in enumerate(rng.choice(list(vocab)) for _ in range(40))]
+    rows += [(900, None, "aa"), (901, "", None), (902, "123 .", "bb"), (903, "日本 the", None), (904, "ΔΕΖ" * 300, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.held_out, r.lang_pred, round(r.score, 9)) for r in op1_language_id(spark, str(tmp_path)).collect()}
+    assert got == slow_language(rows) and max(len(t or "") for _, t, _ in rows) > 3 * langid.PIECE
+
+
+def test_automata_of_a_large_alphabet():
+    """Letters beyond the alphabet's bound end a phrase; the others' phrases stay exact."""
+    rng = random.Random(13)
+    letters = [chr(0x4E00 + k) for k in range(400)]
+    texts = {k: "".join(rng.choice(letters[:300] if k == "x" else letters[100:]) for _ in range(3000)) for k in "xy"}
+    model = langid.Automata(texts)
+    assert model.width == langid.MAX_ALPHABET + 2
+    known = {c for c in letters if model.symbol[ord(c)]}
+    asked = [texts["x"][50:90], texts["y"][10:40] + texts["x"][5:9]]
+    symbols = model.symbol[[ord(c) for c in "".join(asked)]].astype(np.int64)
+    got = model.phrases(symbols, np.cumsum([0, *map(len, asked)]))
+    for row, train in zip(got, texts.values()):
+        cut = lambda t: re.sub("[^" + "".join(known) + "]", "\0", t)
+        assert row.tolist() == [slow_phrases(re.sub("\0", "\1", cut(t)), cut(train)) for t in asked]
+
+
 def test_held_out_accuracy(spark):
     from inkwell.llm.queries import op1_language_id
 
@@ -552,6 +668,31 @@ def test_archives_round_trip(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_archives_of_bounded_size(spark, tmp_path):
+    """Pages that fill many archives of 1 MB come back whole; a damaged record or frame becomes a row with an error."""
+    rng = np.random.default_rng(2)
+    rows = [(k, f"http://h/{k}", "<p>" + bytes(rng.integers(97, 123, 150_000, dtype=np.uint8)).decode()) for k in range(40)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(2)
+    path = f"{tmp_path}/warc"
+    warc.write_archives(warc.with_record_types(pages), path, warc.sample_dictionary(pages), archive_bytes=1 << 20)
+    files = sorted(tmp_path.glob("warc/part-*"))
+    assert len(files) >= 4 and max(f.stat().st_size for f in files) < (1 << 20) + 100_000
+    got = {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, path).collect()}
+    assert got == {k: h for k, _, h in rows}
+    bad = files[0].read_bytes()
+    for f in tmp_path.glob("warc/.*.crc"):
+        f.unlink()
+    files[0].write_bytes(bad[: len(bad) // 2])
+    rest = warc.read_archives(spark, path)
+    assert rest.where("error is not null").count() == 1 and 30 < rest.where("error is null").count() < 40
+    raw = warc.encode_record(1, "u", b"text", "response", None)
+    import zstandard
+
+    pack = zstandard.ZstdCompressor().compress
+    data = warc.dict_frame(b"") + pack(raw) + pack(raw.replace(b"WARC/1.1", b"WARC/9.9")) + pack(raw)
+    assert [r.get("page_id") for r in warc.scan_archive(data)] == [1, None, 1]
+
+
 def test_payloads_survive_and_damage_is_found():
     import zstandard
 
@@ -637,6 +778,28 @@ def test_url_rules_equal_brute_force(spark):
             assert got[i][3] == max(fit)[2]
 
 
+def test_merged_branches_decide(spark):
+    """Smoothed purity allows and rejects after a merge at a deeper node; a sibling that differs stays apart and out of the pool."""
+    rows, rules = [], []
+
+    def add(branch, good, bad, open_=1):
+        for k in range(good + bad + open_):
+            n = len(rows)
+            verdict = "allow" if k < good else "block" if k < good + bad else None
+            rows.append((n, f"http://site.org/top/{branch}/p{n:05d}/{'own' if verdict is None else verdict}"))
+            if verdict:
+                rules.append(("site.org", f"/top/{branch}/p{n:05d}/", verdict))
+
+    add("a", 40, 20)  # allowed by itself
+    add("b", 1, 2)  # rejected by itself (2 of 5), within chance of a: merged, allowed
+    add("c", 0, 30)  # differs: rejected, and its labels do not count for a and b
+    add("d", 0, 0)  # without labels: allowed
+    rows = [(n, u.replace("/own", "/own").replace("/allow", "/own").replace("/block", "/own")) for n, u in rows]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).where("rule is null").collect()
+    found = {r.template.split("/")[2]: (r.verdict, round(r.purity, 6)) for r in got}
+    assert found == {"a": ("allow", round(42 / 65, 6)), "b": ("allow", round(42 / 65, 6)), "c": ("block", round(1 / 32, 6)), "d": ("allow", 0.5)}
+
+
 def test_url_templates(spark):
     """A branch that the rules blocked wherever they could tell is rejected where they can't; others stay."""
     rules = [("site.org", "/bad/1", "block"), ("site.org", "/good/1", "allow")]
