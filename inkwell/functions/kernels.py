@@ -256,6 +256,7 @@ class Page:
     boxes: np.ndarray
     groups: np.ndarray
     dist: np.ndarray | None = None
+    by_left: np.ndarray | None = None
 
 
 def analyse(image: np.ndarray, cfg: Config = CONFIG) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,13 +287,17 @@ def is_comma(image: np.ndarray, box: np.ndarray, cfg: Config = CONFIG) -> bool:
 
 
 def attached(page: Page, ox: np.ndarray, oy: np.ndarray, w: int, h: int, comma: dict[int, bool], cfg: Config = CONFIG) -> tuple[np.ndarray, np.ndarray]:
-    """(placement, component) pairs of scripts and accents next to windows."""
-    b = page.boxes
-    if not len(b):
-        return np.zeros(0, int), np.zeros(0, int)
-    x0, y0, x1, y1 = (b[:, k][None, :] for k in range(4))
+    """(placement, component) pairs of scripts and accents next to windows. Only components are tested whose left edge can be near enough."""
+    if page.by_left is None:
+        page.by_left = np.argsort(page.boxes[:, 0], kind="stable")
+    left = page.boxes[page.by_left, 0]
+    low = np.searchsorted(left, ox - max(cfg.accent_max_width * w, 0))
+    high = np.searchsorted(left, ox + w + max(cfg.script_max_gap * h, 0), "right")
+    p, k = expand_ranges(low, high)
+    comp = page.by_left[k]
+    x0, y0, x1, y1 = (page.boxes[comp, i] for i in range(4))
     bw, bh = x1 - x0 + 1, y1 - y0 + 1
-    ox, oy = ox[:, None], oy[:, None]
+    ox, oy = ox[p], oy[p]
     right, bottom = ox + w, oy + h - 1
     script = (x0 >= right - 1) & (x0 <= right + cfg.script_max_gap * h) & (bh >= cfg.script_min_height * h) & (bh <= cfg.script_max_height * h)
     lap, off = cfg.script_min_overlap * h, cfg.script_min_offset * h
@@ -304,12 +309,52 @@ def attached(page: Page, ox: np.ndarray, oy: np.ndarray, w: int, h: int, comma:
     gap = cfg.accent_max_gap * h
     over &= ((y1 < oy) & (oy - y1 - 1 <= gap)) | ((y0 > bottom) & (y0 - bottom - 1 <= gap))
     only_sub = sub & ~sup
-    for c in np.unique(np.nonzero(only_sub)[1]):
+    for c in np.unique(comp[only_sub]):
         if c not in comma:
-            comma[c] = is_comma(page.image, b[c], cfg)
+            comma[c] = is_comma(page.image, page.boxes[c], cfg)
         if comma[c]:
-            only_sub[:, c] = False
-    return np.nonzero(only_sub | sup | over)
+            only_sub &= comp != c
+    keep = np.flatnonzero(only_sub | sup | over)
+    keep = keep[np.lexsort((comp[keep], p[keep]))]
+    return p[keep], comp[keep]
+
+
+def dedupe(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, score: np.ndarray, order: np.ndarray, iou: float) -> list[int]:
+    """Places of the boxes that stay, best score first: one goes if it overlaps one that stays by more than ``iou``. Only boxes in cells next to each other can overlap."""
+    kept: list[int] = []
+    cells: dict[tuple[int, int], list[int]] = {}
+    cw, ch = max(float(w.max(initial=1)), 1.0), max(float(h.max(initial=1)), 1.0)
+    box = list(zip(x.tolist(), y.tolist(), w.tolist(), h.tolist()))
+    for k in np.lexsort((order, -score)).tolist():
+        ax, ay, aw, ah = box[k]
+        i, j = int(ax // cw), int(ay // ch)
+        near = (m for a in (i - 1, i, i + 1) for b in (j - 1, j, j + 1) for m in cells.get((a, b), ()))
+        for m in near:
+            bx, by, bw, bh = box[m]
+            both = max(0, min(ax + aw, bx + bw) - max(ax, bx)) * max(0, min(ay + ah, by + bh) - max(ay, by))
+            if both and both / (aw * ah + bw * bh - both) > iou:
+                break
+        else:
+            kept.append(k)
+            cells.setdefault((i, j), []).append(k)
+    return kept
+
+
+def reading_order(x: np.ndarray, y: np.ndarray, h: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the boxes in reading order, the line of each): from top to bottom a box joins the last line if its centre is near the line's first one."""
+    centre = y + h / 2.0
+    by_centre = np.lexsort((order, centre))
+    line = np.zeros(len(x), np.int64)
+    n, first, tall = 0, 0.0, 0.0
+    for k, c, t in zip(by_centre.tolist(), centre[by_centre].tolist(), h[by_centre].tolist()):
+        if n and abs(c - first) <= 0.5 * min(t, tall):
+            tall = max(tall, t)
+        else:
+            n, first, tall = n + 1, c, t
+        line[k] = n
+    place = np.empty(len(x), np.int64)
+    place[by_centre] = np.arange(len(x))
+    return np.lexsort((place, x, line)), line
 
 
 def match_page(t: Template, page: Page, threshold: float, attached_ink: bool = True, keep_all: bool = False, stats: dict | None = None) -> np.ndarray:

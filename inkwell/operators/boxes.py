@@ -1,7 +1,7 @@
 """Boxes on pages: gates, proximity clusters, de-duplication and reading order.
 
-The order-dependent steps are folds over one page's sorted array, so they run
-in the JVM after a single shuffle by page.
+Order-dependent steps are kernels over one page's boxes, after a single shuffle
+by page; the search runs the same kernels where it finds the matches.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
@@ -61,32 +61,44 @@ def proximity_clusters(boxes: DataFrame, gap: int = CONFIG.cluster_gap_px) -> Da
     return listed.mapInArrow(run, "page long, x0 long, y0 long, x1 long, y1 long, ink long, members long")
 
 
-def _fold_kept(sorted_boxes: Column, iou: float) -> Column:
-    clash = lambda a, b: C.box_iou(a["x"], a["y"], a["w"], a["h"], b["x"], b["y"], b["w"], b["h"]) > iou
-    return F.aggregate(sorted_boxes, F.slice(sorted_boxes, 1, 0), lambda kept, m: F.when(F.exists(kept, lambda k: clash(m, k)), kept).otherwise(F.concat(kept, F.array(m))))
+def _per_page(rows: DataFrame, names: list[str], kernel, schema: str) -> DataFrame:
+    """``kernel`` over the boxes of each page, from arrays of doubles by name to equally long lists by column; a batch holds many pages."""
+    listed = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ord", *(F.col(c).cast("double").alias(c) for c in names)))).alias("b"))
+    out = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, edge = batch.column(1).flatten(), batch.column(1).offsets.to_numpy()
+            edge = edge - edge[0]
+            cols = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ["ord", *names]}
+            found = [kernel({c: v[a:b] for c, v in cols.items()}) for a, b in zip(edge, edge[1:])]
+            pages = np.repeat(batch.column(0).to_numpy(), [len(f[out[0]]) for f in found])
+            yield pa.RecordBatch.from_arrays([pa.array(pages), *(pa.array(np.concatenate([f[c] for f in found]).astype(_KINDS[kind])) for c, kind in (x.split() for x in schema.split(", ")))], ["page", *out])
+
+    return listed.mapInArrow(run, f"page long, {schema}")
+
+
+_KINDS = {"long": np.int64, "double": float}
 
 
 def dedupe(matches: DataFrame, iou: float = CONFIG.dedupe_iou) -> DataFrame:
-    """Best score first; a match that overlaps a kept one by more than ``iou`` goes. Ties keep the order of ``ord``."""
-    item = F.struct((-F.col("score")).alias("k"), "ord", "x", "y", "w", "h")
-    kept = matches.groupBy("page").agg(_fold_kept(F.array_sort(F.collect_list(item)), iou).alias("kept"))
-    return kept.select("page", F.posexplode("kept").alias("rank", "m")).select("page", "rank", "m.ord", "m.x", "m.y", "m.w", "m.h", (-F.col("m.k")).alias("score"))
+    """Best score first; a match that overlaps a kept one by more than ``iou`` goes. Ties keep the order of ``ord``. The kernel is that of the search."""
+
+    def kernel(t: dict) -> dict:
+        k = K.dedupe(t["x"], t["y"], t["w"], t["h"], t["score"], t["ord"], iou)
+        return {"rank": np.arange(len(k)), **{c: t[c][k] for c in ("ord", "x", "y", "w", "h", "score")}}
+
+    return _per_page(matches, ["x", "y", "w", "h", "score"], kernel, "rank long, ord long, x double, y double, w double, h double, score double")
 
 
 def reading_order(matches: DataFrame) -> DataFrame:
-    """Adds ``line`` and ``reading_ord``: a match joins the last line if its centre is near the line's first centre."""
-    cy = F.col("y") + F.col("h") / F.lit(2.0)
-    boxes = F.array_sort(F.collect_list(F.struct(cy.alias("cy"), F.col("ord").cast("long").alias("ord"), F.col("x").cast("double").alias("x"), F.col("h").cast("double").alias("h"))))
-    start = F.struct(F.lit(0.0).alias("cy"), F.lit(0.0).alias("h"), F.lit(0).alias("line"), F.expr("cast(array() as array<struct<line:int,x:double,pos:int,ord:bigint>>)").alias("out"))
-
-    def step(acc: Column, m: Column) -> Column:
-        same = (acc["line"] > 0) & (F.abs(m["cy"] - acc["cy"]) <= 0.5 * F.least(m["h"], acc["h"]))
-        line = F.when(same, acc["line"]).otherwise(acc["line"] + 1)
-        row = F.struct(line.alias("line"), m["x"].alias("x"), F.size(acc["out"]).alias("pos"), m["ord"].alias("ord"))
-        return F.struct(F.when(same, acc["cy"]).otherwise(m["cy"]).alias("cy"), F.when(same, F.greatest(acc["h"], m["h"])).otherwise(m["h"]).alias("h"), line.alias("line"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = matches.groupBy("page").agg(F.aggregate(boxes, start, step, lambda acc: F.array_sort(acc["out"])).alias("out"))
-    return folded.select("page", F.posexplode("out").alias("reading_ord", "m")).select("page", (F.col("reading_ord") + 1).alias("reading_ord"), "m.line", "m.ord")
+    """Adds ``line`` and ``reading_ord``: a match joins the last line if its centre is near the line's first centre. The kernel is that of the search."""
+
+    def kernel(t: dict) -> dict:
+        k, line = K.reading_order(t["x"], t["y"], t["h"], t["ord"])
+        return {"reading_ord": np.arange(1, len(k) + 1), "line": line[k], "ord": t["ord"][k]}
+
+    return _per_page(matches, ["x", "y", "h"], kernel, "reading_ord long, line long, ord long")
 
 
 def attached_pairs(windows: DataFrame, comps: DataFrame) -> DataFrame:

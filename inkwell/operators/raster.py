@@ -131,3 +131,27 @@ def index_sizes(index: DataFrame) -> DataFrame:
 def admissible(index: DataFrame, most: int = CONFIG.max_page_components) -> DataFrame:
     """Pages that are not too dense to be indexed."""
     return index.where(F.size("comps") <= most)
+
+
+def cut_regions(images: DataFrame, regions: DataFrame, factor: int = 2) -> DataFrame:
+    """(page, region, w, h, bits, error): the parts of pages that the boxes of ``regions`` (page, region, x, y, w, h, as shares of the page) cover, each pixel repeated ``factor`` times a side. A region that would exceed the limit of pixels, or lies off its page, has an error and no bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked = batch.column(batch.schema.get_field_index("asked"))
+            rows: dict[str, list] = {c: [] for c in ("page", "region", "w", "h", "bits", "error")}
+            whole = {page: (r, image) for r, (page, image) in ((r, x) for r in range(batch.num_rows) for x in images_of(batch.slice(r, 1)))}
+            for page, (r, image) in whole.items():
+                H, W = image.shape
+                for b in asked[r].as_py():
+                    x0, y0 = max(0, int(np.floor(b["x"] * W))), max(0, int(np.floor(b["y"] * H)))
+                    x1, y1 = min(W, int(np.ceil((b["x"] + b["w"]) * W))), min(H, int(np.ceil((b["y"] + b["h"]) * H)))
+                    w, h = max(0, x1 - x0) * factor, max(0, y1 - y0) * factor
+                    error = "off the page" if not w * h else "too large" if w * h > CONFIG.max_snip_pixels else None
+                    bits = None if error else np.repeat(np.repeat(image[y0:y1, x0:x1], factor, 0), factor, 1).tobytes()
+                    for c, v in zip(rows, (page, b["region"], w, h, bits, error)):
+                        rows[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()))], list(rows))
+
+    asked = regions.groupBy("page").agg(F.collect_list(F.struct(F.col("region").cast("long").alias("region"), *(F.col(c).cast("double").alias(c) for c in "xywh"))).alias("asked"))
+    return images.join(asked, "page").select("page", "w", "h", "bits", "asked").mapInArrow(run, "page long, region long, w int, h int, bits binary, error string")

@@ -1,8 +1,8 @@
 """Page search: a template matched against pages, best placements de-duplicated and put in reading order.
 
-Scoring is a kernel over one page at a time, which never leaves its partition;
-de-duplication, reading order and normalisation are DataFrame operations. The
-template is one small object and travels with the task.
+All of it is one kernel over one page at a time, which never leaves its
+partition, so a search has no shuffle. The template is one small object and
+travels with the task.
 """
 
 from __future__ import annotations
@@ -16,46 +16,85 @@ from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..functions import kernels as K
-from ..schemas import MATCH_PX
-from . import boxes
-from .raster import images_of
+from ..schemas import MATCH, MATCH_PX
 
 COLUMNS = ["x", "y", "w", "h", "score", "forward", "reverse", "scale"]
 
 
-def raw_matches(images: DataFrame, template: K.Template, threshold: float = CONFIG.similarity_threshold, attached_ink: bool = True, turns: tuple[int, ...] = (0,), keep_all: bool = False) -> DataFrame:
-    """Rows of MATCH_PX before de-duplication, numbered in the order (turn, anchor, candidate). A page that fails gives no rows; ``scan_report`` has its error."""
+def _found(images: DataFrame, template: K.Template, step: str, threshold: float, attached_ink: bool = True, turns: tuple[int, ...] = (0,), keep_all: bool = False) -> DataFrame:
+    """Matches after a step: "raw", "kept" (de-duplicated, with ``rank``) or "read" (in reading order, normalised). A page's own ``turns``, if there is such a column, go before those of the search."""
+    own = "turns" in images.columns
+    schema = {"raw": MATCH_PX, "kept": MATCH_PX + ", rank int", "read": MATCH}[step] + ", error string"
+    kinds = [(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[x.split()[1]]) for x in schema.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def page_rows(image: np.ndarray, asked: tuple[int, ...], cache: dict[int, K.Template]) -> dict[str, np.ndarray]:
         cfg = template.cfg
-        turned = [K.rotate(template, k) for k in turns]
+        _, found, groups = K.analyse(image, cfg)
+        if len(found) > cfg.max_page_components:
+            return {}
+        data = K.Page(image, found, groups)
+        for k in asked:
+            if k not in cache:
+                cache[k] = K.rotate(template, k)
+        rows = np.concatenate([K.match_page(cache[k], data, threshold, attached_ink, keep_all) for k in asked] or [np.zeros((0, 8))])
+        t = {c: rows[:, k] for k, c in enumerate(COLUMNS)} | {"ord": np.arange(len(rows))}
+        if step == "raw":
+            return t
+        k = K.dedupe(*(t[c] for c in ("x", "y", "w", "h", "score", "ord")), cfg.dedupe_iou)
+        t = {c: v[k] for c, v in t.items()} | {"rank": np.arange(len(k))}
+        if step == "kept":
+            return t
+        k, _ = K.reading_order(t["x"], t["y"], t["h"], t["rank"])
+        h, w = image.shape
+        return {"reading_ord": np.arange(1, len(k) + 1), "x_norm": t["x"][k] / w, "y_norm": t["y"][k] / h, "w_norm": t["w"][k] / w, "h_norm": t["h"][k] / h, "score": t["score"][k]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[int, K.Template] = {}
         for batch in batches:
-            for page, image in images_of(batch):
-                _, found, groups = K.analyse(image, cfg)
-                if len(found) > cfg.max_page_components:
-                    continue
-                data = K.Page(image, found, groups)
-                rows = np.concatenate([K.match_page(t, data, threshold, attached_ink, keep_all) for t in turned])
-                ints = [pa.array(rows[:, k].astype(np.int32)) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), page)), pa.array(np.arange(len(rows), dtype=np.int32)), *ints, *(pa.array(rows[:, k]) for k in range(4, 8))], ["page", "ord", *COLUMNS])
+            at = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
+            for r in range(batch.num_rows):
+                error, t = None, {}
+                try:
+                    w, h, bits = (at[c][r].as_py() for c in ("w", "h", "bits"))
+                    image = np.frombuffer(bits, np.uint8).reshape(h, w)
+                    asked = at["turns"][r].as_py() if own else None
+                    t = page_rows(image, tuple(turns if asked is None else asked), cache)
+                except Exception as e:  # a page that fails becomes a row, and the others go on
+                    error = f"{type(e).__name__}: {e}"
+                n = len(next(iter(t.values()), ())) if error is None else 1
+                if n:
+                    fixed = {"page": np.full(n, at["page"][r].as_py(), np.int64)}
+                    cols = [pa.array(fixed.get(c, t.get(c)).astype(kind.to_pandas_dtype()), kind) if c in fixed or c in t else pa.array([error] * n if c == "error" else [None] * n, kind) for c, kind in kinds]
+                    yield pa.RecordBatch.from_arrays(cols, [c for c, _ in kinds])
+
+    return images.select("page", "w", "h", "bits", *(["turns"] if own else [])).mapInArrow(run, schema)
 
-    return images.select("page", "w", "h", "bits").mapInArrow(run, MATCH_PX)
 
+def raw_matches(images: DataFrame, template: K.Template, threshold: float = CONFIG.similarity_threshold, **options) -> DataFrame:
+    """Rows of MATCH_PX before de-duplication, numbered in the order (turn, anchor, candidate)."""
+    return _found(images, template, "raw", threshold, **options).where("error is null").drop("error")
 
-def find_matches(images: DataFrame, template: K.Template, **options) -> DataFrame:
+
+def find_matches(images: DataFrame, template: K.Template, threshold: float = CONFIG.similarity_threshold, **options) -> DataFrame:
     """De-duplicated matches in page pixels, with their rank by score."""
-    raw = raw_matches(images, template, **options)
-    kept = boxes.dedupe(raw).select("page", "rank", "ord")
-    return raw.join(kept, ["page", "ord"])
+    return _found(images, template, "kept", threshold, **options).where("error is null").drop("error")
 
 
 def page_matches(images: DataFrame, template: K.Template, threshold: float = CONFIG.search_floor, **options) -> DataFrame:
     """Rows of MATCH: matches of each page in reading order, normalised by the page's size."""
-    raw = raw_matches(images, template, threshold=threshold, **options).select("page", "ord", "x", "y", "w", "h", "score")
-    kept = boxes.dedupe(raw)
-    order = boxes.reading_order(kept.select("page", F.col("rank").alias("ord"), "x", "y", "h")).withColumnRenamed("ord", "rank")
-    sized = kept.join(order, ["page", "rank"]).join(images.select("page", F.col("w").alias("pw"), F.col("h").alias("ph")), "page")
-    return sized.select("page", "reading_ord", (F.col("x") / F.col("pw")).alias("x_norm"), (F.col("y") / F.col("ph")).alias("y_norm"), (F.col("w") / F.col("pw")).alias("w_norm"), (F.col("h") / F.col("ph")).alias("h_norm"), "score")
+    return search_pages(images, template, threshold, **options).where("error is null").drop("error")
+
+
+def search_pages(images: DataFrame, template: K.Template, threshold: float = CONFIG.search_floor, **options) -> DataFrame:
+    """Rows of MATCH, and one with an ``error`` for each page that failed."""
+    return _found(images, template, "read", threshold, **options)
+
+
+def with_turns(images: DataFrame, pages: DataFrame, turned: DataFrame) -> DataFrame:
+    """Images with ``turns`` to search: upright, and those that the text layer of the page shows. ``pages`` maps a raster's page to (doc_id, page_number), ``turned`` has (doc_id, page_number, turn)."""
+    each = turned.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_set(F.col("turn").cast("int"))).alias("t"))
+    mine = pages.join(each, ["doc_id", "page_number"]).select("page", "t")
+    return images.join(mine, "page", "left").withColumn("turns", F.concat(F.array(F.lit(0)), F.coalesce("t", F.array().cast("array<int>")))).drop("t")
 
 
 def scan_report(images: DataFrame) -> DataFrame:
@@ -68,7 +107,7 @@ def scan_report(images: DataFrame) -> DataFrame:
                 try:
                     image = np.frombuffer(r["bits"], np.uint8).reshape(r["h"], r["w"])
                     n = len(K.components(K.find_runs(image), r["w"], CONFIG.min_cc_pixels)[0])
-                except (TypeError, ValueError) as e:
+                except Exception as e:  # whatever is wrong with a page shows in its row
                     error = str(e)
                 yield pa.RecordBatch.from_arrays([pa.array([r["page"]], pa.int64()), pa.array([n], pa.int64()), pa.array([n is not None and n > CONFIG.max_page_components]), pa.array([error], pa.string())], ["page", "components", "dense", "error"])
 

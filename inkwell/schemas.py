@@ -1,19 +1,9 @@
 """Schemas of the engine's tables, as DDL."""
 
-RASTER = "doc_id string, page_number int, w int, h int, scale double, rgba binary"
 IMAGE = "page long, w int, h int, bits binary"
-RUN = "page long, run_id long, y int, x0 int, x1 int"
-COMPONENT = "page long, cc_id int, x0 int, y0 int, x1 int, y1 int, ink int"
-CLUSTER = "page long, cluster_id int, x0 int, y0 int, x1 int, y1 int, ink int, members int"
 PAGE_INDEX = (
     "page long, w int, h int, row_start array<int>, runs array<struct<x0:int,len:int>>, comps array<struct<x0:int,y0:int,x1:int,y1:int,ink:int>>, "
     "clusters array<struct<x0:int,y0:int,x1:int,y1:int,ink:int,members:int>>, by_x0 array<int>, bytes long"
 )
 MATCH_PX = "page long, ord int, x int, y int, w int, h int, score double, forward double, reverse double, scale double"
 MATCH = "page long, reading_ord int, x_norm double, y_norm double, w_norm double, h_norm double, score double"
-TEXT_RAW = "doc_id long, page_number int, item_ord int, str string, transform array<double>, width double, height double"
-TEXT_ITEM = "doc_id long, page_number int, item_ord int, str string, x double, y double, w double, h double"
-OUTLINE = "doc_id long, ord int, depth int, title string, page_number int"
-PAGE_LABEL = "doc_id long, page_number int, label string"
-PAGE_REF = "doc_id long, label string, page_number int, exact boolean"
-SETTINGS = "index_max_mb double, release_after_min int"

@@ -77,6 +77,11 @@ def duck(*names: str) -> str:
     return ",\n".join(f"{k} AS ({v})" for k, v in out.items())
 
 
+def view_of(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
+    """A view that needs no other one, over the given tables, which may be streams."""
+    return spark.sql(VIEWS[name].replace("{text}", "STRING"), **tables)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view in Spark."""
     sql = VIEWS[name].replace("{text}", "STRING")

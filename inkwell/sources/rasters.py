@@ -1,4 +1,4 @@
-"""Page rasters as sources: image files, RGBA tables, and a Python data source of tiled rasters.
+"""Page rasters as sources: image files and RGBA tables.
 
 All give rows of IMAGE: one binary byte a pixel, ready for ``operators.raster``.
 """
