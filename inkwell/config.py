@@ -15,17 +15,12 @@ class Config:
     alpha_min: int = 16
     # page index
     render_scale: float = 3.0
-    preindex_on_load: bool = True
-    preindex_start_delay_ms: int = 2000
-    preindex_page_pause_ms: int = 60
     index_max_mb: float = 250.0
     index_reserved_share: float = 0.25
     index_min_mb: float = 50.0
     release_hidden_after_min: float = 30.0
     dt_cache_pages: int = 6
     # templates
-    template_render_scale: float = 3.0
-    snip_render_factor: float = 2.0
     # size limits
     max_index_pixels: float = 40e6
     max_snip_pixels: float = 8e6

@@ -1,109 +1,32 @@
-"""Ranked page cache under a memory cap.
-
-Admission depends on arrival order, so it is a fold over one document's pages;
-``streaming.cache`` runs the same fold on state between micro-batches.
-"""
+"""Which pages fit under a memory cap: running sums in rank order. Keeping them is left to Spark's storage."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..functions.columns import page_rank
 
 
-@dataclass
-class PageCache:
-    """Pages kept of one document: the best-ranked ones that fit."""
-
-    cap: float
-    anchor: int = 1
-    reserved: list[int] = field(default_factory=list)
-    entries: dict[int, tuple[int, bool]] = field(default_factory=dict)  # page: (bytes, counted as reserved)
-    full: bool = False
-
-    def rank(self, page: int, reserved: bool) -> int:
-        d = page - self.anchor
-        return -1 if reserved else 2 * d if d >= 0 else -2 * d - 1
-
-    @property
-    def bytes(self) -> int:
-        return sum(b for b, _ in self.entries.values())
-
-    @property
-    def reserved_bytes(self) -> int:
-        return sum(b for b, r in self.entries.values() if r)
-
-    def fits_reserve(self, page: int, size: int) -> bool:
-        return page in self.reserved and self.reserved_bytes + size <= CONFIG.index_reserved_share * self.cap
-
-    def evict(self, than: float) -> bool:
-        """Drop the worst page if it ranks worse than ``than``."""
-        if not self.entries:
-            return False
-        worst = max(self.entries, key=lambda p: self.rank(p, self.entries[p][1]))
-        if self.rank(worst, self.entries[worst][1]) <= than:
-            return False
-        del self.entries[worst]
-        self.full = True
-        return True
-
-    def admit(self, page: int, size: int) -> bool:
-        """Keep a page if it fits once worse ones have made room. They stay evicted even if the page is refused in the end."""
-        if page in self.entries:
-            return True
-        reserved = self.fits_reserve(page, size)
-        mine = self.rank(page, reserved)
-        while self.bytes + size > self.cap:
-            if not self.evict(mine):
-                self.full = True
-                return False
-        self.entries[page] = (size, reserved)
-        return True
-
-    def set_limit(self, cap: float) -> None:
-        self.cap = cap
-        self.mark_reserved()
-        while self.bytes > cap and self.evict(float("-inf")):
-            pass
-
-    def set_anchor(self, page: int) -> None:
-        self.anchor = page
-
-    def set_reserved(self, pages: list[int]) -> None:
-        self.reserved = pages
-        self.mark_reserved()
-
-    def mark_reserved(self) -> None:
-        self.entries = {p: (b, False) for p, (b, _) in self.entries.items()}
-        for p in self.reserved:
-            if p in self.entries and self.fits_reserve(p, self.entries[p][0]):
-                self.entries[p] = (self.entries[p][0], True)
-
-
-def admit_all(pages: DataFrame, cap: float, anchor: int = 1, reserved: tuple[int, ...] = (), later_cap: float | None = None) -> DataFrame:
-    """(doc_id, page_number, bytes, reserved, full) kept after the pages (doc_id, page_number, bytes, arrival) came in; ``later_cap`` is a limit set afterwards."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        cache = PageCache(cap, anchor, list(reserved))
-        for r in pdf.sort_values(["arrival", "page_number"]).itertuples():
-            cache.admit(int(r.page_number), int(r.bytes))
-        if later_cap is not None:
-            cache.set_limit(later_cap)
-        rows = [(int(pdf["doc_id"].iloc[0]), p, b, r, cache.full) for p, (b, r) in sorted(cache.entries.items())]
-        return pd.DataFrame(rows, columns=["doc_id", "page_number", "bytes", "reserved", "full"])
-
-    return pages.groupBy("doc_id").applyInPandas(fold, "doc_id long, page_number long, bytes long, reserved boolean, full boolean")
-
-
 def preindex(pages: DataFrame, cap: float, anchor: int = 1) -> DataFrame:
     """Pages in rank order whose running bytes fit the cap: what background indexing keeps when pages come best first."""
-    from pyspark.sql import Window
-
     rank = page_rank(F.col("page_number"), F.lit(anchor), F.lit(False))
     w = Window.partitionBy("doc_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return pages.withColumn("rank", rank).withColumn("used", F.sum("bytes").over(w)).where(F.col("used") <= cap)
+
+
+def retained(pages: DataFrame, cap: float, anchor: int = 1, reserved: tuple[int, ...] = ()) -> DataFrame:
+    """(doc_id, page_number, bytes, reserved, full): the pages that fit the cap together, whatever the order they come in.
+
+    Reserved pages go first, in their order, as far as their running bytes fit the reserved share;
+    the others follow by rank. ``full`` says whether a page of the document stays out.
+    """
+    asked = pages.withColumn("place", F.array_position(F.array(*map(F.lit, reserved)).cast("array<long>"), F.col("page_number").cast("long")))
+    each = Window.partitionBy("doc_id")
+    first = each.orderBy(F.col("place") == 0, "place", "page_number").rowsBetween(Window.unboundedPreceding, 0)
+    rows = asked.withColumn("reserved", (F.col("place") > 0) & (F.sum("bytes").over(first) <= CONFIG.index_reserved_share * cap))
+    rank = F.when(F.col("reserved"), F.col("place") - F.lit(len(reserved) + 1)).otherwise(page_rank(F.col("page_number"), F.lit(anchor), F.lit(False)))
+    used = F.sum("bytes").over(each.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("rank", rank).withColumn("kept", used <= cap)
+    return rows.withColumn("full", F.max(~F.col("kept")).over(each)).where("kept").select("doc_id", "page_number", "bytes", "reserved", "full")

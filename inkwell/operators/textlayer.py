@@ -51,7 +51,7 @@ def fold_lines(items: Column, tol: Column) -> Column:
     return F.aggregate(items, start, step, lambda acc: F.transform(acc["lines"], lambda line: F.array_join(F.transform(F.array_sort(line), lambda i: i["s"]), " ")))
 
 
-#: A line that ends in a page number, a range or a number with a suffix.
+# Fixed value: a line that ends in a page number, a range or a number with a suffix.
 ENDS_IN_NUMBER = r"\d+(?:\s*[–—-]\s*\d+)?(?:f|ff|n)?\s*$"
 
 

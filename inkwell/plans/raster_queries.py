@@ -11,10 +11,12 @@ from ..functions import columns as C
 from ..functions import kernels as K
 from ..operators import cache, display, raster, templates
 from ..operators import search as S
-from ..sources.bridge import duck_pixels, glyph_raster, rasters, view
+from ..operators import textlayer as T
+from ..sources.bridge import duck_pixels, glyph_raster, rasters, view, view_of
 from ..streaming import pages as P
 from .registry import query
 from .search import first_jump, look_up_index, search_document
+from .text_queries import raw_items
 
 col, lit = F.col, F.lit
 
@@ -255,7 +257,7 @@ def q7_prepare_template(spark, d):
     return rows
 
 
-@query()
+@query("SELECT page, CAST(count(*) AS BIGINT) AS n, CAST(sum(d) AS BIGINT) AS total FROM dt GROUP BY page", ctes=PX_B + ",\n" + DT)
 def a14_expanded_pages(spark, d):
     """Pages ready for matching: expanded from the index, with their distance transform summed."""
     back = raster.expand(raster.page_index(images(spark, d)))
@@ -272,9 +274,17 @@ def r2_page_matches(spark, d):
     return S.page_matches(images(spark, d, glyphs=True), symbol(1))
 
 
+@query()
+def e16_page_turns_search(spark, d):
+    """Each page searched upright and in the turns that its text layer shows."""
+    pages = spark.read.parquet(f"{d}/benchmark.parquet").select(col("item_id").alias("page"), col("item_id").cast("long").alias("doc_id"), lit(1).cast("long").alias("page_number"))
+    turned = S.with_turns(images(spark, d, glyphs=True), pages, T.sideways_turns(raw_items(spark, d)))
+    return S.page_matches(turned, symbol(4), threshold=0.9)
+
+
 @query()
 def e16_sideways_search(spark, d):
-    """The template and its quarter turns, de-duplicated together."""
+    """The template and its quarter turns on all pages, de-duplicated together."""
     return S.page_matches(images(spark, d, glyphs=True), symbol(4), turns=(0, 1, 2, 3), threshold=0.9)
 
 
@@ -398,18 +408,25 @@ def s6_progress(spark, d):
     return j.withColumn("full", col("indexed") < col("total"))
 
 
-def arrivals(spark, d):
-    return conv(spark, d).select("doc_id", "page_number", "bytes", (col("page_number") * 7 % 5).alias("arrival"))
+def kept_sql(cap: float) -> str:
+    return f"""r1 AS (SELECT *, list_position([{", ".join(map(str, RESERVED))}], page_number) AS place, CASE WHEN page_number = 2 THEN 0 WHEN page_number < 2 THEN 2 * (2 - page_number) - 1 ELSE 2 * (page_number - 2) END AS rank FROM conv),
+r2 AS (SELECT *, coalesce(place, 0) > 0 AND sum(bytes) OVER (PARTITION BY doc_id ORDER BY coalesce(place, 0) = 0, place, page_number ROWS UNBOUNDED PRECEDING) <= {CONFIG.index_reserved_share} * {cap} AS reserved FROM r1),
+r3 AS (SELECT *, sum(bytes) OVER (PARTITION BY doc_id ORDER BY CASE WHEN reserved THEN place - {len(RESERVED) + 1} ELSE rank END ROWS UNBOUNDED PRECEDING) <= {cap} AS kept FROM r2),
+r4 AS (SELECT *, bool_or(NOT kept) OVER (PARTITION BY doc_id) AS "full" FROM r3)"""
 
 
-@query()
+KEPT = 'SELECT doc_id, page_number, bytes, reserved, "full" FROM r4 WHERE kept'
+
+
+@query(KEPT, "conv", kept_sql(CAP))
 def l5_admit(spark, d):
-    return cache.admit_all(arrivals(spark, d), CAP, 2, RESERVED)
+    return cache.retained(conv(spark, d), CAP, 2, RESERVED)
 
 
-@query()
+@query(KEPT, "conv", kept_sql(1200.0))
 def l6_limits(spark, d):
-    return cache.admit_all(arrivals(spark, d), CAP, 2, RESERVED, later_cap=1200.0)
+    """The same under a smaller cap."""
+    return cache.retained(conv(spark, d), 1200.0, 2, RESERVED)
 
 
 EVENTS = "gen AS (SELECT *, sum(CASE WHEN kind = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY tab ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS generation FROM ev)"
@@ -433,9 +450,11 @@ def l7_hidden_release(spark, d):
 
 @query("SELECT tab, page, CAST(count(*) AS BIGINT) AS n, CAST(min(event_id) AS BIGINT) AS first_id FROM ev WHERE kind IN ('view', 'click') GROUP BY tab, page", "ev")
 def l1_incremental_results(spark, d):
-    """Results page by page as a stream of the events drained in micro-batches, merged by key."""
-    e = view(spark, d, "ev").where(col("kind").isin("view", "click"))
-    return e.groupBy("tab", "page").agg(F.count(lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+    """Results page by page: the events drained as a stream in micro-batches, whose counts are merged by key."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")  # a pattern, as a stream takes no single file
+    e = view_of(spark, "ev", events=stream).where(col("kind").isin("view", "click"))
+    return P.merged_counts(e, ["tab", "page"], "event_id")
 
 
 @query("SELECT tab, page, CAST(k AS BIGINT) AS k FROM (SELECT tab, page, row_number() OVER (PARTITION BY tab ORDER BY max(ts) DESC, max(event_id) DESC) AS k FROM ev GROUP BY tab, page) WHERE k <= 6", "ev")

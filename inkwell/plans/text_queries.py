@@ -289,10 +289,26 @@ def e8_reference_band(spark, d):
     return rows.select(*T.PAGE, text("line").alias("line"), text("below").alias("below"))
 
 
-@query()
+LINE_REFS = r"""hm AS (SELECT b.doc_id, b.page_number, b.x, b.y, b.w, b.h, l.m FROM hb b JOIN ls l ON l.doc_id = b.doc_id AND l.page_number = b.page_number),
+li AS (SELECT b.doc_id, b.page_number, 0 AS place, i.str AS s, i.x, i.x + i.w AS r, i.item_ord AS o FROM hm b JOIN item i ON i.doc_id = b.doc_id AND i.page_number = b.page_number AND i.y + i.h / 2 BETWEEN b.y - 0.35 * b.h AND b.y + b.h + 0.35 * b.h AND i.x >= b.x + b.w - 0.35 * b.h
+  UNION ALL SELECT b.doc_id, b.page_number, 1, i.str, i.x, i.x + i.w, i.item_ord FROM hm b JOIN item i ON i.doc_id = b.doc_id AND i.page_number = b.page_number AND i.x >= b.x AND i.y + i.h / 2 >= b.y + b.h / 2 + 0.6 * CASE WHEN coalesce(m, 0) = 0 THEN b.h / 0.7 ELSE m END AND i.y + i.h / 2 <= b.y + b.h / 2 + 1.6 * CASE WHEN coalesce(m, 0) = 0 THEN b.h / 0.7 ELSE m END),
+lg AS (SELECT *, row_number() OVER w AS i, coalesce(x - lag(r) OVER w > {gap}, false) AS wide, regexp_matches(ltrim(s), '^[0-9]') AS digit FROM li WINDOW w AS (PARTITION BY doc_id, page_number, place ORDER BY x, o)),
+lt AS (SELECT doc_id, page_number, place, i, wide, digit, unnest(list_concat([NULL], ts)) AS tok, unnest(range(0, len(ts) + 1)) AS j FROM (SELECT *, regexp_extract_all(s, '{token}') AS ts FROM lg)),
+lc AS (SELECT *, sum(CASE WHEN regexp_matches(tok, '^[A-Za-z]') AND NOT regexp_matches(tok, '{roman}') AND NOT regexp_matches(tok, '{suffix}') THEN 1 ELSE 0 END) OVER w AS cut, coalesce(regexp_matches(tok, '^[1-9]') OR regexp_matches(tok, '{roman}'), false) AS counts,
+  coalesce(regexp_matches(tok, '^[1-9]') OR regexp_matches(tok, '{roman}') AND last_value(tok IGNORE NULLS) OVER (PARTITION BY doc_id, page_number, place ORDER BY i, j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = ',', false) AS opens FROM lt WINDOW w AS (PARTITION BY doc_id, page_number, place ORDER BY i, j ROWS UNBOUNDED PRECEDING)),
+lr AS (SELECT *, counts AND bool_or(opens) OVER (PARTITION BY doc_id, page_number, place, cut ORDER BY i, j ROWS UNBOUNDED PRECEDING) AS ref FROM lc),
+lh AS (SELECT *, bool_or(ref) OVER (PARTITION BY doc_id, page_number, place, cut ORDER BY i, j ROWS UNBOUNDED PRECEDING) AS here, bool_or(ref) OVER (PARTITION BY doc_id, page_number, place ORDER BY i, j ROWS UNBOUNDED PRECEDING) AS seen_ref FROM lr),
+le AS (SELECT *, bool_or(tok IS NULL AND wide AND (here OR seen_ref AND NOT digit)) OVER (PARTITION BY doc_id, page_number, place ORDER BY i, j ROWS UNBOUNDED PRECEDING) AS ended FROM lh),
+lz AS (SELECT *, max(cut) OVER (PARTITION BY doc_id, page_number, place) AS last_cut, min(place) OVER (PARTITION BY doc_id, page_number) AS first_place FROM le WHERE ref AND NOT ended),
+lu AS (SELECT doc_id, page_number, regexp_extract(tok, '^[0-9]+|.*') AS label, min(i * 100000 + j) AS pos FROM lz WHERE cut = last_cut AND place = first_place GROUP BY doc_id, page_number, label)""".format(
+    gap=CONFIG.index_max_gap, token=I.TOKEN, roman=I.ROMAN, suffix=I.SUFFIX
+)
+
+
+@query(f"SELECT * FROM (SELECT doc_id, page_number, CAST(row_number() OVER (PARTITION BY doc_id, page_number ORDER BY pos) - 1 AS BIGINT) AS k, label FROM lu) WHERE k < {CONFIG.index_max_refs}", "item", BAND + ",\n" + LINE_REFS)
 def g3_refs_in_line(spark, d):
-    """References beside the first item of each page; a state machine over tokens, held against a slow double in tests."""
-    return I.page_refs(hits(spark, d), items(spark, d)).select(*T.PAGE, "k", "label")
+    """References beside or below the first item of each page."""
+    return I.page_refs(hits(spark, d), items(spark, d)).select(*T.PAGE, F.col("k").cast("long").alias("k"), "label")
 
 
 @query("SELECT doc_id, page_number, item_ord, str FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY x, item_ord) AS k FROM item WHERE trim(str) <> '') WHERE k <= 5", "item")

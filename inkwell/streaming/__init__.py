@@ -1 +1 @@
-"""Incremental search and stateful page cache on Structured Streaming."""
+"""Incremental search and counts on Structured Streaming."""

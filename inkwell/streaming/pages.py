@@ -6,17 +6,15 @@ generations are late data and are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import CONFIG
 from ..functions import kernels as K
 from ..operators import search as S
-from ..operators.cache import PageCache
 from ..schemas import IMAGE
 
 
@@ -53,24 +51,23 @@ def releases(events: DataFrame, minutes: float = CONFIG.release_hidden_after_min
     return gap.where(F.col("ts") > F.col("since") + F.expr(f"make_dt_interval(0, 0, {int(minutes)}, 0)")).select("tab", "event_id", F.expr(f"since + make_dt_interval(0, 0, {int(minutes)}, 0)").alias("released_at"))
 
 
-def cached_pages(stream: DataFrame, cap: float, anchor: int = 1, reserved: tuple[int, ...] = ()) -> DataFrame:
-    """The cache of each document as state between micro-batches: after each, the pages it holds. From (doc_id, generation, page_number, bytes)."""
-    state = "generation long, pages array<long>, bytes array<long>, reserved array<boolean>, full boolean"
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        generation, cache = -1, PageCache(cap, anchor, list(reserved))
-        if group.exists:
-            generation, pages, sizes, flags, cache.full = group.get
-            cache.entries = {int(p): (int(b), bool(r)) for p, b, r in zip(pages, sizes, flags)}
-        for frame in frames:
-            for r in frame.itertuples():
-                if r.generation < generation:
-                    continue  # late: its document was replaced
-                if r.generation > generation:
-                    generation, cache = int(r.generation), PageCache(cap, anchor, list(reserved))
-                cache.admit(int(r.page_number), int(r.bytes))
-        e = cache.entries
-        group.update((generation, list(e), [b for b, _ in e.values()], [r for _, r in e.values()], cache.full))
-        yield pd.DataFrame([(key[0], generation, sorted(e), cache.bytes, cache.full)], columns=["doc_id", "generation", "kept", "bytes", "full"])
-
-    return stream.groupBy("doc_id").applyInPandasWithState(step, "doc_id long, generation long, kept array<long>, bytes long, full boolean", state, "update", GroupStateTimeout.NoTimeout)
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a stream's results: below ``spark.checkpoint.dir``, which executors share, or in a local session that has none (tests) below a temporary one."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="inkwell-stream-")
+    return f"{where}/inkwell-{uuid.uuid4().hex}"
+
+
+def merged_counts(stream: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """Rows of a stream counted by key, with the smallest id: each micro-batch appends its own counts once, under its number, and these are merged."""
+    out = scratch(stream.sparkSession)
+
+    def one(batch: DataFrame, number: int) -> None:
+        part = batch.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id"))
+        part.write.mode("overwrite").parquet(f"{out}/data/batch={number}")  # a batch that is run again replaces its counts
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{out}/data").groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))

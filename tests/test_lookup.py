@@ -1,14 +1,18 @@
 """Hand rows for text rules, page orders, the cache, and the streams."""
 
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkwell.config import CONFIG
 from inkwell.functions import columns as C
 from inkwell.operators import bookindex as I
 from inkwell.operators import boxes as B
 from inkwell.operators import search as S
-from inkwell.operators.cache import PageCache
+from inkwell.operators import cache
 from inkwell.sources.bridge import glyph_raster, rasters
 from inkwell.streaming import pages as P
 
@@ -21,23 +25,54 @@ def line(*texts, gap=0.01):
     return out
 
 
-@pytest.mark.parametrize(
-    "items, refs",
-    [
-        (line("filtration, 23"), ["23"]),
-        (line("45–47"), ["45"]),
-        (line("102f, 110ff"), ["102", "110"]),
-        (line("Euclidean 3-space, 12"), ["12"]),
-        (line("Euclidean 3-space", "12", gap=0.05), ["12"]),
-        (line("12", "beta, 30", gap=0.05), ["12"]),
-        (line("23 (definition)"), ["23"]),
-        (line("preface, xi, 5"), ["xi", "5"]),
-        (line("007, 0, 8"), ["8"]),
-        ([], []),
-    ],
-)
-def test_refs_in_line(items, refs):
-    assert I.refs_in_line(items) == refs
+LINES = [
+    (line("filtration, 23"), ["23"]),
+    (line("45–47"), ["45"]),
+    (line("102f, 110ff"), ["102", "110"]),
+    (line("Euclidean 3-space, 12"), ["12"]),
+    (line("Euclidean 3-space", "12", gap=0.05), ["12"]),
+    (line("12", "beta, 30", gap=0.05), ["12"]),
+    (line("23 (definition)"), ["23"]),
+    (line("preface, xi, 5"), ["xi", "5"]),
+    (line("007, 0, 8"), ["8"]),
+    ([], []),
+    (line("alpha, 3, x", "beta 12", gap=0.05), ["3", "x"]),
+    (line("see x", ", 4, beta", "5", gap=0.05), ["5"]),
+    (line("4 beta", "", "5", gap=0.05), ["4"]),
+    (line("4 f, 6nn 8"), ["4", "6", "8"]),
+    (line("c f, c"), ["c"]),
+    (line("n, ii–v"), ["ii", "v"]),
+]
+
+
+def slow_refs(items):
+    """Token by token: each reference with the stretch it lies in."""
+    refs, stretch, open_, last, right = [], 0, False, "", None
+    for text, left, end in items:
+        if right is not None and left - right > CONFIG.index_max_gap and (any(s == stretch for s, _ in refs) or refs and not re.match(r"\s*\d", text)):
+            break
+        for tok in re.findall(I.TOKEN, text):
+            number, roman = re.match("[1-9]", tok), re.match(I.ROMAN, tok)
+            open_ = open_ or bool(number or roman and last == ",")
+            if open_ and (number or roman):
+                refs.append((stretch, re.match(r"\d+|.*", tok)[0]))
+            if re.match("[A-Za-z]", tok) and not roman and not re.match(I.SUFFIX, tok):
+                stretch, open_ = stretch + 1, False
+            last = tok
+        right = end
+    return [r for s, r in refs if s == max(refs)[0]]
+
+
+def test_refs_in_line(spark):
+    rng = random.Random(3)
+    pool = ["12", "45–47", "007", "xi", "c", "f", "nn", ",", "(", "beta", "Index", " ", "3-space", "é"]
+    lines = [x for x, _ in LINES] + [line(*("".join(rng.choice(pool) + rng.choice(["", " "]) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(5))), gap=rng.choice([0.01, 0.05])) for _ in range(300)]
+    assert [slow_refs(x) for x, _ in LINES] == [want for _, want in LINES]
+    df = spark.createDataFrame([(n, x) for n, x in enumerate(lines)], "n int, line array<struct<s:string,x:double,r:double>>")
+    got = {n: [] for n in range(len(lines))}
+    for r in sorted(I.line_refs(df, ["n"]).collect(), key=lambda r: (r.n, r.pos)):
+        got[r.n].append(r.label)
+    assert got == {n: slow_refs(x) for n, x in enumerate(lines)}
 
 
 def test_index_titles(spark):
@@ -83,33 +118,24 @@ def test_compact_bytes(spark):
     assert row.b == 132
 
 
-def test_admission_may_lose_pages_and_still_refuse():
-    cache = PageCache(100, anchor=1)
-    for page in (1, 5, 6):
-        assert cache.admit(page, 30)
-    assert not cache.admit(3, 95)  # worse pages go first, page 1 stays
-    assert sorted(cache.entries) == [1] and cache.full
-
-
-def test_reserved_share():
-    cache = PageCache(100, anchor=1, reserved=[9, 8])
-    assert cache.admit(9, 20) and cache.admit(8, 20)
-    assert cache.entries[9][1] and not cache.entries[8][1]
-    cache.set_reserved([8])
-    assert cache.entries[8][1] and not cache.entries[9][1]
-
-
-def test_a_lower_cap_keeps_no_more():
-    sizes = np.random.default_rng(1).integers(5, 40, 40)
-    kept = []
-    for cap in (400, 300, 200, 100, 0):
-        cache = PageCache(400, anchor=7)
-        for p, b in enumerate(sizes):
-            cache.admit(p, int(b))
-        cache.set_limit(cap)
-        kept.append(cache.bytes)
-        assert cache.bytes <= max(cap, 0)
-    assert kept == sorted(kept, reverse=True)
+@pytest.mark.parametrize("cap", [400, 300, 200, 100, 0])
+def test_retained_pages(spark, cap):
+    """Reserved pages in their order up to the reserved share, then the others by distance, as far as all fit."""
+    sizes = np.random.default_rng(1).integers(5, 40, 40).tolist()
+    pages = spark.createDataFrame([(d, p, b) for d in (1, 2) for p, b in enumerate(sizes, 1)], "doc_id long, page_number long, bytes long")
+    got = {r.page_number: (r.reserved, r.full) for r in cache.retained(pages, cap, 7, (30, 9, 31)).where("doc_id = 1").collect()}
+    first, used = [], 0
+    for p in (30, 9, 31):
+        used += sizes[p - 1]
+        if used <= CONFIG.index_reserved_share * cap:
+            first.append(p)
+    want, used = {}, 0
+    for p in first + sorted((p for p in range(1, 41) if p not in first), key=lambda p: 2 * (p - 7) if p >= 7 else 2 * (7 - p) - 1):
+        used += sizes[p - 1]
+        if used > cap:
+            break
+        want[p] = (p in first, True)
+    assert got == want
 
 
 def test_broken_pages_do_not_stop_the_search(spark):
@@ -132,14 +158,3 @@ def test_streamed_search_equals_the_batch(spark, tmp_path):
     key = ["page", "reading_ord", "x_norm", "y_norm", "score"]
     got = spark.read.parquet(f"{tmp_path}/out").select(key).orderBy(key).collect()
     assert got == S.page_matches(images, t, threshold=0.6).select(key).orderBy(key).collect()
-
-
-def test_streamed_cache_drops_late_generations(spark, tmp_path):
-    rows = [(1, 0, 1, 40), (1, 0, 2, 40), (1, 1, 5, 40), (1, 0, 3, 40), (1, 1, 1, 40)]
-    for k, r in enumerate(rows):
-        spark.createDataFrame([r], "doc_id long, generation long, page_number long, bytes long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("doc_id long, generation long, page_number long, bytes long").parquet(f"{tmp_path}/in")
-    out = P.cached_pages(stream, 100).writeStream.outputMode("update").format("memory").queryName("kept").option("checkpointLocation", f"{tmp_path}/chk").trigger(availableNow=True).start()
-    out.awaitTermination()
-    last = spark.table("kept").collect()[-1]
-    assert (last.generation, last.kept, last.bytes) == (1, [1, 5], 80)
