@@ -390,8 +390,12 @@ def match_page(t: Template, page: Page, threshold: float, attached_ink: bool = T
     found, pruned, comma = [], 0, {}
     J = np.arange(-cfg.jitter_px, cfg.jitter_px + 1)
     jy, jx = (g.ravel() for g in np.meshgrid(J, J, indexing="ij"))
-    grid = np.full((H + 2, W + 2), none, np.uint8)
-    grid[1:-1, 1:-1] = page.dist
+    sizes = [t.at(int(key)).image.shape for key in np.unique(keys)]
+    my, mx = max(s[0] for s in sizes), max(s[1] for s in sizes)  # room for a window on either side, so that no place needs a test
+    grid = np.full((H + 2 * my, W + 2 * mx), none, np.uint8)
+    grid[my : my + H, mx : mx + W] = page.dist
+    span = np.pad(image, ((my, my), (mx, mx)))
+    stride = grid.shape[1]
     for key in np.unique(keys):
         st, mine = t.at(int(key)), rows[keys == key]
         h, w = st.image.shape
@@ -402,10 +406,11 @@ def match_page(t: Template, page: Page, threshold: float, attached_ink: bool = T
         X, Y = (ox[:, None] + jx).ravel(), (oy[:, None] + jy).ravel()
         table = np.append(st.weights, np.float32(0)).astype(float)
         forward = np.zeros(len(X))
+        base = (np.clip(Y, -h, H) + my) * stride + np.clip(X, -w, W) + mx
         if len(st.x):
+            ink, flat = st.y * stride + st.x, grid.ravel()
             for i in range(0, len(X), 4096):
-                gx, gy = np.clip(X[i : i + 4096, None] + st.x, -1, W) + 1, np.clip(Y[i : i + 4096, None] + st.y, -1, H) + 1
-                forward[i : i + 4096] = table[grid[gy, gx]].sum(1) / len(st.x)
+                forward[i : i + 4096] = table[flat[base[i : i + 4096, None] + ink]].sum(1) / len(st.x)
         live = np.flatnonzero(forward > 0)
         if not keep_all:
             live = live[combine(forward[live], 1.0, cfg.score_combine) >= threshold - 1e-9]
@@ -414,16 +419,14 @@ def match_page(t: Template, page: Page, threshold: float, attached_ink: bool = T
         reverse[forward == 0] = 0
         if len(live):
             pad = cfg.dt_max
-            span = np.pad(image, ((h, h), (w, w)))
-            inner = table[st.dist[pad : pad + h, pad : pad + w]]
-            wy, wx = np.arange(h)[:, None], np.arange(w)[None, :]
+            inner = table[st.dist[pad : pad + h, pad : pad + w]].ravel()
+            windows = np.lib.stride_tricks.sliding_window_view(span, (h, w))
             rsum, rcount = np.zeros(len(live)), np.zeros(len(live))
             for i in range(0, len(live), 1024):
-                k = live[i : i + 1024]
-                sy, sx = np.clip(Y[k], -h, H) + h, np.clip(X[k], -w, W) + w
-                win = span[sy[:, None, None] + wy, sx[:, None, None] + wx]
-                rsum[i : i + 1024] = (win * inner).sum((1, 2))
-                rcount[i : i + 1024] = win.sum((1, 2))
+                sy, sx = np.divmod(base[live[i : i + 1024]], stride)
+                win = windows[sy, sx].reshape(len(sy), h * w)
+                rsum[i : i + 1024] = win @ inner
+                rcount[i : i + 1024] = win.sum(1)
             if attached_ink:
                 for i in range(0, len(live), 512):
                     k = live[i : i + 512]

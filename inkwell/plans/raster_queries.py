@@ -274,6 +274,13 @@ def r2_page_matches(spark, d):
     return S.page_matches(images(spark, d, glyphs=True), symbol(1))
 
 
+@query()
+def r2_large_pages(spark, d):
+    """The same on pages of 1836 x 2376 pixels with 1,400 glyphs, one for each item."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").repartition(32, "item_id")
+    return S.page_matches(rasters(items, "item_id", "text", large=True), symbol(1))
+
+
 @query()
 def e16_page_turns_search(spark, d):
     """Each page searched upright and in the turns that its text layer shows."""

@@ -131,14 +131,31 @@ def glyph_raster(text: str) -> np.ndarray:
     return out
 
 
-def rasters(texts: DataFrame, id_col: str, text_col: str, glyphs: bool = False) -> DataFrame:
+#: A dense page at scale 3: its size, glyphs, glyphs in a line, and their distances.
+LARGE_W, LARGE_H, LARGE_GLYPHS, LARGE_LINE, LARGE_DX, LARGE_DY = 1836, 2376, 1400, 60, 30, 98
+
+
+def large_raster(text: str) -> np.ndarray:
+    """A page of the size and density of a textbook's: the text's glyphs again and again."""
+    out = np.zeros((LARGE_H, LARGE_W), np.uint8)
+    letters = [ord(c) % 8 for c in text if not c.isspace()]
+    shapes = [glyph(k) for k in range(8)]
+    for p in range(LARGE_GLYPHS if letters else 0):
+        y, x = p // LARGE_LINE * LARGE_DY + 20, p % LARGE_LINE * LARGE_DX + 20
+        g = shapes[letters[p % len(letters)]]
+        out[y : y + g.shape[0], x : x + g.shape[1]] = g
+    return out
+
+
+def rasters(texts: DataFrame, id_col: str, text_col: str, glyphs: bool = False, large: bool = False) -> DataFrame:
     """Rows of IMAGE for texts; null counts as empty."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                rows = batch.slice(i, 64).to_pylist()
-                images = [(glyph_raster if glyphs else text_raster)(r["t"] or "") for r in rows]
+            step = 8 if large else 64
+            for i in range(0, batch.num_rows, step):
+                rows = batch.slice(i, step).to_pylist()
+                images = [(large_raster if large else glyph_raster if glyphs else text_raster)(r["t"] or "") for r in rows]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r["i"] for r in rows], pa.int64()), pa.array([m.shape[1] for m in images], pa.int32()), pa.array([m.shape[0] for m in images], pa.int32()), pa.array([m.tobytes() for m in images], pa.binary())],
                     ["page", "w", "h", "bits"],
