@@ -359,11 +359,18 @@ def slow_overlaps(rows, items):
                 continue
             w = min(13, len(b))
             need = 11 if w == 13 else w - 1 if w >= 10 else w
-            for shift in range(-len(b), len(a)):
-                hit = [0 <= j + shift < len(a) and a[j + shift] == b[j] for j in range(len(b))]
-                best = max(sum(hit[k : k + w]) for k in range(len(b) - w + 1))
-                if best >= need:
-                    out[d, i] = max(out.get((d, i), 0), best)
+            where = {}
+            for j, x in enumerate(b):
+                where.setdefault(x, []).append(j)
+            diagonals = {}
+            for p, x in enumerate(a):
+                for j in where.get(x, ()):
+                    diagonals.setdefault(p - j, set()).add(j)
+            for hit in diagonals.values():  # of each diagonal, the places where words agree
+                if len(hit) >= need:
+                    best = max(sum(k + r in hit for r in range(w)) for k in range(len(b) - w + 1))
+                    if best >= need:
+                        out[d, i] = max(out.get((d, i), 0), best)
     return out
 
 
