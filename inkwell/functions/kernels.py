@@ -357,6 +357,50 @@ def reading_order(x: np.ndarray, y: np.ndarray, h: np.ndarray, order: np.ndarray
     return np.lexsort((place, x, line)), line
 
 
+class Field:
+    """A page's distances and ink with room for a window of ``my`` x ``mx`` on every side, so that no place needs a test of its own."""
+
+    def __init__(self, image: np.ndarray, dist: np.ndarray, my: int, mx: int, cfg: Config = CONFIG):
+        self.h, self.w, self.my, self.mx = *image.shape, my, mx
+        none = 3 * cfg.dt_max + 4  # a level of weight 0, for places off the page
+        self.dist = np.full((self.h + 2 * my, self.w + 2 * mx), none, np.uint8)
+        self.dist[my : my + self.h, mx : mx + self.w] = dist
+        self.ink = np.pad(image, ((my, my), (mx, mx)))
+        self.stride = self.dist.shape[1]
+
+    def base(self, x: np.ndarray, y: np.ndarray, w: int, h: int) -> np.ndarray:
+        """Where windows of w x h begin."""
+        return (np.clip(y, -h, self.h) + self.my) * self.stride + np.clip(x, -w, self.w) + self.mx
+
+
+def level_weights(st: Scaled) -> np.ndarray:
+    return np.append(st.weights, np.float32(0)).astype(float)
+
+
+def forward_at(st: Scaled, field: Field, base: np.ndarray) -> np.ndarray:
+    """Mean weight of the page's distance under the template's ink, at each placement."""
+    table, out = level_weights(st), np.zeros(len(base))
+    if len(st.x):
+        ink, flat = st.y * field.stride + st.x, field.dist.ravel()
+        for i in range(0, len(base), 4096):
+            out[i : i + 4096] = table[flat[base[i : i + 4096, None] + ink]].sum(1) / len(st.x)
+    return out
+
+
+def window_at(st: Scaled, field: Field, base: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of the weights of the template's distance under the page's ink in the window, pixels of that ink), at each placement."""
+    h, w = st.image.shape
+    inner = level_weights(st)[st.dist[pad : pad + h, pad : pad + w]].ravel()
+    windows = np.lib.stride_tricks.sliding_window_view(field.ink, (h, w))
+    total, count = np.zeros(len(base)), np.zeros(len(base))
+    for i in range(0, len(base), 1024):
+        sy, sx = np.divmod(base[i : i + 1024], field.stride)
+        win = windows[sy, sx].reshape(len(sy), h * w)
+        total[i : i + 1024] = win @ inner
+        count[i : i + 1024] = win.sum(1)
+    return total, count
+
+
 def match_page(t: Template, page: Page, threshold: float, attached_ink: bool = True, keep_all: bool = False, stats: dict | None = None) -> np.ndarray:
     """Best placement of each gated (anchor, candidate) in order: x, y, w, h, score, forward, reverse, scale.
 
@@ -367,7 +411,6 @@ def match_page(t: Template, page: Page, threshold: float, attached_ink: bool = T
     H, W = image.shape
     if page.dist is None:
         page.dist = distance(image, cfg.dt_max)
-    none = 3 * cfg.dt_max + 4  # a level of weight 0, for places off the page
     cand = np.concatenate([page.boxes[:, :5], page.groups[:, :5]]).astype(np.int64)
     cw, ch = cand[:, 2] - cand[:, 0] + 1, cand[:, 3] - cand[:, 1] + 1
     rows = []
@@ -391,11 +434,7 @@ def match_page(t: Template, page: Page, threshold: float, attached_ink: bool = T
     J = np.arange(-cfg.jitter_px, cfg.jitter_px + 1)
     jy, jx = (g.ravel() for g in np.meshgrid(J, J, indexing="ij"))
     sizes = [t.at(int(key)).image.shape for key in np.unique(keys)]
-    my, mx = max(s[0] for s in sizes), max(s[1] for s in sizes)  # room for a window on either side, so that no place needs a test
-    grid = np.full((H + 2 * my, W + 2 * mx), none, np.uint8)
-    grid[my : my + H, mx : mx + W] = page.dist
-    span = np.pad(image, ((my, my), (mx, mx)))
-    stride = grid.shape[1]
+    area = Field(image, page.dist, max(s[0] for s in sizes), max(s[1] for s in sizes), cfg)
     for key in np.unique(keys):
         st, mine = t.at(int(key)), rows[keys == key]
         h, w = st.image.shape
@@ -404,13 +443,8 @@ def match_page(t: Template, page: Page, threshold: float, attached_ink: bool = T
         oy = half_up((cand[c, 1] + cand[c, 3]) / 2 - st.centres[ai, 1])
         n = len(jx)
         X, Y = (ox[:, None] + jx).ravel(), (oy[:, None] + jy).ravel()
-        table = np.append(st.weights, np.float32(0)).astype(float)
-        forward = np.zeros(len(X))
-        base = (np.clip(Y, -h, H) + my) * stride + np.clip(X, -w, W) + mx
-        if len(st.x):
-            ink, flat = st.y * stride + st.x, grid.ravel()
-            for i in range(0, len(X), 4096):
-                forward[i : i + 4096] = table[flat[base[i : i + 4096, None] + ink]].sum(1) / len(st.x)
+        base = area.base(X, Y, w, h)
+        forward = forward_at(st, area, base)
         live = np.flatnonzero(forward > 0)
         if not keep_all:
             live = live[combine(forward[live], 1.0, cfg.score_combine) >= threshold - 1e-9]
@@ -418,15 +452,8 @@ def match_page(t: Template, page: Page, threshold: float, attached_ink: bool = T
         reverse = np.full(len(X), np.nan)
         reverse[forward == 0] = 0
         if len(live):
-            pad = cfg.dt_max
-            inner = table[st.dist[pad : pad + h, pad : pad + w]].ravel()
-            windows = np.lib.stride_tricks.sliding_window_view(span, (h, w))
-            rsum, rcount = np.zeros(len(live)), np.zeros(len(live))
-            for i in range(0, len(live), 1024):
-                sy, sx = np.divmod(base[live[i : i + 1024]], stride)
-                win = windows[sy, sx].reshape(len(sy), h * w)
-                rsum[i : i + 1024] = win @ inner
-                rcount[i : i + 1024] = win.sum(1)
+            pad, table = cfg.dt_max, level_weights(st)
+            rsum, rcount = window_at(st, area, base[live], pad)
             if attached_ink:
                 for i in range(0, len(live), 512):
                     k = live[i : i + 512]

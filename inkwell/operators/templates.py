@@ -1,17 +1,17 @@
-"""Templates as tables: pieces, scaled forms and pixel-level scores in DataFrame form.
-
-The kernels of ``functions.kernels`` do the search; these tables show and check
-their steps, and serve small images.
-"""
+"""Templates as tables: pieces, scaled forms, and the scores of the search's kernels at every ink pixel of a page."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
 from ..functions import kernels as K
+from .raster import images_of
 
 
 def template_row(spark: SparkSession, name: str, t: K.Template | None) -> DataFrame:
@@ -33,27 +33,24 @@ def scaled_rows(spark: SparkSession, t: K.Template, keys: list[int]) -> DataFram
     return spark.createDataFrame(rows, "scale_key int, w int, h int, ink int, centres array<array<double>>, weights array<double>, distance binary")
 
 
-def forward_scores(places: DataFrame, distances: DataFrame, ink: list[tuple[int, int]], weights: list[float]) -> DataFrame:
-    """(page, ox, oy, forward): mean weight of the page's distance under the template's ink; places off the page weigh 0."""
-    spark = places.sparkSession
-    t = F.broadcast(spark.createDataFrame(ink, "ty int, tx int"))  # one row for each ink pixel of a template
-    w = F.broadcast(spark.createDataFrame([(k, float(np.float32(v))) for k, v in enumerate(weights)], "d long, weight double"))
-    hits = places.crossJoin(t).select("page", "oy", "ox", (F.col("oy") + F.col("ty")).alias("y"), (F.col("ox") + F.col("tx")).alias("x"))
-    seen = hits.join(distances, ["page", "y", "x"], "left").join(w, "d", "left")
-    return seen.groupBy("page", "oy", "ox").agg((F.sum(F.coalesce("weight", F.lit(0.0))) / F.count(F.lit(1))).alias("forward"))
+def pixel_scores(images: DataFrame, t: K.Scaled) -> DataFrame:
+    """(page, oy, ox, forward, reverse) of a scaled template laid at every ink pixel of a page, by the search's own kernels."""
 
+    def kernel(image: np.ndarray) -> dict[str, np.ndarray]:
+        oy, ox = np.nonzero(image)
+        h, w = t.image.shape
+        area = K.Field(image, K.distance(image, CONFIG.dt_max), h, w)
+        base = area.base(ox, oy, w, h)
+        total, count = K.window_at(t, area, base, CONFIG.dt_max)
+        return {"oy": oy, "ox": ox, "forward": K.forward_at(t, area, base), "reverse": np.where(count > 0, total / np.maximum(count, 1), 0.0)}
 
-def reverse_scores(places: DataFrame, pixels: DataFrame, t: K.Scaled) -> DataFrame:
-    """(page, ox, oy, reverse): mean weight of the template's distance under the page's ink in the window; no ink gives 0."""
-    spark = places.sparkSession
-    h, w = t.image.shape
-    pad = CONFIG.dt_max
-    table = [(y, x, float(t.weights[t.dist[y + pad, x + pad]])) for y in range(h) for x in range(w)]
-    win = F.broadcast(spark.createDataFrame(table, "ty int, tx int, weight double"))  # one row for each pixel of a template
-    hits = places.crossJoin(win).select("page", "oy", "ox", (F.col("oy") + F.col("ty")).alias("y"), (F.col("ox") + F.col("tx")).alias("x"), "weight")
-    seen = hits.join(pixels.select("page", "y", "x"), ["page", "y", "x"])
-    mean = seen.groupBy("page", "oy", "ox").agg((F.sum("weight") / F.count(F.lit(1))).alias("reverse"))
-    return places.select("page", "oy", "ox").join(mean, ["page", "oy", "ox"], "left").fillna(0.0, ["reverse"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page, image in images_of(batch):
+                found = kernel(image)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found["oy"]), page, np.int64)), *(pa.array(v) for v in found.values())], ["page", *found])
+
+    return images.select("page", "w", "h", "bits").mapInArrow(run, "page long, oy long, ox long, forward double, reverse double")
 
 
 def best_of(scores: DataFrame, order: list[str]) -> DataFrame:

@@ -139,7 +139,9 @@ def b15_cluster_filter(spark, d):
 
 @query("SELECT page, ord, score FROM box WHERE score >= 0.5", "box")
 def b16_score_threshold(spark, d):
-    return box(spark, d).where(col("score") >= CONFIG.search_floor).select("page", "ord", "score")
+    from ..operators.search import shown
+
+    return shown(box(spark, d), CONFIG.search_floor).select("page", "ord", "score")
 
 
 @query("SELECT page, ord, score, CAST(row_number() OVER (ORDER BY page, ord) AS BIGINT) AS shown FROM box WHERE score >= 0.9", "box")
@@ -266,6 +268,12 @@ def h4_document_order(spark, d):
     return order.join(before_page(order), "page").select("page", "ord", col("line").cast("long").alias("line"), (col("before") + col("reading_ord")).cast("long").alias("n"))
 
 
+@query("SELECT page, CAST(count(*) AS BIGINT) AS clusters, CAST(max(members) AS BIGINT) AS most FROM c GROUP BY page", "box", CLUSTER_CTES)
+def b15_cluster_members(spark, d):
+    """Groups of two boxes and more, which alone are clusters."""
+    return B.proximity_clusters(box(spark, d)).groupBy("page").agg(F.count(lit(1)).alias("clusters"), F.max("members").alias("most"))
+
+
 @query("SELECT page, ord, ink, CAST(row_number() OVER (PARTITION BY page ORDER BY x, ord) AS BIGINT) AS k FROM box", "box")
 def h2_by_left_edge(spark, d):
     return box(spark, d).select("page", "ord", "ink", F.row_number().over(Window.partitionBy("page").orderBy("x", "ord")).cast("long").alias("k"))

@@ -137,6 +137,14 @@ def q5_compact_bytes(spark, d):
     return raster.index_sizes(raster.page_index(images(spark, d)))
 
 
+@query("SELECT page, comps AS n, comps > 40 AS skipped FROM (" + INDEX_SQL + ")", ctes=",\n".join([PX_B, RUNS, COMPS, GROUPS]))
+def b27_dense_index_pages(spark, d):
+    """Pages that are too dense to be searched, at a limit of 40 components."""
+    i = raster.page_index(images(spark, d))
+    kept = raster.admissible(i, 40).select("page", lit(False).alias("s"))
+    return i.select("page", F.size("comps").cast("long").alias("n")).join(kept, "page", "left").select("page", "n", F.coalesce("s", lit(True)).alias("skipped"))
+
+
 @query()
 def a2_page_index(spark, d):
     """The page index of every document's whole raster."""
@@ -199,28 +207,35 @@ def scaled() -> K.Scaled:
     return K.Template(SHAPE, np.array([[0, 0, 4, 3, int(SHAPE.sum())]])).at(100)
 
 
-def places(spark, d):
-    return raster.pixels(images(spark, d), lambda m: m).select("page", col("y").alias("oy"), col("x").alias("ox"))
+def scores(spark, d):
+    return templates.pixel_scores(images(spark, d), scaled())
 
 
 @query("SELECT page, oy, ox, round(forward, 9) AS forward FROM fw", ctes=PIXEL_CTES)
 def e4_template_ink_lookup(spark, d):
-    f = templates.forward_scores(places(spark, d), raster.distances(images(spark, d)), INK, list(scaled().weights))
-    return f.select("page", "oy", "ox", F.round("forward", 9).alias("forward"))
+    return scores(spark, d).select("page", "oy", "ox", F.round("forward", 9).alias("forward"))
 
 
 @query("SELECT pl.page, pl.oy, pl.ox, round(coalesce(reverse, 0), 9) AS reverse FROM pl LEFT JOIN rv ON rv.page = pl.page AND rv.oy = pl.oy AND rv.ox = pl.ox", ctes=PIXEL_CTES)
 def e5_window_ink_range(spark, d):
-    r = templates.reverse_scores(places(spark, d), raster.pixels(images(spark, d), lambda m: m), scaled())
-    return r.select("page", "oy", "ox", F.round("reverse", 9).alias("reverse"))
+    return scores(spark, d).select("page", "oy", "ox", F.round("reverse", 9).alias("reverse"))
+
+
+@query("SELECT page, round(avg(forward), 9) AS forward FROM fw GROUP BY page", ctes=PIXEL_CTES)
+def f4_forward_scores(spark, d):
+    """The forward term of the score, averaged over a page's placements."""
+    return scores(spark, d).groupBy("page").agg(F.round(F.avg("forward"), 9).alias("forward"))
+
+
+@query("SELECT pl.page, round(avg(coalesce(reverse, 0)), 9) AS reverse FROM pl LEFT JOIN rv ON rv.page = pl.page AND rv.oy = pl.oy AND rv.ox = pl.ox GROUP BY pl.page", ctes=PIXEL_CTES)
+def f5_reverse_scores(spark, d):
+    """The reverse term, averaged over a page's placements."""
+    return scores(spark, d).groupBy("page").agg(F.round(F.avg("reverse"), 9).alias("reverse"))
 
 
 @query("SELECT page, oy, ox, round(score, 9) AS score FROM (SELECT fw.page, fw.oy, fw.ox, CASE WHEN forward + coalesce(reverse, 0) > 0 THEN 2 * forward * coalesce(reverse, 0) / (forward + coalesce(reverse, 0)) ELSE 0 END AS score, row_number() OVER (PARTITION BY fw.page ORDER BY round(CASE WHEN forward + coalesce(reverse, 0) > 0 THEN 2 * forward * coalesce(reverse, 0) / (forward + coalesce(reverse, 0)) ELSE 0 END, 9) DESC, fw.oy, fw.ox) AS k FROM fw LEFT JOIN rv ON rv.page = fw.page AND rv.oy = fw.oy AND rv.ox = fw.ox) WHERE k = 1", ctes=PIXEL_CTES)
 def f6_best_pixel_placement(spark, d):
-    p = places(spark, d)
-    f = templates.forward_scores(p, raster.distances(images(spark, d)), INK, list(scaled().weights))
-    r = templates.reverse_scores(p, raster.pixels(images(spark, d), lambda m: m), scaled())
-    both = f.join(r, ["page", "oy", "ox"]).withColumn("score", F.round(C.combine(col("forward"), col("reverse")), 9))
+    both = scores(spark, d).withColumn("score", F.round(C.combine(col("forward"), col("reverse")), 9))
     return templates.best_of(both, ["oy", "ox"]).select("page", "oy", "ox", "score")
 
 

@@ -311,6 +311,12 @@ def g3_refs_in_line(spark, d):
     return I.page_refs(hits(spark, d), items(spark, d)).select(*T.PAGE, F.col("k").cast("long").alias("k"), "label")
 
 
+@query(f"SELECT doc_id, page_number, CAST(least(count(*), {CONFIG.index_max_refs}) AS BIGINT) AS n FROM lu GROUP BY doc_id, page_number", "item", BAND + ",\n" + LINE_REFS)
+def h6_reference_count(spark, d):
+    """References beside a hit are at most so many."""
+    return I.page_refs(hits(spark, d), items(spark, d)).groupBy(*T.PAGE).agg(F.count(lit(1)).alias("n"))
+
+
 @query("SELECT doc_id, page_number, item_ord, str FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY x, item_ord) AS k FROM item WHERE trim(str) <> '') WHERE k <= 5", "item")
 def h6_reference_limit(spark, d):
     rows = F.array_sort(F.collect_list(F.struct("x", "item_ord", "str")))
