@@ -4,7 +4,10 @@ A page becomes a light DOM tree. Elements that HTML itself keeps apart from the
 text (navigation, footers, asides, forms, scripts, styles, hidden parts) are cut
 from it. Each remaining node gets the characters and tags below it and those
 inside links; its density is characters per tag, lowered by the share of links.
-The subtree whose children have the largest sum of densities is the core. The
+The subtree whose children have the largest sum of densities is the core;
+subtrees whose whole name says boilerplate (``site-footer``, ``comments``,
+``ad-box``) and that hold no article, main element or main heading, nor, unless
+they are comments, most of the page, are left out of the sums. The
 least density on the path from the body to the core is the threshold: every
 block that reaches it marks the subtree of the largest sum within it. The core
 widens to an ancestor if at least half of what that adds lies in marked subtrees
@@ -13,11 +16,10 @@ article or main element is among them, it breaks the tie, and if the core is
 wider than the only such element, that one does. A main heading that stands
 before the core, outside it, is put first.
 
-Within the core, elements whose class, id or role names boilerplate go: those
-whose whole name says so (``site-footer``, ``comments``, ``ad-box``) always, and
-those that only contain such a word, or a word that articles use as well
-(``search``, ``legal``, ``discussion``), only if they are sparser than the
-threshold or half of their characters are links. Paragraphs, headings and
+Within the core, these subtrees go, too; elements whose class or id only contains
+such a word, or a word that articles use as well (``search``, ``legal``,
+``discussion``), go only if they are sparser than the threshold or half of their
+characters are links. Paragraphs, headings and
 sections keep what their ids say, as those are slugs of titles. Nothing else is
 dropped: lists of links and short blocks of an article stay.
 
@@ -55,12 +57,14 @@ CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog
 #: Words of a class or id that name what an article does not hold.
 BOILER = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense adbox adslot banner banners sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr notice notices popup popups modal overlay newsletter subscribe subscription "
-    "share sharing social sidebar sidebars menu menus nav navbar navbars navigation breadcrumb breadcrumbs related recommended teaser teasers comment comments commentlist replies reply respond disqus footer footers masthead topbar toolbar widget widgets login signup pagination pager paywall".split()
+    "share sharing social sidebar sidebars menu menus nav navbar navbars navigation breadcrumb breadcrumbs related recommended teaser teasers comment comments commentlist commenter replies reply respond disqus footer footers masthead topbar toolbar widget widgets login signup pagination pager paywall".split()
 )
+#: Those of reader comments, which may be longer than the article.
+READERS = frozenset("comment comments commentlist commenter replies reply respond disqus".split())
 #: Words that articles use for their own parts, too.
 PERHAPS = frozenset("side foot discussion review reviews search skip alert alerts disclaimer legal copyright tags head header headers".split())
 #: Words that may stand beside them without changing what is named.
-BESIDE = frozenset("site page main top bottom left right inner outer wrapper wrap container box area section block list item items bar links link button buttons form post posts article articles story stories reader user global primary secondary slot unit area thread text and the content".split())
+BESIDE = frozenset("site page main top bottom left right inner outer wrapper wrap container box area section block list item items bar links link button buttons form post posts article articles story stories reader user global primary secondary slot unit area thread text author meta date body and the content".split())
 HEADER = frozenset("header headers head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that are single parts of a text.
@@ -89,17 +93,17 @@ class Node:
 
 
 def name_level(value: str, header: bool) -> int:
-    """2 if one of the names in a class or id says boilerplate as a whole, 1 if one contains such a word, else 0. ``header``: whether headers count as whole names."""
+    """3 if one of the names in a class or id says reader comments as a whole, 2 if one says other boilerplate, 1 if one contains such a word, else 0. ``header``: whether headers count as whole names."""
     level = 0
     for name in value.lower().split():
         words = WORD.findall(name)
         if header and any(w in HEADER for w in words) and all(w in HEADER or w in ("site", "page", "main", "top", "global") for w in words):
-            return 2
+            level = max(level, 2)
         sure = any(w in BOILER for w in words)
         if sure and all(w in BOILER or w in PERHAPS or w in BESIDE for w in words):
-            return 2
-        if sure or any(w in PERHAPS for w in words):
-            level = 1
+            level = max(level, 3 if any(w in READERS for w in words) else 2)
+        elif sure or any(w in PERHAPS for w in words):
+            level = max(level, 1)
     return level
 
 
@@ -125,7 +129,7 @@ def judge_element(tag: str, attrs: str, inside: bool) -> tuple[bool, int]:
                 continue
             found = name_level(value, not inside)
             if name == "id" and tag == "section" or tag in PARTS or tag in ("article", "main"):
-                found = found if found == 2 else 0  # slugs of titles, and names of topics
+                found = found if found >= 2 else 0  # slugs of titles, and names of topics
             level = max(level, found)
     return False, level
 
@@ -259,11 +263,17 @@ def measure(root: Node) -> list[Node]:
             n.cut = True
         nodes = walk(root)
         count(nodes)
+    holds = {id(n): False for n in nodes}  # an article, main element or main heading
+    for n in reversed(nodes):
+        if n.named >= 2 and (holds[id(n)] or n.named == 2 and 2 * n.chars > root.chars):
+            n.named = 0  # a name of the layout around the article
+        if n.parent is not None and n.named < 2 and (holds[id(n)] or n.tag in ("article", "main", "h1") and n.chars):
+            holds[id(n.parent)] = True
     share = root.link_chars / root.chars if root.chars else 0.0
     for n in nodes:
         n.density = density(n, share)
     for n in nodes:
-        n.total = sum(k.density for k in n.kids if isinstance(k, Node) and not k.cut)
+        n.total = sum(k.density for k in n.kids if isinstance(k, Node) and not k.cut and k.named < 2)
     return nodes
 
 
@@ -273,7 +283,7 @@ def marked_subtrees(root: Node, nodes: list[Node]) -> tuple[Node, float, set[int
     for n in reversed(nodes):
         top = n
         for k in n.kids:
-            if isinstance(k, Node) and not k.cut and best[id(k)].total > top.total:
+            if isinstance(k, Node) and not k.cut and k.named < 2 and best[id(k)].total > top.total:
                 top = best[id(k)]
         best[id(n)] = top
     top = best[id(root)]
@@ -297,7 +307,7 @@ def core(root: Node) -> tuple[list[Node], float]:
     for n in reversed(nodes):
         kids = [k for k in n.kids if isinstance(k, Node) and not k.cut]
         whole[id(n)] = n.tag in PARTS or any(whole[id(k)] for k in kids)
-        gain[id(n)] = 0 if n.named == 2 else n.chars if id(n) in marked and whole[id(n)] else sum(gain[id(k)] for k in kids)
+        gain[id(n)] = 0 if n.named >= 2 else n.chars if id(n) in marked and whole[id(n)] else sum(gain[id(k)] for k in kids)
     around = top
     while around.parent is not None and (around.tag in INLINE or around.tag in PARTS and not any(isinstance(k, Node) and k.tag not in INLINE for k in around.kids)):
         around = around.parent
@@ -334,7 +344,7 @@ def article_within(n: Node) -> Node:
     found, stack, named = [], [n], 0
     while stack:
         k = stack.pop()
-        if k.named == 2 and k is not n:
+        if k.named >= 2 and k is not n:
             named += k.chars
         elif k.tag in ("article", "main") and k.chars:
             found.append(k)
@@ -348,19 +358,17 @@ def article_within(n: Node) -> Node:
 
 def _below_named(n: Node | None) -> bool:
     while n is not None:
-        if n.named == 2:
+        if n.named >= 2:
             return True
         n = n.parent
     return False
 
 
-def drops(n: Node, whole: Node, least: float) -> bool:
+def drops(n: Node, least: float) -> bool:
     """Whether an element within the core goes by its names."""
     if n.cut or not n.named:
         return n.cut
-    if n.named == 2 and (2 * n.chars <= whole.chars or 2 * n.link_chars > n.chars or n.tag in PARTS):
-        return True
-    return 2 * n.link_chars > n.chars or n.density < least
+    return n.named >= 2 or 2 * n.link_chars > n.chars or n.density < least
 
 
 def blocks(root: Node, least: float = 0.0) -> list[str]:
@@ -389,7 +397,7 @@ def blocks(root: Node, least: float = 0.0) -> list[str]:
             parts.append(" ")
         if not inline:
             stack.append((item, True))
-        stack += [(k, False) for k in reversed(item.kids) if isinstance(k, str) or not drops(k, root, least)]
+        stack += [(k, False) for k in reversed(item.kids) if isinstance(k, str) or not drops(k, least)]
     close()
     return out
 

@@ -163,6 +163,26 @@ def test_names_within_an_article(part, stays, tag):
     assert got == ["Story", *WANT] + ([inner] if stays else [])
 
 
+READER = "".join(f"<li class=comment><article class='comment-body'><p>Reader text number {k} that goes on and on for quite a long while, longer than any paragraph of the story itself.</p></article></li>" for k in range(12))
+MENU = f"<ul class=menu>{LINKS}</ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<header><h1>Site</h1></header>{MENU}<div id=sidebar><p>About us, a text that is dense enough to be read, too.</p></div><main><h1>Story</h1>{STORY}<div class=ad>Buy</div></main><section class=comments><ol>{READER}</ol></section>",
+        f"<div class=header><a href=/>Site</a></div>{MENU}<div class=notice>A dense notice that tells readers about planned maintenance.</div><div id=content><h1>Story</h1>{STORY}</div><div id=comments class='comments-area'><ol>{READER}</ol></div>",
+        f"<div class='content-sidebar-wrap'><main class=content><h1>Story</h1>{STORY}</main><aside><p>Side</p></aside></div>",
+        f"<body class='sidebar-left'><div class='has-sidebar page-sidebar'><h1>Story</h1>{STORY}</div></body>",
+        f"<div id=main><article class=post><h1>Story</h1>{STORY}</article><div id=comments><ol class='comment-list'>{READER}</ol></div></div>",
+        f"<table><tr><td>{MENU}</td><td><h1>Story</h1>{STORY}</td><td class=sidebar><p>A text at the side that is dense, too.</p></td></tr></table>",
+    ],
+)
+def test_layouts(page):
+    """Comments longer than the article, layouts named after their sidebars, and dense parts beside the article."""
+    assert extract.main_text(page).split("\n") == ["Story", *WANT]
+
+
 BIG = 1_000_000
 
 
