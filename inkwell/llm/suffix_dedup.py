@@ -48,11 +48,13 @@ WINDOW, GRAM = 50, 24
 #: Windows that hold one anchor, and bytes around it that they reach.
 SPREAD = WINDOW - GRAM + 1
 CONTEXT = 2 * WINDOW - GRAM
-#: Bytes of text in a batch (a longer text is a batch of its own) and, of a large table, for each shard; a small table is cut into up to ``LEAST_SHARDS``.
-BATCH_BYTES, SHARD_BYTES = 8 << 20, 4 << 20
-LEAST_SHARDS, LEAST_BYTES = 256, 256 << 10
-#: A shard's number and a hash of 40 bits are one sort key.
-MOST_SHARDS = 1 << 23
+#: Least and most bytes of text in a batch, between which it is one hundred-thousandth of the table; a longer text is a batch of its own.
+BATCH_BYTES, MOST_BATCH_BYTES = 8 << 20, 64 << 20
+#: Bytes of text for each shard of contexts, and for each part of the hashes, which are much smaller; a small table is cut into up to ``LEAST_PARTS``.
+SHARD_BYTES, PART_BYTES = 4 << 20, 64 << 20
+LEAST_PARTS, LEAST_BYTES = 256, 256 << 10
+#: A part's number and a hash of 40 bits are one sort key.
+MOST_PARTS = 1 << 23
 #: Windows whose anchors are looked for in one step.
 STEP = 1 << 20
 STEP_BITS = U(21)
@@ -337,41 +339,39 @@ def _unpack(batch: pa.RecordBatch, r: int) -> tuple[int, np.ndarray, np.ndarray,
     return get("batch"), np.frombuffer(get("ids"), np.int64), np.frombuffer(get("offs"), np.int64), data
 
 
-def _sorted_anchors(data: np.ndarray, offs: np.ndarray, shards: int):
-    """Anchors of a batch in the order of (shard, hash): positions, shards, 40-bit hashes, and bounds of equal ones."""
+def _sorted_anchors(data: np.ndarray, offs: np.ndarray, parts: int):
+    """Anchors of a batch in the order of (part, hash): positions, keys of both, parts, 40-bit hashes, and bounds of equal ones."""
     pos, h = anchors(data, offs)
-    shard = (h % U(shards)).astype(np.int32)
-    short = (h // U(shards)) & U((1 << 40) - 1)
-    key = shard.astype(U) << U(40) | short
+    key = h % U(parts) << U(40) | (h // U(parts)) & U((1 << 40) - 1)
     order = np.argsort(key)  # the order of equal ones does not matter
-    pos, shard, short, key = pos[order], shard[order], short[order], key[order]
+    pos, key = pos[order], key[order]
     new = np.ones(len(pos), bool)
     new[1:] = key[1:] != key[:-1]
-    return pos, shard, short, np.flatnonzero(new)
+    return pos, key, (key >> U(40)).astype(np.int32), key & U((1 << 40) - 1), np.flatnonzero(new)
 
 
-def _emit_hashes(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """For each shard a batch has anchors of: the distinct hashes, 5 bytes each, and a byte for each: the power of two that its occurrences reach, and 128 if they lie in two documents."""
+def _emit_hashes(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """For each part a batch has anchors of: the distinct hashes, 5 bytes each, and a byte for each: the power of two that its occurrences reach, and 128 if they lie in two documents."""
     for batch in batches:
         for r in range(batch.num_rows):
             name, ids, offs, data = _unpack(batch, r)
-            pos, shard, short, head = _sorted_anchors(data, offs, shards)
+            pos, _, part, short, head = _sorted_anchors(data, offs, parts)
             if not len(pos):
                 continue
             doc_id = ids[np.searchsorted(offs, pos, "right") - 1]
             many = np.minimum.reduceat(doc_id, head) < np.maximum.reduceat(doc_id, head)
             count = np.diff(np.append(head, len(pos)))
             code = (np.ceil(np.log2(count)) + 128 * many).astype(np.uint8)
-            at = shard[head]
+            at = part[head]
             cut = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
             raw = np.ascontiguousarray(short[head].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:])
             blobs = [raw[a:b].tobytes() for a, b in zip(cut, cut[1:])]
             codes = [code[a:b].tobytes() for a, b in zip(cut, cut[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(blobs), pa.int64()), pa.array(at[cut[:-1]]), pa.array(blobs, pa.binary()), pa.array(codes, pa.binary())], ["batch", "shard", "hashes", "codes"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(blobs), pa.int64()), pa.array(at[cut[:-1]]), pa.array(blobs, pa.binary()), pa.array(codes, pa.binary())], ["batch", "part", "hashes", "codes"])
 
 
 def _shared_hashes(table: pa.Table, hot_count: int) -> pa.Table:
-    """Of one shard: for each batch, which of its hashes other documents hold too (2 bits: shared, hot)."""
+    """Of one part: for each batch, which of its hashes other documents hold too (2 bits: shared, hot)."""
     blobs = table.column("hashes").to_pylist()
     size = [len(b) // 5 for b in blobs]
     raw = np.zeros((sum(size), 8), np.uint8)
@@ -390,30 +390,32 @@ def _shared_hashes(table: pa.Table, hot_count: int) -> pa.Table:
     edge = np.cumsum([0, *size])
     bits = [np.packbits(np.stack([shared[a:b], hot[a:b]], 1)).tobytes() for a, b in zip(edge, edge[1:])]
     keep = [bool(shared[a:b].any()) for a, b in zip(edge, edge[1:])]
-    out = pa.table({"batch": table.column("batch"), "shard": table.column("shard"), "bits": pa.array(bits, pa.binary())})
+    out = pa.table({"batch": table.column("batch"), "part": table.column("part"), "bits": pa.array(bits, pa.binary())})
     return out.filter(pa.array(keep, pa.bool_()))
 
 
 class Shared:
-    """A batch's anchors that other documents hold too, in runs of equal ones: the cold runs first, then the hot ones."""
+    """A batch's anchors that other documents hold too, in runs of equal ones: the cold runs first, then the hot ones, each in the order of their shards."""
 
-    def __init__(self, batch: pa.RecordBatch, r: int, shards: int):
+    def __init__(self, batch: pa.RecordBatch, r: int, parts: int, shards: int):
         self.name, self.ids, self.offs, self.data = _unpack(batch, r)
         self.shards = shards
         answers = batch.column(batch.schema.get_field_index("answers"))[r].as_py() or []
         if not answers:
             self.pos, self.shard, self.bounds, self.n_cold = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64), 0
             return
-        pos, shard, _, head = _sorted_anchors(self.data, self.offs, shards)
+        pos, key, part, _, head = _sorted_anchors(self.data, self.offs, parts)
         self.padded = pad(self.data)
-        at = shard[head]
+        at = part[head]
+        shard = (mix(key) % U(shards)).astype(np.int32)
         shared, hot = np.zeros(len(head), bool), np.zeros(len(head), bool)
         for x in answers:
-            a, b = np.searchsorted(at, [x["shard"], x["shard"] + 1])
+            a, b = np.searchsorted(at, [x["part"], x["part"] + 1])
             bits = np.unpackbits(np.frombuffer(x["bits"], np.uint8))[: 2 * (b - a)].reshape(-1, 2)
             shared[a:b], hot[a:b] = bits[:, 0], bits[:, 1]
         size = np.diff(np.append(head, len(pos)))
-        runs = np.concatenate([np.flatnonzero(shared & ~hot), np.flatnonzero(shared & hot)])
+        by_shard = lambda runs: runs[np.argsort(shard[head[runs]], kind="stable")]
+        runs = np.concatenate([by_shard(np.flatnonzero(shared & ~hot)), by_shard(np.flatnonzero(shared & hot))])
         self.n_cold = int((shared & ~hot).sum())
         self.bounds = np.concatenate([[0], np.cumsum(size[runs])])
         rows = np.repeat(head[runs] - self.bounds[:-1], size[runs]) + np.arange(self.bounds[-1])
@@ -435,8 +437,8 @@ class Shared:
             every, where, number = every[first], where[first], n[number]
         return every, where, number
 
-    def parts(self):
-        """Yield (records to send, their shards in order, a function from their masks and a slice of anchors to [anchor, offset] marks, the anchors' positions). Each part takes whole runs, about UNIT anchors."""
+    def blocks(self):
+        """Yield (records to send, their shards in order, a function from their masks and a slice of anchors to [anchor, offset] marks, the anchors' positions). Each block takes whole runs, about UNIT anchors."""
         for begin, end, hot in ((0, self.n_cold, False), (self.n_cold, len(self.bounds) - 1, True)):
             i = begin
             while i < end:
@@ -484,15 +486,15 @@ class Shared:
         return every, shard, marks
 
 
-def _emit_contexts(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """(batch, part, shard, spots): what each batch asks the shards."""
+def _emit_contexts(batches: Iterator[pa.RecordBatch], parts: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """(batch, block, shard, spots): what each batch asks the shards."""
     for batch in batches:
         for r in range(batch.num_rows):
-            mine = Shared(batch, r, shards)
-            for part, (spots, s, _, _) in enumerate(mine.parts()):
+            mine = Shared(batch, r, parts, shards)
+            for block, (spots, s, _, _) in enumerate(mine.blocks()):
                 cut = np.append(np.flatnonzero(np.diff(s, prepend=-1)), len(s))
                 n = len(cut) - 1
-                yield pa.RecordBatch.from_arrays([pa.array([mine.name] * n, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(s[cut[:-1]]), pa.array([spots[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["batch", "part", "shard", "spots"])
+                yield pa.RecordBatch.from_arrays([pa.array([mine.name] * n, pa.int64()), pa.array([block] * n, pa.int32()), pa.array(s[cut[:-1]]), pa.array([spots[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], ["batch", "block", "shard", "spots"])
 
 
 def _mark_shard(table: pa.Table) -> pa.Table:
@@ -503,23 +505,23 @@ def _mark_shard(table: pa.Table) -> pa.Table:
     del blobs
     mask = mark_contexts(spots)
     out = [mask[a:b].tobytes() if mask[a:b].any() else None for a, b in zip(edge, edge[1:])]
-    done = table.select(["batch", "part", "shard"]).append_column("masks", pa.array(out, pa.binary()))
+    done = table.select(["batch", "block", "shard"]).append_column("masks", pa.array(out, pa.binary()))
     return done.filter(pa.array([x is not None for x in out], pa.bool_()))
 
 
-def _finish(batches: Iterator[pa.RecordBatch], shards: int, texts: bool) -> Iterator[pa.RecordBatch]:
+def _finish(batches: Iterator[pa.RecordBatch], parts: int, shards: int, texts: bool) -> Iterator[pa.RecordBatch]:
     """Per document of each batch: bytes, bytes and spans removed, and the digest (or the text) of what stays."""
     for batch in batches:
         for r in range(batch.num_rows):
-            mine = Shared(batch, r, shards)
-            given = {(x["part"], x["shard"]): x["masks"] for x in batch.column(batch.schema.get_field_index("marks"))[r].as_py() or []}
+            mine = Shared(batch, r, parts, shards)
+            given = {(x["block"], x["shard"]): x["masks"] for x in batch.column(batch.schema.get_field_index("marks"))[r].as_py() or []}
             begins = np.zeros(len(mine.data), bool)
-            for part, (spots, s, marks, pos) in enumerate(mine.parts()):
+            for block, (spots, s, marks, pos) in enumerate(mine.blocks()):
                 masks = np.zeros(len(spots), np.uint32)
                 cut = np.append(np.flatnonzero(np.diff(s, prepend=-1)), len(s))
                 for a, b in zip(cut, cut[1:]):
-                    if (part, int(s[a])) in given:
-                        masks[a:b] = np.frombuffer(given[part, int(s[a])], np.uint32)
+                    if (block, int(s[a])) in given:
+                        masks[a:b] = np.frombuffer(given[block, int(s[a])], np.uint32)
                 for i in range(0, len(pos), UNIT):
                     k, o = np.nonzero(marks(masks, slice(i, i + UNIT)))
                     begins[pos[i + k] - (SPREAD - 1) + o] = True
@@ -533,25 +535,27 @@ def _finish(batches: Iterator[pa.RecordBatch], shards: int, texts: bool) -> Iter
             yield pa.RecordBatch.from_arrays([pa.array(mine.ids), *(pa.array(np.array(x, np.int64)) for x in (n_bytes, removed, spans)), pa.array(last, pa.binary() if texts else pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def _removal(docs: DataFrame, id_col: str, text_col: str, texts: bool, batch_bytes: int, hot_count: int) -> DataFrame:
+def _removal(docs: DataFrame, id_col: str, text_col: str, texts: bool, batch_bytes: int | None, hot_count: int) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digest = F.md5(F.col("text").cast("binary"))
     narrow = durable(base.where("id is not null").select("id", digest.alias("fp"), F.octet_length("text").cast("long").alias("n_bytes")))
     copied = durable(narrow.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     judged = durable(narrow.join(copied, "fp", "left").select("id", "fp", "n_bytes", F.coalesce("first", "id").alias("least")))
     total = judged.agg(F.sum("n_bytes")).first()[0] or 0
-    shards = min(max(1, -(-total // SHARD_BYTES), min(LEAST_SHARDS, -(-total // LEAST_BYTES))), MOST_SHARDS)
+    cut = lambda size: min(max(1, -(-total // size), min(LEAST_PARTS, -(-total // LEAST_BYTES))), MOST_PARTS)
+    parts, shards = cut(PART_BYTES), cut(SHARD_BYTES)
+    batch_bytes = batch_bytes or min(max(BATCH_BYTES, total // 100_000), MOST_BATCH_BYTES)
     rep = judged.where("id = least").select("id", "fp").distinct()
     packed = durable(base.withColumn("fp", digest).join(rep, ["id", "fp"], "left_semi").select("id", "text").mapInArrow(lambda b: _pack(b, batch_bytes), "batch long, ids binary, offs binary, data binary"))
-    hashes = packed.mapInArrow(lambda b: _emit_hashes(b, shards), "batch long, shard int, hashes binary, codes binary")
-    answers = durable(hashes.groupBy("shard").applyInArrow(lambda t: _shared_hashes(t, hot_count), "batch long, shard int, bits binary"))
-    listed = answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "bits")).alias("answers"))
-    spots = packed.join(listed, "batch").mapInArrow(lambda b: _emit_contexts(b, shards), "batch long, part int, shard int, spots binary")
-    marks = durable(spots.groupBy("shard").applyInArrow(_mark_shard, "batch long, part int, shard int, masks binary"))
+    hashes = packed.mapInArrow(lambda b: _emit_hashes(b, parts), "batch long, part int, hashes binary, codes binary")
+    answers = durable(hashes.groupBy("part").applyInArrow(lambda t: _shared_hashes(t, hot_count), "batch long, part int, bits binary"))
+    listed = answers.groupBy("batch").agg(F.collect_list(F.struct("part", "bits")).alias("answers"))
+    spots = packed.join(listed, "batch").mapInArrow(lambda b: _emit_contexts(b, parts, shards), "batch long, block int, shard int, spots binary")
+    marks = durable(spots.groupBy("shard").applyInArrow(_mark_shard, "batch long, block int, shard int, masks binary"))
     discard(narrow, copied)
-    final = packed.join(listed, "batch", "left").join(marks.groupBy("batch").agg(F.collect_list(F.struct("part", "shard", "masks")).alias("marks")), "batch", "left")
+    final = packed.join(listed, "batch", "left").join(marks.groupBy("batch").agg(F.collect_list(F.struct("block", "shard", "masks")).alias("marks")), "batch", "left")
     kind = "binary" if texts else "string"
-    done = final.mapInArrow(lambda b: _finish(b, shards, texts), f"id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
+    done = final.mapInArrow(lambda b: _finish(b, parts, shards, texts), f"id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
     gone = F.col("n_bytes") >= WINDOW
     whole = lambda df: df.select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept")
     keep = lambda c: c.cast("binary") if texts else F.sha2(c.cast("binary"), 256)
@@ -563,12 +567,12 @@ def _removal(docs: DataFrame, id_col: str, text_col: str, texts: bool, batch_byt
     return done.unionByName(copies).unionByName(short).unionByName(nulls)
 
 
-def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, hot_count: int = HOT) -> DataFrame:
+def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int | None = None, hot_count: int = HOT) -> DataFrame:
     """Per row: its id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``."""
     return _removal(docs, id_col, text_col, False, batch_bytes, hot_count).withColumnsRenamed({"id": id_col, "kept": "kept_sha256"})
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES, hot_count: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int | None = None, hot_count: int = HOT) -> DataFrame:
     """Per row: its id, the counts, and ``kept``, the bytes that stay (cuts may fall within a character)."""
     return _removal(docs, id_col, text_col, True, batch_bytes, hot_count).withColumnRenamed("id", id_col)
 
