@@ -32,6 +32,8 @@ from ._io import text_blocks
 PIECE = 512
 TRAIN_ROWS, TRAIN_CHARS = 64, 40_000
 MAX_ALPHABET = 250
+#: Bytes up to which every state has a row of all symbols.
+DENSE_BYTES = 64 << 20
 _models: dict[int, "Automata"] = {}
 
 
@@ -96,11 +98,12 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 class Automata:
     """All languages' automata in one set of tables; state 0 is dead and stands for 'no phrase is open'.
 
-    Most states have one way out, which is kept as a pair of symbol and target; only
-    those that branch have a row of all symbols.
+    Most states have one way out. Where rows of all symbols for every state would take
+    more than ``dense_bytes``, such a way is kept as a pair of symbol and target, and only
+    states that branch have a row.
     """
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], dense_bytes: int = DENSE_BYTES):
         self.langs = list(texts)
         counts: dict[str, int] = {}
         for t in texts.values():
@@ -110,9 +113,11 @@ class Automata:
         code = {" ": 1} | {c: k + 2 for k, c in enumerate(letters)}
         self.width = width = len(code) + 1  # symbol 0 is any letter that was not learned
         symbol, target, rows, row_of, roots, base, n_rows = [[0]], [[0]], [np.zeros((1, width), np.int32)], [[0]], [], 1, 1
-        for t in texts.values():
-            states = [{c: base + to for c, to in row.items() if c} for row in suffix_automaton([code.get(c, 0) for c in t])]
-            branching = [s for s, row in enumerate(states) if len(row) > 1 or s == 0]
+        automata = [suffix_automaton([code.get(c, 0) for c in t]) for t in texts.values()]
+        self.dense = 4 * width * sum(map(len, automata)) <= dense_bytes
+        for automaton in automata:
+            states = [{c: base + to for c, to in row.items() if c} for row in automaton]
+            branching = [s for s, row in enumerate(states) if self.dense or len(row) > 1 or s == 0]
             table = np.zeros((len(branching), width), np.int32)
             place = np.zeros(len(states), np.int32)
             for k, s in enumerate(branching):
@@ -139,6 +144,8 @@ class Automata:
 
     def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """The states after one more symbol, 0 where there is no way on."""
+        if self.dense:
+            return self.rows.ravel()[state * self.width + symbols]
         row = self.row_of[state]
         return np.where(row > 0, self.rows[row, symbols], np.where(self.symbol_of[state] == symbols, self.target[state], 0))
 

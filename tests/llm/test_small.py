@@ -624,12 +624,13 @@ def test_language_query_equals_brute_force(spark, tmp_path):
     assert got == slow_language(rows) and max(len(t or "") for _, t, _ in rows) > 3 * langid.PIECE
 
 
-def test_automata_of_a_large_alphabet():
+@pytest.mark.parametrize("dense_bytes", [0, 1 << 30])
+def test_automata_of_a_large_alphabet(dense_bytes):
     """Letters beyond the alphabet's bound end a phrase; the others' phrases stay exact."""
     rng = random.Random(13)
     letters = [chr(0x4E00 + k) for k in range(400)]
     texts = {k: "".join(rng.choice(letters[:300] if k == "x" else letters[100:]) for _ in range(3000)) for k in "xy"}
-    model = langid.Automata(texts)
+    model = langid.Automata(texts, dense_bytes)
     assert model.width == langid.MAX_ALPHABET + 2
     known = {c for c in letters if model.symbol[ord(c)]}
     asked = [texts["x"][50:90], texts["y"][10:40] + texts["x"][5:9]]
