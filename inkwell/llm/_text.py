@@ -32,12 +32,11 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def power_at(base: int, index: np.ndarray) -> np.ndarray:
-    """base**index, from a table of small powers and one of large steps."""
-    out = powers(base, 1 << 16)[index & 0xFFFF]
-    top = int(index.max(initial=0)) >> 16
-    if top:
-        out *= powers(pow(base, 1 << 16, 1 << 64), top + 1)[index >> 16]
-    return out
+    """base**index, from one table if it is short, else from tables of small powers and of large steps."""
+    most = int(index.max(initial=0))
+    if most < 2 * STEP:
+        return powers(base, most + 1)[index]
+    return powers(base, 1 << 16)[index & 0xFFFF] * powers(pow(base, 1 << 16, 1 << 64), (most >> 16) + 1)[index >> 16]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,10 +51,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 def prefix_sums(values: np.ndarray) -> np.ndarray:
     """Prefix sums of values * BASE**i, one longer than values."""
     out = np.zeros(len(values) + 1, U)
-    step = 1 << 16
-    for at in range(0, len(values), step):
-        part = values[at : at + step].astype(U) * powers(BASE, step)[: min(step, len(values) - at)]
-        part *= U(pow(BASE, at, 1 << 64))
+    for at in range(0, len(values), STEP):
+        part = values[at : at + STEP].astype(U) * powers(BASE, STEP)[: min(STEP, len(values) - at)]
+        if at:
+            part *= U(pow(BASE, at, 1 << 64))
         np.cumsum(part, out=part)
         out[at + 1 : at + 1 + len(part)] = part + out[at]
     return out
@@ -123,7 +122,8 @@ class Words:
             part = LOWER[self.data[first:last]] if self.lower else self.data[first:last]
             part = part.astype(U) + U(1)
             part *= powers(BASE, STEP)[: last - first]
-            part *= U(pow(BASE, first, 1 << 64))
+            if first:
+                part *= U(pow(BASE, first, 1 << 64))
             return part
 
         sums = sampled_sums(values, len(self.data), end, U)
