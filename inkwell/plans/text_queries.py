@@ -408,7 +408,7 @@ def j1_trim_and_length(spark, d):
 
 @query(r"""SELECT doc_id, page_number, item_ord, array_to_string(regexp_extract_all(str, '\d+(?:\s*[–—-]\s*\d+)?|[A-Za-z]+|[^\sA-Za-z\d]', 0), '|') AS tokens FROM item""", "item")
 def j2_tokens(spark, d):
-    return items(spark, d).select(*T.PAGE, "item_ord", F.array_join(F.regexp_extract_all("str", lit(I.TOKEN.pattern), lit(0)), "|").alias("tokens"))
+    return items(spark, d).select(*T.PAGE, "item_ord", F.array_join(F.regexp_extract_all("str", lit(I.TOKEN), lit(0)), "|").alias("tokens"))
 
 
 @query(r"""SELECT doc_id, page_number, item_ord, CASE WHEN regexp_matches(trim(str), '^\d+$') THEN CAST(trim(str) AS BIGINT) END AS n, printf('%.2f', x) AS label FROM item""", "item")
