@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, extract, langid, line_dedup, mixing, near_dup, quality, suffix_dedup, url_filter, warc
+from . import decontam, extract, langid, line_dedup, merkle, mixing, near_dup, quality, suffix_dedup, url_filter, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_near_dup, op4_mixing, op5_warc, op6_suffix_dedup, op7_html_extraction, op8_line_dedup, op9_url_filter, op10_decontamination)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in merkle.FIELDS]
+    even = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    stripped = [F.translate(f, "\n", "") if c == "text" else f for c, f in zip(merkle.FIELDS, fields)]
+    seen = F.when(even & F.contains(F.col("text"), F.lit("\n")), merkle.leaf_of(*stripped)).otherwise(merkle.leaf_of(*fields))
+    rows = merkle.verified(merkle.manifest(docs, carry={"seen": seen}))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.component_rows(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_near_dup, op4_mixing, op5_warc, op6_suffix_dedup, op7_html_extraction, op8_line_dedup, op9_url_filter, op10_decontamination, op12_merkle_manifest, op13_embedding_whitening)}
 WARC_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 l AS (SELECT payload_digest, max(page_id) AS leader FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
@@ -72,4 +86,4 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM p LEFT JOIN l USING (payload_digest)
 """
 
-ORACLES: dict[str, str] = {"op9_url_filter": url_filter.sql(URL_RULES), "op2_quality_rules": quality.SQL, "op3_near_dup": near_dup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op5_warc": WARC_SQL, "op8_line_dedup": line_dedup.SQL, "op10_decontamination": decontam.SQL}
+ORACLES: dict[str, str] = {"op9_url_filter": url_filter.sql(URL_RULES), "op2_quality_rules": quality.SQL, "op3_near_dup": near_dup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op5_warc": WARC_SQL, "op8_line_dedup": line_dedup.SQL, "op10_decontamination": decontam.SQL, "op12_merkle_manifest": merkle.SQL}
