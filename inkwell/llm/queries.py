@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, extract, langid, line_dedup, merkle, mixing, near_dup, quality, suffix_dedup, url_filter, warc, whitening
+from . import decontam, extract, langid, licenses, line_dedup, merkle, mixing, near_dup, quality, suffix_dedup, url_filter, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     fields = [F.col(c) for c in merkle.FIELDS]
@@ -76,7 +80,7 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.component_rows(whitening.whiten(_table(spark, sf_dir, "embeddings")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_near_dup, op4_mixing, op5_warc, op6_suffix_dedup, op7_html_extraction, op8_line_dedup, op9_url_filter, op10_decontamination, op12_merkle_manifest, op13_embedding_whitening)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_quality_rules, op3_near_dup, op4_mixing, op5_warc, op6_suffix_dedup, op7_html_extraction, op8_line_dedup, op9_url_filter, op10_decontamination, op11_license_scan, op12_merkle_manifest, op13_embedding_whitening)}
 WARC_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
 l AS (SELECT payload_digest, max(page_id) AS leader FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
