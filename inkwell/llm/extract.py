@@ -19,9 +19,11 @@ before the core, outside it, is put first.
 Within the core, these subtrees go, too; elements whose class or id only contains
 such a word, or a word that articles use as well (``search``, ``legal``,
 ``discussion``), go only if they are sparser than the threshold or half of their
-characters are links. Paragraphs, headings and
-sections keep what their ids say, as those are slugs of titles. Nothing else is
-dropped: lists of links and short blocks of an article stay.
+characters are links. So do headings, paragraphs and quotes, unless the name is that
+of an advert. Paragraphs, headings and sections keep what their ids say, as those are
+slugs of titles. Nothing else is dropped: lists of links and short blocks of an
+article stay. On a page without a main heading, a second-level one right before the
+core takes its place.
 
 Defined cases: a null or empty page gives an empty text; text without any tag
 is one block; unclosed and stray tags are repaired as browsers do for
@@ -52,22 +54,25 @@ CLOSES = {t: ("p",) for t in "address article aside blockquote center details di
     "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody"), "tfoot": ("tbody",)
 }
 FENCE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
-CUT_TAGS = frozenset("nav footer aside script style noscript template iframe svg canvas button select input textarea label object embed audio video map dialog menu head title".split())
+CUT_TAGS = frozenset("nav footer aside script style noscript template iframe svg canvas button select input textarea object embed audio video map dialog menu head title".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
 #: Words of a class or id that name what an article does not hold.
 BOILER = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense adbox adslot banner banners sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr notice notices popup popups modal overlay newsletter subscribe subscription "
-    "share sharing social sidebar sidebars menu menus nav navbar navbars navigation breadcrumb breadcrumbs related recommended teaser teasers comment comments commentlist commenter replies reply respond disqus footer footers masthead topbar toolbar widget widgets login signup pagination pager paywall".split()
+    "share sharing social sidebar sidebars menu menus nav navbar navbars navigation breadcrumb breadcrumbs related recommended teaser teasers comment comments commentlist commenter replies reply respond disqus footer footers masthead topbar toolbar login signup pagination pager paywall".split()
 )
 #: Those of reader comments, which may be longer than the article.
 READERS = frozenset("comment comments commentlist commenter replies reply respond disqus".split())
+#: Those of adverts, which may be single paragraphs.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements advertising adsense adbox adslot banner banners sponsor sponsors sponsored cookie cookies consent gdpr".split())
 #: Words that articles use for their own parts, too.
-PERHAPS = frozenset("side foot discussion review reviews search skip alert alerts disclaimer legal copyright tags head header headers".split())
+PERHAPS = frozenset("widget widgets side foot discussion review reviews search skip alert alerts disclaimer legal copyright tags head header headers".split())
 #: Words that may stand beside them without changing what is named.
 BESIDE = frozenset("site page main top bottom left right inner outer wrapper wrap container box area section block list item items bar links link button buttons form post posts article articles story stories reader user global primary secondary slot unit area thread text author meta date body and the content".split())
 HEADER = frozenset("header headers head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that are single parts of a text.
+TEXTS = HEADINGS | frozenset("p blockquote pre".split())
 PARTS = HEADINGS | frozenset("p li dt dd td th tr tbody thead tfoot blockquote pre figcaption caption".split())
 MAX_DEPTH = 512
 #: A tag's attributes: runs, quoted values after an equals sign, or a lone sign. No part gives back what it took, so a tag is read once.
@@ -95,7 +100,7 @@ class Node:
 def name_level(value: str, header: bool) -> int:
     """3 if one of the names in a class or id says reader comments as a whole, 2 if one says other boilerplate, 1 if one contains such a word, else 0. ``header``: whether headers count as whole names."""
     level = 0
-    for name in value.lower().split():
+    for name in dict.fromkeys(value.lower().split()):  # each name once
         words = WORD.findall(name)
         if header and any(w in HEADER for w in words) and all(w in HEADER or w in ("site", "page", "main", "top", "global") for w in words):
             level = max(level, 2)
@@ -130,6 +135,8 @@ def judge_element(tag: str, attrs: str, inside: bool) -> tuple[bool, int]:
             found = name_level(value, not inside)
             if name == "id" and tag == "section" or tag in PARTS or tag in ("article", "main"):
                 found = found if found >= 2 else 0  # slugs of titles, and names of topics
+            if tag in TEXTS and found >= 2 and ADVERTS.isdisjoint(WORD.findall(value.lower())):
+                found = 1
             level = max(level, found)
     return False, level
 
@@ -331,11 +338,14 @@ def core(root: Node) -> tuple[list[Node], float]:
     while n is not None:
         path.add(id(n))
         n = n.parent
-    for n in nodes:  # in page order; the last main heading before the core
+    main = any(n.tag == "h1" and n.chars for n in nodes)
+    for n in nodes:  # in page order; the last main heading before the core, or one of the second level with no text behind it
         if n is around:
             break
-        if n.tag == "h1" and n.chars and not _below_named(n):
+        if n.tag == ("h1" if main else "h2") and n.chars and not _below_named(n):
             heading = n
+        elif heading is not None and not main and any(isinstance(k, str) and not k.isspace() for k in n.kids) and not _within(n, heading):
+            heading = None
     return ([heading] if heading is not None and id(heading) not in path else []) + [around], least
 
 
@@ -356,6 +366,12 @@ def article_within(n: Node) -> Node:
     return most if len(found) == 1 or 2 * most.chars >= n.chars - named else n
 
 
+def _within(n: Node | None, top: Node) -> bool:
+    while n is not None and n is not top:
+        n = n.parent
+    return n is top
+
+
 def _below_named(n: Node | None) -> bool:
     while n is not None:
         if n.named >= 2:

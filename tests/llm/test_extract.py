@@ -163,6 +163,28 @@ def test_names_within_an_article(part, stays, tag):
     assert got == ["Story", *WANT] + ([inner] if stays else [])
 
 
+@pytest.mark.parametrize(
+    "part, stays",
+    [
+        ("<h2 class='comments'>Comments on the treaty by its makers</h2>", True), ("<blockquote class='comment'>A quote of a reader of the treaty, with as many words as a paragraph of the story has.</blockquote>", True),
+        ("<div class='widget'><p>A paragraph that is as dense as the others, with words and more words that read as text.</p></div>", True), ("<p class='promo'>A paragraph that is as dense as the others, with words and more words that read as text.</p>", True),
+        ("<p class='related'>A paragraph that is as dense as the others, with words and more words that read as text.</p>", True), ("<p>Some <label>words of a label</label> within a paragraph that is as dense as the others of the story are.</p>", True),
+        ("<p class='ad'>A paragraph that sells something, as dense as the others, with words and more words that read as text.</p>", False), ("<p class='related'><a href=/x>More</a></p>", False), ("<form><label>Your name</label><input></form>", False),
+    ],
+)
+def test_names_of_dense_parts(part, stays):
+    """Headings, quotes and paragraphs go by their names only if they are sparse, links or adverts."""
+    got = extract.main_text(f"<body><div>{LINKS}</div><article><h1>Story</h1>{STORY}{part}</article></body>").split("\n")
+    assert got == ["Story", *WANT] + ([re.sub(r"<[^>]*>", "", part)] if stays else [])
+
+
+def test_second_level_title_before_the_core():
+    page = "<body><div>{}</div>{}<div>{}</div></body>"
+    assert extract.main_text(page.format(LINKS, "<h2>Story</h2>", STORY)).split("\n") == ["Story", *WANT]
+    assert extract.main_text(page.format(LINKS, "<h2>Other</h2><p>Short.</p>", STORY)).split("\n") == WANT
+    assert extract.main_text(page.format(LINKS, "<h1>Story</h1><h2>Other</h2>", STORY)).split("\n") == ["Story", *WANT]
+
+
 READER = "".join(f"<li class=comment><article class='comment-body'><p>Reader text number {k} that goes on and on for quite a long while, longer than any paragraph of the story itself.</p></article></li>" for k in range(12))
 MENU = f"<ul class=menu>{LINKS}</ul>"
 
