@@ -38,6 +38,8 @@ from ._io import durable, shared_dir
 
 # Frame magics of Zstandard and of its dictionary extension.
 FRAME, DICT_FRAME = 0xFD2FB528, 0x184D2A5D
+#: A block of one repeated byte, which is stored once.
+RUN_BLOCK = 1
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 #: An empty skippable frame, written between rows.
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0).decode("ascii")
@@ -130,8 +132,26 @@ def decode_record(raw: bytes) -> dict:
     }
 
 
+def frame_end(data: bytes, at: int) -> int:
+    """Where the frame that begins at ``at`` ends, by the sizes in its header and in those of its blocks; nothing is decoded."""
+    flags = data[at + 4] if at + 4 < len(data) else 0
+    single, checksum = flags >> 5 & 1, flags >> 2 & 1
+    at += 5 + (not single) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6]
+    while at + 3 <= len(data):
+        block = int.from_bytes(data[at : at + 3], "little")
+        at += 3 + (1 if block >> 1 & 3 == RUN_BLOCK else block >> 3)
+        if block & 1:  # the last one
+            at += 4 * checksum
+            break
+    else:
+        raise BadRecord("the archive ends within a frame")
+    if at > len(data):
+        raise BadRecord("the archive ends within a frame")
+    return at
+
+
 def frames(data: bytes) -> Iterator[bytes]:
-    """The decoded record frames of an archive. Frames hold their decoded size, so no record is read past its end."""
+    """The decoded record frames of an archive, each cut out by the sizes of its blocks, so that an archive is read once."""
     at, decoder, first = 0, zstandard.ZstdDecompressor(), True
     while at < len(data):
         if len(data) - at < 8:
@@ -153,14 +173,15 @@ def frames(data: bytes) -> Iterator[bytes]:
         if magic != FRAME:
             raise BadRecord(f"no frame at byte {at}")
         first = False
+        end = frame_end(data, at)
+        frame = data[at:end]
         one = decoder.decompressobj()
-        raw = one.decompress(memoryview(data)[at:])
-        if not one.eof:
-            raise BadRecord("the archive ends within a frame")
-        known = zstandard.frame_content_size(memoryview(data)[at:])
-        if known not in (-1, len(raw)):
+        raw = one.decompress(frame)
+        if not one.eof or one.unused_data:
+            raise BadRecord("the frame's blocks and its content end apart")
+        if zstandard.frame_content_size(frame) not in (-1, len(raw)):
             raise BadRecord("the frame's content size differs")
-        at = len(data) - len(one.unused_data)
+        at = end
         yield raw
 
 
@@ -192,9 +213,12 @@ def with_record_types(pages: DataFrame, id_col: str = "page_id", url_col: str =
     long_ = base.where(F.octet_length("html") >= min_revisit_bytes).select("id", F.sha1(F.col("html").cast("binary")).alias("digest"))
     leader = durable(long_.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     follows = long_.join(leader, "digest").where("id < refers_to").select("id", "digest", "refers_to").distinct()
-    follows = follows.select(F.col("id").alias("f_id"), F.col("digest").alias("f_digest"), "refers_to")
-    digest = F.when(F.octet_length("html") >= min_revisit_bytes, F.sha1(F.col("html").cast("binary")))
-    both = base.join(follows, (F.col("id") == F.col("f_id")) & (digest == F.col("f_digest")), "left")
+    own = F.xxhash64("id", "digest")
+    follows = follows.select(F.col("id").alias("f_id"), F.col("digest").alias("f_digest"), own.alias("f_spread"), "refers_to")
+    typed = base.withColumn("digest", F.when(F.octet_length("html") >= min_revisit_bytes, F.sha1(F.col("html").cast("binary"))))
+    # short pages and null ids follow nothing; dealt by their place, they do not meet in one task
+    typed = typed.withColumn("spread", F.when(F.col("id").isNotNull() & F.col("digest").isNotNull(), own).otherwise(F.monotonically_increasing_id()))
+    both = typed.join(follows, (F.col("spread") == F.col("f_spread")) & (F.col("id") == F.col("f_id")) & (F.col("digest") == F.col("f_digest")), "left")
     return both.select("id", "url", "html", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("kind"), "refers_to")
 
 
