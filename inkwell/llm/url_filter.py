@@ -8,10 +8,12 @@ level, so does every segment of a node that has more than ``MAX_CHILDREN``
 different ones. Then, from the deepest level up, sibling branches of each node
 (equal but for one segment) are merged with the one of the most labels, if their
 shares of blocked urls do not differ from its share by more than chance; those
-that differ keep their own counts and stay out of the sum. A template is rejected if its smoothed
-share of allowed urls, ``(allowed + PRIOR) / (labelled + 2 * PRIOR)``, is below
-``MIN_PURITY``; without labels it is a half, which allows. The labels are the
-verdicts of the rules.
+that differ keep their own counts and stay out of the sum. A branch without labels
+differs from its siblings by nothing that is known: it is judged by the counts of all
+of them, at the deepest level at which they have any, and else by those of its host. A
+template is rejected if its smoothed share of allowed urls, ``(allowed + PRIOR) /
+(labelled + 2 * PRIOR)``, is below ``MIN_PURITY``; on a host without labels it is a
+half, which allows. The labels are the verdicts of the rules.
 
 The tree is built from counts per host and path shape, summed on the map side,
 so a host with a third of all urls costs as many rows as it has shapes a task.
@@ -80,14 +82,19 @@ def templates(labelled: DataFrame, depth: int = DEPTH) -> DataFrame:
         node = node.withColumn("template", F.when(F.col("kids").isNotNull() & F.col("child").isNotNull(), star).otherwise(F.col("template")))
         old, tree = tree, durable(node.select("host", "shape", "good", "n", "template"))
         discard(old)
-    branch = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    none = F.lit(0).cast("long")
+    branch = tree.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).withColumns({"lent_good": none, "lent_n": none})
     for level in reversed(range(deepest)):
         branch = merged(branch, level, depth)
+    host = durable(tree.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n")))
+    own, lent = F.col("n") > 0, F.col("lent_n") > 0
+    pick = lambda c: F.when(own, F.col(c)).when(lent, F.col(f"lent_{c}")).otherwise(F.col(f"host_{c}")).alias(c)
+    branch = branch.join(host, "host").select("host", "template", pick("good"), pick("n"))
     return tree.select("host", "shape", "template").join(branch, ["host", "template"])
 
 
 def merged(branch: DataFrame, level: int, depth: int = DEPTH) -> DataFrame:
-    """Branches with labels that differ in one segment only share their counts with the one of the most labels, if their shares differ from its share by chance. A node has few siblings, as wide ones are wildcards by now."""
+    """Branches with labels that differ in one segment only share their counts with the one of the most labels, if their shares differ from its share by chance. Those without labels get those of the family on loan, which they do not pass on. A node has few siblings, as wide ones are wildcards by now."""
     family = F.concat(F.slice("template", 1, level), F.array(F.lit("?")), F.slice("template", level + 2, depth + 1))
     rows = branch.withColumn("family", F.when(F.size("template") > level, family))
     w = Window.partitionBy("host", F.coalesce("family", "template"), F.col("family").isNull())
@@ -98,7 +105,9 @@ def merged(branch: DataFrame, level: int, depth: int = DEPTH) -> DataFrame:
     near = F.coalesce(F.when(F.col("n") > 0, apart <= Z * F.sqrt(q * (1 - q) * (1.0 / F.col("n") + 1.0 / F.col("top_n")))), F.lit(False))
     rows = rows.withColumn("near", near)
     pool = lambda c: F.when(F.col("near"), F.sum(F.when(F.col("near"), F.col(c)).otherwise(0)).over(w)).otherwise(F.col(c)).alias(c)
-    return rows.select("host", "template", pool("good"), pool("n"))
+    borrows = (F.col("n") == 0) & (F.col("lent_n") == 0)
+    loan = lambda c: F.when(borrows, F.sum(c).over(w)).otherwise(F.col(f"lent_{c}")).alias(f"lent_{c}")
+    return rows.select("host", "template", pool("good"), pool("n"), loan("good"), loan("n"))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -135,15 +144,17 @@ t{k + 1} AS MATERIALIZED (SELECT t.host, shape, good, n, CASE WHEN w.host IS NOT
         merges.append(
             f"""f{k} AS (SELECT *, first_value(good) OVER w AS top_good, first_value(n) OVER w AS top_n FROM (SELECT *, {family} AS family FROM {before}) WINDOW w AS (PARTITION BY host, coalesce(family, template), family IS NULL ORDER BY n DESC, template DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 h{k} AS (SELECT *, coalesce(CASE WHEN n > 0 THEN abs(good / n - top_good / top_n) <= {Z} * sqrt(CAST((good + top_good) / (n + top_n) * (1 - (good + top_good) / (n + top_n)) * (1.0::DOUBLE / n + 1.0::DOUBLE / top_n) AS DOUBLE)) END, false) AS near FROM f{k}),
-{after} AS MATERIALIZED (SELECT host, template, CASE WHEN near THEN CAST(sum(good) FILTER (WHERE near) OVER w AS BIGINT) ELSE good END AS good, CASE WHEN near THEN CAST(sum(n) FILTER (WHERE near) OVER w AS BIGINT) ELSE n END AS n FROM h{k} WINDOW w AS (PARTITION BY host, coalesce(family, template), family IS NULL))"""
+{after} AS MATERIALIZED (SELECT host, template, CASE WHEN near THEN CAST(sum(good) FILTER (WHERE near) OVER w AS BIGINT) ELSE good END AS good, CASE WHEN near THEN CAST(sum(n) FILTER (WHERE near) OVER w AS BIGINT) ELSE n END AS n,
+CASE WHEN n = 0 AND lent_n = 0 THEN CAST(sum(good) OVER w AS BIGINT) ELSE lent_good END AS lent_good, CASE WHEN n = 0 AND lent_n = 0 THEN CAST(sum(n) OVER w AS BIGINT) ELSE lent_n END AS lent_n FROM h{k} WINDOW w AS (PARTITION BY host, coalesce(family, template), family IS NULL))"""
         )
     return rf"""WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 s AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '{VARIABLE}') THEN '*' || regexp_extract(x, '{VARIABLE}', 1) ELSE x END) AS k, {rule} AS rule, {verdict} AS given FROM u),
 r AS MATERIALIZED (SELECT page_id, host, path, rule, given, CASE WHEN len(k) > {DEPTH} THEN list_concat(k[1:{DEPTH}], ['**']) ELSE k END AS shape FROM s),
 t0 AS MATERIALIZED (SELECT host, shape, shape AS template, count(*) FILTER (WHERE given = 'allow') AS good, count(given) AS n FROM r GROUP BY host, shape),
 {(","+chr(10)).join(levels)},
-g{DEPTH + 1} AS MATERIALIZED (SELECT host, template, CAST(sum(good) AS BIGINT) AS good, CAST(sum(n) AS BIGINT) AS n FROM t{DEPTH} GROUP BY host, template),
+g{DEPTH + 1} AS MATERIALIZED (SELECT host, template, CAST(sum(good) AS BIGINT) AS good, CAST(sum(n) AS BIGINT) AS n, 0::BIGINT AS lent_good, 0::BIGINT AS lent_n FROM t{DEPTH} GROUP BY host, template),
+o AS MATERIALIZED (SELECT host, CAST(sum(good) AS BIGINT) AS host_good, CAST(sum(n) AS BIGINT) AS host_n FROM t{DEPTH} GROUP BY host),
 {(","+chr(10)).join(merges)},
-p AS (SELECT t.host, t.shape, t.template, (m.good + {PRIOR}) / (m.n + {2 * PRIOR}) AS purity FROM t{DEPTH} t JOIN g0 m ON m.host = t.host AND m.template = t.template)
+p AS (SELECT t.host, t.shape, t.template, (CASE WHEN m.n > 0 THEN m.good WHEN lent_n > 0 THEN lent_good ELSE host_good END + {PRIOR}) / (CASE WHEN m.n > 0 THEN m.n WHEN lent_n > 0 THEN lent_n ELSE host_n END + {2 * PRIOR}) AS purity FROM t{DEPTH} t JOIN g0 m ON m.host = t.host AND m.template = t.template JOIN o ON o.host = t.host)
 SELECT page_id, r.host, path, rule, coalesce(given, CASE WHEN purity < {MIN_PURITY} THEN 'block' ELSE 'allow' END) AS verdict, '/' || array_to_string(template, '/') AS template, CAST(purity AS DOUBLE) AS purity FROM r LEFT JOIN p ON p.host = r.host AND p.shape = r.shape
 """
