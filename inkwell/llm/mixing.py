@@ -9,9 +9,11 @@ groups again, level by level, until a source has one left, which is rounded at
 random. So each source's words differ from its target by less than one
 document.
 
-Groups hold ``GROUP`` documents of one source, dealt by a hash of the row, so a
-source with a third of all rows is spread over tasks like any other. Coins come
-from hashes of ids and sizes: reruns agree.
+Groups hold ``GROUP`` documents of one source, dealt by a hash of id, source and size,
+so a source with a third of all rows is spread over tasks like any other. Of what more
+than ``ALIKE`` rows share (a null id, an id that repeats) each row is dealt by its
+place in the table. Coins come from the same hashes: reruns over the same files agree,
+and where ids tell rows apart, those over any files.
 
 Defined cases: null and empty texts have size 0 and take 0; a null source is a
 source of its own, last in the order; repeated rows and rows with a null id are
@@ -34,6 +36,8 @@ from ._io import durable, text_blocks
 from ._text import Words
 
 GROUP = 2048
+#: Rows of one id, source and size that are dealt together.
+ALIKE = 64
 WEIGHTS = (5, 2, 1)
 
 
@@ -59,7 +63,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offs in text_blocks(batch.column(2)):
             n = Words(data, offs, hashed=False).counts()
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64))], ["id", "src", "size"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (0, 1, 3)), pa.array(n.astype(np.int64))], ["id", "src", "place", "size"])
 
 
 def pivot(size: np.ndarray, part: np.ndarray, coin: np.ndarray) -> tuple[np.ndarray, int]:
@@ -104,6 +108,13 @@ def _round_last(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
+def dealt(sized: DataFrame) -> DataFrame:
+    """Rows (id, src, place, size) with the ``key`` that deals them to groups and draws their coins."""
+    keyed = sized.withColumn("key", F.xxhash64(F.col("id").cast("string"), F.lit(11), "src", "size"))
+    alike = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > ALIKE).select("key", F.lit(True).alias("alike")))
+    return keyed.join(alike, "key", "left").withColumn("key", F.when(F.col("alike"), F.xxhash64("key", "place")).otherwise(F.col("key"))).drop("alike")
+
+
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """Per document: its id, ``size``, its source's ``source_size`` and ``target``, and the words ``taken``. The options are those of ``taken_words``."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("src"), F.col(text_col).alias("text"))
@@ -114,18 +125,19 @@ def taken_words(narrow: DataFrame, weights: Sequence[int] = WEIGHTS, percent: in
     """The report for rows (id, src, text)."""
     spark = narrow.sparkSession
     id_type = dict(narrow.dtypes)["id"]
-    sized = durable(narrow.mapInArrow(_sizes, f"id {id_type}, src string, size long"))
+    placed = narrow.select("id", "src", "text", F.monotonically_increasing_id().alias("place"))
+    sized = durable(placed.mapInArrow(_sizes, f"id {id_type}, src string, place long, size long"))
     # one row a source; the mixture is a stated list of sources, and its shares are settled on the driver
     totals = sorted(((r.src, r.size, r.n) for r in sized.groupBy("src").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()), key=lambda t: (t[0] is None, t[0] or ""))
     share = targets([t[1] for t in totals], [weights[i % len(weights)] for i in range(len(totals))], percent * sum(t[1] for t in totals) / 100, most)
     table = spark.createDataFrame(
         [(s, size, t, t / size if size else 0.0, max(1, -(-n // group))) for (s, size, n), t in zip(totals, share)], "src2 string, source_size long, target double, rate double, groups int"
     )
-    key = F.xxhash64(F.col("id").cast("string"), F.lit(11))
     rows = (
-        sized.join(table, F.col("src").eqNullSafe(F.col("src2")))
+        dealt(sized).drop("place")
+        .join(table, F.col("src").eqNullSafe(F.col("src2")))
         .drop("src2")
-        .withColumns({"whole": F.floor("rate").cast("long"), "part": F.col("rate") - F.floor("rate"), "key": key})
+        .withColumns({"whole": F.floor("rate").cast("long"), "part": F.col("rate") - F.floor("rate")})
     )
     schema = "id " + id_type + ", src string, size long, source_size long, target double, whole long, part double, key long, groups int, g int, done boolean"
     plain = (F.col("size") == 0) | (F.col("part") == 0)
