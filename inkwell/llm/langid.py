@@ -10,7 +10,7 @@ parsed whole, in pieces of ``PIECE`` symbols that each begin a new phrase. Many
 pieces step through the automata together, as one numpy table lookup a symbol.
 
 Bound of the fitted sample (a parameter): ``train_rows`` rows a language in the
-order of a hash of the id, and ``train_chars`` folded symbols of them.
+order of hashes of the id and the text (rows equal in both count once), and ``train_chars`` folded symbols of them.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0;
 with no labelled row every text is ``und``; equal costs go to the smaller
@@ -43,22 +43,23 @@ def fold(text: str) -> str:
 
 
 def sample_labelled(docs: DataFrame, text_col: str, lang_col: str, id_col: str, train_rows: int, train_chars: int) -> dict[str, str]:
-    """Bounded training text per language; ranks move ids only, and each task keeps its own first rows before the shuffle."""
+    """Bounded training text per language; ranks move hashes only."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) > 0))
-    order = Window.partitionBy("lang").orderBy("key", "id")
-    keys = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col).cast("string")).alias("key"))
-    # the first ranking within each slice of the keys holds the slices' winners, whatever share of the rows one language has
-    part = keys.withColumn("slice", F.pmod("key", F.lit(64)))
-    part = part.withColumn("r", F.row_number().over(Window.partitionBy("lang", "slice").orderBy("key", "id"))).where(f"r <= {train_rows}")
-    top = part.withColumn("r", F.row_number().over(order)).where(f"r <= {train_rows}").select("lang", "id")
+    name = [F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("key"), F.xxhash64(text_col).alias("print")]
+    order = ["key", "print"]
+    # rows of one id and text are one candidate; the first ranking within each slice of the keys holds the slices' winners, whatever share of the rows one language has
+    part = labelled.select(*name).distinct().withColumn("slice", F.pmod(F.hash("key", "print"), F.lit(64)))
+    part = part.withColumn("r", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(*order))).where(f"r <= {train_rows}")
+    top = part.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(f"r <= {train_rows}").select("lang", *order)
     rows = (
-        labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .join(F.broadcast(top), ["lang", "id"], "left_semi")  # train_rows ids a language
-        .select("lang", F.substring("text", 1, train_chars).alias("text"), F.xxhash64(F.col("id").cast("string")).alias("key"))
+        labelled.select(*name, F.substring(text_col, 1, train_chars).alias("text"))
+        .join(F.broadcast(top), ["lang", *order], "left_semi")  # train_rows names a language
+        .groupBy("lang", *order)
+        .agg(F.min("text").alias("text"))  # one row a name: train_rows texts a language
         .collect()
     )
     texts: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.key, r.text)):
+    for r in sorted(rows, key=lambda r: (r.lang, r.key, r.print)):
         have = texts.get(r.lang, "")
         if len(have) < train_chars:
             texts[r.lang] = (have + " " + fold(r.text)).strip()[:train_chars]

@@ -15,8 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id is not held out."""
     docs = _table(spark, sf_dir, "documents")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
     found = langid.predict_language(docs, docs.where(~held))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
