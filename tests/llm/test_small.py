@@ -137,6 +137,57 @@ def test_line_dedup_of_odd_rows(spark, odd):
     assert line_dedup.line_report(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_by_joins_equals_that_in_place(spark, corpus, odd):
+    rows = corpus + [(500 + k, f"Top  \n Menu\t\nown {k}\n\n MENU") for k in range(6)]
+    for docs, chars in ((frame(spark, rows), 1), (clash(odd, *NAMES), 1), (frame(spark, rows), 5), (odd, 0)):
+        one, other = (sorted(map(tuple, line_dedup.line_report(docs, min_docs=3, min_chars=chars, most=most).collect()), key=str) for most in (1 << 20, 0))
+        assert one == other and any(r[2] for r in one)
+        one, other = (sorted(map(tuple, line_dedup.dedup_lines(docs, min_docs=3, min_chars=chars, most=most).collect()), key=str) for most in (1 << 20, 0))
+        assert one == other
+
+
+def bulk(spark, n=100_000):
+    """A hundred thousand rows with a null id, as many with one id, half of the latter equal."""
+    kind = F.when(F.col("id") < n, None).otherwise(7).cast("long")
+    text = F.concat_ws("\n", F.lit("common line"), F.when(F.col("id") < n + n // 2, F.concat(F.lit("text "), F.col("id") % 1000)).otherwise("the same"), F.lit("die und der"))
+    return spark.range(2 * n).repartition(16).select(kind.alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+
+
+def largest_group(df, *keys):
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0]
+
+
+def test_null_and_repeated_ids_in_bulk(spark):
+    """No group and no collect holds the rows of a null or repeated id together."""
+    docs = bulk(spark)
+    texts = langid.sample_labelled(docs, "text", "lang", "doc_id", 64, 40_000)
+    assert set(texts) == {"en"} and len(texts["en"]) <= 64 * 40 and texts == langid.sample_labelled(docs.repartition(3), "text", "lang", "doc_id", 64, 40_000)
+    placed = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("src"), F.monotonically_increasing_id().alias("place"), F.lit(6).cast("long").alias("size"))
+    groups = 200_000 // mixing.GROUP
+    assert largest_group(mixing.dealt(placed), F.pmod(F.xxhash64("key", F.lit(5)), F.lit(groups))) < 1.2 * mixing.GROUP
+    report = mixing.mix_report(docs)
+    assert report.count() == 200_000 and abs(report.agg(F.sum("taken")).first()[0] - report.first().target) <= 7
+    lines = line_dedup.line_report(docs)
+    assert lines.count() == 200_000 and lines.agg(F.sum("n_dropped")).first()[0] == 600_000
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Join" not in plan
+    typed = warc.with_record_types(docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert largest_group(typed, F.spark_partition_id()) < 50_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_held_out_is_never_null(spark, tmp_path):
+    from inkwell.llm.queries import op1_language_id
+
+    spark.createDataFrame(odd_rows(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    assert op1_language_id(spark, str(tmp_path)).where("held_out is null").count() == 0
+
+
 # near duplicates
 
 
@@ -701,6 +752,37 @@ def test_archives_of_bounded_size(spark, tmp_path):
     assert [r.get("page_id") for r in warc.scan_archive(data)] == [1, None, 1]
 
 
+def test_archives_are_read_in_linear_time():
+    """Four times the records take no more than some four times as long."""
+    import time
+
+    import zstandard
+
+    pack = zstandard.ZstdCompressor().compress
+    took = {}
+    for n in (8_000, 32_000):
+        data = warc.dict_frame(b"") + b"".join(pack(warc.encode_record(k, f"http://h/{k}", str(k).encode() * 100, "response", None)) for k in range(n))
+        start = time.perf_counter()
+        assert sum(1 for _ in warc.read_archive(data)) == n
+        took[n] = time.perf_counter() - start
+    assert took[32_000] < 8 * took[8_000] and took[8_000] < 5
+
+
+def test_frames_of_every_form():
+    """Raw, repeated and compressed blocks, with and without size and checksum, end where their headers say."""
+    import zstandard
+
+    rng = np.random.default_rng(3)
+    for block in (b"", b"a" * 1_000_000, bytes(rng.integers(0, 256, 300_000, dtype=np.uint8)), b"text of a page " * 40_000):
+        for size in (True, False):
+            for check in (True, False):
+                frame = zstandard.ZstdCompressor(write_content_size=size, write_checksum=check).compress(block)
+                assert warc.frame_end(frame + b"next", 0) == len(frame)
+                for cut in {1, 3, len(frame) // 2, len(frame) - 1}:
+                    with pytest.raises((warc.BadRecord, IndexError)):
+                        warc.frame_end(frame[:cut], 0)
+
+
 def test_payloads_survive_and_damage_is_found():
     import zstandard
 
@@ -801,11 +883,36 @@ def test_merged_branches_decide(spark):
     add("a", 40, 20)  # allowed by itself
     add("b", 1, 2)  # rejected by itself (2 of 5), within chance of a: merged, allowed
     add("c", 0, 30)  # differs: rejected, and its labels do not count for a and b
-    add("d", 0, 0)  # without labels: allowed
+    add("d", 0, 0)  # without labels: judged by all its siblings, 41 of 93
     rows = [(n, u.replace("/own", "/own").replace("/allow", "/own").replace("/block", "/own")) for n, u in rows]
     got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).where("rule is null").collect()
     found = {r.template.split("/")[2]: (r.verdict, round(r.purity, 6)) for r in got}
-    assert found == {"a": ("allow", round(42 / 65, 6)), "b": ("allow", round(42 / 65, 6)), "c": ("block", round(1 / 32, 6)), "d": ("allow", 0.5)}
+    assert found == {"a": ("allow", round(42 / 65, 6)), "b": ("allow", round(42 / 65, 6)), "c": ("block", round(1 / 32, 6)), "d": ("block", round(42 / 95, 6))}
+
+
+def test_branches_without_labels(spark):
+    """They borrow from the deepest family that has labels, then from their host, and pass nothing on; on a host without labels they are allowed."""
+    rules = [("a.net", "/es/", "block"), ("a.net", "/fr/", "block"), ("b.net", "/x/", "allow")]
+    urls = ["http://a.net/es/p", "http://a.net/fr/p", "http://a.net/de/p", "http://a.net/de/q/r", "http://a.net", "http://b.net/x/1", "http://b.net/y/z/1", "http://c.net/es/p"]
+    rows = [(k, u) for k, u in enumerate(urls * 3)]
+    got = {r.page_id: (r.rule, r.verdict, round(r.purity, 4)) for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert [got[k] for k in range(8)] == [("a.net/es/", "block", 0.125), ("a.net/fr/", "block", 0.125), (None, "block", 0.125), (None, "block", 0.125), (None, "block", 0.125), ("b.net/x/", "allow", 0.8), (None, "allow", 0.8), (None, "allow", 0.5)]
+
+
+def test_verdicts_of_both_kinds_without_a_rule(spark):
+    from inkwell.llm.queries import op9_url_filter
+
+    rows = op9_url_filter(spark, "/root/testdata/sf0.1").where("rule is null").groupBy("verdict").count().collect()
+    assert {r.verdict for r in rows} == {"allow", "block"}
+
+
+def test_rules_of_equal_length_and_long_urls(spark):
+    """Of equally long rules that fit, the last in the list decides; a url of a megabyte is split whole."""
+    rules = [("site.org", "/", "allow"), ("site.org", "/", "block"), ("e.org", "/ab", "block"), ("ite.org", "/", "allow")]
+    long = "http://long.org/" + "/".join(f"s{k}" for k in range(200_000))
+    rows = [(1, "http://site.org/x"), (2, "http://e.org/abc"), (3, long), (4, "http://long.org/" + "9" * 1_000_000)]
+    got = {r.page_id: r for r in url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    assert (got[1].verdict, got[2].verdict) == ("block", "block") and got[3].path == long[15:] and len(got[4].path) == 1_000_001 and got[4].template == "/*"
 
 
 def test_url_templates(spark):
