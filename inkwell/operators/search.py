@@ -7,36 +7,56 @@ travels with the task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import CONFIG
+from ..config import CONFIG, Config
 from ..functions import kernels as K
 from ..schemas import MATCH, MATCH_PX
 
 COLUMNS = ["x", "y", "w", "h", "score", "forward", "reverse", "scale"]
 
 
-def _found(images: DataFrame, template: K.Template, step: str, threshold: float, attached_ink: bool = True, turns: tuple[int, ...] = (0,), keep_all: bool = False) -> DataFrame:
-    """Matches after a step: "raw", "kept" (de-duplicated, with ``rank``) or "read" (in reading order, normalised). A page's own ``turns``, if there is such a column, go before those of the search."""
-    own = "turns" in images.columns
-    schema = {"raw": MATCH_PX, "kept": MATCH_PX + ", rank int", "read": MATCH}[step] + ", error string"
+def loaded_image(at: dict[str, pa.Array], r: int, cfg: Config) -> K.Page:
+    """An IMAGE row, analysed."""
+    w, h, bits = (at[c][r].as_py() for c in ("w", "h", "bits"))
+    image = np.frombuffer(bits, np.uint8).reshape(h, w)
+    return K.Page(image, *K.analyse(image, cfg)[1:])
+
+
+#: What a page's kernel counts: pairs of anchors and candidates, those that pass the gate, placements, and those that the bound spares.
+STATS = ["candidates", "gated", "scored", "pruned"]
+
+
+def match_rows(pages: DataFrame, load: Callable[[dict[str, pa.Array], int], K.Page], template: K.Template, step: str, threshold: float, attached_ink: bool = True, turns: tuple[int, ...] = (0,), keep_all: bool = False) -> DataFrame:
+    """Matches after a step: "raw", "kept" (de-duplicated, with ``rank``), "read" (in reading order, normalised), or "stats" (STATS of each page in place of matches).
+
+    ``load`` makes a page of a row. A page's own ``turns``, if there is such a column, go before those of the search.
+    """
+    own = "turns" in pages.columns
+    schema = {"raw": MATCH_PX, "kept": MATCH_PX + ", rank int", "read": MATCH, "stats": "page long, " + ", ".join(f"{c} long" for c in STATS)}[step] + ", error string"
     kinds = [(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[x.split()[1]]) for x in schema.split(", ")]
 
-    def page_rows(image: np.ndarray, asked: tuple[int, ...], cache: dict[int, K.Template]) -> dict[str, np.ndarray]:
+    def page_rows(data: K.Page, asked: tuple[int, ...], cache: dict[int, K.Template]) -> dict[str, np.ndarray]:
         cfg = template.cfg
-        _, found, groups = K.analyse(image, cfg)
-        if len(found) > cfg.max_page_components:
+        if len(data.boxes) > cfg.max_page_components:
             return {}
-        data = K.Page(image, found, groups)
         for k in asked:
             if k not in cache:
                 cache[k] = K.rotate(template, k)
-        rows = np.concatenate([K.match_page(cache[k], data, threshold, attached_ink, keep_all) for k in asked] or [np.zeros((0, 8))])
+        total = dict.fromkeys(STATS, 0)
+        parts = []
+        for k in asked:
+            stats: dict[str, int] = {}
+            parts.append(K.match_page(cache[k], data, threshold, attached_ink, keep_all, stats))
+            total = {c: n + stats.get(c, 0) for c, n in total.items()}
+        if step == "stats":
+            return {c: np.array([n]) for c, n in total.items()}
+        rows = np.concatenate(parts or [np.zeros((0, 8))])
         t = {c: rows[:, k] for k, c in enumerate(COLUMNS)} | {"ord": np.arange(len(rows))}
         if step == "raw":
             return t
@@ -45,7 +65,7 @@ def _found(images: DataFrame, template: K.Template, step: str, threshold: float,
         if step == "kept":
             return t
         k, _ = K.reading_order(t["x"], t["y"], t["h"], t["rank"])
-        h, w = image.shape
+        h, w = data.image.shape
         return {"reading_ord": np.arange(1, len(k) + 1), "x_norm": t["x"][k] / w, "y_norm": t["y"][k] / h, "w_norm": t["w"][k] / w, "h_norm": t["h"][k] / h, "score": t["score"][k]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,10 +75,8 @@ def _found(images: DataFrame, template: K.Template, step: str, threshold: float,
             for r in range(batch.num_rows):
                 error, t = None, {}
                 try:
-                    w, h, bits = (at[c][r].as_py() for c in ("w", "h", "bits"))
-                    image = np.frombuffer(bits, np.uint8).reshape(h, w)
                     asked = at["turns"][r].as_py() if own else None
-                    t = page_rows(image, tuple(turns if asked is None else asked), cache)
+                    t = page_rows(load(at, r), tuple(turns if asked is None else asked), cache)
                 except Exception as e:  # a page that fails becomes a row, and the others go on
                     error = f"{type(e).__name__}: {e}"
                 n = len(next(iter(t.values()), ())) if error is None else 1
@@ -67,7 +85,17 @@ def _found(images: DataFrame, template: K.Template, step: str, threshold: float,
                     cols = [pa.array(fixed.get(c, t.get(c)).astype(kind.to_pandas_dtype()), kind) if c in fixed or c in t else pa.array([error] * n if c == "error" else [None] * n, kind) for c, kind in kinds]
                     yield pa.RecordBatch.from_arrays(cols, [c for c, _ in kinds])
 
-    return images.select("page", "w", "h", "bits", *(["turns"] if own else [])).mapInArrow(run, schema)
+    return pages.mapInArrow(run, schema)
+
+
+def _found(images: DataFrame, template: K.Template, step: str, threshold: float, **options) -> DataFrame:
+    own = ["turns"] if "turns" in images.columns else []
+    return match_rows(images.select("page", "w", "h", "bits", *own), lambda at, r: loaded_image(at, r, template.cfg), template, step, threshold, **options)
+
+
+def match_statistics(images: DataFrame, template: K.Template, threshold: float = CONFIG.search_floor, **options) -> DataFrame:
+    """(page, candidates, gated, scored, pruned, error) of a search, as its kernel counts them."""
+    return _found(images, template, "stats", threshold, **options)
 
 
 def raw_matches(images: DataFrame, template: K.Template, threshold: float = CONFIG.similarity_threshold, **options) -> DataFrame:

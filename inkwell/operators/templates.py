@@ -1,4 +1,4 @@
-"""Templates as tables: pieces, scaled forms, and the scores of the search's kernels at every ink pixel of a page."""
+"""The scores of the search's kernels at every ink pixel of a page."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
@@ -14,25 +14,6 @@ from ..functions import kernels as K
 from .raster import images_of
 
 
-def template_row(spark: SparkSession, name: str, t: K.Template | None) -> DataFrame:
-    """(template_id, w, h, ink, binary, anchors); null where there is no ink."""
-    schema = "template_id string, w int, h int, ink int, binary binary, anchors array<struct<x0:int,y0:int,x1:int,y1:int,ink:int,density:double>>"
-    if t is None:
-        return spark.createDataFrame([(name, None, None, None, None, None)], schema)
-    h, w = t.image.shape
-    anchors = [(*map(int, a), float(a[4]) / float((a[2] - a[0] + 1) * (a[3] - a[1] + 1))) for a in t.anchors]
-    return spark.createDataFrame([(name, w, h, int(t.image.sum()), bytearray(t.image.tobytes()), anchors)], schema)
-
-
-def scaled_rows(spark: SparkSession, t: K.Template, keys: list[int]) -> DataFrame:
-    """(scale_key, w, h, ink, centres, weights, distance) of a template at each scale; each is made once."""
-    rows = []
-    for k in sorted(set(keys)):
-        s = t.at(k)
-        rows.append((k, s.image.shape[1], s.image.shape[0], int(s.image.sum()), [[float(v) for v in c] for c in s.centres], [float(v) for v in s.weights], bytearray(s.dist.tobytes())))
-    return spark.createDataFrame(rows, "scale_key int, w int, h int, ink int, centres array<array<double>>, weights array<double>, distance binary")
-
-
 def pixel_scores(images: DataFrame, t: K.Scaled) -> DataFrame:
     """(page, oy, ox, forward, reverse) of a scaled template laid at every ink pixel of a page, by the search's own kernels."""
 

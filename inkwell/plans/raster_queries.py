@@ -247,31 +247,12 @@ def symbol(kind: int = 1) -> K.Template:
     return S.template_from_region(glyph_raster(chr(96 + kind)), 0, 0, 20, 28)
 
 
-@query()
-def a11_build_template(spark, d):
-    return templates.template_row(spark, "glyph", symbol(1)).unionByName(templates.template_row(spark, "blank", K.prepare_template(np.zeros((3, 3), np.uint8))))
-
-
 @query("SELECT page, y - 1 AS y, x - 8 AS x FROM px WHERE ink = 1 AND y >= 1 AND x BETWEEN 8 AND 39", ctes=PX_B)
 def a12_page_region(spark, d):
     """The part of each page's raster in columns 8 to 39 below the first row."""
     return raster.pixels(images(spark, d), lambda m: m[1:, 8:40] if m.shape[0] > 1 else None).select("page", "y", "x")
 
 
-@query()
-def q6_scaled_templates(spark, d):
-    return templates.scaled_rows(spark, symbol(1), [90, 97, 100, 104, 50])
-
-
-@query()
-def q7_prepare_template(spark, d):
-    rows = None
-    for k in range(8):
-        one = templates.template_row(spark, f"glyph{k}", symbol(k))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
-
-
 @query("SELECT page, CAST(count(*) AS BIGINT) AS n, CAST(sum(d) AS BIGINT) AS total FROM dt GROUP BY page", ctes=PX_B + ",\n" + DT)
 def a14_expanded_pages(spark, d):
     """Pages ready for matching: expanded from the index, with their distance transform summed."""
