@@ -101,13 +101,31 @@ def reading_order(matches: DataFrame) -> DataFrame:
     return _per_page(matches, ["x", "y", "h"], kernel, "reading_ord long, line long, ord long")
 
 
-def attached_pairs(windows: DataFrame, comps: DataFrame) -> DataFrame:
-    """Windows (page, ord, x, y, w, h) with the components beside them that count as scripts or accents; shape tests of commas apart."""
-    c = comps.select("page", F.col("ord").alias("comp"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("x1").alias("cx1"), F.col("y1").alias("cy1"))
-    both = windows.select("page", "ord", "x", "y", "w", "h").join(c, "page").where(F.col("ord") != F.col("comp"))
-    args = [F.col(k) for k in ("x0", "y0", "cx1", "cy1", "x", "y", "w", "h")]
-    both = both.withColumns({"script": C.script_kind(*args), "accent": C.is_accent(*args)})
-    return both.where(F.col("script").isNotNull() | F.col("accent")).select("page", "ord", "comp", "script", "accent")
+#: Side of the cells of a page by which windows meet components.
+CELL_PX = 32
+
+
+def attached_pairs(windows: DataFrame, comps: DataFrame, side: int = CELL_PX) -> DataFrame:
+    """Windows (page, ord, x, y, w, h) with the components beside them that count as scripts or accents; shape tests of commas apart.
+
+    A window looks for upper left corners within its reach: to the left by an accent's width, to the right by a
+    script's gap, up by a script's height or an accent's with its gap, and down by the gap. It is put into the cells of the page
+    that its reach touches, a component into the one of its corner, so that only neighbours are compared.
+    """
+    cfg, col = CONFIG, F.col
+    c = comps.select("page", col("ord").alias("comp"), col("x").alias("x0"), col("y").alias("y0"), col("x1").alias("cx1"), col("y1").alias("cy1"))
+    c = c.withColumns({"cell_x": F.floor(col("x0") / side), "cell_y": F.floor(col("y0") / side)})
+    up = max(cfg.script_max_height, cfg.accent_max_height + cfg.accent_max_gap)
+    left, right = col("x") - F.greatest(F.lit(1.0), cfg.accent_max_width * col("w")), col("x") + col("w") + F.greatest(F.lit(0.0), cfg.script_max_gap * col("h"))
+    top, low = col("y") - up * col("h") - 2, col("y") + col("h") + cfg.accent_max_gap * col("h") + 1
+    cells = lambda a, b: F.sequence(F.floor(a / side), F.floor(b / side))
+    reach = windows.select("page", "ord", "x", "y", "w", "h", F.explode(cells(left, right)).alias("cell_x"), top.alias("top"), low.alias("low"))
+    reach = reach.withColumn("cell_y", F.explode(cells(col("top"), col("low")))).drop("top", "low")
+    args = [col(k) for k in ("x0", "y0", "cx1", "cy1", "x", "y", "w", "h")]
+    script, accent = C.script_kind(*args), C.is_accent(*args)
+    same = (col("w.page") == col("c.page")) & (col("w.cell_x") == col("c.cell_x")) & (col("w.cell_y") == col("c.cell_y"))
+    both = reach.alias("w").join(c.alias("c"), same & (col("ord") != col("comp")) & (script.isNotNull() | accent))
+    return both.select("w.page", "ord", "comp", script.alias("script"), accent.alias("accent"))
 
 
 def punctuation_shapes(rows: DataFrame) -> DataFrame:

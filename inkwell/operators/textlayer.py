@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIG
@@ -37,18 +41,29 @@ def top_lines(items: DataFrame) -> DataFrame:
     return near.groupBy(*PAGE).agg(F.array_join(F.transform(line, lambda i: i["s"]), " ").alias("top"))
 
 
-def fold_lines(items: Column, tol: Column) -> Column:
-    """Lines of an array of (y, x, ord, str) sorted by y: a line keeps its first y; an item within tol of it joins."""
-    start = F.struct(F.lit(0.0).alias("y"), F.expr("cast(array() as array<array<struct<x:double,ord:bigint,s:string>>>)").alias("lines"))
+def fold_lines(y: np.ndarray, tol: float) -> np.ndarray:
+    """The number of each item's line, for items in the order of y: a line keeps its first y, and an item within tol of it joins."""
+    line, at, first = np.empty(len(y), np.int64), -1, 0.0
+    for k, v in enumerate(y.tolist()):
+        if at < 0 or not abs(v - first) <= tol:
+            at, first = at + 1, v
+        line[k] = at
+    return line
 
-    def step(acc: Column, i: Column) -> Column:
-        one = F.array(F.struct(i["x"].alias("x"), i["ord"].alias("ord"), i["s"].alias("s")))
-        n = F.size(acc["lines"])
-        same = (n > 0) & (F.abs(i["y"] - acc["y"]) <= tol)
-        joined = F.concat(F.slice(acc["lines"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.get(acc["lines"], n - 1), one)))
-        return F.struct(F.when(same, acc["y"]).otherwise(i["y"]).alias("y"), F.when(same, joined).otherwise(F.concat(acc["lines"], F.array(one))).alias("lines"))
 
-    return F.aggregate(items, start, step, lambda acc: F.transform(acc["lines"], lambda line: F.array_join(F.transform(F.array_sort(line), lambda i: i["s"]), " ")))
+def _page_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of pages with their items (y, x, ord, s) in order and a tolerance; every item is looked at once."""
+    for batch in batches:
+        lists, tol = batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
+        for r in range(batch.num_rows):
+            items = lists[r].values
+            y, x, order = (items.field(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "ord"))
+            line = fold_lines(y, tol[r])
+            text, out = items.field("s").to_pylist(), [[] for _ in range(int(line[-1]) + 1 if len(line) else 0)]
+            for k in np.lexsort((order, x, line)).tolist():
+                if text[k] is not None:
+                    out[line[k]].append(text[k])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(r, 1), batch.column(1).slice(r, 1), pa.array([[" ".join(t) for t in out]], pa.list_(pa.string()))], [*PAGE, "lines"])
 
 
 # Fixed value: a line that ends in a page number, a range or a number with a suffix.
@@ -59,9 +74,11 @@ def page_lines(items: DataFrame) -> DataFrame:
     """(page, lines): the text lines within the margins."""
     m = CONFIG.page_number_margin
     inside = items.where((F.col("y") >= m) & (F.col("y") + F.col("h") <= 1 - m))
-    rows = inside.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", F.col("x").cast("double").alias("x"), F.col("item_ord").cast("long").alias("ord"), F.col("str").alias("s")))).alias("rows"), F.collect_list("h").alias("hs"))
+    item = F.struct(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), F.col("item_ord").cast("long").alias("ord"), F.col("str").alias("s"))
+    rows = inside.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("rows"), F.collect_list("h").alias("hs"))
     med = C.upper_median(F.col("hs"))
-    return rows.select(*PAGE, fold_lines(F.col("rows"), 0.5 * F.when(med == 0, 0.01).otherwise(med)).alias("lines"))
+    tol = (0.5 * F.when(med == 0, 0.01).otherwise(med)).cast("double")
+    return rows.select(*(F.col(c).cast("long").alias(c) for c in PAGE), "rows", tol.alias("tol")).mapInArrow(_page_lines, "doc_id long, page_number long, lines array<string>")
 
 
 def index_like(items: DataFrame) -> DataFrame:
