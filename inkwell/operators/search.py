@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, Config
@@ -33,18 +33,19 @@ STATS = ["candidates", "gated", "scored", "pruned"]
 
 
 def match_rows(pages: DataFrame, load: Callable[[dict[str, pa.Array], int], K.Page], template: K.Template, step: str, threshold: float, attached_ink: bool = True, turns: tuple[int, ...] = (0,), keep_all: bool = False) -> DataFrame:
-    """Matches after a step: "raw", "kept" (de-duplicated, with ``rank``), "read" (in reading order, normalised), or "stats" (STATS of each page in place of matches).
+    """Matches after a step: "raw", "kept" (de-duplicated, with ``rank``), "read" (in reading order, normalised), "stats" (STATS of each page in place of matches), or "watched" (a row of STATS before the rows of "read").
 
     ``load`` makes a page of a row. A page's own ``turns``, if there is such a column, go before those of the search.
     """
     own = "turns" in pages.columns
-    schema = {"raw": MATCH_PX, "kept": MATCH_PX + ", rank int", "read": MATCH, "stats": "page long, " + ", ".join(f"{c} long" for c in STATS)}[step] + ", error string"
+    schema = {"raw": MATCH_PX, "kept": MATCH_PX + ", rank int", "read": MATCH, "stats": "page long, " + ", ".join(f"{c} long" for c in STATS), "watched": MATCH + "".join(f", {c} long" for c in STATS)}[step] + ", error string"
     kinds = [(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[x.split()[1]]) for x in schema.split(", ")]
 
-    def page_rows(data: K.Page, asked: tuple[int, ...], cache: dict[int, K.Template]) -> dict[str, np.ndarray]:
+    def page_rows(data: K.Page, asked: tuple[int, ...], cache: dict[int, K.Template]) -> list[dict[str, np.ndarray]]:
+        """Tables of columns, one after the other."""
         cfg = template.cfg
         if len(data.boxes) > cfg.max_page_components:
-            return {}
+            return []
         for k in asked:
             if k not in cache:
                 cache[k] = K.rotate(template, k)
@@ -54,36 +55,39 @@ def match_rows(pages: DataFrame, load: Callable[[dict[str, pa.Array], int], K.Pa
             stats: dict[str, int] = {}
             parts.append(K.match_page(cache[k], data, threshold, attached_ink, keep_all, stats))
             total = {c: n + stats.get(c, 0) for c, n in total.items()}
+        counts = {c: np.array([n]) for c, n in total.items()}
         if step == "stats":
-            return {c: np.array([n]) for c, n in total.items()}
+            return [counts]
         rows = np.concatenate(parts or [np.zeros((0, 8))])
         t = {c: rows[:, k] for k, c in enumerate(COLUMNS)} | {"ord": np.arange(len(rows))}
         if step == "raw":
-            return t
+            return [t]
         k = K.dedupe(*(t[c] for c in ("x", "y", "w", "h", "score", "ord")), cfg.dedupe_iou)
         t = {c: v[k] for c, v in t.items()} | {"rank": np.arange(len(k))}
         if step == "kept":
-            return t
+            return [t]
         k, _ = K.reading_order(t["x"], t["y"], t["h"], t["rank"])
         h, w = data.image.shape
-        return {"reading_ord": np.arange(1, len(k) + 1), "x_norm": t["x"][k] / w, "y_norm": t["y"][k] / h, "w_norm": t["w"][k] / w, "h_norm": t["h"][k] / h, "score": t["score"][k]}
+        found = {"reading_ord": np.arange(1, len(k) + 1), "x_norm": t["x"][k] / w, "y_norm": t["y"][k] / h, "w_norm": t["w"][k] / w, "h_norm": t["h"][k] / h, "score": t["score"][k]}
+        return [counts, found] if step == "watched" else [found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[int, K.Template] = {}
         for batch in batches:
             at = {c: batch.column(k) for k, c in enumerate(batch.schema.names)}
             for r in range(batch.num_rows):
-                error, t = None, {}
+                error = None
                 try:
                     asked = at["turns"][r].as_py() if own else None
-                    t = page_rows(load(at, r), tuple(turns if asked is None else asked), cache)
+                    tables = page_rows(load(at, r), tuple(turns if asked is None else asked), cache)
                 except Exception as e:  # a page that fails becomes a row, and the others go on
-                    error = f"{type(e).__name__}: {e}"
-                n = len(next(iter(t.values()), ())) if error is None else 1
-                if n:
-                    fixed = {"page": np.full(n, at["page"][r].as_py(), np.int64)}
-                    cols = [pa.array(fixed.get(c, t.get(c)).astype(kind.to_pandas_dtype()), kind) if c in fixed or c in t else pa.array([error] * n if c == "error" else [None] * n, kind) for c, kind in kinds]
-                    yield pa.RecordBatch.from_arrays(cols, [c for c, _ in kinds])
+                    error, tables = f"{type(e).__name__}: {e}", [{}]
+                for t in tables:
+                    n = len(next(iter(t.values()))) if t else 1
+                    if n:
+                        fixed = {"page": np.full(n, at["page"][r].as_py(), np.int64)}
+                        cols = [pa.array(fixed.get(c, t.get(c)).astype(kind.to_pandas_dtype()), kind) if c in fixed or c in t else pa.array([error] * n if c == "error" else [None] * n, kind) for c, kind in kinds]
+                        yield pa.RecordBatch.from_arrays(cols, [c for c, _ in kinds])
 
     return pages.mapInArrow(run, schema)
 
@@ -98,6 +102,14 @@ def match_statistics(images: DataFrame, template: K.Template, threshold: float =
     return _found(images, template, "stats", threshold, **options)
 
 
+def search_observed(images: DataFrame, template: K.Template, observation: Observation, threshold: float = CONFIG.search_floor, **options) -> DataFrame:
+    """Rows of ``search_pages``; the one pass over the pages that gives them also fills the observation with the sums of STATS, and with ``matches``, ``pages`` and ``failed``."""
+    rows = _found(images, template, "watched", threshold, **options)
+    found, counted = F.col("reading_ord").isNotNull(), F.col("candidates").isNotNull()
+    seen = rows.observe(observation, *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in STATS), F.count_if(found).alias("matches"), F.count_if(counted).alias("pages"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    return seen.where(~counted).drop(*STATS)
+
+
 def raw_matches(images: DataFrame, template: K.Template, threshold: float = CONFIG.similarity_threshold, **options) -> DataFrame:
     """Rows of MATCH_PX before de-duplication, numbered in the order (turn, anchor, candidate)."""
     return _found(images, template, "raw", threshold, **options).where("error is null").drop("error")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import kernels as K
 from ..operators import raster, store
+from ..sources import page_source
 from ..streaming.pages import scratch
 from .raster_queries import COMPS, CROP, GROUPS, PX_B, RUNS, SHAPE, images, symbol
 from .registry import query
@@ -164,3 +165,21 @@ def a12_region_pixels(spark, d):
     """The pixels of the cuts, before they are enlarged."""
     rows = cuts(spark, d).where("error is null").select("page", col("region").cast("long").alias("region"), F.explode("runs").alias("r"))
     return rows.select("page", "region", col("r.y").cast("long").alias("y"), F.explode(F.sequence(col("r.x0").cast("long"), col("r.x1").cast("long"))).alias("x"))
+
+
+SOURCE_SQL = """SELECT 'all' AS part, page, comps, clusters, h FROM (SELECT b.page, CAST((SELECT count(*) FROM big WHERE big.page = b.page) AS BIGINT) AS comps, CAST((SELECT count(*) FROM cl WHERE cl.page = b.page) AS BIGINT) AS clusters, CAST(b.h AS BIGINT) AS h FROM (SELECT page, max(y) + 1 AS h FROM px GROUP BY page) b)"""
+
+
+@query(
+    "SELECT * FROM every UNION ALL SELECT 'some', page, comps, clusters, h FROM every WHERE page > 9 AND page <= 21 UNION ALL SELECT 'listed', page, comps, clusters, h FROM every WHERE page IN (3, 12, 30)",
+    ctes=",\n".join([PX_B, RUNS, COMPS, GROUPS, f"every AS ({SOURCE_SQL})"]),
+)
+def a2_page_source(spark, d):
+    """The stored index through its data source: whole, by a range of pages, and by a list."""
+    path = scratch(spark)
+    page_source.write_pages(store.stored_index(images(spark, d)), path, 8)
+    every = page_source.read_pages(spark, path)
+    some = page_source.read_pages(spark, path, first=10, last=21)
+    listed = page_source.read_pages(spark, path, pages=[3, 12, 30])
+    row = lambda df, part: df.select(lit(part).alias("part"), "page", F.size("comps").cast("long").alias("comps"), F.size("clusters").cast("long").alias("clusters"), col("h").cast("long").alias("h"))
+    return row(every, "all").unionAll(row(some, "some")).unionAll(row(listed, "listed"))

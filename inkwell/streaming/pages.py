@@ -1,8 +1,4 @@
-"""Incremental search: pages stream in, every micro-batch matches its pages and appends results.
-
-A generation column marks the document a page belongs to; rows of older
-generations are late data and are dropped.
-"""
+"""Incremental search: notices of pages stream in, every micro-batch matches its pages from the stored index and writes its results."""
 
 from __future__ import annotations
 
@@ -11,11 +7,32 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..config import CONFIG
 from ..functions import kernels as K
 from ..operators import search as S
+from ..operators.store import stored_matches
 from ..schemas import IMAGE
+from .state import first_pages, state_store
+
+
+def in_files(rows: DataFrame, order: str, path: str, files: int) -> None:
+    """Rows in files of ascending ranges of a column, one written after the other, as they would arrive."""
+    spark = rows.sparkSession
+    bounds = rows.agg(F.percentile(order, F.array(*(F.lit(k / files) for k in range(1, files)))).alias("b")).first().b if files > 1 else []
+    edges = [None, *sorted(set(bounds or [])), None]
+    for low, high in zip(edges, edges[1:]):
+        part = rows
+        part = part if low is None else part.where(F.col(order) > low)
+        part = part if high is None else part.where(F.col(order) <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
+def file_stream(spark: SparkSession, path: str, schema: StructType | str, files: int = 1) -> DataFrame:
+    """Rows of Parquet files as they appear, some files a micro-batch, the oldest first."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def page_stream(spark: SparkSession, path: str, pages_per_batch: int = 1) -> DataFrame:
@@ -32,6 +49,61 @@ def run_search(stream: DataFrame, template: K.Template, out: str, checkpoint: st
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+#: A notice that a page of a document is there to be searched; ``opens`` begins a new generation of the document.
+NOTICE = "doc_id long, ord long, opens boolean, generation long, page long"
+
+
+def start_search(notices: DataFrame, pages: DataFrame, template: K.Template, out: str, **options) -> StreamingQuery:
+    """Start a search of the pages that a stream of NOTICE rows names, and return the running query.
+
+    State drops notices of older generations and pages that came before; what is left is joined to the
+    stored index ``pages``, so that a page's pixels never pass through the stream. Every micro-batch writes its
+    matches once, below ``out`` under its number: one that is run again replaces them. The query may
+    be stopped at any time; what it wrote stays, and another start with the same ``out`` goes on.
+    """
+    spark = notices.sparkSession
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            todo = batch.select("doc_id", "generation", "page")
+            found = stored_matches(pages.join(todo.select("page").distinct(), "page", "left_semi"), template, **options)
+            found.join(todo, "page").select("doc_id", "generation", *found.columns).write.mode("overwrite").parquet(f"{out}/matches/batch={number}")
+            todo.write.mode("overwrite").parquet(f"{out}/pages/batch={number}")
+        finally:
+            batch.unpersist()
+
+    with state_store(spark):
+        return first_pages(notices).writeStream.foreachBatch(one).option("checkpointLocation", f"{out}/checkpoint").start()
+
+
+def search_results(spark: SparkSession, out: str) -> DataFrame:
+    """Matches so far of each document's newest generation (doc_id, generation, and the columns of MATCH)."""
+    pages = spark.read.parquet(f"{out}/pages")
+    newest = pages.groupBy("doc_id").agg(F.max("generation").alias("generation"))
+    return spark.read.parquet(f"{out}/matches").drop("batch").join(newest, ["doc_id", "generation"], "left_semi")
+
+
+def drain(query: StreamingQuery) -> None:
+    """Wait until all that is there has been read, and stop."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """All rows of a stream's result, from a file sink: each micro-batch is written once, under its number."""
+    out = scratch(stream.sparkSession)
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+
+    with state_store(stream.sparkSession):
+        stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.parquet(f"{out}/data").select(*stream.columns)
+
+
 def current_generation(events: DataFrame) -> DataFrame:
     """Adds ``generation`` to viewer events (tab, event_id, ts, kind): each ``signup`` opens a new document."""
     w = Window.partitionBy("tab").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
