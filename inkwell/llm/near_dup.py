@@ -50,6 +50,8 @@ SKETCH, LEAST_SHARED = 64, 36
 SMALL_LIST, LEADERS, LISTS = 24, 6, 6
 #: Documents in a block of comparisons: small, so that the blocks of one list are many groups, each of a few MB.
 BLOCK = 256
+#: Values of full sets that are sorted together.
+OWNED = 1 << 22
 #: The estimate passes this many standard deviations below the threshold.
 SLACK = 5.0
 
@@ -188,27 +190,53 @@ def least_shared() -> Column:
     return F.when(100 * F.col("n") > PERCENT_FLOOR * SKETCH, LEAST_SHARED).otherwise(F.ceil(F.col("n") * F.lit(PERCENT_FLOOR) / 100)).cast("int")
 
 
+class Owners:
+    """An inverted list of the values of some sets: how many values each of them shares with another set, for all of them at once."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n, self.parts = len(sets), []
+        first, size = 0, np.cumsum([len(x) for x in sets])
+        while first < self.n:  # parts of bounded size, one set at least
+            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + OWNED, "right")))
+            values, owner = np.concatenate(sets[first:last]), np.repeat(np.arange(first, last), [len(x) for x in sets[first:last]])
+            order = np.argsort(values, kind="stable")
+            self.parts.append((values[order], owner[order]))
+            first = last
+
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n, np.int64)
+        for values, owner in self.parts:
+            for i in range(0, len(own), 1 << 14):
+                low = np.searchsorted(values, own[i : i + (1 << 14)])
+                runs = np.searchsorted(values, own[i : i + (1 << 14)], "right") - low
+                at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
+                out += np.bincount(owner[at], minlength=self.n)
+        return out
+
+
 def _links(outside: pa.Table, block: pa.Table, percent: int) -> pa.Table:
     """Verified links of outsiders to documents of a block, one for each other label: candidates by sketch overlap, best first, exact on full sets."""
     pairs: list[tuple] = []
     if outside.num_rows and block.num_rows:
-        docs = block.to_pylist()
-        values = np.concatenate([np.array(d["sketch"], np.int64) for d in docs])
-        order = np.argsort(values)
-        values, owner = values[order], np.repeat(np.arange(len(docs)), [len(d["sketch"]) for d in docs])[order]
+        docs = block.select(["id", "label", "n", "need"]).to_pylist()
+        lists = block.column("sketch").combine_chunks()
+        sketches = Owners(np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()))
         need, size = np.array([d["need"] for d in docs]), np.array([d["n"] for d in docs])
-        for r in outside.to_pylist():
-            sketch = np.array(r["sketch"], np.int64)
-            low = np.searchsorted(values, sketch)
-            runs = np.searchsorted(values, sketch, "right") - low
-            at = np.repeat(low - np.cumsum(runs) + runs, runs) + np.arange(runs.sum())
-            shared = np.bincount(owner[at], minlength=len(docs))
+        whole: Owners | None = None  # made when the first candidate is there
+        for k in range(outside.num_rows):
+            r = outside.slice(k, 1).select(["id", "label", "n", "need"]).to_pylist()[0]
+            shared = sketches.shared(outside.column("sketch")[k].values.to_numpy())
             near = np.flatnonzero((shared >= np.minimum(need, r["need"])) & (100 * np.minimum(size, r["n"]) >= percent * np.maximum(size, r["n"])))
-            found = {r["label"]}
-            mine = np.frombuffer(r["hashes"], "<i8")
-            for k in near[np.argsort(-shared[near], kind="stable")]:
-                d = docs[k]
-                if d["label"] not in found and similar(mine, np.frombuffer(d["hashes"], "<i8"), percent):
+            near = [m for m in near[np.argsort(-shared[near], kind="stable")].tolist() if docs[m]["label"] != r["label"]]
+            if not near:
+                continue
+            if whole is None:
+                whole = Owners([np.frombuffer(h, "<i8") for h in block.column("hashes").to_pylist()])
+            mine = np.frombuffer(outside.column("hashes")[k].as_py(), "<i8")
+            both, found = whole.shared(mine), set()
+            for m in near:
+                d = docs[m]
+                if d["label"] not in found and 100 * int(both[m]) >= percent * (len(mine) + d["n"] - int(both[m])):
                     found.add(d["label"])
                     pairs.append((min(r["id"], d["id"]), max(r["id"], d["id"])))
     kind = block.schema.field("id").type

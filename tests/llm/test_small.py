@@ -396,6 +396,31 @@ def test_substrings_of_odd_rows(spark, odd):
     assert suffix_dedup.removal_report(odd.limit(0)).count() == 0
 
 
+def test_links_of_blocks_equal_brute_force(monkeypatch):
+    """Outsiders against a block: every other label that has a similar set is linked, once, whatever the sizes of the parts."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    for owned in (1 << 22, 100, 1):
+        monkeypatch.setattr(near_dup, "OWNED", owned)
+        pool = [np.unique(rng.integers(-(2**62), 2**62, n)) for n in (5, 30, 70, 150, 400)]
+        rows = []
+        for k in range(120):
+            base = pool[k % 5]
+            kept = base[rng.random(len(base)) > rng.choice([0, 0.05, 0.15, 0.3])]
+            own = np.unique(np.concatenate([kept, rng.integers(-(2**62), 2**62, int(rng.choice([0, 1, len(base) // 10])))]))
+            if len(own):
+                rows.append({"id": k, "label": int(rng.integers(0, 12)), "n": len(own), "need": 1, "sketch": np.sort(own)[: near_dup.SKETCH].tolist(), "hashes": np.sort(own).astype("<i8").tobytes()})
+        kind = pa.schema([("id", pa.int64()), ("label", pa.int64()), ("n", pa.int64()), ("need", pa.int32()), ("sketch", pa.list_(pa.int64())), ("hashes", pa.binary())])
+        table = pa.Table.from_pylist(rows, kind)
+        outside, block = table.slice(0, 50), table.slice(50)
+        got = [tuple(r.values()) for r in near_dup._links(outside, block, 80).to_pylist()]
+        label, sets = {r["id"]: r["label"] for r in rows}, {r["id"]: set(np.frombuffer(r["hashes"], "<i8").tolist()) for r in rows}
+        alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+        want = {(a["id"], b["label"]) for a in rows[:50] for b in rows[50:] if a["label"] != b["label"] and alike(a["id"], b["id"])}
+        assert all(alike(a, b) for a, b in got) and len(got) == len({(a, label[b]) for a, b in got}) and {(a, label[b]) for a, b in got} == want and len(want) > 20
+
+
 # decontamination
 
 
