@@ -48,6 +48,16 @@ def rotate_box(x, y, w, h, rotation: Column) -> list[Column]:
     return [pick(x, 1 - y - h, 1 - x - w, y), pick(y, x, 1 - y - h, 1 - x - w), pick(w, h, w, h), pick(h, w, h, w)]
 
 
+def normalised(x, y, w, h, page_w, page_h) -> list:
+    """A box as shares of its page; of columns, arrays or numbers."""
+    return [x / page_w, y / page_h, w / page_w, h / page_h]
+
+
+def stepped(current, direction, n):
+    """The place of the match before or after the current one among n, around the ends; of columns or numbers."""
+    return (current + direction + n) % n
+
+
 # template scales and scores
 
 

@@ -39,3 +39,15 @@ def lru(uses: DataFrame, keep: int = CONFIG.dt_cache_pages) -> DataFrame:
     """Per tab: the pages of its last uses."""
     last = uses.groupBy("tab", "page").agg(F.max(F.struct("ts", "event_id")).alias("last"))
     return last.withColumn("k", F.row_number().over(Window.partitionBy("tab").orderBy(F.desc("last")))).where(F.col("k") <= keep).select("tab", "page", "k")
+
+
+def drag_regions(drags: DataFrame, frames: DataFrame, least: float = CONFIG.snip_min_drag_px) -> DataFrame:
+    """(page, ord, frame, x, y, w, h): dragged rectangles (page, ord, x, y, w, h, on a canvas) clipped to the frame (page, frame, fx, fy, fw, fh) that holds their centre, as shares of it, which ``store.cut_runs`` cuts. Drags that are shorter than ``least`` on a side have nulls; those off all frames have no row."""
+    mid = lambda a, size: F.col(a) + F.col(size) / 2
+    inside = lambda a, size, f, fs: (mid(a, size) >= F.col(f)) & (mid(a, size) < F.col(f) + F.col(fs))
+    both = drags.join(frames, "page").where(inside("x", "w", "fx", "fw") & inside("y", "h", "fy", "fh"))
+    left, top = F.greatest("x", "fx"), F.greatest("y", "fy")
+    right, low = F.least(F.col("x") + F.col("w"), F.col("fx") + F.col("fw")), F.least(F.col("y") + F.col("h"), F.col("fy") + F.col("fh"))
+    long_ = (F.col("w") >= least) & (F.col("h") >= least)
+    shares = C.normalised(left - F.col("fx"), top - F.col("fy"), right - left, low - top, F.col("fw").cast("double"), F.col("fh").cast("double"))
+    return both.select("page", "ord", "frame", *(F.when(long_, v).alias(c) for c, v in zip("xywh", shares)))

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import CONFIG, Config
+from ..functions import columns as C
 from ..functions import kernels as K
 from ..schemas import MATCH, MATCH_PX
 
@@ -68,7 +69,8 @@ def match_rows(pages: DataFrame, load: Callable[[dict[str, pa.Array], int], K.Pa
             return [t]
         k, _ = K.reading_order(t["x"], t["y"], t["h"], t["rank"])
         h, w = data.image.shape
-        found = {"reading_ord": np.arange(1, len(k) + 1), "x_norm": t["x"][k] / w, "y_norm": t["y"][k] / h, "w_norm": t["w"][k] / w, "h_norm": t["h"][k] / h, "score": t["score"][k]}
+        shares = C.normalised(*(t[c][k] for c in ("x", "y", "w", "h")), w, h)
+        found = {"reading_ord": np.arange(1, len(k) + 1), **dict(zip(("x_norm", "y_norm", "w_norm", "h_norm"), shares)), "score": t["score"][k]}
         return [counts, found] if step == "watched" else [found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,6 +161,11 @@ def shown(matches: DataFrame, min_score: float = CONFIG.similarity_threshold) ->
     return matches.where(F.col("score") >= min_score)
 
 
+def page_counts(matches: DataFrame, min_score: float = CONFIG.similarity_threshold) -> DataFrame:
+    """(page, n, shown): matches of each page, and those that are shown."""
+    return matches.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= min_score).alias("shown"))
+
+
 def summary(matches: DataFrame, report: DataFrame, min_score: float = CONFIG.similarity_threshold) -> DataFrame:
     """One row: shown matches and their pages, weaker candidates, dense and failed pages."""
     good = F.col("score") >= min_score

@@ -90,7 +90,7 @@ def b8_box_iou(spark, d):
 
 @query("SELECT page, ord, x / 1836.0::DOUBLE AS x_norm, y / 2376.0::DOUBLE AS y_norm, w / 1836.0::DOUBLE AS w_norm, h / 2376.0::DOUBLE AS h_norm FROM box", "box")
 def b9_normalise(spark, d):
-    return box(spark, d).select("page", "ord", *((col(c) / n).alias(f"{c}_norm") for c, n in zip("xywh", (1836.0, 2376.0, 1836.0, 2376.0))))
+    return box(spark, d).select("page", "ord", *(v.alias(f"{c}_norm") for c, v in zip("xywh", C.normalised(*map(col, "xywh"), 1836.0, 2376.0))))
 
 
 NORM = "nb AS (SELECT page, ord, x / 128.0::DOUBLE AS x, y / 128.0::DOUBLE AS y, w / 128.0::DOUBLE AS w, h / 128.0::DOUBLE AS h, score, CAST(ord % 4 * 90 AS BIGINT) AS rotation FROM box)"
@@ -294,7 +294,10 @@ def f17_anchor_list(spark, d):
 
 @query("SELECT page, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE score >= 0.9) AS BIGINT) AS shown, CAST(sum(ink) AS BIGINT) AS ink FROM box GROUP BY page", "box")
 def f11_counts(spark, d):
-    return box(spark, d).groupBy("page").agg(F.count(lit(1)).alias("n"), F.count_if(col("score") >= 0.9).alias("shown"), F.sum("ink").alias("ink"))
+    from ..operators.search import page_counts
+
+    b = box(spark, d)
+    return page_counts(b).join(b.groupBy("page").agg(F.sum("ink").alias("ink")), "page")
 
 
 @query("SELECT DISTINCT page FROM box WHERE score >= 0.9", "box")
@@ -384,7 +387,7 @@ def s7_summary(spark, d):
 @query("SELECT page, ord, CAST((ord - 1 + CASE WHEN ord % 2 = 0 THEN 1 ELSE -1 END + n) % n AS BIGINT) AS next FROM (SELECT page, ord, count(*) OVER (PARTITION BY page) AS n FROM box)", "box")
 def g7_step(spark, d):
     b = box(spark, d).withColumn("n", F.count(lit(1)).over(Window.partitionBy("page")))
-    return b.select("page", "ord", F.pmod(col("ord") - 1 + F.when(col("ord") % 2 == 0, 1).otherwise(-1), col("n")).alias("next"))
+    return b.select("page", "ord", C.stepped(col("ord") - 1, F.when(col("ord") % 2 == 0, 1).otherwise(-1), col("n")).alias("next"))
 
 
 @query("SELECT page, ord, CAST(greatest(0, floor(x / 97.0 * 500)) AS BIGINT) AS px0, CAST(greatest(0, floor(y / 80.0 * 400)) AS BIGINT) AS py0, CAST(least(500, ceil((x + w) / 97.0 * 500)) - greatest(0, floor(x / 97.0 * 500)) AS BIGINT) AS pw, CAST(least(400, ceil((y + h) / 80.0 * 400)) - greatest(0, floor(y / 80.0 * 400)) AS BIGINT) AS ph FROM box WHERE least(500, ceil((x + w) / 97.0 * 500)) > floor(x / 97.0 * 500) AND least(400, ceil((y + h) / 80.0 * 400)) > floor(y / 80.0 * 400)", "box")
@@ -405,6 +408,18 @@ def a7_index_scale(spark, d):
     return box(spark, d).select("page", "ord", F.round(C.index_scale((col("w") * 90).cast("double"), (col("h") * 110).cast("double")), 9).alias("scale"))
 
 
+DRAGS = """fr AS (SELECT DISTINCT page, frame, 2 + (frame - 1) * 48 AS fx, 3 AS fy, 44 AS fw, 60 AS fh FROM box CROSS JOIN (SELECT unnest([1, 2]) AS frame)),
+dg AS (SELECT b.page, ord, frame, fx, fy, fw, fh, greatest(x, fx) AS l, greatest(y, fy) AS t, least(x + w, fx + fw) AS r, least(y + h, fy + fh) AS b, w >= 4 AND h >= 4 AS long_ FROM box b JOIN fr ON fr.page = b.page AND x + w / 2.0 >= fx AND x + w / 2.0 < fx + fw AND y + h / 2.0 >= fy AND y + h / 2.0 < fy + fh)"""
+
+
+@query("SELECT page, ord, frame, CASE WHEN w >= 6 AND h >= 6 THEN (l - fx) / CAST(fw AS DOUBLE) END AS x, CASE WHEN w >= 6 AND h >= 6 THEN (t - fy) / CAST(fh AS DOUBLE) END AS y, CASE WHEN w >= 6 AND h >= 6 THEN (r - l) / CAST(fw AS DOUBLE) END AS w, CASE WHEN w >= 6 AND h >= 6 THEN (b - t) / CAST(fh AS DOUBLE) END AS h FROM (SELECT dg.*, box.w, box.h FROM dg JOIN box ON box.page = dg.page AND box.ord = dg.ord)", "box", DRAGS)
+def a10_drag_regions(spark, d):
+    """Dragged rectangles as regions of the page, of two side by side, that holds their centre; drags below six pixels give no region."""
+    b = box(spark, d)
+    frames = b.select("page").distinct().select("page", F.explode(F.array(lit(1), lit(2))).alias("frame")).select("page", "frame", (2 + (col("frame") - 1) * 48).alias("fx"), lit(3).alias("fy"), lit(44).alias("fw"), lit(60).alias("fh"))
+    return display.drag_regions(b.select("page", "ord", "x", "y", "w", "h"), frames, 6.0)
+
+
 @query("""SELECT page, ord, CASE WHEN r - l < 4 OR b - t < 4 THEN NULL ELSE greatest(l, 10) END AS x0, CASE WHEN r - l < 4 OR b - t < 4 THEN NULL ELSE least(r, 100) END AS x1 FROM (SELECT page, ord, x AS l, x + w - 3 AS r, y AS t, y + h - 3 AS b FROM box) WHERE (l + r) / 2.0 BETWEEN 10 AND 100""", "box")
 def a10_snip_rect(spark, d):
     """Dragged rectangles clipped to the page (columns 10 to 100) that holds their centre; short drags give null."""

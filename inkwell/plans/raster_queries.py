@@ -13,6 +13,7 @@ from ..operators import cache, display, raster, templates
 from ..operators import search as S
 from ..operators import textlayer as T
 from ..sources.bridge import duck_pixels, glyph_raster, rasters, view, view_of
+from ..session import settings_of
 from ..streaming import pages as P
 from .registry import query
 from .search import first_jump, look_up_index, search_document
@@ -21,8 +22,15 @@ from .text_queries import raw_items
 col, lit = F.col, F.lit
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as cores: a table of one row group would keep all but one core idle while its pages are analysed. Larger tables stay as they are read."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def images(spark: SparkSession, d: str, table: str = "benchmark", glyphs: bool = False) -> DataFrame:
-    return rasters(spark.read.parquet(f"{d}/{table}.parquet"), {"benchmark": "item_id", "documents": "doc_id"}[table], "text", glyphs)
+    texts = spark.read.parquet(f"{d}/{table}.parquet").select({"benchmark": "item_id", "documents": "doc_id"}[table], "text")
+    return rasters(spread(texts), {"benchmark": "item_id", "documents": "doc_id"}[table], "text", glyphs)
 
 
 # binarisation (embedding values as grey pixels)
@@ -273,7 +281,7 @@ def r2_page_matches(spark, d):
 @query()
 def r2_large_pages(spark, d):
     """The same on pages of 1836 x 2376 pixels with 1,400 glyphs, one for each item."""
-    items = spark.read.parquet(f"{d}/benchmark.parquet").repartition(32, "item_id")
+    items = spark.read.parquet(f"{d}/benchmark.parquet").repartition("item_id")
     return S.page_matches(rasters(items, "item_id", "text", large=True), symbol(1))
 
 
@@ -325,6 +333,26 @@ def r6_search(spark, d):
     return search_document(img, pages, symbol(1), docs.select("doc_id", lit(1).cast("long").alias("start")), refs, scanned)
 
 
+def turned_pages(pages: DataFrame) -> DataFrame:
+    """What a text layer would show: every third page upside down, every fifth on its side."""
+    turn = F.when(col("page") % 3 == 0, 2).when(col("page") % 5 == 0, 1)
+    return pages.select("doc_id", "page_number", turn.cast("int").alias("turn")).where("turn is not null")
+
+
+@query()
+def r4_turned_look_up(spark, d):
+    """Index lookup with pages searched in the turns of their text layer, too: the matches on index pages."""
+    img, pages, docs, outline, items, labels = glyph_docs(spark, d)
+    return look_up_index(img, pages, symbol(4), docs, outline, items, labels, turned=turned_pages(pages))[0]
+
+
+@query()
+def r6_turned_search(spark, d):
+    """A search of whole documents, each page upright and in the turns of its text layer."""
+    img, pages, docs, *_ = glyph_docs(spark, d)
+    return search_document(img, pages, symbol(4), docs.select("doc_id", lit(1).cast("long").alias("start")), turned=turned_pages(pages))
+
+
 @query()
 def l9_first_jump(spark, d):
     img, pages, docs, *_ = glyph_docs(spark, d)
@@ -474,8 +502,9 @@ SETTINGS_SQL = """SELECT event_id, CASE WHEN cap >= 50 THEN cap ELSE 250.0 END A
 @query(SETTINGS_SQL)
 def a17_read_settings(spark, d):
     """Settings from JSON, each field checked, with defaults for what is missing or invalid."""
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "k double").alias("s"), (col("event_id") % 40).alias("rel"))
-    return e.select("event_id", F.when(col("s.k") >= CONFIG.index_min_mb, col("s.k")).otherwise(CONFIG.index_max_mb).alias("index_max_mb"), F.when(col("rel").isin(5, 15, 30, 60), col("rel")).otherwise(int(CONFIG.release_hidden_after_min)).alias("release_after_min"))
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.to_json(F.struct(F.from_json("props", "k double")["k"].alias("index_max_mb"), (col("event_id") % 40).alias("release_after_min"))).alias("saved"))
+    size, minutes = settings_of(col("saved"))
+    return e.select("event_id", size, minutes.cast("long").alias("release_after_min"))
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")

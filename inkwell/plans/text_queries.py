@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import CONFIG
+from ..config import CONFIG, INDEX_TITLE, NOTATION_TITLE
 from ..functions import columns as C
 from ..operators import bookindex as I
 from ..operators import display
@@ -15,19 +15,18 @@ from .registry import query
 
 col, lit = F.col, F.lit
 # DuckDB has no lookahead: 'index' not before a word that begins with 'theor' is written as two tests.
-NUM = r"^\s*(?:(?:chapter|appendix)\s+\w{1,3}[.:]?\s+|\d{1,3}(?:\.\d+)?[.:]?\s+|[a-z][.:]\s+)?"
-KIND = r"(?:(?:subject|author|name|general|notation|symbol)\s+)?"
-REST = r"(?:list of (?:symbols|notations?)\b|(?:table of )?notations?\b|symbols\b|glossary\b)"
+AHEAD = r"(?!\s+theor)"
+TITLE = INDEX_TITLE.replace(AHEAD, "")
+THEORY = INDEX_TITLE[: INDEX_TITLE.index(r"index\b" + AHEAD)] + r"index\s+theor)"
 
 
 def title_sql(c: str) -> str:
-    return f"(regexp_matches({c}, '(?i){NUM}{KIND}(?:index\\b|{REST[3:]}') AND NOT (regexp_matches({c}, '(?i){NUM}{KIND}index\\s+theor')))"
+    return f"(regexp_matches({c}, '{TITLE}') AND NOT (regexp_matches({c}, '{THEORY}')))"
 
 
 def head_sql(c: str) -> str:
     bare = f"regexp_replace(regexp_replace({c}, '^(?:\\d+|[ivxlc]+)\\s+', '', 'i'), '\\s+(?:\\d+|[ivxlc]+)$', '', 'i')"
-    pattern = NUM + r"(?:list of (?:symbols|notations?)|(?:index|table) of (?:symbols|notations?)|notations?|symbols|glossary)\b"
-    return f"(length({bare}) <= 40 AND regexp_matches({bare}, '(?i){pattern}'))"
+    return f"(length({bare}) <= 40 AND regexp_matches({bare}, '{NOTATION_TITLE}'))"
 
 
 RAW_CTES = """raw AS (SELECT doc_id, page_number, item_ord, str, CASE turn WHEN 0 THEN 10.0 WHEN 1 THEN -skew WHEN 2 THEN -10.0 ELSE skew END AS a, CASE turn WHEN 0 THEN skew WHEN 1 THEN 10.0 WHEN 2 THEN -skew ELSE -10.0 END AS b,
@@ -185,7 +184,7 @@ def e10_nearest_page_probe(spark, d):
 
 @query("SELECT doc_id, label, min(page_number) AS page_number FROM lab GROUP BY doc_id, label", "lab")
 def e9_label_lookup(spark, d):
-    return view(spark, d, "lab").groupBy("doc_id", "label").agg(F.min("page_number").alias("page_number"))
+    return I.known_labels(view(spark, d, "lab"))
 
 
 @query("SELECT a.doc_id, a.label, CASE WHEN NOT regexp_matches(a.label, '^[0-9]+$') THEN NULL WHEN CAST(a.label AS BIGINT) > a.total THEN NULL ELSE CAST(a.label AS BIGINT) END AS printed FROM ask a", "item lab", PRINTED + ",\n" + OFFSET + ",\n" + RESOLVE)
@@ -394,11 +393,19 @@ def i6_union_scanned(spark, d):
     return scanned(spark, d).union(rest).groupBy("doc_id").agg(F.count(lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, page_number, CASE doc_id % 3 WHEN 0 THEN 'page' WHEN 1 THEN 'document' ELSE 'index' END AS scope FROM od WHERE doc_id % 3 = 1 OR (doc_id % 3 = 0 AND ord = 1) OR (doc_id % 3 = 2 AND page_number >= 2)", "conv", ORDER)
+SCOPES = """SELECT doc_id, page_number, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS BIGINT) AS ord FROM (
+  SELECT od.doc_id, od.page_number, od.ord FROM od JOIN want w ON w.doc_id = od.doc_id WHERE scope = 'document' OR scope = 'page' AND od.page_number = w.page
+  UNION ALL SELECT od.doc_id, od.page_number, od.ord FROM od JOIN want w ON w.doc_id = od.doc_id JOIN sc ON sc.doc_id = od.doc_id AND sc.page_number = od.page_number WHERE scope = 'index')"""
+WANT = "want AS (SELECT doc_id, CASE sum(bytes) % 3 WHEN 0 THEN 'page' WHEN 1 THEN 'document' ELSE 'index' END AS scope, max_by(page_number, bytes * 1000 + page_number) AS page FROM conv GROUP BY doc_id)"
+
+
+@query(SCOPES, "conv", SCANNED + ", " + WANT)
 def b29_scope(spark, d):
-    o, k = ordered(spark, d), col("doc_id") % 3
-    scope = F.when(k == 0, "page").when(k == 1, "document").otherwise("index")
-    return o.where((k == 1) | ((k == 0) & (col("ord") == 1)) | ((k == 2) & (col("page_number") >= 2))).select("doc_id", "page_number", scope.alias("scope"))
+    """Each document searched on one page, on all, or on its index pages, in scan order."""
+    c = view(spark, d, "conv")
+    kind = F.sum("bytes") % 3
+    want = c.groupBy("doc_id").agg(F.when(kind == 0, "page").when(kind == 1, "document").otherwise("index").alias("scope"), F.max_by("page_number", F.struct("bytes", "page_number")).alias("page"))
+    return I.in_scope(ordered(spark, d), want, scanned(spark, d)).select("doc_id", "page_number", col("ord").cast("long").alias("ord"))
 
 
 @query(r"""SELECT doc_id, page_number, item_ord, trim(str) AS t, regexp_replace(str, '\s+', '', 'g') AS bare, CAST(length(str) AS BIGINT) AS n FROM item""", "item")
@@ -406,7 +413,7 @@ def j1_trim_and_length(spark, d):
     return items(spark, d).select(*T.PAGE, "item_ord", F.trim("str").alias("t"), F.regexp_replace("str", r"\s+", "").alias("bare"), F.length("str").cast("long").alias("n"))
 
 
-@query(r"""SELECT doc_id, page_number, item_ord, array_to_string(regexp_extract_all(str, '\d+(?:\s*[–—-]\s*\d+)?|[A-Za-z]+|[^\sA-Za-z\d]', 0), '|') AS tokens FROM item""", "item")
+@query(f"SELECT doc_id, page_number, item_ord, array_to_string(regexp_extract_all(str, '{I.TOKEN}', 0), '|') AS tokens FROM item", "item")
 def j2_tokens(spark, d):
     return items(spark, d).select(*T.PAGE, "item_ord", F.array_join(F.regexp_extract_all("str", lit(I.TOKEN), lit(0)), "|").alias("tokens"))
 

@@ -11,14 +11,24 @@ import uuid
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import CONFIG
+from .functions import columns as C
 from .functions import kernels as K
 from .operators import search as S
 
 RELEASE_CHOICES = (5, 15, 30, 60)
+SAVED = "index_max_mb double, release_after_min double"
+
+
+def settings_of(saved: Column) -> list[Column]:
+    """``index_max_mb`` and ``release_after_min`` of a JSON text, each with its default if it is missing or not valid, as ``Settings.load`` reads them from a file."""
+    s = F.from_json(saved, SAVED)
+    size, minutes = s["index_max_mb"], s["release_after_min"]
+    fine = (size >= CONFIG.index_min_mb) & (size < float("inf"))
+    return [F.when(fine, size).otherwise(CONFIG.index_max_mb).alias("index_max_mb"), F.when(minutes.isin(*map(float, RELEASE_CHOICES)), minutes).otherwise(float(CONFIG.release_hidden_after_min)).alias("release_after_min")]
 
 
 @dataclass
@@ -90,6 +100,12 @@ class SearchSession:
             raise ValueError("nothing has been searched")
         return S.shown(self.matches, self.min_score).orderBy("page", "reading_ord")
 
+    def page_counts(self) -> DataFrame:
+        """(page, n, shown) of what was found."""
+        if self.matches is None:
+            raise ValueError("nothing has been searched")
+        return S.page_counts(self.matches, self.min_score)
+
     def set_min_score(self, score: float) -> None:
         """A score outside [0, 1] falls back to the default."""
         self.min_score = score if 0 <= score <= 1 else CONFIG.similarity_threshold
@@ -98,7 +114,7 @@ class SearchSession:
     def step(self, direction: int) -> int:
         """The next or previous match, around the ends."""
         n = self.shown().count()
-        self.current = (self.current + direction + n) % n if n else -1
+        self.current = C.stepped(self.current, direction, n) if n else -1
         return self.current
 
     def save_results(self, path: str) -> None:

@@ -136,11 +136,12 @@ LARGE_W, LARGE_H, LARGE_GLYPHS, LARGE_LINE, LARGE_DX, LARGE_DY = 1836, 2376, 140
 
 
 def large_raster(text: str) -> np.ndarray:
-    """A page of the size and density of a textbook's: the text's glyphs again and again."""
-    out = np.zeros((LARGE_H, LARGE_W), np.uint8)
+    """A page of the size and density of a textbook's: the text's glyphs again and again; a longer text makes a longer page."""
     letters = [ord(c) % 8 for c in text if not c.isspace()]
+    n = max(LARGE_GLYPHS, len(letters)) if letters else 0
+    out = np.zeros((max(LARGE_H, (-(-n // LARGE_LINE) - 1) * LARGE_DY + 61), LARGE_W), np.uint8)
     shapes = [glyph(k) for k in range(8)]
-    for p in range(LARGE_GLYPHS if letters else 0):
+    for p in range(n):
         y, x = p // LARGE_LINE * LARGE_DY + 20, p % LARGE_LINE * LARGE_DX + 20
         g = shapes[letters[p % len(letters)]]
         out[y : y + g.shape[0], x : x + g.shape[1]] = g

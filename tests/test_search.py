@@ -122,9 +122,8 @@ def test_page_index_of_documents(spark):
     for r in images(spark, D, "documents").limit(40).collect():
         image = np.frombuffer(r.bits, np.uint8).reshape(r.h, r.w)
         runs, boxes, groups = K.analyse(image)
-        if r.page in got:
-            x = got[r.page]
-            assert (x.w, x.h, x.n_runs, x.n_comps, x.n_clusters) == (r.w, r.h, len(runs), len(boxes), len(groups))
+        x = got[r.page]
+        assert (x.w, x.h, x.n_runs, x.n_comps, x.n_clusters) == (r.w, r.h, len(runs), len(boxes), len(groups))
 
 
 def test_turns_of_each_page(spark):
@@ -142,6 +141,30 @@ def test_turns_of_each_page(spark):
     assert got == sorted(want)
 
 
+def test_lookup_and_search_of_turned_pages(spark, book):
+    """Both take the turns of a page's text layer: equal to searches of each page in its own turns, which find more than upright ones."""
+    pages, total = book
+    own = lambda p: (0, 2) if p % 3 == 0 else (0, 1) if p % 5 == 0 else (0,)
+    img, want = images(spark, D, glyphs=True), {}
+    for turns in {own(p) for p in pages}:
+        mine = [p for p in pages if own(p) == turns]
+        for r in S.page_matches(img.where(img.page.isin(mine)), symbol(4), turns=turns).collect():
+            want.setdefault(r.page, []).append((r.reading_ord, *(r[c] for c in FIELDS)))
+    index = {p for p, (doc, n) in pages.items() if n == total[doc]}
+    flat = lambda ps: sorted((p, *m) for p in ps for m in want.get(p, []))
+    assert rows(QUERIES["r4_turned_look_up"](spark, D), "page", "reading_ord", *FIELDS) == flat(index)
+    assert rows(QUERIES["r6_turned_search"](spark, D), "page", "reading_ord", *FIELDS) == flat(pages)
+    assert sum(map(len, want.values())) > S.page_matches(img, symbol(4)).count()
+
+
+def test_long_texts_make_long_pages():
+    from inkwell.sources.bridge import LARGE_H, large_raster
+
+    assert large_raster("ab " * 100).shape[0] == LARGE_H and large_raster("").sum() == 0
+    long = large_raster("a" * 3000)
+    assert len(K.components(K.find_runs(long), long.shape[1], 4)[0]) == 3000
+
+
 def test_a_page_that_fails_leaves_the_others(spark):
     good = images(spark, D, glyphs=True).limit(3)
     bad = spark.createDataFrame([(900, 5, 5, bytearray(b"short")), (901, None, 5, bytearray(b"x")), (902, 4, 4, None)], "page long, w int, h int, bits binary")

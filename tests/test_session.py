@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from inkwell.functions import kernels as K
 from inkwell.operators.search import template_from_region
@@ -65,3 +66,21 @@ def test_session(spark, tmp_path):
     assert {r.page for r in session.search(t, only).collect()} == {3}
     session.bind(session.images)
     assert session.matches is None
+
+
+def test_settings_of_tables_and_files_agree(spark, tmp_path):
+    """The column expression and the loader read the same of any saved text."""
+    import json
+
+    from inkwell.session import Settings, settings_of
+
+    values = [None, 50, 49.9, 250, 1e9, -5, "300", True, [1], {"a": 1}]
+    saved = [json.dumps({"index_max_mb": v, "release_after_min": m}) for v in values for m in (None, 5, 15.0, 16, "30", False)]
+    saved += ["", "no json", "[]", "{}", "null", '{"index_max_mb": 99', '{"index_max_mb": Infinity}', '{"other": 1}']
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(saved)], "k long, saved string").select("k", *settings_of(F.col("saved"))).collect()
+    for r in rows:
+        path = tmp_path / f"{r.k}.json"
+        path.write_text(saved[r.k])
+        want = Settings.load(path)
+        assert (r.index_max_mb, r.release_after_min) == (float(want.index_max_mb), float(want.release_after_min)), saved[r.k]
+    assert len({r.index_max_mb for r in rows}) > 2 and len({r.release_after_min for r in rows}) > 2
