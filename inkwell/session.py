@@ -1,7 +1,8 @@
 """One viewer's search session: a bound document collection, settings, searches and the current match.
 
 Searches run under a job group of their own, so a new search or ``cancel``
-stops the running one; what it has already written stays.
+stops the running one. A streamed search keeps what it has found when it is
+stopped, and goes on from there.
 """
 
 from __future__ import annotations
@@ -13,11 +14,13 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from .config import CONFIG
 from .functions import columns as C
 from .functions import kernels as K
 from .operators import search as S
+from .streaming import pages as P
 
 RELEASE_CHOICES = (5, 15, 30, 60)
 SAVED = "index_max_mb double, release_after_min double"
@@ -65,6 +68,8 @@ class SearchSession:
         self.images: DataFrame | None = None
         self.matches: DataFrame | None = None
         self.group, self.current = "", -1
+        self.stream: StreamingQuery | None = None
+        self.out = ""
 
     def bind(self, images: DataFrame) -> None:
         """Bind a document's pages; results of the one before are dropped."""
@@ -77,6 +82,22 @@ class SearchSession:
         if self.group:
             self.spark.sparkContext.cancelJobGroup(self.group)
             self.group = ""
+        if self.stream is not None:
+            self.stream.stop()
+            self.stream = None
+
+    def search_streamed(self, notices: DataFrame, pages: DataFrame, template: K.Template | None, out: str, **options) -> StreamingQuery:
+        """Search pages of a stored index as a stream of notices names them, page by page; ``cancel`` stops it, what was found stays, and another call with the same ``out`` goes on."""
+        if template is None:
+            raise ValueError("the query has no ink")
+        self.cancel()
+        self.out = out
+        self.stream = P.start_search(notices, pages, template, out, **options)
+        return self.stream
+
+    def found(self) -> DataFrame:
+        """Matches so far of a streamed search at or above the minimum score, in document order."""
+        return S.shown(P.search_results(self.spark, self.out), self.min_score).orderBy("doc_id", "page", "reading_ord")
 
     def search(self, template: K.Template | None, pages: DataFrame | None = None, attached_ink: bool = CONFIG.attached_ink) -> DataFrame:
         """All matches down to the search floor, kept for display filters; ``pages`` (page) narrows the scope. Another attached-ink choice needs another search."""

@@ -74,6 +74,29 @@ def test_stopped_search_keeps_its_pages_and_goes_on(spark, few, tmp_path):
     assert rows(P.search_results(spark, out), *FIELDS) == rows(S.page_matches(pages, symbol(1)), *FIELDS)
 
 
+def test_session_cancels_and_goes_on(spark, few, tmp_path):
+    """A session's streamed search is cancelled after a batch, shows what it found, and is taken up again."""
+    from inkwell.session import SearchSession
+
+    pages, stored = few
+    path, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    for k in range(6):
+        write(spark, path, [(1, k, False, 1, k)])
+    session = SearchSession(spark, min_score=0.8)
+    with pytest.raises(ValueError):
+        session.search_streamed(P.file_stream(spark, path, P.NOTICE), stored, None, out)
+    query = session.search_streamed(P.file_stream(spark, path, P.NOTICE), stored, symbol(1), out)
+    end = time.time() + 120
+    while time.time() < end and query.lastProgress is None:
+        time.sleep(0.05)
+    session.cancel()
+    done = [p for (p,) in rows(spark.read.parquet(f"{out}/pages"), "page")]
+    shown = lambda n: rows(S.shown(S.page_matches(pages.where(F.col("page") < n), symbol(1)), 0.8), *FIELDS)
+    assert not query.isActive and 1 <= len(done) < 6 and rows(session.found(), *FIELDS) == shown(len(done))
+    P.drain(session.search_streamed(P.file_stream(spark, path, P.NOTICE), stored, symbol(1), out))
+    assert rows(session.found(), *FIELDS) == shown(6)
+
+
 def test_generations_equal_a_double(spark, tmp_path):
     rng = random.Random(3)
     notices, path = [], f"{tmp_path}/in"
