@@ -4,6 +4,7 @@ import compare
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from test_lookup import slow_refs
 
 from inkwell.config import CONFIG
@@ -142,7 +143,7 @@ def test_turns_of_each_page(spark):
 
 
 def test_lookup_and_search_of_turned_pages(spark, book):
-    """Both take the turns of a page's text layer: equal to searches of each page in its own turns, which find more than upright ones."""
+    """Both take the turns of a page's text layer: equal to searches of each page in its own turns, which score higher than upright ones."""
     pages, total = book
     own = lambda p: (0, 2) if p % 3 == 0 else (0, 1) if p % 5 == 0 else (0,)
     img, want = images(spark, D, glyphs=True), {}
@@ -154,7 +155,8 @@ def test_lookup_and_search_of_turned_pages(spark, book):
     flat = lambda ps: sorted((p, *m) for p in ps for m in want.get(p, []))
     assert rows(QUERIES["r4_turned_look_up"](spark, D), "page", "reading_ord", *FIELDS) == flat(index)
     assert rows(QUERIES["r6_turned_search"](spark, D), "page", "reading_ord", *FIELDS) == flat(pages)
-    assert sum(map(len, want.values())) > S.page_matches(img, symbol(4)).count()
+    upright = S.page_matches(img, symbol(4)).agg(F.sum("score")).first()[0]
+    assert sum(m[-1] for ms in want.values() for m in ms) > upright + 1  # where a turn fits better, its score stands
 
 
 def test_long_texts_make_long_pages():
