@@ -9,21 +9,14 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import kernels as K
 from ..operators import raster, store
+from ..operators.shared import kept, scratch
 from ..sources import page_source
-from ..streaming.pages import scratch
 from .raster_queries import COMPS, CROP, GROUPS, PX_B, RUNS, SHAPE, images, symbol
 from .registry import query
 
 col, lit = F.col, F.lit
 
 
-def kept(table: DataFrame) -> DataFrame:
-    """A table written to the shared folder and read back, as an index is stored once and searched often."""
-    path = scratch(table.sparkSession)
-    table.write.parquet(path)
-    return table.sparkSession.read.parquet(path)
-
-
 def stored(spark: SparkSession, d: str, **options) -> DataFrame:
     return kept(store.stored_index(images(spark, d, **options)))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,6 +10,7 @@ from pyspark.sql.types import StructType
 from ..config import CONFIG
 from ..functions import kernels as K
 from ..operators import search as S
+from ..operators.shared import scratch
 from ..operators.store import stored_matches
 from ..schemas import IMAGE
 from .state import first_pages, state_store
@@ -123,16 +121,6 @@ def releases(events: DataFrame, minutes: float = CONFIG.release_hidden_after_min
     return gap.where(F.col("ts") > F.col("since") + F.expr(f"make_dt_interval(0, 0, {int(minutes)}, 0)")).select("tab", "event_id", F.expr(f"since + make_dt_interval(0, 0, {int(minutes)}, 0)").alias("released_at"))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for a stream's results: below ``spark.checkpoint.dir``, which executors share, or in a local session that has none (tests) below a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="inkwell-stream-")
-    return f"{where}/inkwell-{uuid.uuid4().hex}"
-
-
 def merged_counts(stream: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """Rows of a stream counted by key, with the smallest id: each micro-batch appends its own counts once, under its number, and these are merged."""
     out = scratch(stream.sparkSession)
