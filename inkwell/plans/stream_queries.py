@@ -32,24 +32,23 @@ def l1_page_search_stream(spark, d):
     """Pages searched as notices of them stream in; the newest generation's matches are those of the whole search."""
     out = P.scratch(spark)
     pages = kept(store.stored_index(images(spark, d, glyphs=True)))
-    P.in_files(notices(spark, d), "ord", f"{out}/notices", FILES)
-    P.drain(P.start_search(P.file_stream(spark, f"{out}/notices", P.NOTICE), pages, symbol(1), f"{out}/search"))
+    each = P.in_files(notices(spark, d), "ord", f"{out}/notices", FILES)
+    P.drain(P.start_search(P.file_stream(spark, f"{out}/notices", P.NOTICE, each), pages, symbol(1), f"{out}/search"))
     return P.search_results(spark, f"{out}/search").drop("doc_id", "generation")
 
 
-def event_files(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
-    """Viewer events in files of ascending times."""
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Viewer events as a stream of files of ascending times."""
     e = view(spark, d, "ev")
     path = f"{P.scratch(spark)}/events"
-    P.in_files(e.withColumn("at", F.unix_micros(col("ts").cast("timestamp"))), "at", path, FILES)
-    return e.withColumn("at", lit(0).cast("long")), path
+    timed = e.withColumn("at", F.unix_micros(col("ts").cast("timestamp")))
+    return P.file_stream(spark, path, timed.schema, P.in_files(timed, "at", path, FILES))
 
 
 @query("SELECT DISTINCT tab, generation, page FROM (SELECT tab, CAST(generation AS BIGINT) AS generation, page FROM gen WHERE kind = 'view')", "ev", EVENTS)
 def l4_stream_builds(spark, d):
     """Each page once a generation, from a stream of viewer events whose signups open generations."""
-    like, path = event_files(spark, d)
-    e = P.file_stream(spark, path, like.schema).where("kind IN ('view', 'signup')")
+    e = event_stream(spark, d).where("kind IN ('view', 'signup')")
     rows = e.select(col("tab").alias("doc_id"), col("at").alias("ord"), col("event_id").alias("tie"), (col("kind") == "signup").alias("opens"), lit(None).cast("long").alias("generation"), "page")
     return P.drained(state.first_pages(rows)).select(col("doc_id").alias("tab"), "generation", "page")
 
@@ -61,8 +60,7 @@ WHERE next > ts + INTERVAL 30 MINUTE OR next IS NULL AND ts + INTERVAL 30 MINUTE
 )
 def l7_release_timers(spark, d):
     """Releases of hidden tabs by event-time timers, from a drained stream; the last event of a tab counts once the stream's time has passed it."""
-    like, path = event_files(spark, d)
-    return P.drained(state.releases(P.file_stream(spark, path, like.schema)))
+    return P.drained(state.releases(event_stream(spark, d)))
 
 
 @query(

@@ -16,16 +16,25 @@ from ..schemas import IMAGE
 from .state import first_pages, state_store
 
 
-def in_files(rows: DataFrame, order: str, path: str, files: int) -> None:
-    """Rows in files of ascending ranges of a column, one written after the other, as they would arrive."""
+#: Rows of a file of ``in_files``, about.
+FILE_ROWS = 1_000_000
+
+
+def in_files(rows: DataFrame, order: str, path: str, files: int, file_rows: int = FILE_ROWS) -> int:
+    """Rows in ascending ranges of a column, one written after the other, as they would arrive. Returns the number of files of a range, so that as many files a micro-batch are a range.
+
+    The bounds are approximate quantiles; empty ranges have no file. Rows are dealt evenly to a range's files.
+    """
     spark = rows.sparkSession
-    bounds = rows.agg(F.percentile(order, F.array(*(F.lit(k / files) for k in range(1, files)))).alias("b")).first().b if files > 1 else []
-    edges = [None, *sorted(set(bounds or [])), None]
-    for low, high in zip(edges, edges[1:]):
-        part = rows
-        part = part if low is None else part.where(F.col(order) > low)
-        part = part if high is None else part.where(F.col(order) <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
+    bounds = rows.agg(F.percentile_approx(order, F.array(*(F.lit(k / files) for k in range(1, files)))).alias("b")).first().b if files > 1 else []
+    edges = sorted(set(bounds or []))
+    place = sum((F.when(F.col(order) > b, 1).otherwise(0) for b in edges), F.lit(0))
+    sizes = dict(rows.where(F.col(order).isNotNull()).groupBy(place.alias("k")).count().collect())
+    each = max(1, min(sizes.values(), default=0) // file_rows)
+    for k in sorted(sizes) or [0]:
+        part = rows.where(F.col(order).isNotNull() & (place == k))
+        (part.coalesce(1) if each == 1 else part.repartition(each)).write.mode("append").parquet(path)
+    return each
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType | str, files: int = 1) -> DataFrame:
