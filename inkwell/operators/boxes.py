@@ -101,19 +101,20 @@ def reading_order(matches: DataFrame) -> DataFrame:
     return _per_page(matches, ["x", "y", "h"], kernel, "reading_ord long, line long, ord long")
 
 
-#: Side of the cells of a page by which windows meet components.
-CELL_PX = 32
+#: Side of the cells of a page by which windows meet components: several times a window's height, so that its reach touches few of them.
+CELL_PX = 128
 
 
-def attached_pairs(windows: DataFrame, comps: DataFrame, side: int = CELL_PX) -> DataFrame:
+def attached_pairs(windows: DataFrame, comps: DataFrame, side: int = CELL_PX, also: tuple[str, ...] = ()) -> DataFrame:
     """Windows (page, ord, x, y, w, h) with the components beside them that count as scripts or accents; shape tests of commas apart.
 
     A window looks for upper left corners within its reach: to the left by an accent's width, to the right by a
     script's gap, up by a script's height or an accent's with its gap, and down by the gap. It is put into the cells of the page
     that its reach touches, a component into the one of its corner, so that only neighbours are compared.
+    Columns ``also`` of the components go along.
     """
     cfg, col = CONFIG, F.col
-    c = comps.select("page", col("ord").alias("comp"), col("x").alias("x0"), col("y").alias("y0"), col("x1").alias("cx1"), col("y1").alias("cy1"))
+    c = comps.select("page", col("ord").alias("comp"), col("x").alias("x0"), col("y").alias("y0"), col("x1").alias("cx1"), col("y1").alias("cy1"), *also)
     c = c.withColumns({"cell_x": F.floor(col("x0") / side), "cell_y": F.floor(col("y0") / side)})
     up = max(cfg.script_max_height, cfg.accent_max_height + cfg.accent_max_gap)
     left, right = col("x") - F.greatest(F.lit(1.0), cfg.accent_max_width * col("w")), col("x") + col("w") + F.greatest(F.lit(0.0), cfg.script_max_gap * col("h"))
@@ -125,7 +126,7 @@ def attached_pairs(windows: DataFrame, comps: DataFrame, side: int = CELL_PX) ->
     script, accent = C.script_kind(*args), C.is_accent(*args)
     same = (col("w.page") == col("c.page")) & (col("w.cell_x") == col("c.cell_x")) & (col("w.cell_y") == col("c.cell_y"))
     both = reach.alias("w").join(c.alias("c"), same & (col("ord") != col("comp")) & (script.isNotNull() | accent))
-    return both.select("w.page", "ord", "comp", script.alias("script"), accent.alias("accent"))
+    return both.select("w.page", "ord", "comp", script.alias("script"), accent.alias("accent"), *also)
 
 
 def punctuation_shapes(rows: DataFrame) -> DataFrame:

@@ -349,7 +349,7 @@ def i1_candidates(spark, d):
 @query("""SELECT page, ord, CAST(sum(ink) AS BIGINT) AS ink, CAST(count(*) AS BIGINT) AS n FROM (SELECT page, ord, ink FROM box UNION ALL SELECT k.page, k.ord, b.ink FROM k JOIN box b ON b.page = k.page AND b.ord = k.comp WHERE accent OR (near AND (sub OR sup))) GROUP BY page, ord""", "box", SCRIPT_CTES)
 def i8_window_and_attached(spark, d):
     b = box(spark, d)
-    near = B.attached_pairs(b, b).join(b.select("page", col("ord").alias("comp"), "ink"), ["page", "comp"]).select("page", "ord", "ink")
+    near = B.attached_pairs(b, b, also=("ink",)).select("page", "ord", "ink")
     return b.select("page", "ord", "ink").unionAll(near).groupBy("page", "ord").agg(F.sum("ink").alias("ink"), F.count(lit(1)).alias("n"))
 
 
