@@ -28,12 +28,17 @@ def images_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
             yield batch.column(at("page"))[r].as_py(), np.frombuffer(bits, np.uint8).reshape(h, w)
 
 
-def per_image(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], columns: list[str]) -> DataFrame:
+#: Reads the (page, image) pairs of a batch of rows. A source that draws its pages gives one of its own, so that they are
+#: drawn in the worker that analyses them, one at a time, and no rows of images go through a second one.
+Pages = Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]
+
+
+def per_image(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], columns: list[str], pages: Pages = images_of) -> DataFrame:
     """Rows (page, n, columns...) of a kernel that returns a table of integers for an image; n numbers them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page, image in images_of(batch):
+            for page, image in pages(batch):
                 t = kernel(image)
                 if len(t):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), page)), pa.array(np.arange(len(t), dtype=np.int64)), *(pa.array(t[:, k].astype(np.int64)) for k in range(len(columns)))], ["page", "n", *columns])
@@ -41,8 +46,8 @@ def per_image(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], col
     return images.mapInArrow(run, "page long, n long, " + ", ".join(f"{c} long" for c in columns))
 
 
-def runs(images: DataFrame) -> DataFrame:
-    return per_image(images, K.find_runs, ["y", "x0", "x1"])
+def runs(images: DataFrame, pages: Pages = images_of) -> DataFrame:
+    return per_image(images, K.find_runs, ["y", "x0", "x1"], pages)
 
 
 def run_components(images: DataFrame) -> DataFrame:
@@ -84,12 +89,12 @@ def pixels(images: DataFrame, kernel: Callable[[np.ndarray], np.ndarray | None])
     return per_image(images, table, ["y", "x"])
 
 
-def page_index(images: DataFrame, cfg: Config = CONFIG) -> DataFrame:
+def page_index(images: DataFrame, cfg: Config = CONFIG, pages: Pages = images_of) -> DataFrame:
     """Rows of PAGE_INDEX: one kernel finds runs, components and clusters of a page and stores them compactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page, image in images_of(batch):
+            for page, image in pages(batch):
                 r, boxes, groups = K.analyse(image, cfg)
                 h, w = image.shape
                 bytes_ = 4 * (h + 1) + 4 * len(r) * (1 if w < 65536 else 2) + 20 * len(boxes) + 24 * len(groups) + 4 * len(boxes)

@@ -12,7 +12,7 @@ from ..functions import kernels as K
 from ..operators import cache, display, raster, templates
 from ..operators import search as S
 from ..operators import textlayer as T
-from ..sources.bridge import duck_pixels, glyph_raster, rasters, view, view_of
+from ..sources.bridge import drawn, duck_pixels, glyph_raster, rasters, texts_of, view, view_of
 from ..session import settings_of
 from ..streaming import pages as P
 from .registry import query
@@ -33,6 +33,11 @@ def images(spark: SparkSession, d: str, table: str = "benchmark", glyphs: bool =
     return rasters(spread(texts), {"benchmark": "item_id", "documents": "doc_id"}[table], "text", glyphs)
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text, to be drawn by the kernel's worker."""
+    return texts_of(spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")), "doc_id", "text")
+
+
 # binarisation (embedding values as grey pixels)
 
 GREY = """gr AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(i - 1 AS BIGINT) AS x, CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 0.5) * 255))) AS BIGINT) AS lum, CASE WHEN (i - 1) % 17 = 0 THEN i - 1 ELSE 255 END AS alpha FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)),
@@ -84,7 +89,7 @@ cc AS (SELECT r.page, root, min(x0) AS x0, min(y) AS y0, max(x1) AS x1, max(y) A
 @query("SELECT page, CAST(count(*) AS BIGINT) AS n, CAST(sum(x1 - x0 + 1) AS BIGINT) AS ink, CAST(sum((y * 3 + x0 * 5 + x1 * 7) % 1009) AS BIGINT) AS digest FROM run GROUP BY page", ctes=PX_D + ",\n" + RUNS)
 def q3_label_runs(spark, d):
     """Runs of every document's whole raster, summed up by page."""
-    r = raster.runs(images(spark, d, "documents"))
+    r = raster.runs(documents(spark, d), drawn)
     return r.groupBy("page").agg(F.count(lit(1)).alias("n"), F.sum(col("x1") - col("x0") + 1).alias("ink"), F.sum((col("y") * 3 + col("x0") * 5 + col("x1") * 7) % 1009).alias("digest"))
 
 
@@ -156,7 +161,7 @@ def b27_dense_index_pages(spark, d):
 @query()
 def a2_page_index(spark, d):
     """The page index of every document's whole raster."""
-    i = raster.admissible(raster.page_index(images(spark, d, "documents")))
+    i = raster.admissible(raster.page_index(documents(spark, d), pages=drawn))
     return i.select("page", "w", "h", F.size("runs").alias("n_runs"), F.size("comps").alias("n_comps"), F.size("clusters").alias("n_clusters"), "bytes")
 
 
